@@ -6,27 +6,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import url as U
-from corpusloom.operators.links import adjacency
 from corpusloom.operators.ranking import first_by_key, first_n
 from corpusloom.operators.url_filter import url_allowed_by
 from corpusloom.options import BuildOptions
 from corpusloom.session import broadcast_if_small, materialize
 
 
-def crawl_bfs(pages: DataFrame, sites: DataFrame, options: BuildOptions, edges: DataFrame | None = None) -> DataFrame:
+def crawl_bfs(edges: DataFrame, sites: DataFrame, options: BuildOptions) -> DataFrame:
     """The first ``max_pages`` URLs of each site in breadth-first order, at most ``max_depth`` links away.
 
+    ``edges`` are link lists ``(site, src_key, links)`` as made by :func:`corpusloom.operators.links.adjacency`.
     Each level is one join of the frontier with the link lists. A URL belongs to the level that reaches
     it first, and within the level to the parent of lowest rank and its earliest link. Pages without a
     capture are leaves. Only the root is subject to the URL patterns. The levels are written to shared
     scratch, which keeps lineage short and lets a lost executor resume from the level before.
-
-    ``edges`` takes ready-made link lists (``site, src_key, links``).
     """
     roots = sites.filter(
         F.col("root_url").isNotNull() & url_allowed_by(F.col("root_url"), F.col("include"), F.col("exclude"))
     )
-    lists = materialize(edges if edges is not None else adjacency(pages, sites), "edges")
+    lists = materialize(edges, "edges")
     limits = sites.select("site", "max_pages", "max_depth")
     seen = materialize(
         roots.select(

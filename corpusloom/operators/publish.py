@@ -152,10 +152,8 @@ def numbered_lines(lines: DataFrame) -> DataFrame:
 
     The numbers are found on narrow rows; the text joins them on the entry's own key.
     """
-    places = ordered_rank(
-        lines.select("site", *LINE_ORDER), ["site"], [F.col(c) for c in LINE_ORDER], "ord"
-    ).select("site", "section", "rank", "ord")
-    return lines.join(places, ["site", "section", "rank"]).select("site", "section", "ord", "line")
+    places = ordered_rank(lines.select("site", *LINE_ORDER), ["site"], [F.col(c) for c in LINE_ORDER], "ord")
+    return lines.join(places, ["site", *LINE_ORDER]).select("site", "section", "ord", "line")
 
 
 def file_parts(numbered: DataFrame, file_name: str, entries_per_file: int) -> DataFrame:

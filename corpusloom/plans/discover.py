@@ -43,7 +43,7 @@ def capture_edges(captures: DataFrame, chosen: DataFrame, rest_items: DataFrame,
 
 
 def discover_composite(
-    sites: DataFrame, captures: DataFrame, site_docs: DataFrame, options: BuildOptions, crawl: bool = True
+    sites: DataFrame, captures: DataFrame, site_docs: DataFrame, options: BuildOptions
 ) -> Discovery:
     """REST listing, sitemap, feed and crawl, in this order of precedence.
 
@@ -54,14 +54,12 @@ def discover_composite(
     listings = [rest.discovered, scan_sitemaps(site_docs, sites, options), scan_feeds(site_docs, sites, options)]
     listings = [materialize(found, "listing") for found in listings]
     chosen = materialize(choose_captures(captures), "chosen")
-    if crawl:
-        merged = merge_strategies(listings, sites, options)
-        filled = merged.groupBy("site").agg(F.max("rank").alias("used")).join(sites, "site").filter("used >= max_pages")
-        filled = materialize(filled.select("site"), "filled")
-        open_sites = materialize(sites.join(filled, "site", "left_anti"), "open")
-        # Captures of sites that are not crawled are dropped before their links are taken.
-        candidates = captures.join(broadcast_if_small(filled), "site", "left_anti")
-        edges = capture_edges(candidates, chosen, rest.items, sites)
-        no_pages = captures.select("site", "url", F.col("body").alias("html"))
-        listings.append(crawl_bfs(no_pages, open_sites, options, edges))
+    merged = merge_strategies(listings, sites, options)
+    used = merged.groupBy("site").agg(F.max("rank").alias("used"))
+    filled = materialize(used.join(sites, "site").filter("used >= max_pages").select("site"), "filled")
+    open_sites = materialize(sites.join(filled, "site", "left_anti"), "open")
+    # Captures of sites that are not crawled are dropped before their links are taken.
+    candidates = captures.join(broadcast_if_small(filled), "site", "left_anti")
+    edges = capture_edges(candidates, chosen, rest.items, sites)
+    listings.append(crawl_bfs(edges, open_sites, options))
     return Discovery(materialize(merge_strategies(listings, sites, options), "discovered"), rest, chosen)

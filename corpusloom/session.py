@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +32,20 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, unless the job was submitted with it."""
+    shipped = spark.conf.get("spark.corpusloom.shipped", None)
+    if shipped == spark.sparkContext.applicationId:
+        return
+    package = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="corpusloom-code-")) / "corpusloom.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    spark.conf.set("spark.corpusloom.shipped", spark.sparkContext.applicationId)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for intermediate tables: ``spark.checkpoint.dir`` when the session names one."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
