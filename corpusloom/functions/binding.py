@@ -1,4 +1,4 @@
-"""Naming a sub-expression so that it is evaluated once."""
+"""Small devices for composing column expressions."""
 
 from __future__ import annotations
 
@@ -11,3 +11,16 @@ from pyspark.sql import functions as F
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed a single time however often ``body`` uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def each(values: Column, sql_lambda: str) -> Column:
+    """``transform`` with the function given as SQL text, such as ``x -> upper(x)``.
+
+    The text is parsed once on the JVM side, which keeps long expressions cheap to build.
+    """
+    return F.call_function("transform", values, F.expr(sql_lambda))
+
+
+def apply(value: Column, sql_lambda: str) -> Column:
+    """One value through a SQL function text; the value is computed a single time."""
+    return F.element_at(each(F.array(value), sql_lambda), 1)

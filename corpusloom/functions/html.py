@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corpusloom.functions import url as U
-from corpusloom.functions.binding import let
+from corpusloom.functions.binding import each, let
 from corpusloom.functions.text import is_blank, trim_ws
 
 # Length of the body prefix the sniffing rules look at. This is their definition, not a saving.
@@ -77,31 +77,35 @@ def accepts_response(status: Column, content_type: Column, body: Column) -> Colu
     return ~is_blank(body) & ((success & declared) | looks_like_html(body))
 
 
-def decode_entities(text: Column) -> Column:
-    """Resolve named (``&name;``) and numeric character references."""
+def _entity_table() -> str:
+    """SQL text of a map from entity name to characters, made from Python's HTML5 table."""
     names = {name[:-1]: value for name, value in html5.items() if name.endswith(";")}
-    table = F.from_json(F.lit(json.dumps(names)), "map<string,string>")
+    quoted = json.dumps(names).replace("\\", "\\\\").replace("'", "\\'")
+    return f"from_json('{quoted}', 'map<string,string>')"
 
-    def code_point(n: Column) -> Column:
-        return F.when(
-            n.between(1, 0x10FFFF) & ~n.between(0xD800, 0xDFFF),
-            F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"),
-        )
 
-    def value_of(ref: Column) -> Column:
-        return (
-            F.when(ref.rlike("^#[0-9]"), code_point(F.substring(ref, 2, 10).cast("bigint")))
-            .when(ref.startswith("#"), code_point(F.conv(F.substring(ref, 3, 10), 16, 10).cast("bigint")))
-            .when(ref != "", F.try_element_at(table, ref))
-        )
+def _character(code: str) -> str:
+    """SQL text of the character with a code point; null where there is none."""
+    char = "decode(unhex(lpad(hex(n), 8, '0')), 'UTF-32')"
+    known = "n BETWEEN 1 AND 1114111 AND n NOT BETWEEN 55296 AND 57343"
+    return f"element_at(transform(array(CAST({code} AS BIGINT)), n -> if({known}, {char}, NULL)), 1)"
+
 
-    def piece(part: Column, i: Column) -> Column:
-        ref = F.regexp_extract(part, "^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});", 1)
-        decoded = F.concat(let(ref, value_of), F.regexp_replace(part, "^[^;]*;", ""))
-        return F.when(i == 0, part).otherwise(F.coalesce(decoded, F.concat(F.lit("&"), part)))
+# Text after an ampersand, with the reference it may start with resolved.
+_AFTER_AMPERSAND = rf"""(part, i) -> if(i = 0, part, coalesce(concat(
+    element_at(transform(array(regexp_extract(part, '^(#[0-9]{{1,7}}|#[xX][0-9a-fA-F]{{1,6}}|[A-Za-z][A-Za-z0-9]{{1,31}});', 1)),
+        ref -> CASE WHEN ref = '' THEN NULL
+            WHEN ref rlike '^#[0-9]' THEN {_character("substring(ref, 2)")}
+            WHEN startswith(ref, '#') THEN {_character("conv(substring(ref, 3), 16, 10)")}
+            ELSE try_element_at({_entity_table()}, ref) END), 1),
+    regexp_replace(part, '^[^;]*;', '')), concat('&', part)))"""
+
+
+def decode_entities(text: Column) -> Column:
+    """Resolve named (``&name;``) and numeric character references."""
 
     def resolved(t: Column) -> Column:
-        return F.when(F.contains(t, F.lit("&")), F.array_join(F.transform(F.split(t, "&"), piece), "")).otherwise(t)
+        return F.when(F.contains(t, F.lit("&")), F.array_join(each(F.split(t, "&"), _AFTER_AMPERSAND), "")).otherwise(t)
 
     return let(text, resolved)
 

@@ -19,6 +19,11 @@ def trim_ws(col: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(col, f"^{WS}+", ""), f"{WS}+$", "")
 
 
+def trim_ws_sql(x: str) -> str:
+    """SQL text of :func:`trim_ws`."""
+    return f"regexp_replace(regexp_replace({x}, r'^{WS}+', ''), r'{WS}+$', '')"
+
+
 def is_blank(col: Column) -> Column:
     """Null, empty or white space only."""
     return col.isNull() | ~col.rlike(r"[^\s\x0B\x{85}\p{Z}]")
@@ -33,6 +38,11 @@ def ordinal_fold(col: Column) -> Column:
     return F.replace(shielded, F.lit(_SHIELD), F.lit("ß"))
 
 
+def ordinal_fold_sql(x: str) -> str:
+    """SQL text of :func:`ordinal_fold`."""
+    return f"replace(upper(replace({x}, 'ß', '{_SHIELD}')), '{_SHIELD}', 'ß')"
+
+
 def clean_markdown(col: Column) -> Column:
     """Unix line ends, at most one blank line in a row, trimmed; null becomes empty."""
     unix = F.replace(F.coalesce(col, F.lit("")), F.lit("\r\n"), F.lit("\n"))

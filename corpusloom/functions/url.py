@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusloom.functions.binding import let
-from corpusloom.functions.text import ordinal_fold, trim_ws
+from corpusloom.functions.binding import apply, each, let
+from corpusloom.functions.text import ordinal_fold_sql, trim_ws, trim_ws_sql
 
 # scheme, authority, path, query
 _URL = r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/\\?#]*)([^?#]*)(\?[^#]*)?"
@@ -19,140 +19,96 @@ _HAS_SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
 _PATH_OK = r"!#$%&'()*+,\-./0-9:;=?@A-Z\[\]_a-z~"
 _BAD_PERCENT = r"%(?![0-9A-Fa-f]{2})"
 
+# How an href becomes absolute, by its first characters.
+_RESOLVED = rf"""x -> CASE
+    WHEN startswith(x.h, '#') OR x.h rlike r'(?i)^(mailto|tel):' THEN NULL
+    WHEN x.h rlike r'{_HAS_SCHEME}' THEN x.h
+    WHEN x.h rlike r'^[/\\]{{2}}' THEN concat(x.at.scheme, '//', substring(x.h, 3))
+    WHEN x.h rlike r'^[/\\]' THEN concat(x.at.prefix, x.h)
+    WHEN startswith(x.h, '?') THEN concat(x.at.page, x.h)
+    ELSE concat(x.at.folder, x.h) END"""
+
 # Tracking parameters left out of canonical URLs.
 TRACKING_PREFIX = "utm_"
 TRACKING_KEYS = ("fbclid", "gclid", "msclkid")
 
 
-def _lit_replace(col: Column, old: str, new: str) -> Column:
-    return F.replace(col, F.lit(old), F.lit(new))
-
-
 def is_tracking_param(key: Column) -> Column:
     folded = F.lower(key)
     return folded.startswith(TRACKING_PREFIX) | folded.isin(*TRACKING_KEYS)
 
 
-def _encode(col: Column) -> Column:
+def _encode(x: str) -> str:
     """Percent-encode everything but unreserved characters."""
-    return _lit_replace(_lit_replace(_lit_replace(F.url_encode(col), "+", "%20"), "*", "%2A"), "%7E", "~")
+    return f"replace(replace(replace(url_encode({x}), '+', '%20'), '*', '%2A'), '%7E', '~')"
 
 
-def _decode(col: Column) -> Column:
-    """Percent-decode, keeping ``+`` and malformed escapes as they are."""
-    guarded = _lit_replace(F.regexp_replace(col, _BAD_PERCENT, "%25"), "+", "%2B")
-    decoded = F.try_url_decode(guarded)
-    broken = decoded.isNull() | (F.contains(decoded, F.lit("�")) & ~F.contains(col, F.lit("�")))
-    return F.when(~F.contains(col, F.lit("%")), col).when(broken, col).otherwise(decoded)
+def _decode(x: str) -> str:
+    """Percent-decode, keeping ``+``, malformed escapes and escapes that are not UTF-8 as they are."""
+    decoded = f"try_url_decode(replace(regexp_replace({x}, r'{_BAD_PERCENT}', '%25'), '+', '%2B'))"
+    valid = f"element_at(transform(array({decoded}), d -> if(contains(d, '\ufffd'), NULL, d)), 1)"
+    return f"if(contains({x}, '%'), coalesce({valid}, {x}), {x})"
 
 
-def normalize_query(query: Column) -> Column:
-    """Drop tracking parameters, sort by key (ignoring case) then value, re-encode; no leading ``?``."""
-    parts = F.filter(F.split(F.regexp_replace(query, r"^\?+", ""), "&"), lambda p: p != "")
-    raw = F.transform(
-        parts,
-        lambda p, i: F.struct(
-            _decode(F.substring_index(p, "=", 1)).alias("key"),
-            F.when(F.contains(p, F.lit("=")), _decode(F.regexp_replace(p, "^[^=]*=", "")))
-            .otherwise(F.lit(""))
-            .alias("value"),
-            i.alias("i"),
-        ),
-    )
-    kept = F.filter(raw, lambda kv: ~is_tracking_param(kv["key"]))
-    ordered = F.array_sort(
-        F.transform(
-            kept,
-            lambda kv: F.struct(
-                ordinal_fold(kv["key"]).alias("fold"),
-                kv["value"].alias("value"),
-                kv["i"].alias("i"),
-                kv["key"].alias("key"),
-            ),
-        )
-    )
-    return F.array_join(F.transform(ordered, lambda kv: F.concat(_encode(kv["key"]), F.lit("="), _encode(kv["value"]))), "&")
+# One key=value pair, decoded.
+_PAIR = f"""(p, i) -> named_struct(
+    'key', {_decode("substring_index(p, '=', 1)")},
+    'value', if(contains(p, '='), {_decode("regexp_replace(p, '^[^=]*=', '')")}, ''),
+    'i', i)"""
+_TRACKED = f"""startswith(lower(kv.key), '{TRACKING_PREFIX}') OR lower(kv.key) IN ({", ".join(f"'{k}'" for k in TRACKING_KEYS)})"""
 
 
-def _remove_dot_segments(path: Column) -> Column:
-    segments = F.split(path, "/")
-    kept = F.aggregate(
-        F.slice(segments, F.lit(2), F.size(segments)),
-        F.array().cast("array<string>"),
-        lambda acc, s: F.when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
-        .when(s == ".", acc)
-        .otherwise(F.concat(acc, F.array(s))),
-    )
-    return F.concat(F.lit("/"), F.array_join(kept, "/"))
-
-
-def _encode_path(path: Column) -> Column:
-    runs = F.regexp_extract_all(path, F.lit(f"[{_PATH_OK}]+|[^{_PATH_OK}]+"), F.lit(0))
-    return F.array_join(
-        F.transform(
-            runs,
-            lambda r: F.when(r.rlike(f"^[{_PATH_OK}]"), F.regexp_replace(r, _BAD_PERCENT, "%25")).otherwise(
-                _lit_replace(F.url_encode(r), "+", "%20")
-            ),
-        ),
-        "",
-    )
+def _query(q: str) -> str:
+    """Without tracking parameters, sorted by key (ignoring case) and value, encoded again."""
+    pairs = f"filter(transform(filter(split({q}, '&'), p -> p != ''), {_PAIR}), kv -> NOT ({_TRACKED}))"
+    keyed = f"transform({pairs}, kv -> named_struct('fold', {ordinal_fold_sql('kv.key')}, 'value', kv.value, 'i', kv.i, 'key', kv.key))"
+    return f"array_join(transform(array_sort({keyed}), kv -> concat({_encode('kv.key')}, '=', {_encode('kv.value')})), '&')"
 
 
-def _split(u: Column) -> Column:
-    return F.struct(
-        F.lower(F.regexp_extract(u, _URL, 1)).alias("scheme"),
-        F.regexp_extract(u, _URL, 2).alias("authority"),
-        F.translate(F.regexp_extract(u, _URL, 3), "\\", "/").alias("path"),
-        F.regexp_extract(u, _URL, 4).alias("query"),
-    )
+def _without_dots(p: str) -> str:
+    """``.`` and ``..`` segments removed."""
+    return f"""concat('/', array_join(aggregate(slice(split({p}, '/'), 2, length({p})), CAST(array() AS ARRAY<STRING>),
+        (acc, s) -> CASE WHEN s = '..' THEN slice(acc, 1, greatest(size(acc) - 1, 0)) WHEN s = '.' THEN acc
+            ELSE concat(acc, array(s)) END), '/'))"""
 
 
-def _resolve_path(x: Column) -> Column:
-    host_port = F.lower(F.regexp_replace(x["authority"], "^.*@", ""))
-    return F.struct(
-        x["scheme"].alias("scheme"),
-        F.regexp_extract(x["authority"], "^(.*@)?", 0).alias("user"),
-        F.when(x["scheme"] == "http", F.regexp_replace(host_port, ":(80)?$", ""))
-        .when(x["scheme"] == "https", F.regexp_replace(host_port, ":(443)?$", ""))
-        .otherwise(host_port)
-        .alias("host"),
-        F.when(x["path"].rlike(r"(^|/)\.{1,2}(/|$)"), _remove_dot_segments(x["path"])).otherwise(x["path"]).alias("path"),
-        F.when(F.length(x["query"]) > 1, normalize_query(x["query"])).otherwise(F.lit("")).alias("query"),
-    )
+def _escaped(p: str) -> str:
+    """Characters that may not stand in a path percent-encoded."""
+    return f"""array_join(transform(regexp_extract_all({p}, r"[{_PATH_OK}]+|[^{_PATH_OK}]+", 0),
+        r -> if(r rlike r"^[{_PATH_OK}]", regexp_replace(r, r'{_BAD_PERCENT}', '%25'), replace(url_encode(r), '+', '%20'))), '')"""
 
 
-def _escape(x: Column) -> Column:
-    trimmed = F.regexp_replace(x["path"], "/+$", "")
-    return F.struct(
-        x["scheme"].alias("scheme"),
-        x["user"].alias("user"),
-        x["host"].alias("host"),
-        F.when(trimmed.rlike(f"[^{_PATH_OK}]|{_BAD_PERCENT}"), _encode_path(trimmed)).otherwise(trimmed).alias("path"),
-        x["query"].alias("query"),
-    )
+# The stages of the canonical form, each a function of what the one before yields.
+_STAGES = (
+    f"u -> {trim_ws_sql('u')}",
+    rf"""u -> named_struct(
+        'scheme', lower(regexp_extract(u, r'{_URL}', 1)),
+        'authority', regexp_extract(u, r'{_URL}', 2),
+        'path', translate(regexp_extract(u, r'{_URL}', 3), r'\', '/'),
+        'query', regexp_replace(regexp_extract(u, r'{_URL}', 4), r'^\?+', ''))""",
+    rf"""x -> named_struct(
+        'scheme', x.scheme,
+        'user', regexp_extract(x.authority, '^(.*@)?', 0),
+        'host', regexp_replace(lower(regexp_replace(x.authority, '^.*@', '')),
+            CASE x.scheme WHEN 'http' THEN ':(80)?$' WHEN 'https' THEN ':(443)?$' ELSE '$' END, ''),
+        'path', regexp_replace(if(x.path rlike r'(^|/)\.{{1,2}}(/|$)', {_without_dots("x.path")}, x.path), '/+$', ''),
+        'query', if(x.query = '', '', {_query("x.query")}))""",
+    rf"""x -> if(x.scheme = '' OR x.host = '', NULL, concat(x.scheme, '://', x.user, x.host,
+        CASE WHEN x.path = '' THEN '/' WHEN x.path rlike r"[^{_PATH_OK}]|{_BAD_PERCENT}" THEN {_escaped("x.path")} ELSE x.path END,
+        if(x.query = '', '', concat('?', x.query))))""",
+)
 
 
-def _join(x: Column) -> Column:
-    return F.when(
-        (x["scheme"] != "") & (x["host"] != ""),
-        F.concat(
-            x["scheme"],
-            F.lit("://"),
-            x["user"],
-            x["host"],
-            F.when(x["path"] == "", F.lit("/")).otherwise(x["path"]),
-            F.when(x["query"] == "", F.lit("")).otherwise(F.concat(F.lit("?"), x["query"])),
-        ),
-    )
+def normalize_query(query: Column) -> Column:
+    """Drop tracking parameters, sort by key (ignoring case) then value, re-encode; no leading ``?``."""
+    return apply(F.regexp_replace(query, r"^\?+", ""), f"q -> {_query('q')}")
 
 
 def canonicalize_all(urls: Column) -> Column:
     """Canonical form of every URL of an array; null where an entry is not a hierarchical absolute URL."""
-    staged = urls
-    for stage in (trim_ws, _split, _resolve_path, _escape, _join):
-        staged = F.transform(staged, stage)
-    return staged
+    for stage in _STAGES:
+        urls = each(urls, stage)
+    return urls
 
 
 def canonicalize(url: Column) -> Column:
@@ -194,19 +150,19 @@ def same_host(url: Column, root_url: Column, same_host_only: Column) -> Column:
 
 def safe_host(url: Column) -> Column:
     """Host as a folder name."""
-    return _lit_replace(host(url), ":", "_")
+    return F.replace(host(url), F.lit(":"), F.lit("_"))
 
 
 def fallback_title(url: Column) -> Column:
     """Readable words of the path, for pages without a title."""
-    return _lit_replace(F.btrim(path(url), F.lit("/")), "-", " ")
+    return F.replace(F.btrim(path(url), F.lit("/")), F.lit("-"), F.lit(" "))
 
 
 def slug(url: Column) -> Column:
     """File-name stem made of path and query."""
 
     def flat(combined: Column) -> Column:
-        marked = _lit_replace(F.regexp_replace(combined, "[^a-z0-9/_-]+", "_"), "/", "_")
+        marked = F.translate(F.regexp_replace(combined, "[^a-z0-9/_-]+", "_"), "/", "_")
         return F.btrim(F.regexp_replace(marked, "_{2,}", "_"), F.lit("_"))
 
     stem = F.lower(F.btrim(path(url), F.lit("/")))
@@ -236,16 +192,12 @@ def resolve_all(base: Column, hrefs: Column) -> Column:
     Dot segments are left in: the canonical form removes them.
     """
     prefix = authority_prefix(base)
-    folder = F.regexp_replace(path(base), "[^/]*$", "")
-
-    def absolute(h: Column) -> Column:
-        return (
-            F.when(h.startswith("#") | h.rlike("(?i)^(mailto|tel):"), F.lit(None).cast("string"))
-            .when(h.rlike(_HAS_SCHEME), h)
-            .when(h.rlike(r"^[/\\]{2}"), F.concat(F.regexp_extract(base, "^[^:]*:", 0), F.lit("//"), F.substring(h, 3, 1 << 30)))
-            .when(h.rlike(r"^[/\\]"), F.concat(prefix, h))
-            .when(h.startswith("?"), F.concat(prefix, path(base), h))
-            .otherwise(F.concat(prefix, F.when(folder == "", F.lit("/")).otherwise(folder), h))
-        )
-
-    return F.transform(F.transform(hrefs, trim_ws), absolute)
+    folder = F.concat(prefix, F.regexp_replace(F.regexp_replace(path(base), "^$", "/"), "[^/]*$", ""))
+    context = F.struct(
+        F.regexp_extract(base, "^[^:]*:", 0).alias("scheme"),
+        prefix.alias("prefix"),
+        F.concat(prefix, path(base)).alias("page"),
+        folder.alias("folder"),
+    )
+    anchored = let(context, lambda c: F.transform(hrefs, lambda h: F.struct(c.alias("at"), trim_ws(h).alias("h"))))
+    return each(anchored, _RESOLVED)

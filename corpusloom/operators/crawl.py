@@ -9,7 +9,7 @@ from corpusloom.functions import url as U
 from corpusloom.operators.ranking import first_by_key, first_n
 from corpusloom.operators.url_filter import url_allowed_by
 from corpusloom.options import BuildOptions
-from corpusloom.session import broadcast_if_small, materialize
+from corpusloom.session import BROADCAST_ROWS, materialize
 
 
 def crawl_bfs(edges: DataFrame, sites: DataFrame, options: BuildOptions) -> DataFrame:
@@ -25,30 +25,31 @@ def crawl_bfs(edges: DataFrame, sites: DataFrame, options: BuildOptions) -> Data
         F.col("root_url").isNotNull() & url_allowed_by(F.col("root_url"), F.col("include"), F.col("exclude"))
     )
     lists = materialize(edges, "edges")
-    limits = sites.select("site", "max_pages", "max_depth")
-    seen = materialize(
-        roots.select(
-            "site",
-            F.col("root_url").alias("url"),
-            U.url_key(F.col("root_url")).alias("url_key"),
-            F.lit(0).alias("depth"),
-            F.lit(1).alias("rank"),
-        ),
-        "crawl",
+    frontier = seen = roots.select(
+        "site",
+        F.col("root_url").alias("url"),
+        U.url_key(F.col("root_url")).alias("url_key"),
+        F.lit(0).alias("depth"),
+        F.lit(1).alias("rank"),
+        "max_pages",
+        "max_depth",
     )
-    frontier = seen
     deepest = sites.agg(F.max("max_depth")).first()[0] or 0
     for depth in range(1, deepest + 1):
-        # Sites whose budget is used up, or that may go no deeper, drop out here.
+        size = frontier.count()
+        if size == 0:
+            break
         used = seen.groupBy("site").agg(F.max("rank").alias("used"))
-        open_sites = used.join(limits, "site").filter((F.col("used") < F.col("max_pages")) & (F.col("max_depth") >= depth))
-        sources = frontier.select("site", F.col("url_key").alias("src_key"), F.col("rank").alias("parent")).join(
-            open_sites.select("site"), "site", "left_semi"
+        # Sites whose budget is used up, or that may go no deeper, drop out here.
+        sources = (
+            frontier.join(used, "site")
+            .filter((F.col("used") < F.col("max_pages")) & (F.col("max_depth") >= depth))
+            .select("site", F.col("url_key").alias("src_key"), F.col("rank").alias("parent"), "used", "max_pages", "max_depth")
         )
-        stored = materialize(sources, "frontier")
+        sources = F.broadcast(sources) if size <= BROADCAST_ROWS else sources
         reached = (
-            lists.join(broadcast_if_small(stored), ["site", "src_key"])
-            .select("site", "parent", F.posexplode("links").alias("link_ord", "url"))
+            lists.join(sources, ["site", "src_key"])
+            .select("site", "parent", "used", "max_pages", "max_depth", F.posexplode("links").alias("link_ord", "url"))
             .withColumn("url_key", U.url_key(F.col("url")))
         )
         fresh = first_by_key(reached, ["site", "url_key"], ["parent", "link_ord"]).join(
@@ -56,14 +57,11 @@ def crawl_bfs(edges: DataFrame, sites: DataFrame, options: BuildOptions) -> Data
         )
         level = (
             first_n(fresh, ["site"], ["parent", "link_ord"], options.max_pages, "place")
-            .join(open_sites.select("site", "used", "max_pages"), "site")
             .withColumn("rank", (F.col("used") + F.col("place")).cast("int"))
             .filter(F.col("rank") <= F.col("max_pages"))
-            .select("site", "url", "url_key", F.lit(depth).alias("depth"), "rank")
+            .select("site", "url", "url_key", F.lit(depth).alias("depth"), "rank", "max_pages", "max_depth")
         )
         frontier = materialize(level, "crawl")
-        if frontier.isEmpty():
-            break
         seen = seen.unionByName(frontier)
     return seen.select(
         "site",

@@ -57,7 +57,7 @@ def discover_composite(
     merged = merge_strategies(listings, sites, options)
     used = merged.groupBy("site").agg(F.max("rank").alias("used"))
     filled = materialize(used.join(sites, "site").filter("used >= max_pages").select("site"), "filled")
-    open_sites = materialize(sites.join(filled, "site", "left_anti"), "open")
+    open_sites = sites.join(filled, "site", "left_anti")
     # Captures of sites that are not crawled are dropped before their links are taken.
     candidates = captures.join(broadcast_if_small(filled), "site", "left_anti")
     edges = capture_edges(candidates, chosen, rest.items, sites)

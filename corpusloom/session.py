@@ -75,13 +75,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def is_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
+    """Whether a stored table has at most ``limit`` rows."""
+    return df.limit(limit + 1).count() <= limit
+
+
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint for a *stored*, narrow table that was counted to be within ``limit`` rows.
 
     Beyond the limit the table is returned without a hint and the join shuffles.
     """
     return F.broadcast(df) if is_small(df, limit) else df
-
-
-def is_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    return df.limit(limit + 1).count() <= limit

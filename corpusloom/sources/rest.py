@@ -166,7 +166,7 @@ def scan_rest_items(site_docs: DataFrame, sites: DataFrame, options: BuildOption
     final = F.when(F.col("page_no") >= F.col("total_pages"), F.col("page_no"))
     bounds = good.join(follows, [*key, "page_no"], "left").groupBy(*key).agg(F.min(stray).alias("gap"), F.min(final).alias("final"))
     in_chain = (F.col("page_no") < F.coalesce("gap", F.lit(1 << 30))) & (F.col("page_no") <= F.coalesce("final", F.lit(1 << 30)))
-    chain = materialize(good.join(bounds, key).filter(in_chain).select(*key, "page_no", "final"), "rest-chain")
+    chain = good.join(bounds, key).filter(in_chain).select(*key, "page_no", "final")
 
     listed = (
         docs.join(chain.select(*key, "page_no"), [*key, "page_no"], "left_semi")
