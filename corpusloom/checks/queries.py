@@ -11,6 +11,7 @@ from corpusloom.checks import archive as A
 from corpusloom.functions import html as H
 from corpusloom.functions import text as T
 from corpusloom.functions import url as U
+from corpusloom.functions.binding import once
 from corpusloom.operators import publish as P
 from corpusloom.operators.crawl import crawl_bfs
 from corpusloom.operators.extract import SUCCESS, extract_pages, skip_reason
@@ -26,7 +27,7 @@ from corpusloom.operators.incremental import (
 )
 from corpusloom.operators.links import adjacency, link_lists
 from corpusloom.operators.merge import distinct_by_url, dry_run_list, take_max_pages
-from corpusloom.operators.ranking import first_by_key
+from corpusloom.operators.ranking import first_by_key, first_n
 from corpusloom.operators.summarize import attach_responses, build_requests, summarize_pages
 from corpusloom.operators.triage import (
     choose_captures,
@@ -43,7 +44,7 @@ from corpusloom.session import materialize, scratch_path
 from corpusloom.sinks.files import write_lines
 from corpusloom.sinks.manifest import manifest_json_lines, parse_manifest_json, read_manifest, write_manifest
 from corpusloom.sources.feeds import scan_feeds
-from corpusloom.sources.rest import rest_detect, scan_rest_items
+from corpusloom.sources.rest import RestListing, rest_detect, scan_rest_items
 from corpusloom.sources.sitemaps import scan_sitemaps
 from corpusloom.sources.tables import MANIFEST, captures_of_pages, with_site_defaults
 from corpusloom.streaming.change_state import stream_change_state
@@ -59,7 +60,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _canonical_pages(spark: SparkSession, sf: str) -> DataFrame:
-    return A.read(spark, sf, "pages").select("page_id", U.canonicalize(F.col("url")).alias("url"), "html")
+    return once(A.read(spark, sf, "pages").select("page_id", "url", "html"), url=U.canonicalize(F.col("url")))
 
 
 def url_canonical(spark: SparkSession, sf: str) -> DataFrame:
@@ -95,7 +96,7 @@ def url_filtered_by_site(spark: SparkSession, sf: str) -> DataFrame:
 def links(spark: SparkSession, sf: str) -> DataFrame:
     pages = _canonical_pages(spark, sf).withColumn("site", U.host(F.col("url")))
     sites = pages.select("site", F.concat(F.lit("https://"), "site").alias("root_url")).distinct()
-    lists = link_lists(pages, with_site_defaults(sites, OPTIONS), keep=["page_id"])
+    lists = link_lists(pages, materialize(with_site_defaults(sites, OPTIONS), "sites"), keep=["page_id"])
     return lists.select("page_id", F.posexplode("links").alias("link_ord", "link"))
 
 
@@ -142,19 +143,23 @@ def protection(spark: SparkSession, sf: str) -> DataFrame:
 
 def _sites(spark: SparkSession, sf: str, options: BuildOptions = OPTIONS) -> tuple[DataFrame, DataFrame]:
     pages = A.site_pages(spark, sf)
-    return pages, with_site_defaults(A.sites_of(pages), options)
+    return pages, materialize(with_site_defaults(A.sites_of(pages), options), "sites")
+
+
+def _ranked(found: DataFrame) -> DataFrame:
+    return first_n(found, ["site"], ["ordinal"], OPTIONS.max_pages).drop("ordinal")
 
 
 def sitemap_urls(spark: SparkSession, sf: str) -> DataFrame:
     pages, sites = _sites(spark, sf)
     found = scan_sitemaps(A.sitemap_docs(pages), sites, OPTIONS)
-    return take_max_pages(found, sites, OPTIONS).select("site", "url", "discovery_method", "depth", "rank")
+    return _ranked(found)
 
 
 def feed_urls(spark: SparkSession, sf: str) -> DataFrame:
     pages, sites = _sites(spark, sf)
     found = scan_feeds(A.feed_docs(pages), sites, OPTIONS)
-    return take_max_pages(found, sites, OPTIONS).select("site", "url", "discovery_method", "depth", "rank")
+    return _ranked(found)
 
 
 def rest_probe(spark: SparkSession, sf: str) -> DataFrame:
@@ -162,26 +167,25 @@ def rest_probe(spark: SparkSession, sf: str) -> DataFrame:
     return rest_detect(A.probe_docs(pages), sites)
 
 
-def _rest(spark: SparkSession, sf: str):
+def _rest(spark: SparkSession, sf: str) -> RestListing:
     pages, sites = _sites(spark, sf)
-    return scan_rest_items(A.probe_docs(pages).unionByName(A.listing_docs(pages)), sites, OPTIONS), sites
+    return scan_rest_items(A.probe_docs(pages).unionByName(A.listing_docs(pages)), sites, OPTIONS)
 
 
 def rest_items(spark: SparkSession, sf: str) -> DataFrame:
-    listing, sites = _rest(spark, sf)
-    ranked = take_max_pages(listing.discovered, sites, OPTIONS).select("site", "ordinal", "rank")
+    listing = _rest(spark, sf)
+    ranked = first_n(listing.discovered, ["site"], ["ordinal"], OPTIONS.max_pages).select("site", "ordinal", "rank")
     return listing.items.join(ranked, ["site", "ordinal"]).select(
         "site", "rank", "url", "title", F.sha2("html", 256).alias("html_hash"), F.unix_seconds("modified_at").alias("modified")
     )
 
 
 def rest_status(spark: SparkSession, sf: str) -> DataFrame:
-    return _rest(spark, sf)[0].status
+    return _rest(spark, sf).status
 
 
 def _discovery(spark: SparkSession, sf: str, options: BuildOptions = OPTIONS):
     pages, sites = _sites(spark, sf, options)
-    sites = materialize(sites, "sites")
     captures = A.captures(pages)
     return discover_composite(sites, captures, A.site_docs(pages), options), sites, captures
 
@@ -415,7 +419,7 @@ def _corpus(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
         }
     ).withColumn("relative_output_path", U.page_path(F.col("file_name")))
     sites = docs.select("site", F.concat(F.lit("https://"), "site", F.lit(".example.org")).alias("root_url")).distinct()
-    return named.drop("lang"), with_site_defaults(sites, OPTIONS)
+    return named.drop("lang"), materialize(with_site_defaults(sites, OPTIONS), "sites")
 
 
 def index(spark: SparkSession, sf: str) -> DataFrame:
@@ -428,9 +432,8 @@ def index(spark: SparkSession, sf: str) -> DataFrame:
         U.stable_filename(F.col("url")).alias("file_name"),
         F.col("page_id").alias("rank"),
     )
-    sites = with_site_defaults(
-        pages.select("site", F.concat(F.lit("https://"), "site").alias("root_url")).distinct(), OPTIONS
-    )
+    sites = pages.select("site", F.concat(F.lit("https://"), "site").alias("root_url")).distinct()
+    sites = materialize(with_site_defaults(sites, OPTIONS), "sites")
     return P.numbered_lines(P.index_lines(P.dedupe_by_filename(named), sites, OPTIONS))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -24,3 +24,14 @@ def each(values: Column, sql_lambda: str) -> Column:
 def apply(value: Column, sql_lambda: str) -> Column:
     """One value through a SQL function text; the value is computed a single time."""
     return F.element_at(each(F.array(value), sql_lambda), 1)
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add costly columns that later filters and joins use.
+
+    The optimizer moves a filter below the projection that computes its column, by computing the column
+    a second time. It does not move one below a generator, so the columns come out of one.
+    """
+    row = F.struct(*[value.alias(name) for name, value in columns.items()])
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(row)))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.functions.binding import once
 from corpusloom.functions.markdown import main_markdown
 from corpusloom.functions.text import clean_markdown, content_sha256
 from corpusloom.operators.triage import FETCH_FAILED
@@ -51,7 +52,7 @@ def extract_pages(pages: DataFrame, convert: Callable[[str], str | None] = main_
             yield frame.assign(_raw=pd.Series(raw, dtype=object, index=frame.index), _failed=failed)
 
     parsed = pages.select(*[f.name for f in carried], "html").mapInPandas(batches, schema)
-    cleaned = parsed.withColumn("markdown", F.when(F.col("_raw").isNotNull(), clean_markdown(F.col("_raw"))))
+    cleaned = once(parsed, markdown=F.when(F.col("_raw").isNotNull(), clean_markdown(F.col("_raw"))))
     reason = F.when(~F.col("_failed"), skip_reason(F.col("markdown")))
     return (
         cleaned.withColumn("skip_reason", reason)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import html as H
 from corpusloom.functions import url as U
+from corpusloom.functions.binding import once
 from corpusloom.sources.tables import with_site
 
 
@@ -20,12 +21,8 @@ def link_lists(pages: DataFrame, sites: DataFrame, keep: Sequence[str] = ()) ->
     """
     roots = sites.select("site", "root_url", "same_host_only")
     rooted = with_site(pages.select(*keep, "site", "url", "html"), roots, "url")
-    return rooted.select(
-        *keep,
-        "site",
-        "url",
-        H.page_links(F.col("html"), F.col("url"), F.col("root_url"), F.col("same_host_only")).alias("links"),
-    )
+    links = H.page_links(F.col("html"), F.col("url"), F.col("root_url"), F.col("same_host_only"))
+    return once(rooted, links=links).select(*keep, "site", "url", "links")
 
 
 def scan_links(pages: DataFrame, sites: DataFrame) -> DataFrame:

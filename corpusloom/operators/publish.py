@@ -13,6 +13,8 @@ from corpusloom.functions import url as U
 from corpusloom.functions.text import build_frontmatter, iso_instant, ordinal_fold, trim_ws
 from corpusloom.operators.ranking import first_by_key, ordered_rank
 from corpusloom.options import BuildOptions
+from corpusloom.session import broadcast_if_small, materialize
+from corpusloom.sources.tables import with_site
 
 LINE_ORDER = ("section", "fold", "rank")
 
@@ -26,11 +28,13 @@ PAGES_HEADING = "## Pages"
 def dedupe_by_filename(summaries: DataFrame) -> DataFrame:
     """One page per file name ignoring case: the one of lowest rank.
 
-    Only names are grouped; the bodies meet the (few) superseded pages in an anti join.
+    Only names are grouped. The superseded pages, few as a rule, are stored and counted, so that the
+    bodies meet them in a broadcast anti join.
     """
     names = summaries.select("site", F.lower("file_name").alias("name"), "rank", "url")
     firsts = names.groupBy("site", "name").agg(F.min("rank").alias("first"), F.count("*").alias("n")).filter("n > 1")
     later = names.join(firsts, ["site", "name"]).filter(F.col("rank") > F.col("first")).select("site", "url", "rank")
+    later = broadcast_if_small(materialize(later, "superseded"))
     return summaries.join(later, ["site", "url", "rank"], "left_anti")
 
 
@@ -75,7 +79,8 @@ def _fixed_lines(sites: DataFrame, section: int, lines: list[Column]) -> DataFra
 
 def _entries(summaries: DataFrame, sites: DataFrame, path: Column) -> DataFrame:
     roots = sites.select("site", U.authority_prefix(F.col("root_url")).alias("prefix"))
-    return summaries.select("site", "title", "rank", path.alias("path")).join(roots, "site").select(
+    named = summaries.select("site", "title", "rank", path.alias("path"))
+    return with_site(named, roots, "rank").select(
         "site",
         F.lit(1).alias("section"),
         ordinal_fold(F.col("title")).alias("fold"),

@@ -15,6 +15,8 @@ SALTS = 32
 def first_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One row per key: the one that is first by ``order``. Partially aggregated before the shuffle."""
     rest = [c for c in df.columns if c not in keys]
+    if rest == list(order) and len(rest) == 1:
+        return df.groupBy(*keys).agg(F.min(rest[0]).alias(rest[0]))
     picked = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_first"))
     return picked.select(*keys, "_first.*")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import html as H
 from corpusloom.functions import url as U
+from corpusloom.functions.binding import once
 from corpusloom.functions.text import is_blank
 from corpusloom.operators.merge import distinct_by_url
 from corpusloom.session import is_small
@@ -27,7 +28,7 @@ def filter_response(captures: DataFrame) -> DataFrame:
 
 def scan_captures(captures: DataFrame) -> DataFrame:
     """Page shells of usable captures: canonical URL, title, HTML."""
-    usable = filter_response(captures).withColumn("url", U.canonicalize(F.col("url"))).filter(F.col("url").isNotNull())
+    usable = once(filter_response(captures), url=U.canonicalize(F.col("url"))).filter(F.col("url").isNotNull())
     return usable.select(
         "capture_id", "site", "url", page_title().alias("title"), F.col("body").alias("html"), "fetched_at"
     )
@@ -50,9 +51,9 @@ def choose_captures(captures: DataFrame) -> DataFrame:
     body = F.col("body")
     plain = F.col("channel") == PRIMARY
     usable = F.when(plain, H.accepts_response(F.col("status"), F.col("content_type"), body)).otherwise(~is_blank(body))
-    flags = captures.select(
+    flags = once(captures, url=U.canonicalize(F.col("url"))).filter(F.col("url").isNotNull()).select(
         "site",
-        U.canonicalize(F.col("url")).alias("url"),
+        "url",
         "channel",
         F.struct((-F.col("attempt")).alias("last"), F.col("capture_id").alias("id")).alias("turn"),
         F.struct(
@@ -61,7 +62,7 @@ def choose_captures(captures: DataFrame) -> DataFrame:
             H.detect_challenge(body).alias("challenge"),
             H.is_too_thin(body).alias("thin"),
         ).alias("c"),
-    ).filter(F.col("url").isNotNull())
+    )
     paired = flags.groupBy("site", U.url_key(F.col("url")).alias("url_key")).agg(
         F.min_by("url", F.col("turn.id")).alias("url"),
         F.min_by("c", F.when(F.col("channel") == PRIMARY, F.col("turn"))).alias("p"),
@@ -109,9 +110,8 @@ def join_capture_fallback(captures: DataFrame, chosen: DataFrame, carry: Sequenc
 def protection_labels(captures: DataFrame, sites: DataFrame) -> DataFrame:
     """Challenge label on the root page of every site; null where the root answers normally."""
     roots = sites.select("site", F.col("root_url").alias("url"))
-    probes = captures.filter(F.col("channel") == PRIMARY).select(
-        "site", U.canonicalize(F.col("url")).alias("url"), "capture_id", H.detect_challenge(F.col("body")).alias("label")
-    )
+    plain = once(captures.filter(F.col("channel") == PRIMARY), url=U.canonicalize(F.col("url")))
+    probes = plain.select("site", "url", "capture_id", H.detect_challenge(F.col("body")).alias("label"))
     answered = distinct_by_url(probes.join(roots, ["site", "url"], "left_semi"), ["capture_id"])
     return roots.join(answered, ["site", "url"], "left").select("site", "label")
 

@@ -22,12 +22,22 @@ from corpusloom.operators.incremental import (
     upsert_manifest,
 )
 from corpusloom.operators.merge import dry_run_list
-from corpusloom.operators.publish import dedupe_by_filename, detect_collision, full_lines, index_lines, page_files
+from corpusloom.operators.publish import (
+    FULL_FILE,
+    INDEX_FILE,
+    dedupe_by_filename,
+    detect_collision,
+    full_lines,
+    index_lines,
+    page_files,
+)
 from corpusloom.operators.summarize import as_summaries, build_requests
 from corpusloom.operators.triage import FETCH_FAILED, join_capture_fallback
 from corpusloom.options import BuildOptions
 from corpusloom.plans.discover import Discovery, discover_composite
-from corpusloom.session import materialize
+from corpusloom.session import broadcast_if_small, materialize
+from corpusloom.sinks.files import write_files, write_lines, write_table
+from corpusloom.sinks.manifest import write_manifest
 from corpusloom.sources.tables import with_site_defaults
 
 
@@ -87,16 +97,17 @@ def build_corpus(
         return Corpus(listed, run_counters(listed.select("site", F.lit("Listed").alias("result"))))
 
     extracted = materialize(extract_pages(join_rest_override(discovery, captures)), "extracted")
-    checked = join_manifest(extracted.filter(F.col("outcome") == SUCCESS), manifest)
-    checked = materialize(checked, "checked")
-    known = ["is_hit", "known_hash", "known_path", "known_title"]
-    misses = checked.filter(~F.col("is_hit")).drop(*known)
+    # The comparison needs hashes only; the text of unchanged pages is not moved at all.
+    usable = extracted.filter(F.col("outcome") == SUCCESS)
+    checked = materialize(join_manifest(usable.drop("markdown"), manifest), "checked")
+    changed = broadcast_if_small(checked.filter(~F.col("is_hit")).select("site", "url"))
+    misses = usable.join(changed, ["site", "url"], "left_semi")
     cached = join_cached_body(checked.filter("is_hit"), previous_files)
     answered = materialize(summarize(misses), "summaries")
     written = answered.filter(F.col("markdown").isNotNull())
     earlier = previous_files.select("site", "url", F.regexp_extract("relative_output_path", "[^/]*$", 0).alias("file_name"))
-    blocked = detect_collision(written, earlier).filter("collides").select("site", "url")
-    fresh = written.join(blocked, ["site", "url"], "left_anti")
+    blocked = materialize(detect_collision(written, earlier).filter("collides").select("site", "url"), "blocked")
+    fresh = written.join(broadcast_if_small(blocked), ["site", "url"], "left_anti")
 
     summaries = materialize(dedupe_by_filename(fresh.unionByName(cached)), "corpus")
     results = (
@@ -125,3 +136,19 @@ def build_corpus(
         index=index_lines(summaries, sites, options),
         full=full_lines(summaries, sites, options) if options.full_corpus else None,
     )
+
+
+def publish_corpus(corpus: Corpus, root: str, export_pages: bool = False) -> int:
+    """Write a finished run below ``root`` and return the number of the new manifest version.
+
+    Page documents become a table clustered by path, and with ``export_pages`` also one file each. The
+    manifest comes last, so a run that fails before it is simply repeated.
+    """
+    write_table(corpus.files.select("path", "content"), f"{root}/documents")
+    if export_pages:
+        write_files(corpus.files, f"{root}/files")
+    write_lines(corpus.index, f"{root}/{INDEX_FILE}")
+    if corpus.full is not None:
+        write_lines(corpus.full, f"{root}/{FULL_FILE}")
+    corpus.requests.select("request").write.mode("overwrite").text(f"{root}/requests")
+    return write_manifest(corpus.manifest, f"{root}/manifest")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -19,6 +20,9 @@ from corpusloom.sources.rest import RestListing, scan_rest_items
 from corpusloom.sources.sitemaps import scan_sitemaps
 
 
+Strategy = Callable[[DataFrame, DataFrame, BuildOptions], DataFrame]
+
+
 @dataclass(frozen=True)
 class Discovery:
     urls: DataFrame
@@ -35,23 +39,28 @@ def capture_edges(captures: DataFrame, chosen: DataFrame, rest_items: DataFrame,
     rendered = rest_items.select("site", "url", "html")
     rest_lists = adjacency(rendered, sites)
     pages = captures.select("capture_id", "site", U.canonicalize(F.col("url")).alias("url"), F.col("body").alias("html"))
-    lists = link_lists(pages, sites, keep=["capture_id"]).filter(F.size("links") > 0)
-    used = chosen.filter(F.col("capture_id").isNotNull()).select("capture_id", "url_key")
-    captured = lists.join(used, "capture_id").select("site", F.col("url_key").alias("src_key"), "links")
+    lists = link_lists(pages, sites, keep=["capture_id"]).filter(F.size("links") > 0).drop("url")
+    used = chosen.filter(F.col("capture_id").isNotNull()).select("capture_id", F.col("url_key").alias("src_key"))
+    captured = lists.join(used, "capture_id").select("site", "src_key", "links")
     keys = rest_items.select("site", U.url_key(F.col("url")).alias("src_key"))
     return rest_lists.unionByName(captured.join(keys, ["site", "src_key"], "left_anti"))
 
 
 def discover_composite(
-    sites: DataFrame, captures: DataFrame, site_docs: DataFrame, options: BuildOptions
+    sites: DataFrame,
+    captures: DataFrame,
+    site_docs: DataFrame,
+    options: BuildOptions,
+    strategies: Sequence[Strategy] = (scan_sitemaps, scan_feeds),
 ) -> Discovery:
-    """REST listing, sitemap, feed and crawl, in this order of precedence.
+    """REST listing, then ``strategies`` (sitemap, feed), then crawl, in this order of precedence.
 
+    A strategy maps ``(site_docs, sites, options)`` to ``(site, url, discovery_method, depth, ordinal)``.
     ``sites`` comes from :func:`corpusloom.sources.tables.with_site_defaults`. Sites whose budget the listings
     already fill are not crawled; the result is the same, as the merge would cut the crawl's URLs.
     """
     rest = scan_rest_items(site_docs, sites, options)
-    listings = [rest.discovered, scan_sitemaps(site_docs, sites, options), scan_feeds(site_docs, sites, options)]
+    listings = [rest.discovered, *[strategy(site_docs, sites, options) for strategy in strategies]]
     listings = [materialize(found, "listing") for found in listings]
     chosen = materialize(choose_captures(captures), "chosen")
     merged = merge_strategies(listings, sites, options)

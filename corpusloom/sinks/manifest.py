@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.sinks.versions import read_version, write_version
-from corpusloom.sources.tables import MANIFEST
+from corpusloom.session import materialize
+from corpusloom.sources.tables import MANIFEST, with_site
 
 MANIFEST_FILE = "manifest.json"
 
@@ -54,7 +55,7 @@ def manifest_json_lines(manifest: DataFrame) -> DataFrame:
     entry = F.to_json(F.struct(*[F.coalesce(F.col(c), F.lit("")).alias(name) for name, c in JSON_FIELDS]))
     key = F.to_json(F.array("url"))
     last = manifest.groupBy("site").agg(F.max("url").alias("last_url"))
-    body = manifest.join(last, "site").select(
+    body = with_site(manifest, materialize(last, "last-entries"), "url").select(
         "site",
         F.lit(1).alias("section"),
         F.col("url").alias("fold"),

@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import html as H
 from corpusloom.functions import url as U
+from corpusloom.functions.binding import once
 from corpusloom.functions.jsonval import json_date_or, json_nested_string, json_string, json_type
 from corpusloom.functions.text import is_blank, trim_ws
 from corpusloom.operators.merge import distinct_by_url, take_max_pages
 from corpusloom.operators.ranking import first_n
 from corpusloom.options import BuildOptions
 from corpusloom.session import materialize
-from corpusloom.sources.tables import success
+from corpusloom.sources.tables import success, with_site
 
 # Probe endpoints in order, and the two collections in listing order.
 PROBE_PATHS = ("/wp-json/", "/?rest_route=/")
@@ -91,20 +92,19 @@ def map_rest_items(entries: DataFrame, as_of: Column) -> DataFrame:
         & (F.coalesce(F.lower(json_string(v, "$.type")), F.lit("")) != "attachment")
         & ~F.coalesce((json_type(v, "$.protected") == "BOOLEAN") & F.try_variant_get(v, "$.protected", "boolean"), F.lit(False))
         & ~is_blank(link)
-    ).withColumn("url", U.canonicalize(link))
-    kept = kept.filter(
+    )
+    kept = once(kept, url=U.canonicalize(link)).filter(
         F.col("url").isNotNull()
         & U.is_http(F.col("url"))
         & U.same_host(F.col("url"), F.col("root_url"), F.col("same_host_only"))
     )
-    parts = kept.withColumns(
-        {
-            "_title": json_nested_string(v, "$.title.rendered"),
-            "_content": json_nested_string(v, "$.content.rendered"),
-            "_excerpt": json_nested_string(v, "$.excerpt.rendered"),
-            "_described": json_nested_string(v, "$.yoast_head_json.og_description"),
-            "modified_at": json_date_or(v, "$.modified", as_of),
-        }
+    parts = once(
+        kept,
+        _title=json_nested_string(v, "$.title.rendered"),
+        _content=json_nested_string(v, "$.content.rendered"),
+        _excerpt=json_nested_string(v, "$.excerpt.rendered"),
+        _described=json_nested_string(v, "$.yoast_head_json.og_description"),
+        modified_at=json_date_or(v, "$.modified", as_of),
     ).drop("v")
     rendered = (
         F.when(F.col("_content") != "", F.col("_content"))
@@ -143,6 +143,7 @@ def scan_rest_items(site_docs: DataFrame, sites: DataFrame, options: BuildOption
     """
     available = rest_detect(site_docs, sites).filter("available").select("site")
     options_of = sites.select("site", "root_url", "same_host_only", "max_pages").join(available, "site", "left_semi")
+    options_of = materialize(options_of, "rest-sites")
     ok, says_json = success(F.col("status")), _says_json(F.col("content_type"))
     entries = F.when(ok & says_json, F.try_variant_get(F.try_parse_json("body"), "$", "array<variant>"))
     docs = site_docs.filter(F.col("kind").isin(*COLLECTIONS)).select(
@@ -155,7 +156,7 @@ def scan_rest_items(site_docs: DataFrame, sites: DataFrame, options: BuildOption
     )
     key = ["site", "collection"]
     requests = materialize(
-        docs.join(options_of.select("site"), "site", "left_semi").select(
+        with_site(docs, options_of.select("site"), "page_no").select(
             *key, "page_no", "total_pages", "status", (F.coalesce(F.size("entries"), F.lit(0)) > 0).alias("good")
         ),
         "rest-requests",
@@ -169,8 +170,7 @@ def scan_rest_items(site_docs: DataFrame, sites: DataFrame, options: BuildOption
     chain = good.join(bounds, key).filter(in_chain).select(*key, "page_no", "final")
 
     listed = (
-        docs.join(chain.select(*key, "page_no"), [*key, "page_no"], "left_semi")
-        .join(options_of, "site")
+        with_site(docs.join(chain.select(*key, "page_no"), [*key, "page_no"], "left_semi"), options_of, "page_no")
         .select(*key, "page_no", "root_url", "same_host_only", F.posexplode("entries").alias("pos", "v"))
         .withColumn(
             "ordinal",

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import url as U
+from corpusloom.functions.binding import once
 from corpusloom.functions.text import is_blank, trim_ws
 from corpusloom.operators.merge import distinct_by_url, take_max_pages
 from corpusloom.options import BuildOptions
-from corpusloom.sources.tables import success
+from corpusloom.sources.tables import success, with_site
 
 # Where sitemaps are looked for, in order.
 SITEMAP_PATHS = ("/sitemap.xml", "/sitemap_index.xml", "/wp-sitemap.xml")
@@ -32,12 +33,12 @@ def read_sitemap_docs(site_docs: DataFrame, sites: DataFrame) -> DataFrame:
         U.canonicalize_all(F.col("locations")),
         lambda u: u.isNotNull() & U.is_http(u) & U.same_host(u, F.col("root_url"), F.col("same_host_only")),
     )
-    return (
-        docs.join(sites.select("site", "root_url", "same_host_only"), "site")
+    parsed = (
+        with_site(docs, sites.select("site", "root_url", "same_host_only"), "doc_url")
         .select("site", "doc_url", "candidate_ord", "root_url", "same_host_only", xml.alias("xml"))
         .withColumns({"subs": _locations(F.col("xml.sitemap")), "locations": _locations(F.col("xml.url"))})
-        .select("site", "doc_url", "candidate_ord", "subs", urls.alias("urls"))
     )
+    return once(parsed, subs=F.col("subs"), urls=urls).select("site", "doc_url", "candidate_ord", "subs", "urls")
 
 
 def scan_sitemaps(site_docs: DataFrame, sites: DataFrame, options: BuildOptions) -> DataFrame:
