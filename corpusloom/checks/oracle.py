@@ -41,14 +41,20 @@ def canon(u: str) -> str:
     )
 
 
-def unescape(x: str) -> str:
-    for name, char in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&amp;", "&")):
-        x = f"replace({x}, '{name}', '{char}')"
+def unescape(x: str, closed: bool = False) -> str:
+    """Character references the given pages use; a browser also reads ``&amp`` without the semicolon."""
+    for name, char in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("amp", "&")):
+        x = f"regexp_replace({x}, '&{name};{'' if closed else '?'}', '{char}', 'g')"
     return x
 
 
 def title_regex(html: str) -> str:
-    return unescape(trim(f"regexp_extract({html}, '(?is)<title[^>]*>(.*?)</title>', 1)"))
+    return unescape(trim(f"regexp_extract({html}, '(?is)<title[^>]*>(.*?)</title>', 1)"), closed=True)
+
+
+def title(html: str) -> str:
+    words = unescape(f"regexp_extract({html}, '(?is)<title[^>]*>(.*?)</title>', 1)")
+    return trim(f"regexp_replace({words}, '\\s+', ' ', 'g')")
 
 
 def fold(x: str) -> str:
@@ -124,7 +130,7 @@ chosen AS (
   FULL JOIN (SELECT * FROM judged WHERE channel = 'rendered' QUALIFY row_number() OVER (PARTITION BY site, lower(url) ORDER BY capture_id) = 1) r
     ON h.site = r.site AND lower(h.url) = lower(r.url))"""
 
-_PAGE_TITLE = f"CASE WHEN {title_regex('body')} = '' THEN {_FALLBACK} ELSE regexp_replace({title_regex('body')}, '\\s+', ' ', 'g') END"
+_PAGE_TITLE = f"CASE WHEN {title('body')} = '' THEN {_FALLBACK} WHEN channel = 'rendered' THEN {title_regex('body')} ELSE {title('body')} END"
 
 
 def _listing(found: str, limit: int) -> str:
@@ -305,9 +311,53 @@ _FULL_EXTRA = (
     f"\n  UNION ALL SELECT site, 3, {fold('title')}, doc_id, {_BLOCK} FROM d"
 )
 
+def _escaped_text(x: str) -> str:
+    plain = trim(unescape(rf"regexp_replace(regexp_replace({x}, '<[^>]*>', '', 'g'), '\s+', ' ', 'g')"))
+    return f"replace(replace({plain}, '*', '\\*'), '_', '\\_')"
+
+
+# Markdown of an article as the given pages write it: a heading, then paragraphs, bold from the first open <b> on.
+_MARKDOWN = f"""m AS (
+  SELECT page_id, '# ' || {_escaped_text("parts[1]")} || coalesce(string_agg(chr(10) || chr(10) || CASE WHEN bold THEN '**' || t || '**' ELSE t END, '' ORDER BY i), '') AS markdown
+  FROM (
+    SELECT page_id, parts, i, {_escaped_text("parts[i]")} AS t, bool_or(contains(parts[i], '<b>')) OVER (PARTITION BY page_id ORDER BY i) AS bold
+    FROM (SELECT page_id, parts, unnest(range(2, len(parts) + 1)) AS i
+      FROM (SELECT page_id, string_split(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<p>') AS parts FROM pages)))
+  WHERE t <> '' GROUP BY page_id, parts)"""
+
 _ALLOWED_ALL = "true"
 _ALLOWED_SOME = "NOT contains(lower(url), '/de/') AND NOT contains(lower(url), 'utm_source')"
 
+_SANITIZED = f"regexp_replace(regexp_replace({trim('i.i.html')}, '(?is)<script.*?</script>', '', 'g'), '(?is)<style.*?</style>', '', 'g')"
+_SHELLS = f"""{_discovered(200, _ALLOWED_ALL)}, {_CAPS},
+item AS (SELECT site, lower(url) AS k, arg_min(struct_pack(page_id := page_id, shape := shape, html := html, host := host), rank) AS i FROM rest_kept GROUP BY 1, 2),
+cap AS (SELECT c.site, lower(c.url) AS k, c.channel, c.capture_id, j.body FROM chosen c JOIN judged j USING (capture_id)),
+shells AS (
+  SELECT f.site, f.url, f.rank, i.i, cap.capture_id,
+    CASE WHEN i.k IS NULL THEN cap.body ELSE '<article>' || CASE i.i.shape WHEN 'feed' THEN {title_regex('i.i.html')}
+      WHEN 'paged' THEN '<p>caf&#233; &lt;q&gt; &amp; ' || i.i.host || '</p>' ELSE {_SANITIZED} END || '</article>' END AS html,
+    CASE WHEN i.k IS NULL THEN cap.body WHEN i.i.shape = 'anchor' THEN '' ELSE i.i.html END AS body,
+    CASE WHEN i.k IS NULL THEN cap.channel ELSE 'rendered' END AS channel
+  FROM found f LEFT JOIN item i ON i.site = f.site AND i.k = lower(f.url) LEFT JOIN cap ON cap.site = f.site AND cap.k = lower(f.url)
+  WHERE i.k IS NOT NULL OR cap.body IS NOT NULL)"""
+# Markdown length of every discovered page: of a REST item, a home page's link list, a gate page, or an article.
+_BUILT = f"""{_SHELLS}, {_MARKDOWN},
+built AS (
+  SELECT f.site, f.url, f.rank, s.body, s.channel,
+    CASE WHEN s.site IS NULL THEN NULL
+      WHEN s.i.shape = 'feed' THEN length({_escaped_text(title_regex('s.i.html'))})
+      WHEN s.i.shape = 'paged' THEN length('café <q> & ' || s.i.host)
+      WHEN s.i IS NOT NULL THEN 1000 + length(a.markdown)
+      WHEN s.capture_id < 0 THEN (SELECT sum(length('- [page](' || raw || ')')) FROM p WHERE p.site = f.site)
+      WHEN contains(s.body, '<title>Gate</title>') THEN length('[' || split_part(f.url, '/', 3) || '](/x)')
+      ELSE length(b.markdown) END AS chars
+  FROM found f LEFT JOIN shells s ON s.site = f.site AND s.url = f.url
+  LEFT JOIN m a ON a.page_id = s.i.page_id LEFT JOIN m b ON b.page_id = s.capture_id % {RENDERED_IDS})"""
+# The same articles with a paragraph added.
+_EDITED = """e AS (
+  SELECT page_id, markdown || chr(10) || chr(10) || CASE WHEN regexp_matches(html, '(?s)<article>.*<b>.*</article>') THEN '**Edited**' ELSE 'Edited' END AS edited
+  FROM m JOIN pages USING (page_id))"""
+
 ORACLE: dict[str, str] = {
     "url_canonical": f"WITH {_C} SELECT page_id, url FROM c",
     "url_names": f"""WITH {_C} SELECT page_id, {_SLUG} AS slug, {_FILE} AS file_name, split_part(url, '/', 3) AS safe_host,
@@ -323,16 +373,16 @@ ORACLE: dict[str, str] = {
           FROM (SELECT page_id, url, {_hrefs('html')} AS hrefs FROM c)),
         l AS (SELECT page_id, pos, {canon("(base || " + unescape("href") + ")")} AS link FROM h WHERE href NOT LIKE '#%' AND trim(href) <> '')
         SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY min(pos)) - 1)::INTEGER AS link_ord, link FROM l GROUP BY page_id, link""",
-    "titles": f"""WITH {_C} SELECT page_id, regexp_replace({title_regex('html')}, '\\s+', ' ', 'g') AS title,
+    "titles": f"""WITH {_C} SELECT page_id, {title('html')} AS title,
         {title_regex('html')} AS title_regex FROM c""",
     "sniffed": f"""WITH {_P}, {_CAPS} SELECT capture_id, {looks_like_html('body')} AS looks_like_html, {challenge('body')} AS challenge,
         {challenge('body')} IS NOT NULL AS is_challenge, length(body) < 600 AS is_too_thin FROM caps""",
     "page_shells": f"""WITH {_P}, {_CAPS}, ok AS (
-          SELECT capture_id, site, {canon('url')} AS url, body FROM caps
+          SELECT capture_id, site, {canon('url')} AS url, body, channel FROM caps
           WHERE (status BETWEEN 200 AND 299 AND regexp_matches(kind, 'html|xml')) OR {looks_like_html('body')})
         SELECT capture_id, site, url, {_PAGE_TITLE} AS title, length(body) AS chars FROM ok""",
     "triage": f"WITH {_P}, {_CAPS} SELECT * FROM chosen",
-    "fallback_pages": f"""WITH {_P}, {_CAPS}, used AS (SELECT c.site, c.url, j.body FROM chosen c JOIN judged j USING (capture_id))
+    "fallback_pages": f"""WITH {_P}, {_CAPS}, used AS (SELECT c.site, c.url, c.channel, j.body FROM chosen c JOIN judged j USING (capture_id))
         SELECT site, url, {_PAGE_TITLE} AS title, sha256(body) AS html_hash FROM used""",
     "protection": f"""WITH {_P} SELECT CASE WHEN host LIKE 'm.%' THEN 'Cloudflare challenge' ELSE 'none' END AS label,
         count(DISTINCT site) AS sites FROM p GROUP BY 1""",
@@ -352,17 +402,7 @@ ORACLE: dict[str, str] = {
     "discovered": f"{_discovered(200, _ALLOWED_ALL)} SELECT site, url, discovery_method, depth, rank FROM found",
     "discovered_small_budget": f"{_discovered(SMALL_BUDGET, _ALLOWED_SOME)} SELECT site, url, discovery_method, depth, rank FROM found",
     "dry_run": f"{_discovered(200, _ALLOWED_ALL)} SELECT site, rank, url FROM found",
-    "rest_override": f"""{_discovered(200, _ALLOWED_ALL)}, {_CAPS},
-        item AS (SELECT site, lower(url) AS k, arg_min(struct_pack(url := url, shape := shape, html := html, host := host), rank) AS i FROM rest_kept GROUP BY 1, 2),
-        cap AS (SELECT c.site, lower(c.url) AS k, c.channel, j.body FROM chosen c JOIN judged j USING (capture_id)),
-        shells AS (
-          SELECT f.site, f.url, f.rank, CASE WHEN i.k IS NULL THEN cap.body ELSE '<article>' || CASE i.i.shape WHEN 'feed' THEN {title_regex('i.i.html')}
-              WHEN 'paged' THEN '<p>caf&#233; &lt;q&gt; &amp; ' || i.i.host || '</p>'
-              ELSE regexp_replace(regexp_replace({trim('i.i.html')}, '(?is)<script.*?</script>', '', 'g'), '(?is)<style.*?</style>', '', 'g') END || '</article>' END AS html,
-            CASE WHEN i.k IS NULL THEN cap.body WHEN i.i.shape = 'anchor' THEN '' ELSE i.i.html END AS body
-          FROM found f LEFT JOIN item i ON i.site = f.site AND i.k = lower(f.url) LEFT JOIN cap ON cap.site = f.site AND cap.k = lower(f.url)
-          WHERE i.k IS NOT NULL OR cap.body IS NOT NULL)
-        SELECT site, url, rank, {_PAGE_TITLE} AS title, sha256(html) AS html_hash FROM shells""",
+    "rest_override": f"""{_SHELLS} SELECT site, url, rank, {_PAGE_TITLE} AS title, sha256(html) AS html_hash FROM shells""",
     "crawl": f"""WITH t AS (
           SELECT 's' || (page_id // {TREE}) || '.example.com' AS site, page_id % {TREE} AS n, html FROM pages),
         roots AS (SELECT DISTINCT site, 'https://' || site || '/' AS url FROM t),
@@ -375,6 +415,9 @@ ORACLE: dict[str, str] = {
     "distinct_urls": f"WITH {_C} SELECT split_part(url, '/', 3) AS site, url, min(page_id) AS ordinal FROM c GROUP BY 1, 2",
     "budgeted": f"""WITH {_C} SELECT site, url, ordinal, row_number() OVER (PARTITION BY site ORDER BY ordinal) AS rank FROM (
         SELECT split_part(url, '/', 3) AS site, url, min(page_id) AS ordinal FROM c GROUP BY 1, 2) QUALIFY rank <= {SMALL_BUDGET}""",
+    "extract": f"""WITH {_MARKDOWN} SELECT page_id, CASE WHEN length(markdown) < 50 THEN 'ExtractionSkipped' ELSE 'Success' END AS outcome,
+        length(markdown) < 50 AS is_skipped, CASE WHEN length(markdown) < 50 THEN 'Extracted markdown too short (<50 chars)' END AS skip_reason,
+        length(markdown) AS chars, sha256(markdown) AS content_hash FROM m""",
     "extract_text": rf"""SELECT page_id, sha256({trim("regexp_replace(regexp_replace(" + unescape("regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<[^>]*>', ' ', 'g')") + r", '[*#\\_]', '', 'g'), '\s+', ' ', 'g')")}) AS text_hash FROM pages""",
     "skip_rule": f"""SELECT lang, CASE WHEN length({clean("split_part(text, '.', 1)")}) < 50 THEN 'Extracted markdown too short (<50 chars)' ELSE 'kept' END AS reason,
         count(*) AS pages FROM documents GROUP BY 1, 2""",
@@ -407,7 +450,7 @@ ORACLE: dict[str, str] = {
     "injected_summaries": f"""WITH {_D} SELECT site, url, CASE WHEN contains(text, '.') THEN
         {trim("title || ': ' || split_part(text, '.', 1) || '.'")} END AS markdown FROM d""",
     "index": f"""WITH {_C}, named AS (
-          SELECT split_part(url, '/', 3) AS site, url, regexp_replace({title_regex('html')}, '\\s+', ' ', 'g') AS title, {_FILE} AS file_name, page_id FROM c),
+          SELECT split_part(url, '/', 3) AS site, url, {title('html')} AS title, {_FILE} AS file_name, page_id FROM c),
         firsts AS (FROM named QUALIFY row_number() OVER (PARTITION BY site, lower(file_name) ORDER BY page_id) = 1),
         sites AS (SELECT DISTINCT site, site AS host FROM named),
         {_lines("SELECT site, title, page_id AS rank, '- ' || title || ': https://' || site || '/ai/pages/' || file_name AS line FROM firsts", _INDEX_HEADER)}
@@ -428,14 +471,25 @@ ORACLE: dict[str, str] = {
         claims AS (SELECT n.*, coalesce(old.url, first_value(n.url) OVER (PARTITION BY n.site, n.file_name ORDER BY n.doc_id)) AS claimed_by
           FROM n LEFT JOIN old ON old.site = n.site AND old.file_name = n.file_name)
         SELECT site, url, file_name, claimed_by, claimed_by <> url AS collides FROM claims""",
-    "incremental_stream": f"""WITH {_C}, v AS (
-          SELECT split_part(url, '/', 3) AS site, url, html, page_id, CASE WHEN raw LIKE '%.html' THEN 3 WHEN contains(raw, '?page=2') THEN 2 ELSE 1 END AS day FROM c
-          QUALIFY row_number() OVER (PARTITION BY url ORDER BY day DESC, page_id DESC) = 1)
-        SELECT site, url, regexp_replace({title_regex('html')}, '\\s+', ' ', 'g') AS title, 'ai/pages/' || {_FILE} AS relative_output_path,
-          true AS same_as_batch FROM v""",
-    "change_stream": f"""WITH {_C}, v AS (
-          SELECT url, page_id AS capture_id, regexp_extract(html, '(?s)<article>.*</article>') AS article, 1 AS day FROM c UNION ALL
-          SELECT url, page_id + {RENDERED_IDS}, regexp_extract(html, '(?s)<article>.*</article>') || CASE WHEN contains(url, '//blog.') THEN '!' ELSE '' END, 2 FROM c)
-        SELECT split_part(url, '/', 3) AS site, url, capture_id FROM v
-        QUALIFY article IS DISTINCT FROM lag(article) OVER (PARTITION BY url ORDER BY day, capture_id)""",
+    "incremental_stream": f"""WITH {_C}, {_MARKDOWN}, {_EDITED}, v AS (
+          SELECT split_part(url, '/', 3) AS site, url, html, page_id, 1 AS day FROM c JOIN m USING (page_id)
+            WHERE NOT contains(raw, '?page=2') AND length(markdown) >= 50
+          UNION ALL SELECT split_part(url, '/', 3), url, html, page_id, 2 FROM c JOIN m USING (page_id)
+            WHERE contains(raw, '?page=2') AND length(markdown) >= 50
+          UNION ALL SELECT split_part(url, '/', 3), url, html, page_id, 3 FROM c JOIN e USING (page_id)
+            WHERE raw LIKE '%.html' AND length(edited) >= 50),
+        newest AS (FROM v QUALIFY row_number() OVER (PARTITION BY url ORDER BY day DESC, page_id DESC) = 1)
+        SELECT site, url, {title('html')} AS title, 'ai/pages/' || {_FILE} AS relative_output_path, true AS same_as_batch FROM newest""",
+    "change_stream": f"""WITH {_C}, {_MARKDOWN}, {_EDITED}, v AS (
+          SELECT url, page_id AS capture_id, markdown, 1 AS day FROM c JOIN m USING (page_id) UNION ALL
+          SELECT url, page_id + {RENDERED_IDS}, CASE WHEN contains(url, '//blog.') THEN edited ELSE markdown END, 2 FROM c JOIN m USING (page_id) JOIN e USING (page_id))
+        SELECT split_part(url, '/', 3) AS site, url, capture_id FROM (FROM v WHERE length(markdown) >= 50)
+        QUALIFY markdown IS DISTINCT FROM lag(markdown) OVER (PARTITION BY url ORDER BY day, capture_id)""",
+    "corpus_counters": f"""{_BUILT}
+        SELECT site, count(*) AS discovered, count(*) FILTER (chars >= 50) AS processed, count(*) FILTER (chars < 50) AS skipped,
+          count(*) FILTER (chars IS NULL) AS failed, 0 AS cached FROM built GROUP BY site""",
+    "corpus_index": f"""{_BUILT}, named AS (SELECT site, url, rank, {_PAGE_TITLE} AS title, {_FILE} AS file_name FROM built WHERE chars >= 50),
+        sites AS (SELECT DISTINCT site, host FROM p),
+        {_lines("SELECT n.site, title, rank, '- ' || title || ': https://' || host || '/ai/pages/' || file_name AS line FROM named n JOIN sites USING (site)", _INDEX_HEADER)}
+        SELECT site, section, ord, line FROM numbered""",
 }

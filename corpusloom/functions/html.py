@@ -91,21 +91,44 @@ def _character(code: str) -> str:
     return f"element_at(transform(array(CAST({code} AS BIGINT)), n -> if({known}, {char}, NULL)), 1)"
 
 
-# Text after an ampersand, with the reference it may start with resolved.
-_AFTER_AMPERSAND = rf"""(part, i) -> if(i = 0, part, coalesce(concat(
-    element_at(transform(array(regexp_extract(part, '^(#[0-9]{{1,7}}|#[xX][0-9a-fA-F]{{1,6}}|[A-Za-z][A-Za-z0-9]{{1,31}});', 1)),
-        ref -> CASE WHEN ref = '' THEN NULL
+def _resolved(pattern: str, end: str) -> str:
+    """SQL text of ``part`` with the reference ``pattern`` at its start resolved; null without one."""
+    return rf"""element_at(transform(array(regexp_extract(part, '{pattern}', 1)), ref -> concat(
+        CASE WHEN ref = '' THEN NULL
             WHEN ref rlike '^#[0-9]' THEN {_character("substring(ref, 2)")}
             WHEN startswith(ref, '#') THEN {_character("conv(substring(ref, 3), 16, 10)")}
-            ELSE try_element_at({_entity_table()}, ref) END), 1),
-    regexp_replace(part, '^[^;]*;', '')), concat('&', part)))"""
+            ELSE try_element_at({_entity_table()}, ref) END,
+        regexp_replace(substring(part, length(ref) + 1), '^{end}', ''))), 1)"""
 
 
-def decode_entities(text: Column) -> Column:
-    """Resolve named (``&name;``) and numeric character references."""
+_NUMBER = "#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}"
+_CLOSED = f"^({_NUMBER}|[A-Za-z][A-Za-z0-9]{{1,31}});"
+# Names that also count without a semicolon, longest first.
+_OLD_NAMES = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
+
+
+def _after_ampersand(open_pattern: str | None) -> str:
+    """Function of the text after an ampersand (and its place) that resolves the reference it starts with."""
+    tries = [_resolved(_CLOSED, ";")] + ([_resolved(open_pattern, ";?")] if open_pattern else [])
+    return f"(part, i) -> if(i = 0, part, coalesce({', '.join(tries)}, concat('&', part)))"
+
+
+# Only closed references; as a browser reads text; as a browser reads attribute values.
+_REFERENCES = {
+    "closed": _after_ampersand(None),
+    "text": _after_ampersand(f"^({_NUMBER}|{_OLD_NAMES})"),
+    "attribute": _after_ampersand(f"^({_NUMBER}|(?:{_OLD_NAMES})(?![=A-Za-z0-9]))"),
+}
+
+
+def decode_entities(text: Column, kind: str = "closed") -> Column:
+    """Resolve named (``&name;``) and numeric character references.
+
+    ``kind`` ``text`` and ``attribute`` follow browsers, which do without the semicolon after some names.
+    """
 
     def resolved(t: Column) -> Column:
-        return F.when(F.contains(t, F.lit("&")), F.array_join(each(F.split(t, "&"), _AFTER_AMPERSAND), "")).otherwise(t)
+        return F.when(F.contains(t, F.lit("&")), F.array_join(each(F.split(t, "&"), _REFERENCES[kind]), "")).otherwise(t)
 
     return let(text, resolved)
 
@@ -123,7 +146,7 @@ def html_title_regex(body: Column) -> Column:
 def html_title(body: Column, url: Column) -> Column:
     """Document title with white space collapsed, or words of the path when it is blank."""
     markup = _title_markup(F.regexp_replace(body, _COMMENT, ""))
-    title = trim_ws(F.regexp_replace(decode_entities(markup), r"[ \t\n\f\r]+", " "))
+    title = trim_ws(F.regexp_replace(decode_entities(markup, "text"), r"[ \t\n\f\r]+", " "))
     return let(title, lambda t: F.when(is_blank(t), U.fallback_title(url)).otherwise(t))
 
 
@@ -165,7 +188,8 @@ def hrefs(body: Column) -> Column:
     values = F.transform(
         F.filter(tags, lambda tag: tag.rlike(_HREF)),
         lambda tag: decode_entities(
-            F.concat(F.regexp_extract(tag, _HREF, 1), F.regexp_extract(tag, _HREF, 2), F.regexp_extract(tag, _HREF, 3))
+            F.concat(F.regexp_extract(tag, _HREF, 1), F.regexp_extract(tag, _HREF, 2), F.regexp_extract(tag, _HREF, 3)),
+            "attribute",
         ),
     )
     return F.array_distinct(F.filter(values, lambda h: ~is_blank(h)))
