@@ -163,12 +163,13 @@ def html_encode(text: Column) -> Column:
     for plain, escaped in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
         out = F.replace(out, F.lit(plain), F.lit(escaped))
 
-    def character(c: Column) -> Column:
-        number = F.conv(F.hex(F.encode(c, "UTF-16BE")), 16, 10)
-        return F.when(c.rlike(_LATIN1), F.concat(F.lit("&#"), number, F.lit(";"))).otherwise(c)
+    def piece(run: Column) -> Column:
+        number = F.conv(F.hex(F.encode(run, "UTF-16BE")), 16, 10)
+        return F.when(run.rlike(rf"\A{_LATIN1}"), F.concat(F.lit("&#"), number, F.lit(";"))).otherwise(run)
 
     def numbered(t: Column) -> Column:
-        return F.when(t.rlike(_LATIN1), F.array_join(F.transform(F.split(t, ""), character), "")).otherwise(t)
+        runs = F.regexp_extract_all(t, F.lit(rf"{_LATIN1}|[^\x{{A0}}-\x{{FF}}]+"), F.lit(0))
+        return F.when(t.rlike(_LATIN1), F.array_join(F.transform(runs, piece), "")).otherwise(t)
 
     return let(out, numbered)
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corpusloom.functions.binding import let
 
-# White space as Unicode defines it: RE2 and Java read this class alike.
-WS = r"[\s\x0B\x{85}\p{Z}]"
+# White space as Unicode defines it: separators, and the control characters that count as such.
+WHITE_SPACE = "".join(c for c in map(chr, range(0x3001)) if c in "\t\n\v\f\r\x85" or unicodedata.category(c)[0] == "Z")
+_WS = r"[\s\x0B\x{85}\p{Z}]"
 
 # Stand-in for the sharp s while upper-casing; U+0001 does not occur in titles or query keys.
 _SHIELD = "\u0001"
@@ -16,12 +19,12 @@ _SHIELD = "\u0001"
 
 def trim_ws(col: Column) -> Column:
     """Strip all Unicode white space from both ends."""
-    return F.regexp_replace(F.regexp_replace(col, f"^{WS}+", ""), f"{WS}+$", "")
+    return F.btrim(col, F.lit(WHITE_SPACE))
 
 
 def trim_ws_sql(x: str) -> str:
     """SQL text of :func:`trim_ws`."""
-    return f"regexp_replace(regexp_replace({x}, r'^{WS}+', ''), r'{WS}+$', '')"
+    return f"btrim({x}, '{WHITE_SPACE}')"
 
 
 def is_blank(col: Column) -> Column:
@@ -46,7 +49,7 @@ def ordinal_fold_sql(x: str) -> str:
 def clean_markdown(col: Column) -> Column:
     """Unix line ends, at most one blank line in a row, trimmed; null becomes empty."""
     unix = F.replace(F.coalesce(col, F.lit("")), F.lit("\r\n"), F.lit("\n"))
-    return trim_ws(F.regexp_replace(unix, r"\n{3,}", "\n\n"))
+    return trim_ws(let(unix, lambda t: F.when(F.contains(t, F.lit("\n\n\n")), F.regexp_replace(t, r"\n{3,}", "\n\n")).otherwise(t)))
 
 
 def escape_yaml(col: Column) -> Column:
@@ -76,7 +79,7 @@ def strip_frontmatter(col: Column) -> Column:
             ).otherwise(F.array_join(lines, "\n")),
         )
 
-    opened = col.rlike(rf"\A{WS}*---")
+    opened = col.rlike(rf"\A{_WS}*---")
     return trim_ws(F.when(opened, let(F.split(col, "\n"), body)).otherwise(col))
 
 

@@ -14,7 +14,7 @@ from corpusloom.operators.links import adjacency, link_lists
 from corpusloom.operators.merge import merge_strategies
 from corpusloom.operators.triage import choose_captures
 from corpusloom.options import BuildOptions
-from corpusloom.session import broadcast_if_small, materialize
+from corpusloom.session import broadcast_if_small, materialize, materialize_all
 from corpusloom.sources.feeds import scan_feeds
 from corpusloom.sources.rest import RestListing, scan_rest_items
 from corpusloom.sources.sitemaps import scan_sitemaps
@@ -61,8 +61,8 @@ def discover_composite(
     """
     rest = scan_rest_items(site_docs, sites, options)
     listings = [rest.discovered, *[strategy(site_docs, sites, options) for strategy in strategies]]
-    listings = [materialize(found, "listing") for found in listings]
-    chosen = materialize(choose_captures(captures), "chosen")
+    tables = [(choose_captures(captures), "chosen"), *[(found, "listing") for found in listings]]
+    chosen, *listings = materialize_all(tables)
     merged = merge_strategies(listings, sites, options)
     used = merged.groupBy("site").agg(F.max("rank").alias("used"))
     filled = materialize(used.join(sites, "site").filter("used >= max_pages").select("site"), "filled")

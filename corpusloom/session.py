@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,13 +50,13 @@ def ship_package(spark: SparkSession) -> None:
 
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for intermediate tables: ``spark.checkpoint.dir`` when the session names one."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.corpusloom.scratch", None)
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     local = tempfile.mkdtemp(prefix="corpusloom-")
-    spark.conf.set("spark.checkpoint.dir", local)
+    spark.conf.set("spark.corpusloom.scratch", local)
     return local
 
 
@@ -75,6 +77,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_all(tables: Sequence[tuple[DataFrame, str]]) -> list[DataFrame]:
+    """:func:`materialize` for independent tables, whose jobs then run side by side."""
+    with ThreadPoolExecutor(len(tables)) as pool:
+        return list(pool.map(lambda table: materialize(*table), tables))
+
+
 def is_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     """Whether a stored table has at most ``limit`` rows."""
     return df.limit(limit + 1).count() <= limit
