@@ -153,6 +153,11 @@ def safe_host(url: Column) -> Column:
     return F.replace(host(url), F.lit(":"), F.lit("_"))
 
 
+def site_folder(site: Column) -> Column:
+    """Folder of a site's files. A site is named by its host, so this is the safe host."""
+    return F.replace(site, F.lit(":"), F.lit("_"))
+
+
 def fallback_title(url: Column) -> Column:
     """Readable words of the path, for pages without a title."""
     return F.replace(F.btrim(path(url), F.lit("/")), F.lit("-"), F.lit(" "))

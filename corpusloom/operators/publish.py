@@ -61,7 +61,7 @@ def page_files(summaries: DataFrame, generator: str) -> DataFrame:
     return summaries.select(
         "site",
         "url",
-        F.concat(F.replace(F.col("site"), F.lit(":"), F.lit("_")), F.lit("/"), F.col("relative_output_path")).alias("path"),
+        F.concat(U.site_folder(F.col("site")), F.lit("/"), F.col("relative_output_path")).alias("path"),
         "relative_output_path",
         F.concat(head, F.lit("\n"), trim_ws(F.col("markdown")), F.lit("\n")).alias("content"),
     )
@@ -177,5 +177,5 @@ def file_parts(numbered: DataFrame, file_name: str, entries_per_file: int) -> Da
     suffix = F.when(F.col("part") == 0, F.lit("")).otherwise(
         F.concat(F.lit(".part-"), F.lpad(F.col("part").cast("string"), 5, "0"))
     )
-    folder = F.replace(F.col("site"), F.lit(":"), F.lit("_"))
-    return grouped.select(F.concat(folder, F.lit(f"/{file_name}"), suffix).alias("path"), text.alias("content"))
+    path = F.concat(U.site_folder(F.col("site")), F.lit(f"/{file_name}"), suffix)
+    return grouped.select(path.alias("path"), text.alias("content"))

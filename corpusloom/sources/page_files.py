@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.functions.url import safe_host
+from corpusloom.functions.url import site_folder
 
 _PAGES = "/ai/pages/"
 
@@ -13,7 +13,7 @@ _PAGES = "/ai/pages/"
 def read_page_files(spark: SparkSession, root: str, sites: DataFrame) -> DataFrame:
     """Exported page files below ``root``, one row per file, with the URL their front matter names.
 
-    The folder of a file is the safe host name of its site's root.
+    The folder of a file is the name of its site, with ``_`` for ``:``.
     """
     files = (
         spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(root, wholetext=True)
@@ -28,5 +28,5 @@ def read_page_files(spark: SparkSession, root: str, sites: DataFrame) -> DataFra
         ).alias("url"),
         "content",
     )
-    folders = sites.select("site", safe_host(F.col("root_url")).alias("folder"))
+    folders = sites.select("site", site_folder(F.col("site")).alias("folder"))
     return named.join(folders, "folder").drop("folder")

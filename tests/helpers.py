@@ -1,5 +1,7 @@
 """Builders of small tables."""
 
+from datetime import datetime
+
 from corpusloom.options import BuildOptions
 from corpusloom.sources.tables import CAPTURES, SITE_DOCS, with_site_defaults
 
@@ -34,7 +36,7 @@ def captures(spark, rows):
                 given.get("status", 200),
                 given.get("content_type", "text/html"),
                 row[3],
-                given.get("fetched_at"),
+                given.get("fetched_at", datetime(2024, 1, 1)),
                 given.get("channel", "http"),
                 given.get("attempt", 1),
             )
