@@ -434,7 +434,8 @@ def index(spark: SparkSession, sf: str) -> DataFrame:
     )
     sites = pages.select("site", F.concat(F.lit("https://"), "site").alias("root_url")).distinct()
     sites = materialize(with_site_defaults(sites, OPTIONS), "sites")
-    return P.numbered_lines(P.index_lines(P.dedupe_by_filename(named), sites, OPTIONS))
+    summaries = P.dedupe_by_filename(materialize(named, "named"))
+    return P.numbered_lines(P.index_lines(summaries, sites, OPTIONS))
 
 
 def full_corpus(spark: SparkSession, sf: str) -> DataFrame:

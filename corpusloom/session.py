@@ -23,12 +23,15 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        # Page bodies vary from bytes to megabytes, so Arrow batches are bounded in rows as well as bytes.
-        .config("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+        # Page bodies vary from bytes to megabytes: batches are kept short in rows, here and towards Python.
+        .config("spark.sql.parquet.columnarReaderBatchSize", "512")
+        .config("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
         .config("spark.ui.enabled", "false")
     )
     if master:
         builder = builder.master(master)
+        if master.startswith("local"):
+            builder = builder.config("spark.driver.memory", "8g")
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()

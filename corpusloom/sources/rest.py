@@ -174,7 +174,7 @@ def scan_rest_items(site_docs: DataFrame, sites: DataFrame, options: BuildOption
         .select(*key, "page_no", "root_url", "same_host_only", F.posexplode("entries").alias("pos", "v"))
         .withColumn(
             "ordinal",
-            F.col("collection") * F.lit(_COLLECTION) + F.col("page_no") * F.lit(_PAGE) + F.col("pos"),
+            F.col("collection") * F.lit(_COLLECTION) + F.col("page_no").cast("bigint") * F.lit(_PAGE) + F.col("pos"),
         )
         .drop("page_no", "pos")
     )

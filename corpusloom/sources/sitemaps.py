@@ -61,7 +61,7 @@ def scan_sitemaps(site_docs: DataFrame, sites: DataFrame, options: BuildOptions)
     listed = (
         subs.join(docs.select("site", "doc_url", "urls"), ["site", "doc_url"])
         .select("site", "sub_ord", F.posexplode("urls").alias("pos", "url"))
-        .select("site", (F.col("sub_ord") * F.lit(_DOC) + F.col("pos")).alias("ordinal"), "url")
+        .select("site", (F.col("sub_ord").cast("bigint") * F.lit(_DOC) + F.col("pos")).alias("ordinal"), "url")
     )
     found = direct.select("site", F.col("ordinal").cast("bigint").alias("ordinal"), "url").unionByName(listed)
     return take_max_pages(distinct_by_url(found), sites, options).select(

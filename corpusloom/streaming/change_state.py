@@ -19,13 +19,16 @@ CHANGE = "site string, url string, capture_id bigint, content_hash string, fetch
 
 def _changes(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Versions of one page whose hash differs from the one before, oldest first."""
-    last = state.get[0] if state.exists else None
-    versions = pd.concat(list(frames)).sort_values(["fetched_at", "capture_id"])
-    before = versions["content_hash"].shift(1)
-    before.iloc[0] = last
-    changed = versions[versions["content_hash"] != before]
-    state.update((versions["content_hash"].iloc[-1],))
-    yield changed[["site", "url", "capture_id", "content_hash", "fetched_at"]]
+    parts = list(frames)
+    versions = parts[0] if len(parts) == 1 else pd.concat(parts)
+    if len(versions) > 1:
+        versions = versions.sort_values(["fetched_at", "capture_id"])
+    hashes = versions["content_hash"].tolist()
+    before = [state.get[0] if state.exists else None, *hashes]
+    changed = [now != then for now, then in zip(hashes, before)]
+    if any(changed):
+        state.update((hashes[-1],))
+        yield versions if all(changed) else versions[changed]
 
 
 def stream_change_state(captures: DataFrame) -> DataFrame:
@@ -35,6 +38,7 @@ def stream_change_state(captures: DataFrame) -> DataFrame:
     bodies are reduced to their hash before they are shuffled.
     """
     pages = succeeded(extract_pages(scan_captures(captures).drop("title")))
+    # In the column order of the output: versions are passed on as they are.
     hashes = pages.select("site", "url", "capture_id", "content_hash", "fetched_at")
     return hashes.groupBy("site", "url").applyInPandasWithState(
         _changes, CHANGE, "content_hash string", "append", GroupStateTimeout.NoTimeout

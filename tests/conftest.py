@@ -10,7 +10,7 @@ from corpusloom.session import build_session, ship_package  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("local[8]", 4)
+    session = build_session("local[8]", 2)
     session.sparkContext.setLogLevel("ERROR")
     ship_package(session)
     yield session
