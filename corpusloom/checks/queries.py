@@ -14,7 +14,7 @@ from corpusloom.functions import url as U
 from corpusloom.functions.binding import once
 from corpusloom.operators import publish as P
 from corpusloom.operators.crawl import crawl_bfs
-from corpusloom.operators.extract import SUCCESS, extract_pages, skip_reason
+from corpusloom.operators.extract import extract_pages, skip_reason
 from corpusloom.operators.incremental import (
     CACHED,
     FAILED,

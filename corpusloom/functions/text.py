@@ -84,8 +84,9 @@ def strip_frontmatter(col: Column) -> Column:
 
 
 def iso_instant(ts: Column) -> Column:
-    """UTC instant with seven fraction digits and a ``Z``."""
-    return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("0Z"))
+    """UTC instant with seven fraction digits and a ``Z``, whatever the session's time zone."""
+    utc = F.to_utc_timestamp(ts, F.current_timezone())
+    return F.concat(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("0Z"))
 
 
 def build_frontmatter(title: Column, url: Column, fetched_at: Column, content_hash: Column, generator: str) -> Column:

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from corpusloom.functions import url as U
 from corpusloom.operators.extract import extract_pages
 from corpusloom.operators.incremental import join_manifest, manifest_entries, succeeded
 from corpusloom.operators.ranking import first_by_key
