@@ -464,7 +464,7 @@ ORACLE: dict[str, str] = {
           string_agg(line, chr(10) ORDER BY ord) || chr(10) AS content FROM (SELECT *, (ord - 1) // 10 AS part FROM numbered) GROUP BY site, part""",
     "published_text": f"WITH {_D}, {_DOC_SITES}, {_lines(_DOC_ENTRIES, _INDEX_HEADER)} SELECT site, line FROM numbered",
     "dedupe_names": f"""WITH {_D}, n AS (
-          SELECT site, url, left(CASE WHEN doc_id % 2 = 0 THEN upper(title) ELSE lower(title) END, 3) || '.md' AS file_name, doc_id AS rank FROM d)
+          SELECT site, url, left(CASE WHEN doc_id % 2 = 0 THEN {fold('title')} ELSE lower(title) END, 3) || '.md' AS file_name, doc_id AS rank FROM d)
         FROM n QUALIFY row_number() OVER (PARTITION BY site, lower(file_name) ORDER BY rank) = 1""",
     "collisions": f"""WITH {_D}, n AS (SELECT site, url, left(title, 2) || '.md' AS file_name, doc_id, title FROM d),
         old AS (SELECT site, file_name, min(url || '/old') AS url FROM n WHERE title LIKE 'A%' GROUP BY 1, 2),

@@ -466,7 +466,8 @@ def published_text(spark: SparkSession, sf: str) -> DataFrame:
 def dedupe_names(spark: SparkSession, sf: str) -> DataFrame:
     """Pages whose file names differ in case only: first by rank."""
     summaries, _ = _corpus(spark, sf)
-    name = F.when(F.col("rank") % 2 == 0, F.upper("title")).otherwise(F.lower("title"))
+    # The engines upper-case the sharp s differently, so the names are folded the way index titles are.
+    name = F.when(F.col("rank") % 2 == 0, T.ordinal_fold(F.col("title"))).otherwise(F.lower("title"))
     clashing = summaries.withColumn("file_name", F.concat(F.substring(name, 1, 3), F.lit(".md")))
     return P.dedupe_by_filename(clashing).select("site", "url", "file_name", "rank")
 
