@@ -335,3 +335,12 @@ def piece_digests(documents: DataFrame, path: str, id_col: str = "doc_id", text_
         return len(ids), _sha256(",".join([model.digits[i] for i in ids])), _sha256(model.decode(ids))
 
     return _map_encoded(documents, path, id_col, text_col, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", digest)
+
+
+def encode_with_digests(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document its ids, how many there are, and hashes of them and of the text that they decode to."""
+
+    def digest(model: PieceModel, ids: list[int]) -> tuple:
+        return ids, len(ids), _sha256(",".join([model.digits[i] for i in ids])), _sha256(model.decode(ids))
+
+    return _map_encoded(documents, path, id_col, text_col, "ids array<int>, n_tokens bigint, ids_sha256 string, decoded_sha256 string", digest)
