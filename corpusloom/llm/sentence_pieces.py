@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from corpusloom.llm.words import map_rows, mixed
+from corpusloom.llm.words import NumberTable, map_rows
 
 SPACE = "\u2581"
 CHUNK_ROWS = 256
@@ -47,48 +47,6 @@ class _Numbers(dict):
         return number
 
 
-class _Table:
-    """Whole numbers by 64-bit key, looked up and added many at a time; linear probing at a low load."""
-
-    def __init__(self) -> None:
-        self._reset(1 << 16)
-
-    def _reset(self, slots: int) -> None:
-        self.keys = np.full(slots, -1, np.int64)
-        self.values = np.zeros(slots, np.int32)
-        self.used = 0
-
-    def _slots(self, keys: np.ndarray) -> np.ndarray:
-        return (mixed(keys.view(np.uint64)) & np.uint64(len(self.keys) - 1)).astype(np.int64)
-
-    def get(self, keys: np.ndarray) -> np.ndarray:
-        """Values, or -1 where a key is absent."""
-        found = np.full(len(keys), -1, np.int32)
-        rest, slots = np.arange(len(keys)), self._slots(keys)
-        while len(rest):
-            there = self.keys[slots]
-            hit = there == keys[rest]
-            found[rest[hit]] = self.values[slots[hit]]
-            on = ~hit & (there != -1)
-            rest, slots = rest[on], (slots[on] + 1) & (len(self.keys) - 1)
-        return found
-
-    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
-        """Adds distinct keys that are absent."""
-        if 4 * (self.used + len(keys)) > len(self.keys):
-            old = self.keys != -1
-            keys, values = np.concatenate([self.keys[old], keys]), np.concatenate([self.values[old], values])
-            self._reset(1 << (8 * len(keys)).bit_length())
-        self.used += len(keys)
-        slots = self._slots(keys)
-        while len(keys):
-            free = self.keys[slots] == -1
-            self.keys[slots[free]] = keys[free]
-            won = self.keys[slots] == keys
-            self.values[slots[won]] = values[won]
-            keys, values, slots = keys[~won], values[~won], (slots[~won] + 1) & (len(self.keys) - 1)
-
-
 class PieceModel:
     """Pieces, scores and byte tokens of a model file, with its encoder and decoder."""
 
@@ -112,7 +70,7 @@ class PieceModel:
         self.spelled = [self._joined([i]).encode() if i not in self.byte_of else bytes([self.byte_of[i]]) for i in ids]
         self.digits = list(map(str, ids))
         self.lengths = np.array([len(self.text_of.get(i, "")) for i in ids], np.int64)
-        self._pairs = _Table()
+        self._pairs = NumberTable()
         self._forget_units()
         self._build_automaton()
 
@@ -126,7 +84,7 @@ class PieceModel:
             for end in range(1, len(piece) + 1):
                 states.setdefault(piece[:end], len(states))
         keys = [(states[text[:-1]] << _CHARACTER_BITS) | ord(text[-1]) for text in states if text]
-        self._steps = _Table()
+        self._steps = NumberTable()
         self._steps.add(np.array(keys, np.int64), np.arange(1, len(states), dtype=np.int32))
         self._piece_at = np.array([self.id_of.get(text, -1) for text in states], np.int64)
 
@@ -155,7 +113,7 @@ class PieceModel:
         new = np.unique(keys[known < 0])
         if len(new):
             if self._pairs.used > PAIRS_KEPT:
-                self._pairs = _Table()
+                self._pairs = NumberTable()
                 new = np.unique(keys)
             verdicts = []
             for key in new.tolist():
