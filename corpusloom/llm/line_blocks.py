@@ -4,8 +4,7 @@ Markup is stripped to lines, one for each block of text. Each line has the lengt
 block is a window of lines around it, and the sum of their lengths tells prose from lists of links and short notices.
 The text surges where the sum first passes a threshold and dives where it falls below it; what stands between is kept,
 down to the short lines in it, and the largest stretch of text is the article. Elements that announce themselves as
-something else (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts) are not lines at all,
-and a page that marks its article has its lines taken from there.
+something else (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts) are not lines at all.
 
 Defined cases: a null or empty page, or one without text, has an empty main text; unclosed elements end with what
 surrounds them; a page of any length is read once, from front to back; rows that repeat are extracted one by one.
@@ -157,21 +156,24 @@ def text_stretches(lengths: np.ndarray, window: int = WINDOW, surge: int = SURGE
 
 
 def main_text(html: str | None) -> str:
-    """The page's main text, one block a line."""
+    """The page's main text, one block a line.
+
+    A line in an element marked as the article counts ``SURGE`` more, so text surges where the article begins and
+    dives where it ends, however short its lines are.
+    """
     lines = page_lines(html or "")
-    if any(line.marked for line in lines):
-        return "\n".join(line.text for line in lines if line.marked)
-    lengths = np.array([line.length for line in lines], np.int64)
-    stretches = text_stretches(lengths) if len(lengths) else []
+    if not lines:
+        return ""
+    marked = np.array([line.marked for line in lines])
+    lengths = np.array([line.length for line in lines], np.int64) + SURGE * marked
+    stretches = text_stretches(lengths)
     if not stretches:
         return "\n".join(line.text for line in lines if line.length)
     a, b = max(stretches, key=lambda r: (int(lengths[r[0] : r[1]].sum()), -r[0]))
-    # The window reaches past both ends: lines of nothing but links there are not text.
-    while a < b and not lengths[a]:
-        a += 1
-    while b > a and not lengths[b - 1]:
-        b -= 1
-    return "\n".join(line.text for line in lines[a:b])
+    # The window reaches past both ends: there an article's edge is the point, or else the last line with text of its own.
+    own = marked[a:b] if marked[a:b].any() else lengths[a:b] > 0
+    inside = np.flatnonzero(own)
+    return "\n".join(line.text for line in lines[a + int(inside[0]) : a + int(inside[-1]) + 1])
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -59,8 +59,63 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) A
 FROM d LEFT JOIN kept USING (doc_id)
 """
 
+_URLS = f"""
+WITH u AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+),
+p AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u
+),
+r(host, path, verdict) AS (
+  VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+),
+f AS (
+  SELECT page_id, p.host, p.path, r.host || r.path AS rule, r.verdict,
+    row_number() OVER (PARTITION BY page_id ORDER BY length(r.host || r.path) DESC NULLS LAST) AS k
+  FROM p LEFT JOIN r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM f WHERE k = 1
+"""
+
+_THREADS = r"""
+WITH RECURSIVE a AS (SELECT *, CASE WHEN turn % 3 = 0 THEN turn - 3 ELSE turn - 1 END AS up FROM conversations),
+m AS (
+  SELECT a.conv_id, a.turn, a.role, a.text AS own,
+    coalesce('> > ' || replace(c.text, chr(10), chr(10) || '> > ') || chr(10), '')
+      || coalesce('> ' || replace(b.text, chr(10), chr(10) || '> ') || chr(10), '') || a.text AS text
+  FROM a LEFT JOIN a b ON b.conv_id = a.conv_id AND b.turn = a.up LEFT JOIN conversations c ON c.conv_id = a.conv_id AND c.turn = b.up
+),
+l AS (
+  SELECT conv_id, turn, length(regexp_extract(line, '^([ \t]*>)+')) - length(replace(regexp_extract(line, '^([ \t]*>)+'), '>', '')) AS level,
+    trim(regexp_replace(lower(regexp_replace(line, '^([ \t]*>)+', '')), '[ \t\r\x0B\x0C]+', ' ', 'g')) AS plain
+  FROM (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line FROM m)
+),
+o AS (SELECT conv_id, plain, min(turn) AS origin FROM l WHERE level = 0 AND plain <> '' GROUP BY ALL),
+q AS (
+  SELECT l.conv_id, l.turn, level, CASE WHEN origin < l.turn THEN origin END AS origin, count(*) AS n
+  FROM l LEFT JOIN o USING (conv_id, plain) WHERE level > 0 AND plain <> '' GROUP BY ALL
+),
+k AS (
+  SELECT conv_id, turn, sum(n) AS n_quoted, sum(CASE WHEN origin IS NULL THEN 0 ELSE n END) AS n_linked,
+    max({'n': n, 'origin': origin}) FILTER (level = 1 AND origin IS NOT NULL) AS best
+  FROM q GROUP BY ALL
+),
+t AS (SELECT m.conv_id, m.turn, m.role, m.text, coalesce(n_quoted, 0) AS n_quoted, coalesce(n_linked, 0) AS n_linked, best.origin AS parent
+  FROM m LEFT JOIN k USING (conv_id, turn)),
+r(conv_id, turn, root) AS (
+  SELECT conv_id, turn, turn FROM t WHERE parent IS NULL UNION ALL SELECT t.conv_id, t.turn, r.root FROM t JOIN r ON t.conv_id = r.conv_id AND t.parent = r.turn
+)
+SELECT t.conv_id, row_number() OVER (PARTITION BY t.conv_id ORDER BY root, t.turn) AS position, t.turn, t.role, parent AS parent_turn, root AS root_turn,
+  CAST(n_quoted AS BIGINT) AS n_quoted, CAST(n_linked AS BIGINT) AS n_linked,
+  regexp_replace(array_to_string(list_filter(string_split(t.text, chr(10)), lambda x: NOT regexp_matches(x, '^([ \t]*>)+')), chr(10)), '^\s+|\s+$', '', 'g') AS text
+FROM t JOIN r USING (conv_id, turn)
+"""
+
 ORACLE: dict[str, str] = {
     "op1_near_dedup": _NEAR,
+    "op2_url_rules": _URLS,
     "op3_decontaminate": _CONTAMINATED,
+    "op4_quote_links": _THREADS,
     "op7_substring_dedup": _REPEATS,
 }
