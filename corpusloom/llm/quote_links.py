@@ -95,7 +95,9 @@ def thread_messages(
         F.xxhash64(text_col, role_col).alias("_tie"),
     )
     linked = rows.join(known, ["conv", "turn"], "left").withColumn("root", F.coalesce("root", "turn"))
-    placed = ordered_rank(linked, ["conv"], [F.col("root"), F.col("turn"), F.col("_tie")], "position")
+    # As a struct, a missing conversation is a group like any other.
+    grouped = linked.withColumn("_group", F.struct("conv"))
+    placed = ordered_rank(grouped, ["_group"], [F.col("root"), F.col("turn"), F.col("_tie")], "position")
     return placed.select(
         F.col("conv").alias(conv_col),
         F.col("position").cast("bigint").alias("position"),
