@@ -17,7 +17,7 @@ from corpusloom.sources.tables import PRIMARY, RENDERED
 SLICE = 1000
 LISTING = 3
 RENDERED_IDS = 1_000_000_000_000
-TREE = 50
+TREES = 3
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -298,9 +298,9 @@ def captures(pages: DataFrame) -> DataFrame:
 
 
 def tree_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every fifty pages as one site whose pages link four children each, the home page, and what they linked before."""
-    place = (F.col("page_id") % TREE).cast("int")
-    host = F.concat(F.lit("https://s"), F.floor(F.col("page_id") / TREE).cast("string"), F.lit(".example.com"))
+    """All pages as three sites whose pages link four children each, the home page, and what they linked before."""
+    place = F.floor(F.col("page_id") / TREES)
+    host = F.concat(F.lit("https://s"), (F.col("page_id") % TREES).cast("string"), F.lit(".example.com"))
     children = F.array_join(
         F.transform(
             F.array(*[F.lit(j) for j in (1, 2, 3, 4)]),
@@ -325,7 +325,7 @@ def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select(
         F.col("source").alias("site"),
         F.concat(F.lit("https://"), "source", F.lit(".example.org/doc/"), F.col("doc_id").cast("string")).alias("url"),
-        F.substring(F.substring_index(text, "\n", 1), 1, 40).alias("title"),
+        F.substring_index(text, "\n", 1).alias("title"),
         text.alias("markdown"),
         F.timestamp_seconds(F.lit(1_704_067_200) + F.col("doc_id")).alias("fetched_at"),
         F.col("doc_id").alias("rank"),

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from corpusloom.checks.archive import LISTING, RENDERED_IDS, SLICE, TREE
-from corpusloom.checks.queries import CRAWL_BUDGET, SMALL_BUDGET
+from corpusloom.checks.archive import LISTING, RENDERED_IDS, SLICE, TREES
+from corpusloom.checks.queries import CRAWL_BUDGET, OWN_BUDGET, SMALL_BUDGET
 from corpusloom.functions.html import CHALLENGE_SIGNATURES
 from corpusloom.operators.summarize import PROMPT
 
@@ -232,7 +232,7 @@ found AS ({merge % "FROM listings UNION ALL SELECT site, url, 'crawl', depth, 3,
 
 _FETCH_TIME = f"strftime(make_timestamp(({_AS_OF} + doc_id) * 1000000), '%Y-%m-%dT%H:%M:%S.%f') || '0Z'"
 _D = f"""d AS (
-  SELECT doc_id, source AS site, 'https://' || source || '.example.org/doc/' || doc_id AS url, left(split_part(text, chr(10), 1), 40) AS title,
+  SELECT doc_id, source AS site, 'https://' || source || '.example.org/doc/' || doc_id AS url, split_part(text, chr(10), 1) AS title,
     text, lang, {_FETCH_TIME} AS fetched,
     'doc_' || doc_id || '_' || left(sha256('https://' || source || '.example.org/doc/' || doc_id), 8) || '.md' AS file_name
   FROM documents)"""
@@ -404,7 +404,7 @@ ORACLE: dict[str, str] = {
     "dry_run": f"{_discovered(200, _ALLOWED_ALL)} SELECT site, rank, url FROM found",
     "rest_override": f"""{_SHELLS} SELECT site, url, rank, {_PAGE_TITLE} AS title, sha256(html) AS html_hash FROM shells""",
     "crawl": f"""WITH t AS (
-          SELECT 's' || (page_id // {TREE}) || '.example.com' AS site, page_id % {TREE} AS n, html FROM pages),
+          SELECT 's' || (page_id % {TREES}) || '.example.com' AS site, page_id // {TREES} AS n, html FROM pages),
         roots AS (SELECT DISTINCT site, 'https://' || site || '/' AS url FROM t),
         edges AS MATERIALIZED (
           SELECT site, src, ord, {canon("('https://' || site || " + unescape("href") + ")")} AS dst FROM (
@@ -414,12 +414,12 @@ ORACLE: dict[str, str] = {
         {_bfs(CRAWL_BUDGET, 3)} SELECT site, url, depth, rank FROM walk""",
     "distinct_urls": f"WITH {_C} SELECT split_part(url, '/', 3) AS site, url, min(page_id) AS ordinal FROM c GROUP BY 1, 2",
     "budgeted": f"""WITH {_C} SELECT site, url, ordinal, row_number() OVER (PARTITION BY site ORDER BY ordinal) AS rank FROM (
-        SELECT split_part(url, '/', 3) AS site, url, min(page_id) AS ordinal FROM c GROUP BY 1, 2) QUALIFY rank <= {SMALL_BUDGET}""",
+        SELECT split_part(url, '/', 3) AS site, url, min(page_id) AS ordinal FROM c GROUP BY 1, 2) QUALIFY rank <= CASE WHEN length(site) % 2 = 0 THEN {OWN_BUDGET} ELSE {SMALL_BUDGET} END""",
     "extract": f"""WITH {_MARKDOWN} SELECT page_id, CASE WHEN length(markdown) < 50 THEN 'ExtractionSkipped' ELSE 'Success' END AS outcome,
         length(markdown) < 50 AS is_skipped, CASE WHEN length(markdown) < 50 THEN 'Extracted markdown too short (<50 chars)' END AS skip_reason,
         length(markdown) AS chars, sha256(markdown) AS content_hash FROM m""",
     "extract_text": rf"""SELECT page_id, sha256({trim("regexp_replace(regexp_replace(" + unescape("regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<[^>]*>', ' ', 'g')") + r", '[*#\\_]', '', 'g'), '\s+', ' ', 'g')")}) AS text_hash FROM pages""",
-    "skip_rule": f"""SELECT lang, CASE WHEN length({clean("split_part(text, '.', 1)")}) < 50 THEN 'Extracted markdown too short (<50 chars)' ELSE 'kept' END AS reason,
+    "skip_rule": f"""SELECT lang, CASE WHEN length({clean("text")}) < 50 THEN 'Extracted markdown too short (<50 chars)' ELSE 'kept' END AS reason,
         count(*) AS pages FROM documents GROUP BY 1, 2""",
     "clean_text": f"""SELECT doc_id, sha256(regexp_replace({trim('text')}, '\\n+', chr(10) || chr(10), 'g')) AS clean_hash,
         sha256('\\"\\\\' || replace(replace(text, '\\', '\\\\'), '"', '\\"')) AS yaml_hash,
@@ -448,7 +448,7 @@ ORACLE: dict[str, str] = {
         'false' AS stream, 0.2::DOUBLE AS temperature FROM checked WHERE NOT is_hit""",
     "responses": f"""WITH {_CHECKED} SELECT site, url, title, summary AS markdown, file_name, 'ai/pages/' || file_name AS relative_output_path FROM answers""",
     "injected_summaries": f"""WITH {_D} SELECT site, url, CASE WHEN contains(text, '.') THEN
-        {trim("title || ': ' || split_part(text, '.', 1) || '.'")} END AS markdown FROM d""",
+        {trim("title || ': ' || text")} END AS markdown FROM d""",
     "index": f"""WITH {_C}, named AS (
           SELECT split_part(url, '/', 3) AS site, url, {title('html')} AS title, {_FILE} AS file_name, page_id FROM c),
         firsts AS (FROM named QUALIFY row_number() OVER (PARTITION BY site, lower(file_name) ORDER BY page_id) = 1),
@@ -464,9 +464,9 @@ ORACLE: dict[str, str] = {
           string_agg(line, chr(10) ORDER BY ord) || chr(10) AS content FROM (SELECT *, (ord - 1) // 10 AS part FROM numbered) GROUP BY site, part""",
     "published_text": f"WITH {_D}, {_DOC_SITES}, {_lines(_DOC_ENTRIES, _INDEX_HEADER)} SELECT site, line FROM numbered",
     "dedupe_names": f"""WITH {_D}, n AS (
-          SELECT site, url, left(CASE WHEN doc_id % 2 = 0 THEN {fold('title')} ELSE lower(title) END, 3) || '.md' AS file_name, doc_id AS rank FROM d)
+          SELECT site, url, CASE WHEN doc_id % 2 = 0 THEN {fold('title')} ELSE lower(title) END || '.md' AS file_name, doc_id AS rank FROM d)
         FROM n QUALIFY row_number() OVER (PARTITION BY site, lower(file_name) ORDER BY rank) = 1""",
-    "collisions": f"""WITH {_D}, n AS (SELECT site, url, left(title, 2) || '.md' AS file_name, doc_id, title FROM d),
+    "collisions": f"""WITH {_D}, n AS (SELECT site, url, title || '.md' AS file_name, doc_id, title FROM d),
         old AS (SELECT site, file_name, min(url || '/old') AS url FROM n WHERE title LIKE 'A%' GROUP BY 1, 2),
         claims AS (SELECT n.*, coalesce(old.url, first_value(n.url) OVER (PARTITION BY n.site, n.file_name ORDER BY n.doc_id)) AS claimed_by
           FROM n LEFT JOIN old ON old.site = n.site AND old.file_name = n.file_name)

@@ -42,7 +42,7 @@ from corpusloom.plans.build import build_corpus, join_rest_override
 from corpusloom.plans.discover import discover_composite
 from corpusloom.session import materialize, scratch_path
 from corpusloom.sinks.files import write_lines
-from corpusloom.sinks.manifest import manifest_json_lines, parse_manifest_json, read_manifest, write_manifest
+from corpusloom.sinks.manifest import manifest_json_files, parse_manifest_json, read_manifest, write_manifest
 from corpusloom.sources.feeds import scan_feeds
 from corpusloom.sources.rest import RestListing, rest_detect, scan_rest_items
 from corpusloom.sources.sitemaps import scan_sitemaps
@@ -54,6 +54,7 @@ OPTIONS = BuildOptions(as_of="2024-01-01 00:00:00")
 INCLUDE = ("*/en/*", "blog.", "*/FR/*page=2*")
 EXCLUDE = (".html", " ", "*://m.*")
 SMALL_BUDGET = 5
+OWN_BUDGET = 500
 CRAWL_BUDGET = 40
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -219,7 +220,7 @@ def crawl(spark: SparkSession, sf: str) -> DataFrame:
         pages.select("site", F.concat(F.lit("https://"), "site").alias("root_url")).distinct(), options
     )
     sites = materialize(sites, "sites")
-    found = crawl_bfs(adjacency(pages, sites), sites, options)
+    found = crawl_bfs(adjacency(pages, sites), sites)
     return found.select("site", "url", "depth", F.col("ordinal").alias("rank"))
 
 
@@ -230,11 +231,11 @@ def distinct_urls(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def budgeted(spark: SparkSession, sf: str) -> DataFrame:
-    """The first five pages of every host."""
+    """The first five pages of every host; hosts with names of even length have a budget of their own of five hundred."""
     pages = _canonical_pages(spark, sf).select(U.host(F.col("url")).alias("site"), "url", F.col("page_id").alias("ordinal"))
-    sites = pages.select("site", F.concat(F.lit("https://"), "site").alias("root_url")).distinct()
-    options = BuildOptions(max_pages=SMALL_BUDGET)
-    return take_max_pages(distinct_by_url(pages), with_site_defaults(sites, options), options)
+    own = F.when(F.length("site") % 2 == 0, F.lit(OWN_BUDGET)).alias("max_pages")
+    sites = pages.select("site", F.concat(F.lit("https://"), "site").alias("root_url"), own).distinct()
+    return take_max_pages(distinct_by_url(pages), with_site_defaults(sites, BuildOptions(max_pages=SMALL_BUDGET)))
 
 
 def _extracted(spark: SparkSession, sf: str) -> DataFrame:
@@ -254,8 +255,8 @@ def extract_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def skip_rule(spark: SparkSession, sf: str) -> DataFrame:
-    """The length rule on every line-one of the documents."""
-    markdown = T.clean_markdown(F.substring_index("text", ".", 1))
+    """The length rule on all documents."""
+    markdown = T.clean_markdown(F.col("text"))
     reasons = A.read(spark, sf, "documents").select("lang", skip_reason(markdown).alias("reason"))
     return reasons.groupBy("lang", F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("pages"))
 
@@ -357,7 +358,7 @@ def counters(spark: SparkSession, sf: str) -> DataFrame:
         .otherwise(F.lit(FAILED))
         .alias("result"),
     )
-    return run_counters(results)
+    return run_counters(results, checked.select("site"))
 
 
 def manifest_upsert(spark: SparkSession, sf: str) -> DataFrame:
@@ -373,10 +374,9 @@ def manifest_upsert(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def manifest_json(spark: SparkSession, sf: str) -> DataFrame:
-    """The JSON form, written as text, and its rows read back from the files."""
+    """The JSON form in files of a hundred entries, and its rows read back from them."""
     _, manifest, _ = _checked(spark, sf)
-    numbered = P.numbered_lines(manifest_json_lines(materialize(manifest, "manifest")))
-    files = P.file_parts(numbered, "manifest.json", 1_000_000)
+    files = manifest_json_files(materialize(manifest, "manifest"), 100)
     return parse_manifest_json(files.select(F.substring_index("path", "/", 1).alias("site"), "content"))
 
 
@@ -402,11 +402,12 @@ def responses(spark: SparkSession, sf: str) -> DataFrame:
 def injected_summaries(spark: SparkSession, sf: str) -> DataFrame:
     """An injected function instead of stored responses; it fails on pages without a full stop."""
 
-    def first_sentence(title: str, url: str, markdown: str) -> str:
-        return f" {title}: {markdown[: markdown.index('.')]}. "
+    def sentences(title: str, url: str, markdown: str) -> str:
+        markdown.index(".")
+        return f" {title}: {markdown} "
 
     pages = A.document_pages(spark, sf).withColumn("content_hash", T.content_sha256(F.col("markdown"))).drop("lang")
-    return summarize_pages(pages, first_sentence).select("site", "url", "markdown")
+    return summarize_pages(pages, sentences).select("site", "url", "markdown")
 
 
 def _corpus(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -464,18 +465,18 @@ def published_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dedupe_names(spark: SparkSession, sf: str) -> DataFrame:
-    """Pages whose file names differ in case only: first by rank."""
+    """Pages named by their whole titles, of which many are copies, in two foldings of case: first by rank."""
     summaries, _ = _corpus(spark, sf)
     # The engines upper-case the sharp s differently, so the names are folded the way index titles are.
     name = F.when(F.col("rank") % 2 == 0, T.ordinal_fold(F.col("title"))).otherwise(F.lower("title"))
-    clashing = summaries.withColumn("file_name", F.concat(F.substring(name, 1, 3), F.lit(".md")))
+    clashing = summaries.withColumn("file_name", F.concat(name, F.lit(".md")))
     return P.dedupe_by_filename(clashing).select("site", "url", "file_name", "rank")
 
 
 def collisions(spark: SparkSession, sf: str) -> DataFrame:
-    """File names made to clash, within the run and with an earlier one."""
+    """File names from whole titles, which clash where documents are copies, and with those of an earlier run."""
     summaries, _ = _corpus(spark, sf)
-    clashing = summaries.withColumn("file_name", F.concat(F.substring("title", 1, 2), F.lit(".md")))
+    clashing = summaries.withColumn("file_name", F.concat("title", F.lit(".md")))
     previous = clashing.filter("title like 'A%'").select("site", F.concat("url", F.lit("/old")).alias("url"), "file_name")
     return P.detect_collision(clashing, previous)
 

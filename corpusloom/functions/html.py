@@ -39,7 +39,11 @@ _RAW_TEXT = r"(?is)<(script|style|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\z)"
 # Quoted attribute values may hold ">"; a quote that is never closed runs to the end of the page.
 _ANCHOR = r"""(?i)<a(?=[\s/])(?:[^'">]++|"[^"]*+(?:"|\z)|'[^']*+(?:'|\z))*+(?:>|\z)"""
 _LATIN1 = r"[\x{A0}-\x{FF}]"
-_HREF = r"""(?is)[\s/"']href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+# Attributes in order, each with its value, up to the first href: text inside another value is not one.
+_HREF = (
+    r"""(?is)^<a(?:[\s/]++|"[^"]*+"?|'[^']*+'?|(?!href\s*=)[^\s=/>"']++(?:\s*+=\s*+(?:"[^"]*+"?|'[^']*+'?|[^\s"'>]++))?+|=)*+"""
+    r"""href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+)
 
 
 def looks_like_html(body: Column) -> Column:
@@ -101,7 +105,7 @@ def _resolved(pattern: str, end: str) -> str:
         regexp_replace(substring(part, length(ref) + 1), '^{end}', ''))), 1)"""
 
 
-_NUMBER = "#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}"
+_NUMBER = "#0*[0-9]{1,7}|#[xX]0*[0-9a-fA-F]{1,6}"
 _CLOSED = f"^({_NUMBER}|[A-Za-z][A-Za-z0-9]{{1,31}});"
 # Names that also count without a semicolon, longest first.
 _OLD_NAMES = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))

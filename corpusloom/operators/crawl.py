@@ -8,11 +8,10 @@ from pyspark.sql import functions as F
 from corpusloom.functions import url as U
 from corpusloom.operators.ranking import first_by_key, first_n
 from corpusloom.operators.url_filter import url_allowed_by
-from corpusloom.options import BuildOptions
 from corpusloom.session import BROADCAST_ROWS, materialize
 
 
-def crawl_bfs(edges: DataFrame, sites: DataFrame, options: BuildOptions) -> DataFrame:
+def crawl_bfs(edges: DataFrame, sites: DataFrame) -> DataFrame:
     """The first ``max_pages`` URLs of each site in breadth-first order, at most ``max_depth`` links away.
 
     ``edges`` are link lists ``(site, src_key, links)`` as made by :func:`corpusloom.operators.links.adjacency`.
@@ -34,7 +33,7 @@ def crawl_bfs(edges: DataFrame, sites: DataFrame, options: BuildOptions) -> Data
         "max_pages",
         "max_depth",
     )
-    deepest = sites.agg(F.max("max_depth")).first()[0] or 0
+    deepest, widest = (value or 0 for value in sites.agg(F.max("max_depth"), F.max("max_pages")).first())
     for depth in range(1, deepest + 1):
         size = frontier.count()
         if size == 0:
@@ -56,7 +55,7 @@ def crawl_bfs(edges: DataFrame, sites: DataFrame, options: BuildOptions) -> Data
             seen.select("site", "url_key"), ["site", "url_key"], "left_anti"
         )
         level = (
-            first_n(fresh, ["site"], ["parent", "link_ord"], options.max_pages, "place")
+            first_n(fresh, ["site"], ["parent", "link_ord"], widest, "place")
             .withColumn("rank", (F.col("used") + F.col("place")).cast("int"))
             .filter(F.col("rank") <= F.col("max_pages"))
             .select("site", "url", "url_key", F.lit(depth).alias("depth"), "rank", "max_pages", "max_depth")

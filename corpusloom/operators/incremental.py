@@ -65,19 +65,20 @@ def upsert_manifest(manifest: DataFrame, changed: DataFrame) -> DataFrame:
     return kept.select(*MANIFEST_COLUMNS).unionByName(changed.select(*MANIFEST_COLUMNS))
 
 
-def run_counters(results: DataFrame) -> DataFrame:
-    """Counters per site over one row per discovered page with its final ``result``.
+def run_counters(results: DataFrame, sites: DataFrame) -> DataFrame:
+    """Counters of every site over one row per discovered page with its final ``result``.
 
-    Cached pages count as skipped too.
+    Cached pages count as skipped too. A site without a discovered page has zeros.
     """
     result = F.col("result")
-    return results.groupBy("site").agg(
+    counted = results.groupBy("site").agg(
         F.count("*").alias("discovered"),
         F.count_if(result == PROCESSED).alias("processed"),
         F.count_if(result.isin(SKIPPED, CACHED)).alias("skipped"),
         F.count_if(result.isin(FETCH_FAILED, FAILED)).alias("failed"),
         F.count_if(result == CACHED).alias("cached"),
     )
+    return sites.select("site").distinct().join(counted, "site", "left").fillna(0, ["discovered", "processed", "skipped", "failed", "cached"])
 
 
 def succeeded(pages: DataFrame) -> DataFrame:

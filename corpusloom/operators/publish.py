@@ -18,7 +18,7 @@ from corpusloom.sources.tables import with_site
 
 LINE_ORDER = ("section", "fold", "rank")
 
-# File names and headings of the published files.
+# File names and headings of the published files (their further header lines are below).
 INDEX_FILE = "llms.txt"
 FULL_FILE = "llms-full.txt"
 INDEX_HEADING = "## Index"
@@ -26,14 +26,14 @@ PAGES_HEADING = "## Pages"
 
 
 def dedupe_by_filename(summaries: DataFrame) -> DataFrame:
-    """One page per file name ignoring case: the one of lowest rank.
+    """One page per file name ignoring case: the one of lowest rank, and of equal ranks the first by URL.
 
     Only names are grouped. The superseded pages, few as a rule, are stored and counted, so that the
     bodies meet them in a broadcast anti join.
     """
-    names = summaries.select("site", F.lower("file_name").alias("name"), "rank", "url")
-    firsts = names.groupBy("site", "name").agg(F.min("rank").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    later = names.join(firsts, ["site", "name"]).filter(F.col("rank") > F.col("first")).select("site", "url", "rank")
+    names = summaries.select("site", F.lower("file_name").alias("name"), F.struct("rank", "url").alias("place"))
+    firsts = names.groupBy("site", "name").agg(F.min("place").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    later = names.join(firsts, ["site", "name"]).filter(F.col("place") > F.col("first")).select("site", "place.url", "place.rank")
     later = broadcast_if_small(materialize(later, "superseded"))
     return summaries.join(later, ["site", "url", "rank"], "left_anti")
 
@@ -161,8 +161,10 @@ def numbered_lines(lines: DataFrame) -> DataFrame:
     return lines.join(places, ["site", *LINE_ORDER]).select("site", "section", "ord", "line")
 
 
-def file_parts(numbered: DataFrame, file_name: str, entries_per_file: int) -> DataFrame:
-    """``(path, content)`` of the published files.
+def file_parts(
+    numbered: DataFrame, file_name: str, entries_per_file: int, head: str = "", between: str = "\n", tail: str = "\n"
+) -> DataFrame:
+    """``(path, content)`` of the published files, each ``head``, its entries, and ``tail``.
 
     A site with more entries than ``entries_per_file`` gets consecutive parts ``.part-00001`` and so on,
     so no group is larger than that however large a site is.
@@ -173,9 +175,9 @@ def file_parts(numbered: DataFrame, file_name: str, entries_per_file: int) -> Da
         .groupBy("site", "part")
         .agg(F.array_sort(F.collect_list(F.struct("ord", "line"))).alias("entries"))
     )
-    text = F.concat(F.array_join(F.transform("entries", lambda e: e["line"]), "\n"), F.lit("\n"))
+    text = F.concat(F.lit(head), F.array_join(F.transform("entries", lambda e: e["line"]), between), F.lit(tail))
     suffix = F.when(F.col("part") == 0, F.lit("")).otherwise(
-        F.concat(F.lit(".part-"), F.lpad(F.col("part").cast("string"), 5, "0"))
+        F.format_string(".part-%05d", F.col("part"))
     )
     path = F.concat(U.site_folder(F.col("site")), F.lit(f"/{file_name}"), suffix)
     return grouped.select(path.alias("path"), text.alias("content"))

@@ -12,12 +12,10 @@ from corpusloom.functions import url as U
 from corpusloom.functions.binding import once
 from corpusloom.functions.text import is_blank
 from corpusloom.operators.merge import distinct_by_url
-from corpusloom.session import is_small
+from corpusloom.operators.ranking import first_by_key
+from corpusloom.session import broadcast_if_small
 from corpusloom.sources.tables import PRIMARY, RENDERED
 
-# A set of bare capture ids is broadcast up to this many; they are eight bytes each.
-ID_BROADCAST_ROWS = 4_000_000
-
 FETCH_FAILED = "FetchFailed"
 
 
@@ -63,8 +61,7 @@ def choose_captures(captures: DataFrame) -> DataFrame:
             H.is_too_thin(body).alias("thin"),
         ).alias("c"),
     )
-    paired = flags.groupBy("site", U.url_key(F.col("url")).alias("url_key")).agg(
-        F.min_by("url", F.col("turn.id")).alias("url"),
+    paired = flags.groupBy("site", "url").agg(
         F.min_by("c", F.when(F.col("channel") == PRIMARY, F.col("turn"))).alias("p"),
         F.min_by("c", F.when(F.col("channel") == RENDERED, F.col("turn"))).alias("r"),
     )
@@ -82,7 +79,7 @@ def choose_captures(captures: DataFrame) -> DataFrame:
         .select(
             "site",
             "url",
-            "url_key",
+            U.url_key(F.col("url")).alias("url_key"),
             "channel",
             F.when(F.col("channel") == RENDERED, F.col("r.capture_id"))
             .when(F.col("channel") == PRIMARY, F.col("p.capture_id"))
@@ -94,6 +91,22 @@ def choose_captures(captures: DataFrame) -> DataFrame:
     )
 
 
+def match_captures(wanted: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``wanted`` rows (``site``, ``url``, ``url_key`` and more) with the ``capture_id`` that stands for their URL.
+
+    The capture of the exact URL counts; only without one, that of the first URL which differs in case.
+    """
+    usable = chosen.filter(F.col("capture_id").isNotNull())
+    exact = usable.select("site", "url", F.col("capture_id").alias("_exact"))
+    alike = first_by_key(usable.select("site", "url_key", "url", "capture_id"), ["site", "url_key"], ["url"])
+    alike = alike.select("site", "url_key", F.col("capture_id").alias("_alike"))
+    captured = chosen.select("site", "url", F.lit(True).alias("_captured"))
+    found = wanted.join(exact, ["site", "url"], "left").join(captured, ["site", "url"], "left").join(alike, ["site", "url_key"], "left")
+    # A captured URL without a usable response has failed; another URL's response does not stand for it.
+    other = F.when(F.col("_captured").isNull(), F.col("_alike"))
+    return found.withColumn("capture_id", F.coalesce("_exact", other)).drop("_exact", "_alike", "_captured")
+
+
 def join_capture_fallback(captures: DataFrame, chosen: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """Page shells of the chosen captures, with the ``carry`` columns of ``chosen``, a stored table.
 
@@ -101,8 +114,7 @@ def join_capture_fallback(captures: DataFrame, chosen: DataFrame, carry: Sequenc
     which spreads evenly however the pages divide over sites.
     """
     ids = chosen.filter(F.col("capture_id").isNotNull()).select("capture_id", F.col("url").alias("page_url"), *carry)
-    ids = F.broadcast(ids) if is_small(ids, ID_BROADCAST_ROWS) else ids
-    return captures.join(ids, "capture_id").withColumn("url", F.col("page_url")).select(
+    return captures.join(broadcast_if_small(ids), "capture_id").withColumn("url", F.col("page_url")).select(
         "capture_id", "site", "url", page_title().alias("title"), F.col("body").alias("html"), "fetched_at", *carry
     )
 

@@ -10,8 +10,7 @@ class BuildOptions:
     """Scalar options that apply to every site of a run.
 
     ``max_pages``, ``max_depth``, ``same_host_only``, ``include`` and ``exclude`` can also be
-    given per site as columns of the ``sites`` table. A per-site ``max_pages`` is capped by the
-    value here, which is what lets Spark prune ranks before the shuffle.
+    given per site as columns of the ``sites`` table, where they replace the values here.
     """
 
     max_pages: int = 200

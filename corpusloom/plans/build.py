@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import html as H
-from corpusloom.functions import url as U
+from corpusloom.functions.markdown import main_markdown
 from corpusloom.operators.extract import SUCCESS, extract_pages
 from corpusloom.operators.incremental import (
     CACHED,
@@ -32,12 +32,15 @@ from corpusloom.operators.publish import (
     page_files,
 )
 from corpusloom.operators.summarize import as_summaries, build_requests
-from corpusloom.operators.triage import FETCH_FAILED, join_capture_fallback
+from corpusloom.operators.triage import FETCH_FAILED, join_capture_fallback, match_captures
 from corpusloom.options import BuildOptions
-from corpusloom.plans.discover import Discovery, discover_composite
+from corpusloom.plans.discover import Discovery, Strategy, discover_composite, last_items
 from corpusloom.session import broadcast_if_small, materialize
-from corpusloom.sinks.files import write_files, write_lines, write_table
-from corpusloom.sinks.manifest import write_manifest
+from corpusloom.sinks.files import write_files, write_lines
+from corpusloom.sinks.manifest import manifest_json_files, write_manifest
+from corpusloom.sinks.versions import finished_versions, read_version
+from corpusloom.sources.feeds import scan_feeds
+from corpusloom.sources.sitemaps import scan_sitemaps
 from corpusloom.sources.tables import with_site_defaults
 
 
@@ -59,16 +62,16 @@ class Corpus:
 def join_rest_override(discovery: Discovery, captures: DataFrame) -> DataFrame:
     """Page shells of the discovered URLs: REST-rendered HTML where listed, else the chosen capture."""
     wanted = discovery.urls.select("site", "url", "url_key", "rank")
-    items = discovery.rest.items.select(
+    items = last_items(discovery.rest.items).select(
         "site",
-        U.url_key(F.col("url")).alias("url_key"),
+        "url_key",
         "title",
         H.wrap_article(F.col("html")).alias("html"),
         F.col("modified_at").alias("fetched_at"),
     )
     rendered = wanted.join(items, ["site", "url_key"]).select("site", "url", "rank", "title", "html", "fetched_at")
     others = wanted.join(items.select("site", "url_key"), ["site", "url_key"], "left_anti")
-    sources = discovery.chosen.select("site", "url_key", "capture_id").join(others, ["site", "url_key"])
+    sources = match_captures(others, discovery.chosen).filter(F.col("capture_id").isNotNull())
     sources = materialize(sources.select("capture_id", "url", "rank"), "sources")
     shells = join_capture_fallback(captures, sources, carry=["rank"])
     return rendered.unionByName(shells.select(*rendered.columns))
@@ -82,21 +85,24 @@ def build_corpus(
     previous_files: DataFrame,
     options: BuildOptions,
     summarize: Callable[[DataFrame], DataFrame] = as_summaries,
+    strategies: Sequence[Strategy] = (scan_sitemaps, scan_feeds),
+    convert: Callable[[str], str | None] = main_markdown,
 ) -> Corpus:
     """Discover, extract, compare with the manifest, summarise what changed, and lay out the files.
 
     ``previous_files`` has ``(site, url, relative_output_path, content)`` of the last run. ``summarize`` maps
     changed pages to summary rows with a null ``markdown`` where it failed: ``attach_responses`` or
     ``summarize_pages`` with their second argument bound. The default publishes the page's own markdown.
+    ``strategies`` list URLs after the REST listing and before the crawl; ``convert`` turns a page into markdown.
     """
     sites = materialize(with_site_defaults(sites, options), "sites")
-    discovery = discover_composite(sites, captures, site_docs, options)
+    discovery = discover_composite(sites, captures, site_docs, options, strategies)
     urls = discovery.urls
     if options.dry_run:
         listed = dry_run_list(urls, sites)
-        return Corpus(listed, run_counters(listed.select("site", F.lit("Listed").alias("result"))))
+        return Corpus(listed, run_counters(listed.select("site", F.lit("Listed").alias("result")), sites))
 
-    extracted = materialize(extract_pages(join_rest_override(discovery, captures)), "extracted")
+    extracted = materialize(extract_pages(join_rest_override(discovery, captures), convert), "extracted")
     # The comparison needs hashes only; the text of unchanged pages is not moved at all.
     usable = extracted.filter(F.col("outcome") == SUCCESS)
     checked = materialize(join_manifest(usable.drop("markdown"), manifest), "checked")
@@ -127,7 +133,7 @@ def build_corpus(
     )
     return Corpus(
         discovered=urls,
-        counters=run_counters(results),
+        counters=run_counters(results, sites),
         extracted=extracted,
         requests=build_requests(misses, options.model),
         summaries=summaries,
@@ -138,17 +144,48 @@ def build_corpus(
     )
 
 
-def publish_corpus(corpus: Corpus, root: str, export_pages: bool = False) -> int:
+DOCUMENTS = "site string, url string, path string, relative_output_path string, content string"
+
+
+def read_documents(spark: SparkSession, root: str) -> DataFrame:
+    """Page documents as of the last finished run, also those that it did not write anew; the next run's ``previous_files``."""
+    done = finished_versions(spark, f"{root}/manifest")
+    return read_version(spark, f"{root}/documents", DOCUMENTS, done[-1] if done else None)
+
+
+def next_documents(corpus: Corpus, root: str) -> DataFrame:
+    """The earlier documents whose paths this run does not write, and the ones that it writes."""
+    fresh = corpus.files.select("site", "url", "path", "relative_output_path", "content")
+    kept = read_documents(fresh.sparkSession, root).join(fresh.select("path"), "path", "left_anti")
+    return kept.select(*fresh.columns).unionByName(fresh)
+
+
+def publish_corpus(
+    corpus: Corpus,
+    root: str,
+    export_pages: bool = False,
+    write_index: Callable[[DataFrame, str], None] = write_lines,
+    save_manifest: Callable[[DataFrame, str], int] = write_manifest,
+) -> int:
     """Write a finished run below ``root`` and return the number of the new manifest version.
 
-    Page documents become a table clustered by path, and with ``export_pages`` also one file each. The
-    manifest comes last, so a run that fails before it is simply repeated.
+    Every run writes versions of its own and changes none that a reader may hold: documents, clustered by path,
+    with unchanged ones carried over; index and full corpus; requests with the keys that their answers need; the
+    manifest's JSON form. With ``export_pages`` changed documents also become one file each. The manifest comes
+    last, so a run that fails before it is simply repeated. ``write_index`` and ``save_manifest`` stand in for
+    other stores.
     """
-    write_table(corpus.files.select("path", "content"), f"{root}/documents")
+    spark = corpus.manifest.sparkSession
+    done = finished_versions(spark, f"{root}/manifest")
+    run = f"v={done[-1] + 1 if done else 1}"
+    documents = next_documents(corpus, root).repartitionByRange("path").sortWithinPartitions("path")
+    documents.write.mode("overwrite").parquet(f"{root}/documents/{run}")
     if export_pages:
         write_files(corpus.files, f"{root}/files")
-    write_lines(corpus.index, f"{root}/{INDEX_FILE}")
+    write_index(corpus.index, f"{root}/{INDEX_FILE}/{run}")
     if corpus.full is not None:
-        write_lines(corpus.full, f"{root}/{FULL_FILE}")
-    corpus.requests.select("request").write.mode("overwrite").text(f"{root}/requests")
-    return write_manifest(corpus.manifest, f"{root}/manifest")
+        write_index(corpus.full, f"{root}/{FULL_FILE}/{run}")
+    corpus.requests.write.mode("overwrite").json(f"{root}/requests/{run}")
+    manifest = materialize(corpus.manifest, "manifest")
+    manifest_json_files(manifest).write.mode("overwrite").parquet(f"{root}/manifest-json/{run}")
+    return save_manifest(manifest, f"{root}/manifest")

@@ -12,6 +12,7 @@ from corpusloom.functions import url as U
 from corpusloom.operators.crawl import crawl_bfs
 from corpusloom.operators.links import adjacency, link_lists
 from corpusloom.operators.merge import merge_strategies
+from corpusloom.operators.ranking import first_by_key
 from corpusloom.operators.triage import choose_captures
 from corpusloom.options import BuildOptions
 from corpusloom.session import broadcast_if_small, materialize, materialize_all
@@ -30,6 +31,13 @@ class Discovery:
     chosen: DataFrame
 
 
+def last_items(rest_items: DataFrame) -> DataFrame:
+    """REST items with one per URL ignoring case: the last. Their HTML joins the places that were found without it."""
+    keyed = rest_items.withColumn("url_key", U.url_key(F.col("url")))
+    places = keyed.groupBy("site", "url_key").agg(F.max("ordinal").alias("ordinal"))
+    return keyed.join(places, ["site", "url_key", "ordinal"])
+
+
 def capture_edges(captures: DataFrame, chosen: DataFrame, rest_items: DataFrame, sites: DataFrame) -> DataFrame:
     """Link lists of all pages a crawl could meet: REST-rendered pages first, else the chosen captures.
 
@@ -40,7 +48,10 @@ def capture_edges(captures: DataFrame, chosen: DataFrame, rest_items: DataFrame,
     rest_lists = adjacency(rendered, sites)
     pages = captures.select("capture_id", "site", U.canonicalize(F.col("url")).alias("url"), F.col("body").alias("html"))
     lists = link_lists(pages, sites, keep=["capture_id"]).filter(F.size("links") > 0).drop("url")
-    used = chosen.filter(F.col("capture_id").isNotNull()).select("capture_id", F.col("url_key").alias("src_key"))
+    # Of pages whose URLs differ in case the crawl meets one; the first by URL is as good as any and the same each time.
+    usable = chosen.filter(F.col("capture_id").isNotNull()).select("site", "url_key", "url", "capture_id")
+    firsts = first_by_key(usable, ["site", "url_key"], ["url"])
+    used = firsts.select("capture_id", F.col("url_key").alias("src_key"))
     captured = lists.join(used, "capture_id").select("site", "src_key", "links")
     keys = rest_items.select("site", U.url_key(F.col("url")).alias("src_key"))
     return rest_lists.unionByName(captured.join(keys, ["site", "src_key"], "left_anti"))
@@ -63,12 +74,12 @@ def discover_composite(
     listings = [rest.discovered, *[strategy(site_docs, sites, options) for strategy in strategies]]
     tables = [(choose_captures(captures), "chosen"), *[(found, "listing") for found in listings]]
     chosen, *listings = materialize_all(tables)
-    merged = merge_strategies(listings, sites, options)
+    merged = merge_strategies(listings, sites)
     used = merged.groupBy("site").agg(F.max("rank").alias("used"))
     filled = materialize(used.join(sites, "site").filter("used >= max_pages").select("site"), "filled")
     open_sites = sites.join(filled, "site", "left_anti")
     # Captures of sites that are not crawled are dropped before their links are taken.
     candidates = captures.join(broadcast_if_small(filled), "site", "left_anti")
-    edges = capture_edges(candidates, chosen, rest.items, sites)
-    listings.append(crawl_bfs(edges, open_sites, options))
-    return Discovery(materialize(merge_strategies(listings, sites, options), "discovered"), rest, chosen)
+    edges = capture_edges(candidates, chosen, last_items(rest.items), sites)
+    listings.append(crawl_bfs(edges, open_sites))
+    return Discovery(materialize(merge_strategies(listings, sites), "discovered"), rest, chosen)

@@ -12,8 +12,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A side of a join is broadcast only when it was counted and holds at most this many narrow rows.
+# A side of a join is broadcast only when it was counted and holds at most so many rows and bytes.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
+FIXED_SIZE = ("boolean", "int", "bigint", "double", "date", "timestamp")
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -64,8 +66,15 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new, unused path below the scratch folder."""
-    return f"{scratch_root(spark)}/corpusloom/{label}-{uuid.uuid4().hex}"
+    """A new, unused path in the application's own scratch folder, which is removed when the application ends."""
+    folder = f"{scratch_root(spark)}/corpusloom/{spark.sparkContext.applicationId}"
+    if spark.conf.get("spark.corpusloom.folder", None) != folder:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        spark.conf.set("spark.corpusloom.folder", folder)
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -86,9 +95,12 @@ def materialize_all(tables: Sequence[tuple[DataFrame, str]]) -> list[DataFrame]:
         return list(pool.map(lambda table: materialize(*table), tables))
 
 
-def is_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether a stored table has at most ``limit`` rows."""
-    return df.limit(limit + 1).count() <= limit
+def is_small(df: DataFrame, limit: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether a stored table has at most ``limit`` rows and holds at most ``max_bytes``."""
+    sizes = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) if kind not in FIXED_SIZE else F.lit(8) for c, kind in df.dtypes]
+    total = sum(sizes, F.lit(0).cast("bigint"))
+    rows, held = df.limit(limit + 1).agg(F.count("*"), F.sum(total)).first()
+    return rows <= limit and (held or 0) <= max_bytes
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -29,11 +29,6 @@ def write_lines(lines: DataFrame, path: str) -> None:
     )
 
 
-def write_table(documents: DataFrame, path: str) -> None:
-    """Documents as a table clustered by path: the durable form at any size."""
-    documents.repartitionByRange("path").sortWithinPartitions("path").write.mode("overwrite").parquet(path)
-
-
 @dataclass
 class _Written(WriterCommitMessage):
     count: int

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.operators.publish import file_parts, numbered_lines
 from corpusloom.sinks.versions import read_version, write_version
-from corpusloom.session import materialize
-from corpusloom.sources.tables import MANIFEST, with_site
+from corpusloom.sources.tables import MANIFEST
 
 MANIFEST_FILE = "manifest.json"
 
@@ -50,32 +50,22 @@ def parse_manifest_json(files: DataFrame) -> DataFrame:
 
 
 def manifest_json_lines(manifest: DataFrame) -> DataFrame:
-    """Line table of the JSON form: one line per entry, in URL order, as for any published file."""
-    sites = manifest.select("site").distinct()
+    """Line table of the JSON form's entries, in URL order, as for any published file."""
     entry = F.to_json(F.struct(*[F.coalesce(F.col(c), F.lit("")).alias(name) for name, c in JSON_FIELDS]))
     key = F.to_json(F.array("url"))
-    last = manifest.groupBy("site").agg(F.max("url").alias("last_url"))
-    body = with_site(manifest, materialize(last, "last-entries"), "url").select(
+    return manifest.select(
         "site",
         F.lit(1).alias("section"),
         F.col("url").alias("fold"),
         F.lit(0).cast("bigint").alias("rank"),
-        F.concat(
-            F.lit("    "),
-            F.substring(key, F.lit(2), F.length(key) - 2),
-            F.lit(": "),
-            entry,
-            F.when(F.col("url") == F.col("last_url"), F.lit("")).otherwise(F.lit(",")),
-        ).alias("line"),
+        F.concat(F.lit("    "), F.substring(key, F.lit(2), F.length(key) - 2), F.lit(": "), entry).alias("line"),
     )
 
-    def fixed(section: int, text: str) -> DataFrame:
-        return sites.select(
-            "site",
-            F.lit(section).alias("section"),
-            F.lit("").alias("fold"),
-            F.lit(0).cast("bigint").alias("rank"),
-            F.lit(text).alias("line"),
-        )
 
-    return fixed(0, '{\n  "Entries": {').unionByName(body).unionByName(fixed(2, "  }\n}"))
+def manifest_json_files(manifest: DataFrame, entries_per_file: int = 100_000) -> DataFrame:
+    """``(path, content)`` of the JSON form.
+
+    Every file is a whole JSON document, also each part of a site with many entries; a reader takes the entries of all.
+    """
+    numbered = numbered_lines(manifest_json_lines(manifest))
+    return file_parts(numbered, MANIFEST_FILE, entries_per_file, head='{\n  "Entries": {\n', between=",\n", tail="\n  }\n}\n")

@@ -59,6 +59,6 @@ def scan_feeds(site_docs: DataFrame, sites: DataFrame, options: BuildOptions) ->
     found = winners.select("site", F.posexplode("urls").alias("pos", "url")).select(
         "site", F.col("pos").cast("bigint").alias("ordinal"), "url"
     )
-    return take_max_pages(distinct_by_url(found), sites, options).select(
+    return take_max_pages(distinct_by_url(found), sites).select(
         "site", "url", F.lit("rss").alias("discovery_method"), F.lit(0).alias("depth"), "ordinal"
     )

@@ -12,7 +12,7 @@ from corpusloom.functions import url as U
 from corpusloom.functions.binding import once
 from corpusloom.functions.jsonval import json_date_or, json_nested_string, json_string, json_type
 from corpusloom.functions.text import is_blank
-from corpusloom.operators.merge import distinct_by_url, take_max_pages
+from corpusloom.operators.merge import distinct_by_url, take_max_pages, widest_budget
 from corpusloom.operators.ranking import first_n
 from corpusloom.options import BuildOptions
 from corpusloom.session import materialize
@@ -166,7 +166,7 @@ def scan_rest_items(site_docs: DataFrame, sites: DataFrame, options: BuildOption
     stray = F.when((F.col("page_no") > 1) & F.col("follows").isNull(), F.col("page_no"))
     final = F.when(F.col("page_no") >= F.col("total_pages"), F.col("page_no"))
     bounds = good.join(follows, [*key, "page_no"], "left").groupBy(*key).agg(F.min(stray).alias("gap"), F.min(final).alias("final"))
-    in_chain = (F.col("page_no") < F.coalesce("gap", F.lit(1 << 30))) & (F.col("page_no") <= F.coalesce("final", F.lit(1 << 30)))
+    in_chain = (F.col("gap").isNull() | (F.col("page_no") < F.col("gap"))) & (F.col("final").isNull() | (F.col("page_no") <= F.col("final")))
     chain = good.join(bounds, key).filter(in_chain).select(*key, "page_no", "final")
 
     listed = (
@@ -220,9 +220,9 @@ def scan_rest_items(site_docs: DataFrame, sites: DataFrame, options: BuildOption
 
     # Budgets are spent on narrow rows; the HTML joins the survivors.
     narrow = items.select(*key, "ordinal", "url")
-    first = first_n(narrow, key, ["ordinal"], options.max_pages, "place")
+    first = first_n(narrow, key, ["ordinal"], widest_budget(sites), "place")
     limits = status.filter("not disabled").select("site", "pages_count", "posts_count")
     within = F.col("place") <= F.when(F.col("collection") == 0, F.col("pages_count")).otherwise(F.col("posts_count"))
     kept = distinct_by_url(first.join(limits, "site").filter(within).select("site", "url", "ordinal"))
-    chosen = take_max_pages(kept, sites, options).select("site", "ordinal")
+    chosen = take_max_pages(kept, sites).select("site", "ordinal")
     return RestListing(items.join(chosen, ["site", "ordinal"]).drop("collection"), status)

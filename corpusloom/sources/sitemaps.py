@@ -57,13 +57,15 @@ def scan_sitemaps(site_docs: DataFrame, sites: DataFrame, options: BuildOptions)
         .select("site", "w.subs", "w.urls")
     )
     direct = winners.filter(~is_index).select("site", F.posexplode("urls").alias("ordinal", "url"))
-    subs = winners.select("site", F.posexplode("subs").alias("sub_ord", "doc_url"))
+    # An entry may spell its document's host or port in another way than the stored response does.
+    address = U.canonicalize(F.col("doc_url")).alias("address")
+    subs = winners.select("site", F.posexplode("subs").alias("sub_ord", "doc_url")).select("site", "sub_ord", address)
     listed = (
-        subs.join(docs.select("site", "doc_url", "urls"), ["site", "doc_url"])
+        subs.join(docs.select("site", address, "urls"), ["site", "address"])
         .select("site", "sub_ord", F.posexplode("urls").alias("pos", "url"))
         .select("site", (F.col("sub_ord").cast("bigint") * F.lit(_DOC) + F.col("pos")).alias("ordinal"), "url")
     )
     found = direct.select("site", F.col("ordinal").cast("bigint").alias("ordinal"), "url").unionByName(listed)
-    return take_max_pages(distinct_by_url(found), sites, options).select(
+    return take_max_pages(distinct_by_url(found), sites).select(
         "site", "url", F.lit("sitemap").alias("discovery_method"), F.lit(0).alias("depth"), "ordinal"
     )

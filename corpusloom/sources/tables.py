@@ -42,7 +42,7 @@ def with_site_defaults(sites: DataFrame, options: BuildOptions) -> DataFrame:
     return sites.select(
         "site",
         U.canonicalize(F.col("root_url")).alias("root_url"),
-        F.least(given("max_pages", "int", F.lit(options.max_pages)), F.lit(options.max_pages)).alias("max_pages"),
+        given("max_pages", "int", F.lit(options.max_pages)).alias("max_pages"),
         given("max_depth", "int", F.lit(options.max_depth)).alias("max_depth"),
         given("same_host_only", "boolean", F.lit(options.same_host_only)).alias("same_host_only"),
         patterns["include"].alias("include"),

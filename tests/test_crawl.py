@@ -16,7 +16,7 @@ def walk(spark, pages, roots, options=BuildOptions(), **columns):
     table = materialize(sites(spark, roots, options, **columns), "sites")
     edges = adjacency(spark.createDataFrame(pages, PAGES), table)
     got = {}
-    for r in crawl_bfs(edges, table, options).orderBy("site", "ordinal").collect():
+    for r in crawl_bfs(edges, table).orderBy("site", "ordinal").collect():
         got.setdefault(r.site, []).append((r.url, r.depth))
     return got
 
@@ -80,7 +80,7 @@ def test_random_graphs_match_a_queue(spark):
     roots = {s: f"https://{s}.com/" for s in graphs}
     got = walk(spark, pages, roots, BuildOptions(max_pages=15, max_depth=9), max_pages=limits, max_depth=depths)
     for site, graph in graphs.items():
-        assert got[site] == queue_walk(graph, roots[site], min(limits[site], 15), depths[site]), site
+        assert got[site] == queue_walk(graph, roots[site], limits[site], depths[site]), site
 
 
 def test_walk_does_not_depend_on_partitioning(spark, monkeypatch):

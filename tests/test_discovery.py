@@ -81,6 +81,7 @@ def test_sitemap_budget(spark):
     body = urlset(*[f"https://s.com/{i}" for i in range(50)])
     assert scan(spark, [sitemap(1, body)], options=BuildOptions(max_pages=7)) == [f"https://s.com/{i}" for i in range(7)]
     assert len(scan(spark, [sitemap(1, body)], max_pages={"s": 3})) == 3
+    assert len(scan(spark, [sitemap(1, body)], options=BuildOptions(max_pages=2), max_pages={"s": 9})) == 9
 
 
 def feed(ord, body, **more):
@@ -252,7 +253,7 @@ def test_merge_precedence_filter_and_budget(spark):
     second = found(spark, [("s", "https://s.com/a", 0), ("s", "https://s.com/b", 1), ("s", "https://s.com/c", 2), ("t", "https://t.com/", 0)], "two")
     options = BuildOptions(max_pages=2, exclude=("skip",))
     table = sites(spark, {"s": "https://s.com", "t": "https://t.com"}, options)
-    merged = merge_strategies([first, second], table, options)
+    merged = merge_strategies([first, second], table)
     got = [(r.site, r.url, r.discovery_method, r.rank) for r in merged.orderBy("site", "rank").collect()]
     assert got == [("s", "https://s.com/A", "one", 1), ("s", "https://s.com/b", "two", 2), ("t", "https://t.com/", "two", 1)]
     assert dry_run_list(merged, table).columns == ["site", "rank", "url"]

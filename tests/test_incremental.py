@@ -1,3 +1,4 @@
+import json
 from datetime import datetime
 
 from helpers import captures, docs, page, sites
@@ -13,8 +14,8 @@ from corpusloom.operators.incremental import (
 )
 from corpusloom.operators.summarize import PROMPT, attach_responses, build_requests, response_text, summarize_pages
 from corpusloom.options import BuildOptions
-from corpusloom.plans.build import build_corpus, publish_corpus
-from corpusloom.sinks.manifest import read_manifest
+from corpusloom.plans.build import build_corpus, publish_corpus, read_documents
+from corpusloom.sinks.manifest import parse_manifest_json, read_manifest
 from corpusloom.sources.page_files import read_page_files
 from corpusloom.sources.tables import MANIFEST
 
@@ -64,8 +65,9 @@ def test_upsert_keeps_the_vanished(spark):
 
 def test_counters(spark):
     rows = [("s", x) for x in ("Processed", "Processed", "Cached", "ExtractionSkipped", "FetchFailed", "Failed")] + [("t", "Cached")]
-    got = {r.site: tuple(r)[1:] for r in run_counters(spark.createDataFrame(rows, "site string, result string")).collect()}
-    assert got == {"s": (6, 2, 2, 2, 1), "t": (1, 0, 1, 0, 1)}
+    table = spark.createDataFrame([("s",), ("t",), ("empty",)], "site string")
+    got = {r.site: tuple(r)[1:] for r in run_counters(spark.createDataFrame(rows, "site string, result string"), table).collect()}
+    assert got == {"s": (6, 2, 2, 2, 1), "t": (1, 0, 1, 0, 1), "empty": (0, 0, 0, 0, 0)}
 
 
 def test_requests(spark):
@@ -138,12 +140,21 @@ def test_build_publish_and_run_again(spark, tmp_path):
     files = read_page_files(spark, str(tmp_path / "files"), sites_table)
     assert {r.url for r in files.collect()} == {f"https://s.com/{x}" for x in ("", "one", "two")}
     bodies["one"] = page("One", words=300)
-    second = build(spark, bodies, known, files)
+    second = build(spark, bodies, known, read_documents(spark, str(tmp_path)))
     assert second.counters.first().asDict() == {"site": "s", "discovered": 5, "processed": 1, "skipped": 3, "failed": 1, "cached": 2}
     assert second.requests.count() == 1
     texts = {r.title: r.markdown for r in second.summaries.collect()}
     assert texts["From REST"] == ("rest " * 30).strip() and len(texts["One"]) > 1400
     assert publish_corpus(second, str(tmp_path)) == 2
+    documents = {r.url: r.content for r in read_documents(spark, str(tmp_path)).collect()}
+    assert set(documents) == {f"https://s.com/{x}" for x in ("", "one", "two")} and len(documents["https://s.com/one"]) > 1400
+    assert documents["https://s.com/two"] == {r.url: r.content for r in files.collect()}["https://s.com/two"]
+    asked = spark.read.json(str(tmp_path / "requests" / "v=2")).first()
+    assert (asked.site, asked.url) == ("s", "https://s.com/one") and asked.content_hash and '"prompt"' in asked.request
+    listed = parse_manifest_json(spark.read.parquet(str(tmp_path / "manifest-json" / "v=2")).select(F.lit("s").alias("site"), "content"))
+    assert listed.count() == 3
+    third = build(spark, bodies, read_manifest(spark, str(tmp_path / "manifest")), read_documents(spark, str(tmp_path)))
+    assert third.counters.first().cached == 3 and all(r.markdown for r in third.summaries.collect())
     assert {r.url for r in read_manifest(spark, str(tmp_path / "manifest")).collect()} == {f"https://s.com/{x}" for x in ("", "one", "two")}
 
 
@@ -161,6 +172,27 @@ def test_failed_summaries_leave_the_manifest_alone(spark):
     assert {r.title for r in corpus.manifest.collect()} == {"Home", "From REST"}
 
 
+def test_rest_items_that_differ_in_case_are_one_page(spark):
+    table = spark.createDataFrame([("s", "https://s.com"), ("none", None)], "site string, root_url string")
+    items = [{"link": f"https://s.com/{n}", "title": {"rendered": n}, "content": {"rendered": f"<p>{n * 20}</p>"}} for n in ("Alpha", "alpha")]
+    rest = [{"kind": "rest_probe", "ord": 1, "body": '{"routes":{}}'}, {"kind": "rest_pages", "page_no": 1, "body": json.dumps(items)}]
+    empty = spark.createDataFrame([], "site string, url string, relative_output_path string, content string")
+    corpus = build_corpus(table, captures(spark, []), docs(spark, rest), spark.createDataFrame([], MANIFEST), empty, BuildOptions())
+    assert {r.site: (r.discovered, r.processed, r.failed) for r in corpus.counters.collect()} == {"s": (2, 1, 1), "none": (0, 0, 0)}
+    assert [(r.title, r.markdown) for r in corpus.summaries.collect()] == [("alpha", "alpha" * 20)]
+
+
+def test_plug_points(spark, tmp_path):
+    def listed(site_docs, sites, options):
+        return sites.select("site", F.lit("https://s.com/two").alias("url"), F.lit("own").alias("discovery_method"), F.lit(0).alias("depth"), F.lit(0).cast("bigint").alias("ordinal"))
+
+    corpus = build(spark, {"one": page("One")}, strategies=[listed], convert=lambda html: "own " * 20)
+    assert {r.markdown for r in corpus.summaries.collect()} == {("own " * 20).strip()}
+    stored = []
+    publish_corpus(corpus, str(tmp_path), write_index=lambda lines, path: stored.append(path), save_manifest=lambda manifest, path: 7)
+    assert len(stored) == 2 and not (tmp_path / "manifest").exists()
+
+
 def test_dry_run(spark):
     table = spark.createDataFrame([("s", "https://s.com", 2)], "site string, root_url string, max_pages int")
     rows = [(0, "s", "https://s.com/", page(links=["/a", "/b"]))]

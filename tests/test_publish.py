@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from corpusloom.functions import url as U
 from corpusloom.operators import publish as P
 from corpusloom.options import BuildOptions
-from corpusloom.sinks.files import write_files, write_lines, write_table
-from corpusloom.sinks.manifest import manifest_json_lines, parse_manifest_json, read_manifest, write_manifest
+from corpusloom.sinks.files import write_files, write_lines
+from corpusloom.sinks.manifest import manifest_json_files, parse_manifest_json, read_manifest, write_manifest
 from corpusloom.sinks.versions import finished_versions
 from corpusloom.sources.tables import MANIFEST
 
@@ -105,8 +105,6 @@ def test_file_parts_and_export(spark, tmp_path):
     assert sorted(str(p.relative_to(tmp_path / "files")) for p in (tmp_path / "files").rglob("*") if p.is_file()) == ["s/llms.txt", "s/llms.txt.part-00001", "t/llms.txt"]
     whole = (tmp_path / "files/s/llms.txt").read_text() + (tmp_path / "files/s/llms.txt.part-00001").read_text()
     assert whole == text_of(P.index_lines(table, root, OPTIONS)) + "\n"
-    write_table(parts, str(tmp_path / "table"))
-    assert spark.read.parquet(str(tmp_path / "table")).count() == 3
 
 
 def test_manifest_versions(spark, tmp_path):
@@ -124,7 +122,7 @@ def test_manifest_versions(spark, tmp_path):
 def test_manifest_json(spark):
     rows = [("s", 'u"1\\', "h1", "p", "t", "T é"), ("s", "u2", "h2", "p", "t", ""), ("t", "u", "h", "p", "t", "T")]
     table = spark.createDataFrame(rows, MANIFEST)
-    files = P.file_parts(P.numbered_lines(manifest_json_lines(table)), "manifest.json", 100)
+    files = manifest_json_files(table)
     by_path = {r.path: r.content for r in files.collect()}
     entry = json.loads(by_path["s/manifest.json"])["Entries"]['u"1\\']
     assert entry == {"Url": 'u"1\\', "ContentHash": "h1", "RelativeOutputPath": "p", "LastGeneratedAt": "t", "Title": "T é"}
@@ -132,6 +130,22 @@ def test_manifest_json(spark):
     assert sorted(tuple(r) for r in back.collect()) == sorted(rows)
 
 
+def test_parts_have_names_of_their_own_and_are_whole(spark):
+    rows = [("s", f"u{i:06d}", "h", "p", "t", "T") for i in range(25)]
+    files = manifest_json_files(spark.createDataFrame(rows, MANIFEST), 10)
+    assert all(len(json.loads(r.content)["Entries"]) <= 10 for r in files.collect())
+    back = parse_manifest_json(files.select(F.substring_index("path", "/", 1).alias("site"), "content"))
+    assert sorted(tuple(r) for r in back.collect()) == rows
+    places = spark.range(99_990, 100_010).select(F.lit("s").alias("site"), F.lit(1).alias("section"), (F.col("id") + 1).alias("ord"), F.lit("x").alias("line"))
+    assert P.file_parts(places, "f", 1).select("path").distinct().count() == 20
+
+
+def test_equal_ranks_leave_one_page(spark):
+    rows = [("s", "u2", "N.md", 1), ("s", "u1", "n.md", 1), ("s", "u3", "other.md", 1)]
+    table = spark.createDataFrame(rows, "site string, url string, file_name string, rank long")
+    assert sorted(r.url for r in P.dedupe_by_filename(table).collect()) == ["u1", "u3"]
+
+
 def test_manifest_json_in_any_case(spark):
     content = '{"entries":{"https://s/":{"url":"https://s/","contentHash":"AB","TITLE":"T"}}}'
     files = spark.createDataFrame([("s", content), ("s", "null"), ("s", "{bad"), ("s", "{}")], "site string, content string")

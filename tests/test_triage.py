@@ -2,6 +2,7 @@ from helpers import captures, page, sites
 
 from corpusloom.operators.triage import (
     choose_captures,
+    match_captures,
     filter_response,
     join_capture_fallback,
     protection_labels,
@@ -37,7 +38,7 @@ def test_choose(spark):
         (19, "s", "https://s/retry", GOOD, {"attempt": 2}),
     ]
     chosen = materialize(choose_captures(captures(spark, rows)), "test")
-    got = {r.url_key: (r.capture_id, r.channel, r.fallback_reason, r.still_blocked) for r in chosen.collect()}
+    got = {r.url: (r.capture_id, r.channel, r.fallback_reason, r.still_blocked) for r in chosen.collect()}
     assert got == {
         "https://s/ok": (1, "http", None, False),
         "https://s/gate": (4, "rendered", "challenge", False),
@@ -48,7 +49,8 @@ def test_choose(spark):
         "https://s/lost": (None, None, "failed", False),
         "https://s/blank": (13, "http", "challenge", False),
         "https://s/rendered-only": (15, "rendered", "failed", False),
-        "https://s/case": (16, "http", None, False),
+        "https://s/Case": (16, "http", None, False),
+        "https://s/case": (17, "http", None, False),
         "https://s/retry": (19, "http", None, False),
     }
     shells = join_capture_fallback(captures(spark, rows), chosen).collect()
@@ -56,10 +58,19 @@ def test_choose(spark):
     assert {r.url for r in shells if r.capture_id == 16} == {"https://s/Case"}
 
 
+def test_exact_url_counts_before_one_that_differs_in_case(spark):
+    rows = [(1, "s", "https://s/Page", GOOD), (2, "s", "https://s/page", GOOD), (3, "s", "https://s/LOST", GOOD), (4, "s", "https://s/lost", " ")]
+    chosen = choose_captures(captures(spark, rows))
+    urls = [("s", f"https://s/{p}", f"https://s/{p.lower()}") for p in ("Page", "page", "PAGE", "lost", "none")]
+    found = match_captures(spark.createDataFrame(urls, "site string, url string, url_key string"), chosen)
+    got = {r.url.rsplit("/", 1)[1]: r.capture_id for r in found.collect()}
+    assert got == {"Page": 1, "page": 2, "PAGE": 1, "lost": None, "none": None}
+
+
 def test_join_beyond_the_broadcast_limit(spark, monkeypatch):
     import corpusloom.operators.triage as triage
 
-    monkeypatch.setattr(triage, "ID_BROADCAST_ROWS", 0)
+    monkeypatch.setattr(triage, "broadcast_if_small", lambda ids: ids)
     table = captures(spark, [(i, "s", f"https://s/{i}", GOOD) for i in range(20)])
     shells = join_capture_fallback(table, materialize(choose_captures(table), "test"))
     assert shells.count() == 20
