@@ -472,14 +472,11 @@ ORACLE: dict[str, str] = {
           FROM n LEFT JOIN old ON old.site = n.site AND old.file_name = n.file_name)
         SELECT site, url, file_name, claimed_by, claimed_by <> url AS collides FROM claims""",
     "incremental_stream": f"""WITH {_C}, {_MARKDOWN}, {_EDITED}, v AS (
-          SELECT split_part(url, '/', 3) AS site, url, html, page_id, 1 AS day FROM c JOIN m USING (page_id)
-            WHERE NOT contains(raw, '?page=2') AND length(markdown) >= 50
-          UNION ALL SELECT split_part(url, '/', 3), url, html, page_id, 2 FROM c JOIN m USING (page_id)
-            WHERE contains(raw, '?page=2') AND length(markdown) >= 50
-          UNION ALL SELECT split_part(url, '/', 3), url, html, page_id, 3 FROM c JOIN e USING (page_id)
-            WHERE raw LIKE '%.html' AND length(edited) >= 50),
-        newest AS (FROM v QUALIFY row_number() OVER (PARTITION BY url ORDER BY day DESC, page_id DESC) = 1)
-        SELECT site, url, {title('html')} AS title, 'ai/pages/' || {_FILE} AS relative_output_path, true AS same_as_batch FROM newest""",
+          SELECT split_part(url, '/', 3) AS site, url, html, page_id, raw,
+            CASE WHEN raw LIKE '%.html' THEN 3 WHEN contains(raw, '?page=2') THEN 2 ELSE 1 END AS day FROM c),
+        newest AS (FROM v QUALIFY row_number() OVER (PARTITION BY url ORDER BY day DESC, page_id) = 1)
+        SELECT site, url, {title('html')} AS title, 'ai/pages/' || {_FILE} AS relative_output_path, true AS same_as_batch
+        FROM newest JOIN m USING (page_id) JOIN e USING (page_id) WHERE length(CASE WHEN day = 3 THEN edited ELSE markdown END) >= 50""",
     "change_stream": f"""WITH {_C}, {_MARKDOWN}, {_EDITED}, v AS (
           SELECT url, page_id AS capture_id, markdown, 1 AS day FROM c JOIN m USING (page_id) UNION ALL
           SELECT url, page_id + {RENDERED_IDS}, CASE WHEN contains(url, '//blog.') THEN edited ELSE markdown END, 2 FROM c JOIN m USING (page_id) JOIN e USING (page_id))

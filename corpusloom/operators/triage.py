@@ -39,32 +39,50 @@ def page_title() -> Column:
     return F.when(F.col("channel") == RENDERED, rendered).otherwise(H.html_title(body, url))
 
 
-def choose_captures(captures: DataFrame) -> DataFrame:
-    """One narrow row per captured page: which response to use and why.
+def _usable() -> Column:
+    """Whether a response can stand for its page: plain ones by status, type and body, rendered ones unless blank."""
+    accepted = H.accepts_response(F.col("status"), F.col("content_type"), F.col("body"))
+    return F.when(F.col("channel") == PRIMARY, accepted).otherwise(~is_blank(F.col("body")))
+
+
+def usable_shells(captures: DataFrame) -> DataFrame:
+    """Page shells of all responses that could stand for their pages."""
+    usable = once(captures.filter(_usable()), url=U.canonicalize(F.col("url"))).filter(F.col("url").isNotNull())
+    return usable.select("capture_id", "site", "url", page_title().alias("title"), F.col("body").alias("html"), "fetched_at")
 
-    Within a channel the last attempt counts, and of equals the lowest ``capture_id``. The plain response
-    is used unless it was rejected, shows a challenge or is too thin; then the rendered one, if any.
-    Bodies are only looked at where they lie: what is shuffled are flags.
+
+def capture_flags(captures: DataFrame) -> DataFrame:
+    """Per site and URL the response of each channel that counts, as the structs ``p`` (plain) and ``r`` (rendered).
+
+    The latest counts, of equals the last attempt, and then the lowest ``capture_id``. That order comes first in the
+    structs, so the flags of two sets of captures are merged by taking the least. Bodies are only looked at where they
+    lie: what is shuffled are flags.
     """
     body = F.col("body")
-    plain = F.col("channel") == PRIMARY
-    usable = F.when(plain, H.accepts_response(F.col("status"), F.col("content_type"), body)).otherwise(~is_blank(body))
-    flags = once(captures, url=U.canonicalize(F.col("url"))).filter(F.col("url").isNotNull()).select(
-        "site",
-        "url",
-        "channel",
-        F.struct((-F.col("attempt")).alias("last"), F.col("capture_id").alias("id")).alias("turn"),
-        F.struct(
-            "capture_id",
-            usable.alias("usable"),
-            H.detect_challenge(body).alias("challenge"),
-            H.is_too_thin(body).alias("thin"),
-        ).alias("c"),
+    flag = F.struct(
+        (-F.unix_micros("fetched_at")).alias("age"),
+        (-F.col("attempt")).alias("last"),
+        "capture_id",
+        _usable().alias("usable"),
+        H.detect_challenge(body).alias("challenge"),
+        H.is_too_thin(body).alias("thin"),
     )
-    paired = flags.groupBy("site", "url").agg(
-        F.min_by("c", F.when(F.col("channel") == PRIMARY, F.col("turn"))).alias("p"),
-        F.min_by("c", F.when(F.col("channel") == RENDERED, F.col("turn"))).alias("r"),
+    flags = once(captures, url=U.canonicalize(F.col("url"))).filter(F.col("url").isNotNull()).select("site", "url", "channel", flag.alias("c"))
+    return flags.groupBy("site", "url").agg(
+        F.min(F.when(F.col("channel") == PRIMARY, F.col("c"))).alias("p"), F.min(F.when(F.col("channel") == RENDERED, F.col("c"))).alias("r")
     )
+
+
+def choose_captures(captures: DataFrame) -> DataFrame:
+    """One narrow row per captured page: which response to use and why.
+
+    The plain response is used unless it was rejected, shows a challenge or is too thin; then the rendered one, if any.
+    """
+    return choose_by_flags(capture_flags(captures))
+
+
+def choose_by_flags(flags: DataFrame) -> DataFrame:
+    """:func:`choose_captures` from the flags of :func:`capture_flags`."""
     primary = F.coalesce(F.col("p.usable"), F.lit(False))
     rendered = F.coalesce(F.col("r.usable"), F.lit(False))
     reason = (
@@ -74,7 +92,7 @@ def choose_captures(captures: DataFrame) -> DataFrame:
     )
     use_rendered = F.col("fallback_reason").isNotNull() & F.col("rendered")
     return (
-        paired.withColumns({"fallback_reason": reason, "primary": primary, "rendered": rendered})
+        flags.withColumns({"fallback_reason": reason, "primary": primary, "rendered": rendered})
         .withColumn("channel", F.when(use_rendered, F.lit(RENDERED)).when(F.col("primary"), F.lit(PRIMARY)))
         .select(
             "site",

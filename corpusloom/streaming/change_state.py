@@ -13,6 +13,7 @@ from corpusloom.operators.extract import extract_pages
 from corpusloom.operators.incremental import succeeded
 from corpusloom.operators.triage import scan_captures
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 CHANGE = "site string, url string, capture_id bigint, content_hash string, fetched_at timestamp"
 
 
@@ -36,6 +37,8 @@ def stream_change_state(captures: DataFrame) -> DataFrame:
     The state is one hash per ``(site, url)``, kept in the state store of the partition that owns the key;
     bodies are reduced to their hash before they are shuffled.
     """
+    # Spark's default store keeps all keys on the heap.
+    captures.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     pages = succeeded(extract_pages(scan_captures(captures).drop("title")))
     # In the column order of the output: versions are passed on as they are.
     hashes = pages.select("site", "url", "capture_id", "content_hash", "fetched_at")

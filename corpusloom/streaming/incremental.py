@@ -12,31 +12,46 @@ from corpusloom.operators.extract import extract_pages
 from corpusloom.operators.incremental import join_manifest, manifest_entries, succeeded
 from corpusloom.operators.ranking import first_by_key
 from corpusloom.operators.summarize import as_summaries
-from corpusloom.operators.triage import scan_captures
+from corpusloom.operators.triage import capture_flags, choose_by_flags, usable_shells
+from corpusloom.session import broadcast_if_small, materialize
 from corpusloom.sinks.versions import finished_versions, read_version
 from corpusloom.sources.tables import MANIFEST
 
 SNAPSHOT = "snapshot="
+_FLAG = "struct<age: bigint, last: int, capture_id: bigint, usable: boolean, challenge: string, thin: boolean>"
+FLAGS = f"site string, url string, p {_FLAG}, r {_FLAG}"
+PAGES = "capture_id bigint, site string, url string, title string, fetched_at timestamp, markdown string, outcome string, content_hash string"
 
 
-def manifest_as_of(spark: SparkSession, state: str, batch: int) -> DataFrame:
-    """Manifest as left by all batches before ``batch``: newest snapshot plus the logged batches since."""
-    snapshots = [v for v in finished_versions(spark, f"{state}/manifest", SNAPSHOT) if v < batch]
+def log_as_of(spark: SparkSession, folder: str, schema: str, batch: int) -> DataFrame:
+    """A keyed log as left by all batches before ``batch``: newest snapshot plus what was logged since; last rows count."""
+    snapshots = [v for v in finished_versions(spark, folder, SNAPSHOT) if v < batch]
     since = snapshots[-1] if snapshots else -1
-    base = spark.createDataFrame([], MANIFEST)
+    base = spark.createDataFrame([], schema)
     if snapshots:
-        base = read_version(spark, f"{state}/manifest", MANIFEST, since, SNAPSHOT)
-    logged = [v for v in finished_versions(spark, f"{state}/manifest", "batch=") if since < v < batch]
+        base = read_version(spark, folder, schema, since, SNAPSHOT)
+    logged = [v for v in finished_versions(spark, folder, "batch=") if since < v < batch]
     if not logged:
         return base
     tagged = base.withColumn("batch", F.lit(-1))
     for v in logged:
-        step = read_version(spark, f"{state}/manifest", MANIFEST, v, "batch=")
+        step = read_version(spark, folder, schema, v, "batch=")
         tagged = tagged.unionByName(step.withColumn("batch", F.lit(v)))
     newest = tagged.withColumn("age", -F.col("batch"))
     return first_by_key(newest, ["site", "url"], ["age"]).drop("batch", "age").select(*base.columns)
 
 
+def manifest_as_of(spark: SparkSession, state: str, batch: int) -> DataFrame:
+    """Manifest as left by all batches before ``batch``."""
+    return log_as_of(spark, f"{state}/manifest", MANIFEST, batch)
+
+
+def _logged(df: DataFrame, folder: str, batch: int, schema: str | None = None) -> DataFrame:
+    """Writes a batch's rows; a replay overwrites them with the same."""
+    df.write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+    return read_version(df.sparkSession, folder, schema, batch, "batch=") if schema else df
+
+
 def apply_batch(
     captures: DataFrame,
     batch: int,
@@ -47,23 +62,40 @@ def apply_batch(
 ) -> None:
     """Fold one batch of captures into the corpus below ``state``.
 
-    Of several captures of a URL the latest counts. Changed pages are written under ``changes/batch=N``
-    and their manifest rows under ``manifest/batch=N``; running a batch again writes the same folders, so
-    a replay after a failure changes nothing. Every ``compact_every`` batches the log becomes a snapshot.
+    Which response stands for a page is decided as in a batch build over all captures so far, in whatever order they
+    arrive: the flags of the counting responses are kept, and the text of every usable one under ``pages/batch=N``.
+    Changed pages are written under ``changes/batch=N`` and their manifest rows under ``manifest/batch=N``; running a
+    batch again writes the same folders, so a replay after a failure changes nothing. Every ``compact_every`` batches
+    the logs of flags and manifest become snapshots.
     """
     spark = captures.sparkSession
-    shells = scan_captures(captures)
-    pages = succeeded(extract_pages(shells))
-    newest = pages.withColumn("age", F.struct((-F.unix_micros("fetched_at")).alias("t"), (-F.col("capture_id")).alias("id")))
-    latest = first_by_key(newest, ["site", "url"], ["age"]).drop("age").withColumn("rank", F.col("capture_id"))
-    checked = join_manifest(latest, manifest_as_of(spark, state, batch))
-    changed = checked.filter(~F.col("is_hit")).drop("is_hit", "known_hash", "known_path", "known_title")
-    summaries = (summarize or as_summaries)(changed).filter(F.col("markdown").isNotNull())
+    _logged(extract_pages(usable_shells(captures)).select(*[c.split()[0] for c in PAGES.split(", ")]), f"{state}/pages", batch)
+    before = log_as_of(spark, f"{state}/flags", FLAGS, batch).select("site", "url", F.col("p").alias("_p"), F.col("r").alias("_r"))
+    merged = capture_flags(captures).join(before, ["site", "url"], "left")
+    merged = merged.select("site", "url", F.least("p", "_p").alias("p"), F.least("r", "_r").alias("r"))
+    flags = _logged(merged, f"{state}/flags", batch, FLAGS)
+
+    chosen = materialize(choose_by_flags(flags).filter(F.col("capture_id").isNotNull()).select("site", "url", "capture_id"), "chosen")
+    arrivals = [v for v in finished_versions(spark, f"{state}/pages", "batch=") if v <= batch]
+    pages = [read_version(spark, f"{state}/pages", PAGES, v, "batch=").withColumn("arrival", F.lit(v)) for v in arrivals]
+    texts = pages[0]
+    for more in pages[1:]:
+        texts = texts.unionByName(more)
+    # Hashes decide first; only the text of changed pages is read and moved.
+    keys = ["site", "url", "capture_id"]
+    hashes = succeeded(texts.drop("markdown", "title", "fetched_at")).join(broadcast_if_small(chosen), keys, "left_semi")
+    # A capture that arrived more than once is read from its last arrival.
+    hashes = hashes.groupBy(*keys, "content_hash").agg(F.max("arrival").alias("arrival"))
+    checked = join_manifest(hashes, manifest_as_of(spark, state, batch))
+    changed = materialize(checked.filter(~F.col("is_hit")).select(*keys, "arrival"), "changed")
+    fresh = texts.join(broadcast_if_small(changed), [*keys, "arrival"], "left_semi").withColumn("rank", F.col("capture_id"))
+    summaries = (summarize or as_summaries)(fresh).filter(F.col("markdown").isNotNull())
     summaries.write.mode("overwrite").parquet(f"{state}/changes/batch={batch}")
     written = spark.read.schema(summaries.schema).parquet(f"{state}/changes/batch={batch}")
-    manifest_entries(written, as_of).write.mode("overwrite").parquet(f"{state}/manifest/batch={batch}")
+    _logged(manifest_entries(written, as_of), f"{state}/manifest", batch)
     if (batch + 1) % compact_every == 0:
-        manifest_as_of(spark, state, batch + 1).write.mode("overwrite").parquet(f"{state}/manifest/{SNAPSHOT}{batch}")
+        for name, schema in (("manifest", MANIFEST), ("flags", FLAGS)):
+            log_as_of(spark, f"{state}/{name}", schema, batch + 1).write.mode("overwrite").parquet(f"{state}/{name}/{SNAPSHOT}{batch}")
 
 
 def stream_incremental(

@@ -4,7 +4,8 @@ from helpers import captures, page
 from pyspark.sql import functions as F
 
 from corpusloom.operators.extract import extract_pages
-from corpusloom.operators.triage import scan_captures
+from corpusloom.operators.triage import choose_captures, join_capture_fallback, scan_captures
+from corpusloom.session import materialize
 from corpusloom.sinks.versions import finished_versions
 from corpusloom.streaming.change_state import stream_change_state
 from corpusloom.streaming.incremental import apply_batch, current_manifest, stream_incremental
@@ -53,6 +54,28 @@ def test_micro_batches_equal_one_run(spark, tmp_path):
     assert changed == {0: 2, 1: 1, 2: 1, 3: 1, 4: 1}
 
 
+def test_any_order_of_batches_equals_the_batch_operators(spark, tmp_path):
+    gate = "<html><p>Just a moment</p>" + "x " * 600 + "</html>"
+    rows = [
+        (1, "s", "https://s.com/a", page("A1"), {"fetched_at": START}),
+        (2, "s", "https://s.com/a", page("A2"), {"fetched_at": START + timedelta(days=2)}),
+        (3, "s", "https://s.com/b", gate, {"fetched_at": START + timedelta(days=1)}),
+        (4, "s", "https://s.com/b", page("B rendered"), {"fetched_at": START, "channel": "rendered"}),
+        (5, "s", "https://s.com/c", page("C plain"), {"fetched_at": START}),
+        (6, "s", "https://s.com/c", page("C rendered"), {"fetched_at": START, "channel": "rendered"}),
+        (7, "s", "https://s.com/c", "busy", {"fetched_at": START - timedelta(days=1), "status": 503}),
+    ]
+    whole = captures(spark, rows)
+    chosen = materialize(choose_captures(whole), "chosen")
+    want = hashes(extract_pages(join_capture_fallback(whole, chosen)))
+    assert len(want) == 3
+    for k, order in enumerate(([0, 1, 2, 3, 4, 5, 6], [6, 5, 4, 3, 2, 1, 0], [3, 1, 6, 2, 0, 5, 4])):
+        state = str(tmp_path / str(k))
+        for n, start in enumerate(range(0, 7, 3)):
+            apply_batch(captures(spark, [rows[i] for i in order[start : start + 3]]), n, state, compact_every=2)
+        assert hashes(current_manifest(spark, state)) == want
+
+
 def test_replaying_a_batch_changes_nothing(spark, tmp_path):
     tables = arrivals(spark, BATCHES[:3])
     state = str(tmp_path / "state")
