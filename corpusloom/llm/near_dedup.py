@@ -2,13 +2,15 @@
 
 A document's set holds its distinct five-word shingles; two sets link if their similarity is at least 85 percent.
 Documents with equal sets are one class, and its first document stands for it. In each of ``TREES`` trees a set takes
-``BRANCHES`` children at a node, one for each minwise token chosen there; similar sets share such tokens and so meet
-again below. A node of at most ``LEAF`` sets ends its path; larger ones branch on, ``DEPTH`` levels at most.
+``BRANCHES`` children at a node, one for each minwise token that the node chooses; similar sets share such tokens and
+so meet again below.
 
-In every node each set is compared with the node's first set. What links is joined into components, and most nodes
-then lie in one component. In the others the sets outside the largest component are compared with all sets of the
-node that are in another component: small nodes exhaustively, and the last large ones without a bound as well. A
-comparison first counts equal minwise tokens and is confirmed on the full sets, so no false link is kept.
+In the topmost nodes each set is compared with the node's pivots, and what links is joined into components. A node
+whose sets are all in one component is settled. A node ends its path when it has at most ``LEAF`` sets, or at most
+``BLOCK`` outside its largest component, or lies at ``DEPTH``; all others branch on. In a node that ends, the sets
+outside the largest component are compared with all sets of other components, exhaustively, dealt out in blocks of
+about ``BLOCK`` sets. A comparison first counts equal minwise tokens and is decided on the full sets, so no false link is kept
+and no pairs are stored but those with a pivot and those that link.
 
 Two sets at the threshold miss each other in one tree with a probability of about 0.03, in all of them with 0.00003.
 
@@ -35,13 +37,16 @@ SHINGLE = 5
 PERCENT = 85
 TREES = 3
 BRANCHES = 2
-DEPTH = 4
-LEAF = 32
-_PER_TREE = sum(BRANCHES**k for k in range(1, DEPTH + 1))
-TOKENS = TREES * _PER_TREE
-MIN_EQUAL = 60
-"""Of ``TOKENS`` (90) minwise tokens so many must be equal before full sets are compared: at the threshold 76.5 are
-expected with a deviation of 3.4, so one link in a million is missed by this."""
+DEPTH = 12
+LEAF = 2048
+BLOCK = 256
+PIVOTS = 8
+"""Pivots of a node with more than ``BLOCK`` sets; smaller ones have one."""
+
+TOKENS = 128
+MIN_EQUAL = 88
+"""Of ``TOKENS`` minwise tokens so many must be equal before full sets are compared: at the threshold 108.8 are expected
+with a deviation of 4, so one link in a million is missed by this."""
 
 _FACTORS = np.random.default_rng(5).integers(1, 1 << 62, TOKENS, np.uint64) * np.uint64(2) + np.uint64(1)
 _BLOCK = 4096
@@ -73,53 +78,32 @@ def _describe(doc_id, text) -> Iterator[tuple]:
     yield doc_id, len(values), *np.frombuffer(whole, np.int64).tolist(), minwise(values).tobytes()
 
 
-def _slot(tree: int, place: int) -> int:
-    """Number of the minwise token that is chosen at a place of a tree; places count from 1, level by level."""
-    return tree * _PER_TREE + place - 1
+def _branch(doc_id, tokens, tree, node) -> Iterator[tuple]:
+    """The children that a set takes below a node (node 0: the root), by tokens that the node chooses at random."""
+    values = np.frombuffer(tokens, np.uint32)
+    first = xxhash.xxh3_64_intdigest(f"{tree}/{node}") % TOKENS
+    for k in range(BRANCHES):
+        slot = (first + k * (TOKENS // BRANCHES)) % TOKENS
+        yield doc_id, tree, xxhash.xxh3_64_intdigest(f"{tree}/{node}/{slot}/{values[slot]}") - (1 << 63)
 
 
-def _child_places(place: int) -> list[int]:
-    return [place * BRANCHES + k + 1 for k in range(BRANCHES)]
+def _shared(rows: DataFrame) -> DataFrame:
+    """Members of nodes with two or more sets: ``id``, ``tree``, ``node``, ``n``."""
+    counts = materialize(rows.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"), "counts")
+    return materialize(rows.join(counts, "node").select("id", "tree", "node", "n"), "nodes")
 
 
-def _branch(doc_id, tokens, tree, place, node) -> Iterator[tuple]:
-    """The children that a set takes below a node (place 0: the root)."""
-    values = np.frombuffer(tokens, np.uint32)
-    for below in _child_places(place):
-        token = int(values[_slot(tree, below)])
-        yield doc_id, tree, below, xxhash.xxh3_64_intdigest(f"{tree}/{node}/{below}/{token}") - (1 << 63)
+def _pivot_pairs(members: DataFrame) -> DataFrame:
+    """Each set of a node with the node's pivots: the first of each of its shares of sets."""
+    dealt = members.withColumn("share", F.when(F.col("n") > BLOCK, F.pmod(F.xxhash64("id"), F.lit(PIVOTS))).otherwise(F.lit(0)))
+    pivots = materialize(dealt.groupBy("node", "share").agg(F.min("id").alias("pivot")).select("node", "pivot"), "pivots")
+    pairs = members.join(pivots, "node").filter(F.col("id") != F.col("pivot"))
+    return pairs.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
 
 
-def _nodes(sets: DataFrame, kind: str) -> DataFrame:
-    """Members of all nodes with two or more sets: ``id``, ``node``, ``first`` and whether a node ends its path."""
-    schema = f"id {kind}, tree int, place int, node bigint"
-    roots = sets.select("id", "tokens", F.explode(F.array(*[F.lit(t) for t in range(TREES)])).alias("tree"))
-    rows = map_rows(roots.select("id", "tokens", "tree", F.lit(0).alias("place"), F.lit(0).cast("bigint").alias("node")), schema, _branch)
-    levels = []
-    for level in range(1, DEPTH + 1):
-        counts = materialize(rows.groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("first")).filter("n > 1"), "counts")
-        level_rows = materialize(rows.join(counts, "node").select("id", "tree", "place", "node", "first", "n"), "nodes")
-        large = level_rows.filter(F.col("n") > LEAF)
-        levels.append(level_rows.select("id", "node", "first", (F.lit(level == DEPTH) | (F.col("n") <= LEAF)).alias("ends")))
-        if level < DEPTH:
-            if large.isEmpty():
-                break
-            below = sets.join(broadcast_if_small(large.select("id").distinct()), "id", "left_semi")
-            rows = map_rows(below.join(large, "id").select("id", "tokens", "tree", "place", "node"), schema, _branch)
-    whole = levels[0]
-    for rows in levels[1:]:
-        whole = whole.unionByName(rows)
-    return whole
-
-
-def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _alike(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """The pairs whose sets have enough equal minwise tokens, by one byte of each."""
-    sketch = map_rows(
-        sets.select("id", "tokens"),
-        f"id {sets.schema['id'].dataType.simpleString()}, sketch binary",
-        lambda i, t: iter([(i, np.frombuffer(t, np.uint32).astype(np.uint8).tobytes())]),
-    )
-    left, right = (sketch.select(F.col("id").alias(k), F.col("sketch").alias(f"sketch_{k}")) for k in "ab")
+    left, right = (sketches.select(F.col("id").alias(k), F.col("sketch").alias(f"sketch_{k}")) for k in "ab")
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "sketch_a", "sketch_b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,10 +115,41 @@ def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(compare, pairs.schema)
 
 
+def _is_link(first: np.ndarray, second: np.ndarray) -> bool:
+    """Whether two sets (sorted hashes) are similar enough."""
+    small, large = sorted((len(first), len(second)))
+    if 100 * small < PERCENT * large:
+        return False
+    shared = len(np.intersect1d(first, second, assume_unique=True))
+    return 100 * shared >= PERCENT * (small + large - shared)
+
+
+def _shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets: products of their rows in the table of shared values, in pieces."""
+    values, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rows = np.repeat(np.arange(len(sets)), list(map(len, sets)))
+    common = np.cumsum(times > 1) - 1
+    kept = times[at] > 1
+    rows, columns = rows[kept], common[at[kept]]
+    order = np.argsort(columns, kind="stable")
+    rows, columns = rows[order], columns[order]
+    counts = np.zeros((len(sets), len(sets)), np.float32)
+    for start in range(0, int(columns[-1]) + 1 if len(columns) else 0, _BLOCK):
+        a, b = np.searchsorted(columns, [start, start + _BLOCK])
+        table = np.zeros((len(sets), _BLOCK), np.float32)
+        table[rows[a:b], columns[a:b] - start] = 1
+        counts += table @ table.T
+    return counts.astype(np.int64)
+
+
+def _bodies(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """``id`` and ``body`` of the texts under ``ids``, left where they are read if the ids are few."""
+    return texts.join(broadcast_if_small(materialize(ids.distinct(), "wanted")), "id", "left_semi")
+
+
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs whose full sets are similar enough."""
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    bodies = texts.join(broadcast_if_small(materialize(wanted, "wanted")), "id", "left_semi")
+    bodies = _bodies(texts, pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))))
     left, right = (bodies.select(F.col("id").alias(k), F.col("body").alias(f"body_{k}")) for k in "ab")
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "body_a", "body_b")
     held: dict = {"a": None, "body": None, "set": None}
@@ -142,25 +157,98 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     def confirm(a, b, body_a, body_b) -> Iterator[tuple]:
         if held["a"] != a or held["body"] != body_a:
             held.update(a=a, body=body_a, set=shingles(body_a))
-        other = shingles(body_b)
-        shared = len(np.intersect1d(held["set"], other, assume_unique=True))
-        if 100 * shared >= PERCENT * (len(held["set"]) + len(other) - shared):
+        if _is_link(held["set"], shingles(body_b)):
             yield a, b
 
-    return map_rows(both, pairs.schema, confirm, 32).distinct()
+    return map_rows(both, pairs.schema, confirm, 32)
 
 
-def _pairs_across(nodes: DataFrame, found: DataFrame) -> DataFrame:
-    """In nodes that lie in several components: each set outside the largest with all sets of another component."""
-    placed = nodes.filter("ends").select("id", "node").join(found, "id", "left")
-    placed = materialize(placed.select("id", "node", F.coalesce("component", "id").alias("component")), "placed")
+def _open_nodes(members: DataFrame, found: DataFrame, last: bool) -> DataFrame:
+    """Members of nodes that lie in several components, with their ``component``, whether they are ``outside`` the node's
+    largest, the numbers of blocks of all sets and of those outside, and whether the node ``ends`` its path."""
+    placed = members.select("id", "tree", "node").join(found, "id", "left")
+    placed = materialize(placed.withColumn("component", F.coalesce("component", "id")), "placed")
     parts = placed.groupBy("node", "component").agg(F.count("*").alias("n"))
-    split = parts.groupBy("node").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("*").alias("parts"))
-    split = materialize(split.filter("parts > 1").select("node", "largest"), "split")
-    open_nodes = materialize(placed.join(split, "node"), "open")
-    outside = open_nodes.filter("component <> largest").select("node", F.col("id").alias("x"), F.col("component").alias("x_component"))
-    across = outside.join(open_nodes.select("node", "id", "component"), "node").filter(F.col("component") != F.col("x_component"))
-    return across.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
+    split = parts.groupBy("node").agg(
+        F.max_by("component", F.struct("n", "component")).alias("largest"),
+        F.count("*").alias("parts"),
+        F.sum("n").alias("n"),
+        (F.sum("n") - F.max("n")).alias("n_outside"),
+    )
+    blocks, outer = (F.ceil(F.col(c) / BLOCK).cast("int").alias(name) for c, name in (("n", "blocks"), ("n_outside", "outer")))
+    ends = (F.col("n") <= LEAF) | (F.col("n_outside") <= BLOCK) | F.lit(last)
+    split = materialize(split.filter("parts > 1").select("node", "largest", blocks, outer, ends.alias("ends")), "split")
+    outside = (F.col("component") != F.col("largest")).alias("outside")
+    return materialize(placed.join(split, "node").select("id", "tree", "node", "component", outside, "blocks", "outer", "ends"), "open")
+
+
+def _blocks(members: DataFrame) -> DataFrame:
+    """Members dealt to groups ``(node, x, y)``: those outside the largest component in block x, with all in block y."""
+    at = F.xxhash64("id", "node")
+    x, y = F.pmod(at, F.col("outer")).cast("int"), F.pmod(at, F.col("blocks")).cast("int")
+    all_x, all_y = F.sequence(F.lit(0), F.col("outer") - 1), F.sequence(F.lit(0), F.col("blocks") - 1)
+    as_outside = members.filter("outside").select("node", "id", "component", F.lit(True).alias("outside"), x.alias("x"), F.explode(all_y).alias("y"))
+    as_any = members.select("node", "id", "component", F.lit(False).alias("outside"), F.explode(all_x).alias("x"), y.alias("y"))
+    return as_outside.unionByName(as_any)
+
+
+def _compare_blocks(groups: DataFrame, sketches: DataFrame, texts: DataFrame, kind: str) -> DataFrame:
+    """Links between sets outside and sets of another component, found within each group.
+
+    Sketches decide which members of a group can link at all; only their texts are moved.
+    """
+    key = ["node", "x", "y"]
+    narrow = groups.join(sketches, "id").groupBy(*key).agg(F.collect_list(F.struct("id", "component", "outside", "sketch")).alias("rows"))
+
+    def survivors(node, x, y, rows) -> Iterator[tuple]:
+        ours, others = ([r for r in rows if r["outside"] is side] for side in (True, False))
+        if not ours or not others:
+            return
+        first, second = (np.frombuffer(b"".join(r["sketch"] for r in side), np.uint8).reshape(-1, TOKENS) for side in (ours, others))
+        parts = [np.array([r["component"] for r in side]) for side in (ours, others)]
+        alike = np.stack([(row == second).sum(axis=1) >= MIN_EQUAL for row in first]) & (parts[0][:, None] != parts[1][None, :])
+        for side, hit in ((ours, alike.any(axis=1)), (others, alike.any(axis=0))):
+            for r, yes in zip(side, hit.tolist(), strict=True):
+                if yes:
+                    yield node, x, y, r["id"], r["component"], r["outside"]
+
+    schema = f"node bigint, x int, y int, id {kind}, component {kind}, outside boolean"
+    left = materialize(map_rows(narrow, schema, survivors, 32), "survivors")
+    bodies = _bodies(texts, left.select("id"))
+    wide = left.join(bodies, "id").groupBy(*key).agg(F.collect_list(F.struct("id", "component", "outside", "body")).alias("rows")).select("rows")
+
+    def confirm(rows) -> Iterator[tuple]:
+        sets = [shingles(r["body"]) for r in rows]
+        sizes = np.array(list(map(len, sets)))
+        shared = _shared_counts(sets)
+        linked = 100 * shared >= PERCENT * (sizes[:, None] + sizes[None, :] - shared)
+        for k, r in enumerate(rows):
+            if r["outside"]:
+                for j in np.flatnonzero(linked[k]).tolist():
+                    if not rows[j]["outside"] and rows[j]["component"] != r["component"]:
+                        yield min(r["id"], rows[j]["id"]), max(r["id"], rows[j]["id"])
+
+    return map_rows(wide, f"a {kind}, b {kind}", confirm, 1)
+
+
+def _tree_links(sets: DataFrame, sketches: DataFrame, texts: DataFrame, kind: str) -> DataFrame:
+    """Links that connect all sets which the trees bring together, and that joining components does not already imply."""
+    schema = f"id {kind}, tree int, node bigint"
+    roots = sets.select("id", "tokens", F.explode(F.array(*[F.lit(t) for t in range(TREES)])).alias("tree"), F.lit(0).cast("bigint").alias("node"))
+    members = _shared(map_rows(roots, schema, _branch))
+    tried = materialize(_alike(_pivot_pairs(members), sketches).distinct(), "tried")
+    links = materialize(_links(tried, texts).distinct(), "links")
+    found = components(links)
+    for level in range(1, DEPTH + 1):
+        members = _open_nodes(members, found, last=level == DEPTH)
+        ending = _blocks(members.filter("ends"))
+        more = materialize(_compare_blocks(ending, sketches, texts, kind).distinct(), "links")
+        links = links.unionByName(more)
+        on = members.filter("NOT ends").select("id", "tree", "node")
+        if level == DEPTH or on.isEmpty():
+            return links
+        below = sets.join(broadcast_if_small(materialize(on.select("id").distinct(), "below")), "id", "left_semi")
+        members = _shared(map_rows(below.join(on, "id").select("id", "tokens", "tree", "node"), schema, _branch))
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -175,15 +263,12 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     sets = materialize(members.filter("id = class").select("id", "tokens").distinct(), "sets")
     bodies = texts.filter("id IS NOT NULL")
 
-    nodes = materialize(_nodes(sets, kind), "members-of-nodes")
-    with_first = nodes.filter("id > first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    tried = materialize(_alike(with_first, sets).distinct(), "tried")
-    links = materialize(_links(tried, bodies), "links")
-    found = components(links)
-    across = _pairs_across(nodes, found).join(tried, ["a", "b"], "left_anti")
-    more = materialize(_alike(across, sets).distinct(), "across")
+    sketches = map_rows(
+        sets.select("id", "tokens"), f"id {kind}, sketch binary", lambda i, t: iter([(i, np.frombuffer(t, np.uint32).astype(np.uint8).tobytes())])
+    )
+    links = _tree_links(sets, materialize(sketches, "sketches"), bodies, kind)
     of_one_id = members.groupBy("id").agg(F.min("class").alias("a"), F.max("class").alias("b")).filter("a < b").select("a", "b")
-    found = components(links.unionByName(_links(more, bodies)).unionByName(of_one_id))
+    found = components(links.unionByName(of_one_id))
 
     labelled = members.select("id", "class", "n").join(found.select(F.col("id").alias("class"), "component"), "class", "left")
     labelled = labelled.select("id", "n", F.coalesce("component", "class").alias("component_id"))

@@ -62,7 +62,8 @@ def test_components_equal_brute_force(spark):
 
 
 def test_large_nodes_are_resolved_without_leaves(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "LEAF", 3)
+    monkeypatch.setattr(near_dedup, "LEAF", 6)
+    monkeypatch.setattr(near_dedup, "BLOCK", 3)
     texts = corpus(4)[:150]
     got = {r[0]: tuple(r[1:4]) for r in near_duplicates(documents(spark, texts)).collect()}
     assert got == brute(list(enumerate(texts)))
