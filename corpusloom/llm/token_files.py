@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from tokenizers import Tokenizer
 
-from corpusloom.llm.words import NumberTable, map_rows, mixed, signed, space_words
+from corpusloom.llm.words import NumberTable, mixed, signed, space_words
 from corpusloom.session import broadcast_if_small, materialize
 
 END_ID = 2
@@ -35,10 +35,23 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
 
+_STOPS = b".,"
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+
+
+def _lone_stops(buffer: np.ndarray) -> np.ndarray:
+    """Places of full stops and commas that have an ASCII letter before them and a blank, or nothing, behind."""
+    at = np.flatnonzero((buffer == _STOPS[0]) | (buffer == _STOPS[1]))
+    behind = np.append(buffer, 0x20)[at + 1]
+    return at[(at > 0) & _LETTER[buffer[at - 1]] & _BLANK[behind]]
+
+
 class UnitEncoder:
     """Byte-level BPE by units that the pattern of the vocabulary never crosses.
 
-    A unit is a word with the one blank before it. The library encodes each unit once; a worker remembers units by a
+    A unit is a word with the one blank before it; a full stop or comma between an ASCII letter and a blank is a unit of
+    its own. The library encodes each unit once; a worker remembers units by a
     64-bit hash, up to a bound. Texts with runs of blanks, blanks at an end, or others than space and line feed are
     given to the library whole.
     """
@@ -49,6 +62,7 @@ class UnitEncoder:
 
     def _forget(self) -> None:
         self._units, self._ids, self._begins = NumberTable(), np.empty(0, np.int32), np.zeros(1, np.int64)
+        self._add(np.arange(len(_STOPS)), self._library([chr(c) for c in _STOPS]))
 
     def _library(self, texts: Sequence[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -69,10 +83,14 @@ class UnitEncoder:
             if not text:
                 out[k] = np.empty(0, np.int32)
             elif self._is_plain(buffer := np.frombuffer(text, np.uint8)):
-                words = space_words(text)
+                alone = _lone_stops(buffer)
+                bare = buffer.copy()
+                bare[alone] = 0x20
+                words = space_words(bare.tobytes())
                 begins = np.maximum(words.starts - 1, 0)
                 before = np.where(words.starts > 0, buffer[begins], 0).astype(np.uint64)
-                places.append((k, begins, words.ends))
+                ends_in_stop = np.append(buffer, 0)[words.ends] * np.isin(words.ends, alone)
+                places.append((k, begins, words.ends, ends_in_stop))
                 # All bits but the sign: the table marks free slots with -1.
                 keys.append(signed(mixed(words.hashes + before * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(1)))
             else:
@@ -81,8 +99,10 @@ class UnitEncoder:
             out[k] = np.array(ids, np.int32)
         if places:
             self._learn(texts, places, np.concatenate(keys))
-            for (k, _, _), mine in zip(places, keys, strict=True):
-                units = self._units.get(mine)
+            for (k, _, _, stops), mine in zip(places, keys, strict=True):
+                units = np.repeat(self._units.get(mine), 1 + (stops > 0))
+                behind = (np.cumsum(1 + (stops > 0)) - 1)[stops > 0]
+                units[behind] = np.where(stops[stops > 0] == _STOPS[0], 0, 1)
                 begins = self._begins[units]
                 counts = self._begins[units + 1] - begins
                 total = np.cumsum(counts)
@@ -99,8 +119,11 @@ class UnitEncoder:
         text_of = np.repeat(np.arange(len(places)), [len(p[1]) for p in places])[at].tolist()
         begins, ends = (np.concatenate([p[k] for p in places])[at].tolist() for k in (1, 2))
         found = self._library([texts[places[t][0]][a:b].decode() for t, a, b in zip(text_of, begins, ends, strict=True)])
+        self._add(new, found)
+
+    def _add(self, keys: np.ndarray, found: list[list[int]]) -> None:
         counts = np.fromiter(map(len, found), np.int64, len(found))
-        self._units.add(new, np.arange(len(new), dtype=np.int32) + self._units.used)
+        self._units.add(keys, np.arange(len(keys), dtype=np.int32) + self._units.used)
         self._begins = np.concatenate([self._begins, np.cumsum(counts) + len(self._ids)])
         self._ids = np.concatenate([self._ids, np.fromiter((i for ids in found for i in ids), np.int32, int(counts.sum()))])
 
@@ -161,10 +184,17 @@ def token_positions(spark: SparkSession, target: str, id_col: str = "doc_id") ->
     stored = spark.read.parquet(target).select(id_col, "tokens", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
     kind = stored.schema[id_col].dataType.simpleString()
 
-    def checksum(doc_id, tokens, file, row) -> Iterator[tuple]:
-        yield doc_id, file, row, len(tokens), zlib.crc32(np.array(tokens, "<u4").tobytes())
+    schema = T._parse_datatype_string(f"`{id_col}` {kind}, file string, row bigint, n_tokens bigint, ids_crc32 bigint")
+    arrow = to_arrow_schema(schema)
+
+    def checksum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, lists, file, row = batch.columns
+            values, bounds = lists.values.to_numpy().astype("<u4"), lists.offsets.to_numpy()
+            sums = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([keys, file, row, pa.array(np.diff(bounds).astype(np.int64)), pa.array(sums, pa.int64())], schema=arrow)
 
-    rows = materialize(map_rows(stored, f"`{id_col}` {kind}, file string, row bigint, n_tokens bigint, ids_crc32 bigint", checksum), "checksums")
+    rows = materialize(stored.mapInArrow(checksum, schema), "checksums")
     files = rows.groupBy("file").agg(F.min(id_col).alias("first"), F.sum("n_tokens").alias("total"))
     before = Window.orderBy(F.col("first").asc_nulls_first(), "file").rowsBetween(Window.unboundedPreceding, -1)
     offsets = materialize(files.select("file", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("offset")), "offsets")
