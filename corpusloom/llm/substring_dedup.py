@@ -29,7 +29,7 @@ from corpusloom.session import broadcast_if_small, materialize
 
 WIDTH = 13
 ANCHOR = 5
-PART_ROWS = 2000
+PART_ROWS = 256
 SPANS = "array<struct<start: int, stop: int>>"
 
 
