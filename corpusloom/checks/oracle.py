@@ -4,8 +4,58 @@ from __future__ import annotations
 
 from corpusloom.checks.archive import LISTING, RENDERED_IDS, SLICE, TREES
 from corpusloom.checks.queries import CRAWL_BUDGET, OWN_BUDGET, SMALL_BUDGET
-from corpusloom.functions.html import CHALLENGE_SIGNATURES
-from corpusloom.operators.summarize import PROMPT
+
+# Challenge signatures with their labels, as they must be.
+CHALLENGE_SIGNATURES = (
+    ("sgcaptcha", "SiteGround CAPTCHA (SGCaptcha)"),
+    ("/.well-known/sgcaptcha", "SiteGround CAPTCHA redirect"),
+    ("cf-challenge", "Cloudflare challenge"),
+    ("Just a moment", "Cloudflare JS challenge"),
+    ("attention required", "Cloudflare Attention Required"),
+    ("enable javascript", "JavaScript-required gate"),
+    ("captcha", "Generic CAPTCHA"),
+    ("hCaptcha", "hCaptcha challenge"),
+    ("g-recaptcha", "Google reCAPTCHA"),
+    ("Checking your browser", "Browser verification gate"),
+    ("DDoS protection by", "DDoS protection interstitial"),
+)
+
+# Fixed value: the prompt, as it must be.
+PROMPT = """\
+You are generating an AI-friendly page summary in markdown.
+Return markdown only. Do not add commentary outside markdown sections.
+Do not invent details. If unknown, write "Not specified".
+Please follow the structure below exactly, filling in each section based on the extracted content, making sure to translate everything to English.
+
+Required structure:
+# {title}
+
+## TL;DR
+- 2-4 bullets
+
+## Key points
+- 5-10 concrete bullets
+
+## Useful context
+- Content type: ...
+- Location: ...
+- Services/areas: ...
+- Deliverables: ...
+- Constraints/criteria: ...
+
+## FAQ
+- 5 to 8 Q/A pairs
+Q: ...
+A: ...
+
+## Reference
+- Source: {url}
+
+Source title: {title}
+Source URL: {url}
+
+Extracted content to summarize:
+{markdown}"""
 
 _AS_OF = 1_704_067_200
 _SPACE = r"[\s\x0B\x{85}\p{Z}]"
@@ -387,6 +437,7 @@ ORACLE: dict[str, str] = {
     "protection": f"""WITH {_P} SELECT CASE WHEN host LIKE 'm.%' THEN 'Cloudflare challenge' ELSE 'none' END AS label,
         count(DISTINCT site) AS sites FROM p GROUP BY 1""",
     "sitemap_urls": f"""WITH {_P} SELECT site, url, 'sitemap' AS discovery_method, 0 AS depth, rank FROM ({_sitemap(200)})""",
+    "rendered_sitemaps": f"""WITH {_P} SELECT site, url, 'sitemap' AS discovery_method, 0 AS depth, rank FROM ({_sitemap(200)})""",
     "feed_urls": f"""WITH {_P} SELECT site, url, 'rss' AS discovery_method, 0 AS depth, rank FROM ({_feed(200)})""",
     "rest_probe": f"""WITH {_P} SELECT DISTINCT site, length(host) % 7 <= 3 AS available,
         CASE length(host) % 7 WHEN 4 THEN 'Cloudflare JS challenge' WHEN 5 THEN 'HTTP 401 from https://' || host || '/wp-json/'
@@ -463,6 +514,8 @@ ORACLE: dict[str, str] = {
         SELECT site || '/llms.txt' || CASE part WHEN 0 THEN '' ELSE '.part-' || lpad(part::VARCHAR, 5, '0') END AS path,
           string_agg(line, chr(10) ORDER BY ord) || chr(10) AS content FROM (SELECT *, (ord - 1) // 10 AS part FROM numbered) GROUP BY site, part""",
     "published_text": f"WITH {_D}, {_DOC_SITES}, {_lines(_DOC_ENTRIES, _INDEX_HEADER)} SELECT site, line FROM numbered",
+    "published_documents": f"""WITH {_D}, t AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN text || chr(10) || 'Edited' ELSE text END AS body FROM d)
+        SELECT site || '/ai/pages/' || file_name AS path, sha256({_front('title', 'sha256(text)')} || chr(10) || {trim('body')} || chr(10)) AS content_hash FROM t""",
     "dedupe_names": f"""WITH {_D}, n AS (
           SELECT site, url, CASE WHEN doc_id % 2 = 0 THEN {fold('title')} ELSE lower(title) END || '.md' AS file_name, doc_id AS rank FROM d)
         FROM n QUALIFY row_number() OVER (PARTITION BY site, lower(file_name) ORDER BY rank) = 1""",

@@ -38,15 +38,16 @@ from corpusloom.operators.triage import (
 )
 from corpusloom.operators.url_filter import url_allowed, url_allowed_by
 from corpusloom.options import BuildOptions
-from corpusloom.plans.build import build_corpus, join_rest_override
+from corpusloom.plans.build import Corpus, build_corpus, join_rest_override, publish_corpus, read_documents
 from corpusloom.plans.discover import discover_composite
 from corpusloom.session import materialize, scratch_path
 from corpusloom.sinks.files import write_lines
 from corpusloom.sinks.manifest import manifest_json_files, parse_manifest_json, read_manifest, write_manifest
+from corpusloom.sources.channels import effective_docs
 from corpusloom.sources.feeds import scan_feeds
 from corpusloom.sources.rest import RestListing, rest_detect, scan_rest_items
 from corpusloom.sources.sitemaps import scan_sitemaps
-from corpusloom.sources.tables import MANIFEST, captures_of_pages, with_site_defaults
+from corpusloom.sources.tables import MANIFEST, PRIMARY, RENDERED, captures_of_pages, with_site_defaults
 from corpusloom.streaming.change_state import stream_change_state
 from corpusloom.streaming.incremental import current_manifest, stream_incremental
 
@@ -157,6 +158,18 @@ def sitemap_urls(spark: SparkSession, sf: str) -> DataFrame:
     return _ranked(found)
 
 
+def rendered_sitemaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Sitemaps whose plain answers are refused or challenge pages, read from their rendered copies."""
+    pages, sites = _sites(spark, sf)
+    docs = A.sitemap_docs(pages)
+    refused = F.length("site") % 2 == 0
+    plain = docs.withColumn("body", F.concat(F.lit("<html>Just a moment, "), "site", F.lit("</html>"))).withColumn(
+        "status", F.when(refused, F.lit(503)).otherwise(F.col("status"))
+    )
+    both = plain.withColumn("channel", F.lit(PRIMARY)).unionByName(docs.withColumn("channel", F.lit(RENDERED)))
+    return _ranked(scan_sitemaps(effective_docs(both), sites, OPTIONS))
+
+
 def feed_urls(spark: SparkSession, sf: str) -> DataFrame:
     pages, sites = _sites(spark, sf)
     found = scan_feeds(A.feed_docs(pages), sites, OPTIONS)
@@ -464,6 +477,25 @@ def published_text(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.text(path).select("site", F.col("value").alias("line"))
 
 
+def published_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as readers see them after two runs, the second with every third page changed and no other written."""
+    summaries, sites = _corpus(spark, sf)
+    edited = summaries.filter("rank % 3 = 0").withColumn("markdown", F.concat("markdown", F.lit("\nEdited")))
+    root = scratch_path(spark, "published")
+    for fresh in (summaries, edited):
+        corpus = Corpus(
+            discovered=sites,
+            counters=sites,
+            requests=build_requests(fresh, OPTIONS.model),
+            summaries=fresh,
+            manifest=upsert_manifest(read_manifest(spark, f"{root}/manifest"), manifest_entries(fresh, OPTIONS.as_of)),
+            files=P.page_files(fresh, OPTIONS.generator),
+            index=P.index_lines(summaries, sites, OPTIONS),
+        )
+        publish_corpus(corpus, root)
+    return read_documents(spark, root).select("path", F.sha2("content", 256).alias("content_hash"))
+
+
 def dedupe_names(spark: SparkSession, sf: str) -> DataFrame:
     """Pages named by their whole titles, of which many are copies, in two foldings of case: first by rank."""
     summaries, _ = _corpus(spark, sf)
@@ -567,6 +599,7 @@ QUERIES: dict[str, Query] = {
         fallback_pages,
         protection,
         sitemap_urls,
+        rendered_sitemaps,
         feed_urls,
         rest_probe,
         rest_items,
@@ -597,6 +630,7 @@ QUERIES: dict[str, Query] = {
         page_files,
         published_files,
         published_text,
+        published_documents,
         dedupe_names,
         collisions,
         corpus_counters,

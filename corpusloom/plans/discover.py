@@ -16,6 +16,7 @@ from corpusloom.operators.ranking import first_by_key
 from corpusloom.operators.triage import choose_captures
 from corpusloom.options import BuildOptions
 from corpusloom.session import broadcast_if_small, materialize, materialize_all
+from corpusloom.sources.channels import effective_docs
 from corpusloom.sources.feeds import scan_feeds
 from corpusloom.sources.rest import RestListing, scan_rest_items
 from corpusloom.sources.sitemaps import scan_sitemaps
@@ -70,6 +71,7 @@ def discover_composite(
     ``sites`` comes from :func:`corpusloom.sources.tables.with_site_defaults`. Sites whose budget the listings
     already fill are not crawled; the result is the same, as the merge would cut the crawl's URLs.
     """
+    site_docs = effective_docs(site_docs)
     rest = scan_rest_items(site_docs, sites, options)
     listings = [rest.discovered, *[strategy(site_docs, sites, options) for strategy in strategies]]
     tables = [(choose_captures(captures), "chosen"), *[(found, "listing") for found in listings]]

@@ -15,7 +15,7 @@ CAPTURES = (
     "capture_id bigint, site string, url string, status int, content_type string, body string, "
     "fetched_at timestamp, channel string, attempt int"
 )
-# One row per stored sitemap, feed or REST response.
+# One row per stored sitemap, feed or REST response; a ``channel`` column may tell rendered copies from plain ones.
 SITE_DOCS = (
     "site string, kind string, doc_url string, candidate_ord int, page_no int, total_pages int, "
     "status int, content_type string, body string"

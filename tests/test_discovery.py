@@ -7,6 +7,7 @@ from corpusloom.operators.merge import distinct_by_url, dry_run_list, merge_stra
 from corpusloom.options import BuildOptions
 from corpusloom.plans.discover import discover_composite
 from corpusloom.session import materialize
+from corpusloom.sources.channels import effective_docs
 from corpusloom.sources.feeds import scan_feeds
 from corpusloom.sources.rest import rest_detect, scan_rest_items
 from corpusloom.sources.sitemaps import scan_sitemaps
@@ -265,6 +266,24 @@ def test_distinct_is_case_sensitive(spark):
     assert sorted((r.site, r.url, r.ordinal) for r in got) == [("s", "U", 2), ("s", "u", 1), ("t", "u", 9)]
 
 
+def test_rendered_copies_stand_for_blocked_answers(spark):
+    rows = [
+        ("a", 503, "busy", "http"), ("a", 200, "good a", "rendered"), ("b", 200, "<html>Just a moment</html>", "http"), ("b", 200, "good b", "rendered"),
+        ("c", 200, "plain c", "http"), ("c", 200, "other", "rendered"), ("d", 403, "no", "http"), ("d", 403, "no", "rendered"), ("e", 200, "alone", "rendered"),
+    ]
+    table = docs(spark, [{**sitemap(1, body), "doc_url": name, "status": status} for name, status, body, _ in rows])
+    channels = spark.createDataFrame([(n, s, b, c) for n, s, b, c in rows], "doc_url string, status int, body string, channel string")
+    table = table.join(channels, ["doc_url", "status", "body"])
+    got = {(r.doc_url, r.body) for r in effective_docs(table).collect()}
+    assert got == {("a", "good a"), ("b", "good b"), ("c", "plain c"), ("d", "no")}
+    assert effective_docs(table.drop("channel")).count() == table.count()
+
+
+def test_sub_sitemaps_are_found_by_their_canonical_address(spark):
+    rows = [sitemap(1, index("https://S.com:443/sub.xml")), {**sitemap(None, urlset("https://s.com/x")), "doc_url": "https://s.com/sub.xml"}]
+    assert scan(spark, rows) == ["https://s.com/x"]
+
+
 def test_composite(spark):
     table = materialize(
         sites(spark, {"s": "https://s.com", "full": "https://full.com", "off": "https://off.com"}, max_pages={"full": 2}, exclude={"off": ["off.com"]}),

@@ -73,6 +73,10 @@ def test_entities(apply):
     assert apply(lambda v: H.decode_entities(v, "attribute"), ["?a=1&copy=2", "?a=1&copy;", "x&lt"]) == ["?a=1&copy=2", "?a=1©", "x<"]
 
 
+def test_numbers_with_leading_zeros(apply):
+    assert apply(lambda v: H.decode_entities(v), ["&#x0000041;", "&#000000065;", "&#x00110000;", "&#00;"]) == ["A", "A", "&#x00110000;", "&#00;"]
+
+
 def test_sanitize_and_encode(apply):
     assert apply(H.sanitize_html, ["a<SCRIPT x>\n1</script>b<style>c</STYLE>d<script>e", " ", None]) == ["abd<script>e", "", ""]
     assert apply(H.html_encode_paragraph, ["<a & \"b\" 'c'> é€"]) == ["<p>&lt;a &amp; &quot;b&quot; &#39;c&#39;&gt; &#233;€</p>"]
@@ -100,6 +104,8 @@ def test_links_of_broken_markup(apply):
     many = "<a " + 'x="y" ' * 20000 + 'href="/q">'
     values = ['<a href="/a">', '<a href="/b', "<a <a href='/c'>", many]
     got = apply(lambda v: H.page_links(v, base, root, F.lit(True)), values)
+    quoted = ['<a title="see href=/wrong now" href="/right">', "<a data-x=' href=\"/no\" ' HREF = /yes>", '<a href title=x href="/late">']
+    assert apply(lambda v: H.page_links(v, base, root, F.lit(True)), quoted) == [[f"https://s.com/{p}"] for p in ("right", "yes", "late")]
     assert got[0] == ["https://s.com/a"] and got[2] == ["https://s.com/c"] and got[3] == ["https://s.com/q"]
 
 
