@@ -187,18 +187,19 @@ def _blocks(members: DataFrame) -> DataFrame:
     at = F.xxhash64("id", "node")
     x, y = F.pmod(at, F.col("outer")).cast("int"), F.pmod(at, F.col("blocks")).cast("int")
     all_x, all_y = F.sequence(F.lit(0), F.col("outer") - 1), F.sequence(F.lit(0), F.col("blocks") - 1)
-    as_outside = members.filter("outside").select("node", "id", "component", F.lit(True).alias("outside"), x.alias("x"), F.explode(all_y).alias("y"))
-    as_any = members.select("node", "id", "component", F.lit(False).alias("outside"), F.explode(all_x).alias("x"), y.alias("y"))
+    rest = ["node", "id", "component", "sketch"]
+    as_outside = members.filter("outside").select(*rest, F.lit(True).alias("outside"), x.alias("x"), F.explode(all_y).alias("y"))
+    as_any = members.select(*rest, F.lit(False).alias("outside"), F.explode(all_x).alias("x"), y.alias("y"))
     return as_outside.unionByName(as_any)
 
 
-def _compare_blocks(groups: DataFrame, sketches: DataFrame, texts: DataFrame, kind: str) -> DataFrame:
+def _compare_blocks(groups: DataFrame, texts: DataFrame, kind: str) -> DataFrame:
     """Links between sets outside and sets of another component, found within each group.
 
     Sketches decide which members of a group can link at all; only their texts are moved.
     """
     key = ["node", "x", "y"]
-    narrow = groups.join(sketches, "id").groupBy(*key).agg(F.collect_list(F.struct("id", "component", "outside", "sketch")).alias("rows"))
+    narrow = groups.groupBy(*key).agg(F.collect_list(F.struct("id", "component", "outside", "sketch")).alias("rows"))
 
     def survivors(node, x, y, rows) -> Iterator[tuple]:
         ours, others = ([r for r in rows if r["outside"] is side] for side in (True, False))
@@ -215,7 +216,11 @@ def _compare_blocks(groups: DataFrame, sketches: DataFrame, texts: DataFrame, ki
     schema = f"node bigint, x int, y int, id {kind}, component {kind}, outside boolean"
     left = materialize(map_rows(narrow, schema, survivors, 32), "survivors")
     bodies = _bodies(texts, left.select("id"))
-    wide = left.join(bodies, "id").groupBy(*key).agg(F.collect_list(F.struct("id", "component", "outside", "body")).alias("rows")).select("rows")
+    # A set meets its text once for all blocks of a node.
+    member = ["id", "node", "component", "outside"]
+    met = left.groupBy(*member).agg(F.collect_list(F.struct("x", "y")).alias("at")).join(bodies, "id")
+    placed = met.select(*member, "body", F.explode("at").alias("at")).select(*member, "body", "at.x", "at.y")
+    wide = placed.groupBy(*key).agg(F.collect_list(F.struct("id", "component", "outside", "body")).alias("rows")).select("rows")
 
     def confirm(rows) -> Iterator[tuple]:
         sets = [shingles(r["body"]) for r in rows]
@@ -241,8 +246,8 @@ def _tree_links(sets: DataFrame, sketches: DataFrame, texts: DataFrame, kind: st
     found = components(links)
     for level in range(1, DEPTH + 1):
         members = _open_nodes(members, found, last=level == DEPTH)
-        ending = _blocks(members.filter("ends"))
-        more = materialize(_compare_blocks(ending, sketches, texts, kind).distinct(), "links")
+        ending = _blocks(members.filter("ends").join(sketches, "id"))
+        more = materialize(_compare_blocks(ending, texts, kind).distinct(), "links")
         links = links.unionByName(more)
         on = members.filter("NOT ends").select("id", "tree", "node")
         if level == DEPTH or on.isEmpty():
