@@ -33,8 +33,8 @@ from corpusloom.llm.words import NumberTable, map_rows
 
 SPACE = "\u2581"
 CHUNK_ROWS = 256
-PAIRS_KEPT = 1 << 21
-UNITS_KEPT = 400_000
+PAIRS_KEPT = 1 << 19
+UNITS_KEPT = 100_000
 _UNIT = re.compile("\n| *[^ \n]+| +")
 _CHARACTER_BITS = 21
 
