@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from llm_helpers import LOWER, documents, prose, words
 
 from corpusloom.llm import near_dedup
@@ -88,3 +89,15 @@ def test_components_of_chains_and_hubs(spark):
     links = [(k, k + 1) for k in range(0, 60)] + [(100, k) for k in range(101, 160)] + [(None, 3)]
     found = {r.id: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert found == {**{k: 0 for k in range(61)}, **{k: 100 for k in range(100, 160)}}
+
+
+def test_roots_of_the_trees_choose_distinct_tokens():
+    tokens = np.arange(near_dedup.TOKENS, dtype=np.uint32)
+    chosen = []
+    for tree in range(near_dedup.TREES):
+        whole = list(near_dedup._branch(1, tokens.tobytes(), tree, 0))
+        for slot in range(near_dedup.TOKENS):
+            other = tokens.copy()
+            other[slot] = 999
+            chosen += [slot] if list(near_dedup._branch(1, other.tobytes(), tree, 0)) != whole else []
+    assert len(chosen) == len(set(chosen)) == near_dedup.TREES * near_dedup.BRANCHES
