@@ -3,7 +3,8 @@
 Markup is stripped to lines, one for each block of text. Each line has the length of its text outside links; a line's
 block is a window of lines around it, and the sum of their lengths tells prose from lists of links and short notices.
 The text surges where the sum first passes a threshold and dives where it falls below it; what stands between is kept,
-down to the short lines in it, and the largest stretch of text is the article. Elements that announce themselves as
+down to the short lines in it. A page's text is all such stretches in page order; where one container holds lines of two
+neighbours, as around a table or list in the middle of an article, the lines between them are kept too. Elements that announce themselves as
 something else (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts) are not lines at all.
 
 Defined cases: a null or empty page, or one without text, has an empty main text; unclosed elements end with what
@@ -37,6 +38,7 @@ BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
+CONTAINERS = frozenset("article blockquote body div main section td".split())
 OPAQUE = frozenset("script style noscript template svg math textarea select iframe object canvas audio video head title".split())
 ASIDE = frozenset("nav header footer aside form menu dialog button label fieldset".split())
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -53,11 +55,13 @@ _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 
 
 class Line(NamedTuple):
-    """A block's text, the length of what is not in links, and whether it stands in an element marked as the article."""
+    """A block's text, the length of what is not in links, whether it stands in an element marked as the article, and the
+    number of its nearest container."""
 
     text: str
     length: int
     marked: bool
+    container: int
 
 
 def _is_aside(name: str, attributes: str, in_article: bool) -> bool:
@@ -79,13 +83,14 @@ def page_lines(html: str) -> list[Line]:
     parts: list[str] = []
     outside = 0
     open_names: list[tuple[str, bool, bool]] = []  # name, left out, article
+    containers = [0]
     skipped = articles = links = 0
 
     def end_line() -> None:
         nonlocal outside
         text = " ".join(unescape("".join(parts)).split())
         if text:
-            lines.append(Line(text, outside, articles > 0))
+            lines.append(Line(text, outside, articles > 0, containers[-1]))
         parts.clear()
         outside = 0
 
@@ -96,6 +101,8 @@ def page_lines(html: str) -> list[Line]:
             skipped -= aside
             articles -= article
             links -= name == "a"
+            if name in CONTAINERS:
+                containers.pop()
 
     at = 0
     while at < len(html):
@@ -136,6 +143,8 @@ def page_lines(html: str) -> list[Line]:
         skipped += aside
         articles += article
         links += name == "a"
+        if name in CONTAINERS:
+            containers.append(at)
     if not skipped:
         end_line()
     return lines
@@ -169,11 +178,21 @@ def main_text(html: str | None) -> str:
     stretches = text_stretches(lengths)
     if not stretches:
         return "\n".join(line.text for line in lines if line.length)
-    a, b = max(stretches, key=lambda r: (int(lengths[r[0] : r[1]].sum()), -r[0]))
-    # The window reaches past both ends: there an article's edge is the point, or else the last line with text of its own.
-    own = marked[a:b] if marked[a:b].any() else lengths[a:b] > 0
-    inside = np.flatnonzero(own)
-    return "\n".join(line.text for line in lines[a + int(inside[0]) : a + int(inside[-1]) + 1])
+    kept: list[tuple[int, int]] = []
+    before: set[int] = set()
+    for a, b in stretches:
+        # The window reaches past both ends: there an article's edge is the point, or else the last line with text of its own.
+        own = marked[a:b] if marked[a:b].any() else lengths[a:b] > 0
+        inside = np.flatnonzero(own)
+        a, b = a + int(inside[0]), a + int(inside[-1]) + 1
+        containers = {line.container for line in lines[a:b] if line.length}
+        if before & containers:
+            a = kept.pop()[0]
+            before |= containers
+        else:
+            before = containers
+        kept.append((a, b))
+    return "\n".join(line.text for a, b in kept for line in lines[a:b])
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -61,3 +61,19 @@ def test_repeated_missing_and_no_rows(spark):
 
 def test_long_pages():
     assert main_text("<div>" + f"<p>{LONG}</p>" * 20_000).count("\n") == 19_999
+
+
+ROWS = [f"r{k}" for k in range(30)]
+TABLE = "<table>" + "".join(f"<tr><td>{r}</td></tr>" for r in ROWS) + "</table>"
+LINKS = "<ul>" + "".join(f"<li><a href=x>{r}</a></li>" for r in ROWS) + "</ul>"
+
+
+@pytest.mark.parametrize("middle", [TABLE, LINKS])
+def test_lists_in_the_middle_do_not_split_an_article(middle):
+    page = f"<div><h1>T</h1><p>{LONG}</p>{middle}<p>{LONG}</p><p>{LONG}</p></div>"
+    assert main_text(page).split("\n") == ["T", LONG, *ROWS, LONG, LONG]
+
+
+def test_all_stretches_are_kept():
+    assert main_text(f"<div><p>{LONG}</div><div>{LINKS}</div><div><p>{LONG}<p>{LONG}</div>") == "\n".join([LONG] * 3)
+    assert main_text(f"<article><p>a</article><div>{LINKS}</div><article><p>b<p>c</article>") == "a\nb\nc"
