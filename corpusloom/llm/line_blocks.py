@@ -5,10 +5,11 @@ block is a window of lines around it, and the sum of their lengths tells prose f
 The text surges where the sum first passes a threshold and dives where it falls below it; what stands between is kept,
 down to the short lines in it. A page's text is all such stretches in page order; where one container holds lines of two
 neighbours, as around a table or list in the middle of an article, the lines between them are kept too. Elements that announce themselves as
-something else (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts) are not lines at all.
+something else (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts) are not lines at all. A
+class or id that only says so of the layout (``has-sidebar``) announces nothing, nor does one around the article itself.
 
 Defined cases: a null or empty page, or one without text, has an empty main text; unclosed elements end with what
-surrounds them; a page of any length is read once, from front to back; rows that repeat are extracted one by one.
+surrounds them; a page of any length is read from front to back, again if a class or id around its article left it out; rows that repeat are extracted one by one.
 """
 
 from __future__ import annotations
@@ -47,6 +48,10 @@ NAMES = re.compile(
     r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|disqus|footer|header|menu|nav\w*|newsletter|notice|popup|promo\w*|"
     r"related|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?=$|[\s_-])"
 )
+LAYOUT = re.compile(
+    r"(?i)^(?:has|no|not|with|without)[_-]|[_-](?:open|opened|closed|enabled|disabled)$|^(?:entry|post|page|article)[_-]header$|^elementor-widget(?:-|$)"
+)
+"""Classes that tell whether something is there, not that the element is it; headings of articles; parts of page builders."""
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S
@@ -64,25 +69,47 @@ class Line(NamedTuple):
     container: int
 
 
-def _is_aside(name: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element announces something else than the main text; an article's own header is part of it."""
+def _names_aside(value: str, in_article: bool) -> bool:
+    """Whether a class or id announces something else; a header in an article is its heading."""
+    names = [m[0].strip(" _-").lower() for token in value.split() if not LAYOUT.search(token) for m in NAMES.finditer(token)]
+    return any(not (in_article and name == "header") for name in names)
+
+
+def _is_aside(name: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether an element announces something else than the main text, and whether only by its class or id; an article's
+    own header is part of it."""
     if name in ASIDE and not (name == "header" and in_article):
-        return True
+        return True, False
     if not attributes or name in ("html", "body", "article", "main"):
-        return False
+        return False, False
+    named = False
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if key == "role" and value.lower() in ROLES or key in ("class", "id") and NAMES.search(value) or key == "hidden":
-            return True
-    return False
+        if key == "role" and value.lower() in ROLES or key == "hidden":
+            return True, False
+        named = named or key in ("class", "id") and _names_aside(value, in_article)
+    return named, named
 
 
-def page_lines(html: str) -> list[Line]:
-    """The page's lines in order, without opaque and announced elements."""
+class Wrapped(NamedTuple):
+    """An article or main element that only classes or ids around it leave out: where these begin, and its text's length."""
+
+    name: str
+    around: tuple[int, ...]
+    length: list[int]
+
+
+def _read_lines(html: str, layout: frozenset[int]) -> tuple[list[Line], list[Wrapped], bool]:
+    """Lines outside opaque and announced elements, articles inside named ones, and whether others were met; elements that
+    begin at ``layout`` announce nothing."""
     lines: list[Line] = []
+    wrapped: list[Wrapped] = []
+    inside: list[Wrapped] = []
+    named: list[int] = []
+    found = False
     parts: list[str] = []
     outside = 0
-    open_names: list[tuple[str, bool, bool]] = []  # name, left out, article
+    open_names: list[tuple[str, bool, bool, bool, bool]] = []  # name, left out, by its class or id alone, article, wrapped
     containers = [0]
     skipped = articles = links = 0
 
@@ -97,8 +124,12 @@ def page_lines(html: str) -> list[Line]:
     def close(count: int) -> None:
         nonlocal skipped, articles, links
         for _ in range(count):
-            name, aside, article = open_names.pop()
+            name, aside, by_name, article, is_wrapped = open_names.pop()
             skipped -= aside
+            if by_name:
+                named.pop()
+            if is_wrapped:
+                inside.pop()
             articles -= article
             links -= name == "a"
             if name in CONTAINERS:
@@ -113,6 +144,8 @@ def page_lines(html: str) -> list[Line]:
             parts.append(text)
             if not links:
                 outside += len(text.strip())
+        elif stop > at and inside:
+            inside[0].length[0] += len(html[at:stop].strip())
         if not token:
             break
         at = token.end()
@@ -135,18 +168,41 @@ def page_lines(html: str) -> list[Line]:
             at = end.start() if end else len(html)
         if name == "p" and open_names:  # a paragraph ends the one before it
             depth = next((k for k in range(len(open_names) - 1, -1, -1) if open_names[k][0] == "p"), None)
-            if depth is not None and not any(n in BLOCKS for n, _, _ in open_names[depth + 1 :]):
+            if depth is not None and not any(o[0] in BLOCKS for o in open_names[depth + 1 :]):
                 close(len(open_names) - depth)
-        aside = name in OPAQUE or _is_aside(name, token[3], articles > 0)
+        aside, by_name = (True, False) if name in OPAQUE else _is_aside(name, token[3], articles > 0)
+        if by_name and token.start() in layout:
+            aside = by_name = False
         article = name in ("article", "main")
-        open_names.append((name, aside, article))
+        is_wrapped = article and skipped > 0 and skipped == len(named)
+        if is_wrapped:
+            inside.append(Wrapped(name, tuple(named), [0]))
+            wrapped.append(inside[-1])
+        found = found or article and not skipped
+        open_names.append((name, aside, by_name, article, is_wrapped))
         skipped += aside
+        if by_name:
+            named.append(token.start())
         articles += article
         links += name == "a"
         if name in CONTAINERS:
             containers.append(at)
     if not skipped:
         end_line()
+    return lines, wrapped, found
+
+
+def page_lines(html: str) -> list[Line]:
+    """The page's lines in order, without opaque and announced elements.
+
+    Classes and ids announce nothing around the page's ``main`` or, if no article stands outside what they announce,
+    around its longest one.
+    """
+    lines, wrapped, found = _read_lines(html, frozenset())
+    mains = [w for w in wrapped if w.name == "main"]
+    if mains or wrapped and not found:
+        article = max(mains or wrapped, key=lambda w: w.length[0])
+        lines = _read_lines(html, frozenset(article.around))[0]
     return lines
 
 

@@ -77,3 +77,23 @@ def test_lists_in_the_middle_do_not_split_an_article(middle):
 def test_all_stretches_are_kept():
     assert main_text(f"<div><p>{LONG}</div><div>{LINKS}</div><div><p>{LONG}<p>{LONG}</div>") == "\n".join([LONG] * 3)
     assert main_text(f"<article><p>a</article><div>{LINKS}</div><article><p>b<p>c</article>") == "a\nb\nc"
+
+
+@pytest.mark.parametrize("names", ["wrap has-sidebar", "no-sidebar", "with-header", "comments-open", "elementor-widget", "content-sidebar-wrap"])
+def test_layout_around_the_article_is_no_aside(names):
+    inside = f"<p>{LONG}</p><div class=sidebar><p>{LONG}</div>"
+    for tag in ("article", "main"):
+        assert main_text(f"<div class='{names}'><div id=site-header><{tag}>{inside}</{tag}></div></div>") == LONG
+
+
+@pytest.mark.parametrize("names", ["wrap has-sidebar", "no-sidebar", "with-header", "comments-open", "elementor-widget", "page-header"])
+def test_states_are_no_asides(names):
+    assert main_text(f"<div class='{names}'><p>{LONG}</p></div><div class='sidebar'><p>{LONG}</div>") == LONG
+
+
+def test_headings_inside_and_articles_in_comments():
+    for names in ("entry-header", "page-header"):
+        assert main_text(f"<article><div class={names}><h1>T</h1></div><p>{LONG}</article>") == f"T\n{LONG}"
+    page = f"<article><p>x</article><div id=comments><article><p>{LONG}</article></div>"
+    assert main_text(page) == "x"
+    assert main_text(f"<article><p>x</article><div class='content-sidebar-wrap'><main><p>{LONG}</main></div>") == f"x\n{LONG}"
