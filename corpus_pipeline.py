@@ -13,6 +13,9 @@ from corpusloom.llm.sentence_pieces import encode_with_digests
 from corpusloom.llm.substring_dedup import remove_repeats
 from corpusloom.session import materialize, ship_package
 
+NEAR_PERCENT = 85
+"""Similarity of near duplicates. Stages on word shingles need 80 or more; this stage's test fixes 85."""
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what the base rules or the model reject; the model is fitted to the labelled rows of the input tables."""
@@ -24,7 +27,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the first document of each group of near duplicates."""
     ship_package(spark)
-    return keep_first(docs)
+    return keep_first(docs, percent=NEAR_PERCENT)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Near-duplicate detection with chosen-path trees over minwise shingles.
 
-A document's set holds its distinct five-word shingles; two sets link if their similarity is at least 85 percent.
-Documents with equal sets are one class, and its first document stands for it. In each of ``TREES`` trees a set takes
+A document's set holds its distinct five-word shingles; two sets link if their similarity is at least ``percent``.
+Documents with equal sets are one class, and its first document stands for it. In each of a few trees a set takes
 ``BRANCHES`` children at a node, one for each minwise token that the node chooses; similar sets share such tokens and
 so meet again below.
 
@@ -12,9 +12,10 @@ outside the largest component are compared with all sets of other components, ex
 about ``BLOCK`` sets. A comparison first counts equal minwise tokens and is decided on the full sets, so no false link is kept
 and no pairs are stored but those with a pivot and those that link.
 
-The roots of the trees choose distinct tokens. Two sets at the threshold miss each other in all trees with a probability
-of 0.15^6 = 0.00001 where the nodes below the roots end, the usual case, and of about 0.00008 (simulated with these
-choices of 128 tokens) where all nodes branch on to any depth.
+The roots of the trees choose distinct tokens, and there are as many trees as the threshold needs. Two sets at 85 percent
+miss each other in all three trees with a probability of 0.15^6 = 0.00001 where the nodes below the roots end, the usual
+case, and of about 0.00008 (simulated with these choices of 128 tokens) where all nodes branch on to any depth; at 80
+percent, with four trees, the two are 0.2^8 = 0.000003 and about 0.00006.
 
 Defined cases: null and empty texts and texts without words have empty sets and link with nothing; fewer than five
 words are one shingle; rows under one id are one document, with the links of all of them; a row without an id links
@@ -23,6 +24,7 @@ with nothing, has no component and is kept; an empty table gives an empty result
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +39,6 @@ from corpusloom.session import broadcast_if_small, materialize
 
 SHINGLE = 5
 PERCENT = 85
-TREES = 3
 BRANCHES = 2
 DEPTH = 12
 LEAF = 2048
@@ -46,9 +47,11 @@ PIVOTS = 8
 """Pivots of a node with more than ``BLOCK`` sets; smaller ones have one."""
 
 TOKENS = 128
-MIN_EQUAL = 88
-"""Of ``TOKENS`` minwise tokens so many must be equal before full sets are compared: at the threshold 108.8 are expected
-with a deviation of 4, so one link in a million is missed by this."""
+MISSED = 5e-5
+"""Share of links at the threshold that all trees may miss, by the limit of a branching process."""
+
+UNEQUAL = 1.1e-6
+"""Share of links at the threshold that may have too few equal tokens for a comparison of full sets."""
 
 _FACTORS = np.random.default_rng(5).integers(1, 1 << 62, TOKENS, np.uint64) * np.uint64(2) + np.uint64(1)
 _ROOTS = np.random.default_rng(6).permutation(TOKENS // BRANCHES)
@@ -56,6 +59,25 @@ _BLOCK = 4096
 _UPPER = np.frombuffer(bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256)), np.uint8).tobytes()
 
 
+def tree_count(percent: int) -> int:
+    """Trees that miss at most ``MISSED`` of the links at the threshold; a tree misses ((1 - p) / p)^2 of them."""
+    if not 52 <= percent <= 100:
+        raise ValueError("chosen paths with two children need a similarity of 52 to 100 percent")
+    missed = ((100 - percent) / percent) ** 2
+    return math.ceil(math.log(MISSED) / math.log(missed)) if missed else 1
+
+
+def min_equal(percent: int) -> int:
+    """So many of ``TOKENS`` minwise tokens must be equal before full sets are compared."""
+    p, below, least = percent / 100, 0.0, 0
+    while least < TOKENS:
+        below += math.comb(TOKENS, least) * p**least * (1 - p) ** (TOKENS - least)
+        if below > UNEQUAL:
+            break
+        least += 1
+    return least
+
+
 def shingles(text: bytes | None) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles."""
     hashes = space_words((text or b"").translate(_UPPER)).hashes
@@ -108,7 +130,7 @@ def _pivot_pairs(members: DataFrame) -> DataFrame:
     return pairs.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
 
 
-def _alike(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+def _alike(pairs: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
     """The pairs whose sets have enough equal minwise tokens, by one byte of each."""
     left, right = (sketches.select(F.col("id").alias(k), F.col("sketch").alias(f"sketch_{k}")) for k in "ab")
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "sketch_a", "sketch_b")
@@ -117,18 +139,18 @@ def _alike(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
         for batch in batches:
             first, second = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, TOKENS) for k in (2, 3))
             # One pair in 256 of unequal tokens has equal bytes, which only adds comparisons.
-            yield batch.select(["a", "b"]).filter(pa.array((first == second).sum(axis=1) >= MIN_EQUAL))
+            yield batch.select(["a", "b"]).filter(pa.array((first == second).sum(axis=1) >= least))
 
     return both.mapInArrow(compare, pairs.schema)
 
 
-def _is_link(first: np.ndarray, second: np.ndarray) -> bool:
+def _is_link(first: np.ndarray, second: np.ndarray, percent: int) -> bool:
     """Whether two sets (sorted hashes) are similar enough."""
     small, large = sorted((len(first), len(second)))
-    if 100 * small < PERCENT * large:
+    if 100 * small < percent * large:
         return False
     shared = len(np.intersect1d(first, second, assume_unique=True))
-    return 100 * shared >= PERCENT * (small + large - shared)
+    return 100 * shared >= percent * (small + large - shared)
 
 
 def _shared_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -154,7 +176,7 @@ def _bodies(texts: DataFrame, ids: DataFrame) -> DataFrame:
     return texts.join(broadcast_if_small(materialize(ids.distinct(), "wanted")), "id", "left_semi")
 
 
-def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _links(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets are similar enough."""
     bodies = _bodies(texts, pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))))
     left, right = (bodies.select(F.col("id").alias(k), F.col("body").alias(f"body_{k}")) for k in "ab")
@@ -164,7 +186,7 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     def confirm(a, b, body_a, body_b) -> Iterator[tuple]:
         if held["a"] != a or held["body"] != body_a:
             held.update(a=a, body=body_a, set=shingles(body_a))
-        if _is_link(held["set"], shingles(body_b)):
+        if _is_link(held["set"], shingles(body_b), percent):
             yield a, b
 
     return map_rows(both, pairs.schema, confirm, 32)
@@ -200,12 +222,13 @@ def _blocks(members: DataFrame) -> DataFrame:
     return as_outside.unionByName(as_any)
 
 
-def _compare_blocks(groups: DataFrame, texts: DataFrame, kind: str) -> DataFrame:
+def _compare_blocks(groups: DataFrame, texts: DataFrame, kind: str, percent: int) -> DataFrame:
     """Links between sets outside and sets of another component, found within each group.
 
     Sketches decide which members of a group can link at all; only their texts are moved.
     """
     key = ["node", "x", "y"]
+    least = min_equal(percent)
     narrow = groups.groupBy(*key).agg(F.collect_list(F.struct("id", "component", "outside", "sketch")).alias("rows"))
 
     def survivors(node, x, y, rows) -> Iterator[tuple]:
@@ -214,7 +237,7 @@ def _compare_blocks(groups: DataFrame, texts: DataFrame, kind: str) -> DataFrame
             return
         first, second = (np.frombuffer(b"".join(r["sketch"] for r in side), np.uint8).reshape(-1, TOKENS) for side in (ours, others))
         parts = [np.array([r["component"] for r in side]) for side in (ours, others)]
-        alike = np.stack([(row == second).sum(axis=1) >= MIN_EQUAL for row in first]) & (parts[0][:, None] != parts[1][None, :])
+        alike = np.stack([(row == second).sum(axis=1) >= least for row in first]) & (parts[0][:, None] != parts[1][None, :])
         for side, hit in ((ours, alike.any(axis=1)), (others, alike.any(axis=0))):
             for r, yes in zip(side, hit.tolist(), strict=True):
                 if yes:
@@ -233,7 +256,7 @@ def _compare_blocks(groups: DataFrame, texts: DataFrame, kind: str) -> DataFrame
         sets = [shingles(r["body"]) for r in rows]
         sizes = np.array(list(map(len, sets)))
         shared = _shared_counts(sets)
-        linked = 100 * shared >= PERCENT * (sizes[:, None] + sizes[None, :] - shared)
+        linked = 100 * shared >= percent * (sizes[:, None] + sizes[None, :] - shared)
         for k, r in enumerate(rows):
             if r["outside"]:
                 for j in np.flatnonzero(linked[k]).tolist():
@@ -243,18 +266,18 @@ def _compare_blocks(groups: DataFrame, texts: DataFrame, kind: str) -> DataFrame
     return map_rows(wide, f"a {kind}, b {kind}", confirm, 1)
 
 
-def _tree_links(sets: DataFrame, sketches: DataFrame, texts: DataFrame, kind: str) -> DataFrame:
+def _tree_links(sets: DataFrame, sketches: DataFrame, texts: DataFrame, kind: str, percent: int) -> DataFrame:
     """Links that connect all sets which the trees bring together, and that joining components does not already imply."""
     schema = f"id {kind}, tree int, node bigint"
-    roots = sets.select("id", "tokens", F.explode(F.array(*[F.lit(t) for t in range(TREES)])).alias("tree"), F.lit(0).cast("bigint").alias("node"))
+    roots = sets.select("id", "tokens", F.explode(F.array(*[F.lit(t) for t in range(tree_count(percent))])).alias("tree"), F.lit(0).cast("bigint").alias("node"))
     members = _shared(map_rows(roots, schema, _branch))
-    tried = materialize(_alike(_pivot_pairs(members), sketches).distinct(), "tried")
-    links = materialize(_links(tried, texts).distinct(), "links")
+    tried = materialize(_alike(_pivot_pairs(members), sketches, min_equal(percent)).distinct(), "tried")
+    links = materialize(_links(tried, texts, percent).distinct(), "links")
     found = components(links)
     for level in range(1, DEPTH + 1):
         members = _open_nodes(members, found, last=level == DEPTH)
         ending = _blocks(members.filter("ends").join(sketches, "id"))
-        more = materialize(_compare_blocks(ending, texts, kind).distinct(), "links")
+        more = materialize(_compare_blocks(ending, texts, kind, percent).distinct(), "links")
         links = links.unionByName(more)
         on = members.filter("NOT ends").select("id", "tree", "node")
         if level == DEPTH or on.isEmpty():
@@ -263,7 +286,7 @@ def _tree_links(sets: DataFrame, sketches: DataFrame, texts: DataFrame, kind: st
         members = _shared(map_rows(below.join(on, "id").select("id", "tokens", "tree", "node"), schema, _branch))
 
 
-def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """Per row its id, ``n_shingles``, ``component_id`` (least id reachable over links) and ``kept`` (it has that id)."""
     kind = documents.schema[id_col].dataType.simpleString()
     texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("body"))
@@ -278,7 +301,7 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     sketches = map_rows(
         sets.select("id", "tokens"), f"id {kind}, sketch binary", lambda i, t: iter([(i, np.frombuffer(t, np.uint32).astype(np.uint8).tobytes())])
     )
-    links = _tree_links(sets, materialize(sketches, "sketches"), bodies, kind)
+    links = _tree_links(sets, materialize(sketches, "sketches"), bodies, kind, percent)
     of_one_id = members.groupBy("id").agg(F.min("class").alias("a"), F.max("class").alias("b")).filter("a < b").select("a", "b")
     found = components(links.unionByName(of_one_id))
 
@@ -291,8 +314,8 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     )
 
 
-def keep_first(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_first(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """``documents`` with all columns, without those whose component has a smaller id."""
-    judged = near_duplicates(documents, id_col, text_col)
+    judged = near_duplicates(documents, id_col, text_col, percent)
     dropped = materialize(judged.filter("NOT kept").select(F.col(id_col).alias("_id")).distinct(), "dropped")
     return documents.join(broadcast_if_small(dropped), F.col(id_col) == F.col("_id"), "left_anti")

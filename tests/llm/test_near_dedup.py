@@ -94,10 +94,18 @@ def test_components_of_chains_and_hubs(spark):
 def test_roots_of_the_trees_choose_distinct_tokens():
     tokens = np.arange(near_dedup.TOKENS, dtype=np.uint32)
     chosen = []
-    for tree in range(near_dedup.TREES):
+    for tree in range(near_dedup.tree_count(80)):
         whole = list(near_dedup._branch(1, tokens.tobytes(), tree, 0))
         for slot in range(near_dedup.TOKENS):
             other = tokens.copy()
             other[slot] = 999
             chosen += [slot] if list(near_dedup._branch(1, other.tobytes(), tree, 0)) != whole else []
-    assert len(chosen) == len(set(chosen)) == near_dedup.TREES * near_dedup.BRANCHES
+    assert len(chosen) == len(set(chosen)) == near_dedup.tree_count(80) * near_dedup.BRANCHES
+
+
+def test_threshold_is_a_parameter(spark):
+    assert [(near_dedup.tree_count(p), near_dedup.min_equal(p)) for p in (85, 80)] == [(3, 88), (4, 79)]
+    # 100 shingles each, 91 shared: similarity 91 / 109.
+    a = [f"w{k}" for k in range(104)]
+    docs = documents(spark, [" ".join(a), " ".join(a[:95] + [f"x{k}" for k in range(9)])])
+    assert [keep_first(docs, **p).count() for p in ({}, {"percent": 80})] == [2, 1]
