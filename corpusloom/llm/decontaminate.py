@@ -5,8 +5,8 @@ The windows of the test items form a hash set that is broadcast. Its size is che
 result. A text's windows are hashed where the text is read; hits are verified word by word.
 
 Defined cases: null and empty texts have no words and are clean; an item without words has no windows, an item of
-fewer than ``width`` words is one window; items that repeat count once by id; a row whose item_id is null is ignored;
-an empty table of items finds nothing; rows that repeat are judged one by one.
+fewer than ``width`` words is one window; items that repeat count once by id; rows whose item_id is null
+are items like others, counted as one and left out of the hash of the items; an empty table of items finds nothing; rows that repeat are judged one by one.
 """
 
 from __future__ import annotations
@@ -48,21 +48,21 @@ class WindowSet:
     """Windows of test items by number of words and hash."""
 
     def __init__(self, rows: list[tuple]) -> None:
-        self.items: dict[bytes, set[str]] = defaultdict(set)
+        self.items: dict[bytes, set[str | None]] = defaultdict(set)
         for item_id, window in rows:
-            self.items[bytes(window)].add(str(item_id))
+            self.items[bytes(window)].add(None if item_id is None else str(item_id))
         by_width: dict[int, list] = defaultdict(list)
         for window in self.items:
             hashes = space_words(window).hashes
             by_width[len(hashes)].append(window_hashes(hashes, len(hashes))[0])
         self.hashes = {width: np.sort(np.array(hashes, np.uint64)) for width, hashes in by_width.items()}
 
-    def hits(self, text: bytes | None) -> tuple[int, np.ndarray, set[str]]:
+    def hits(self, text: bytes | None) -> tuple[int, np.ndarray, set[str | None]]:
         """The text's number of words, which of them are hit, and the items hit."""
         plain = normalised(text)
         words = space_words(plain)
         mask = np.zeros(len(words), bool)
-        items: set[str] = set()
+        items: set[str | None] = set()
         for width, known in self.hashes.items():
             found = window_hashes(words.hashes, width)
             at = np.minimum(np.searchsorted(known, found), len(known) - 1)
@@ -77,7 +77,7 @@ class WindowSet:
 def _slices(items: DataFrame, id_col: str, text_col: str, width: int, slice_windows: int) -> Iterator:
     """Broadcast window sets of bounded size, one after another."""
     kind = items.schema[id_col].dataType.simpleString()
-    rows = items.select(id_col, F.col(text_col).cast("binary")).filter(F.col(id_col).isNotNull())
+    rows = items.select(id_col, F.col(text_col).cast("binary"))
     windows = map_rows(rows, f"item {kind}, window binary", lambda i, t: item_windows(i, t, width)).distinct()
     parts = -(-windows.count() // slice_windows)
     for part in range(parts):
@@ -99,7 +99,7 @@ def find_contamination(
     width: int = WIDTH,
     slice_windows: int = SLICE_WINDOWS,
 ) -> DataFrame:
-    """Per row of ``documents``: its id, ``n_words``, ``spans`` of hit words, and ``items`` as sorted strings."""
+    """Per row of ``documents``: its id, ``n_words``, ``spans`` of hit words, and ``items`` as sorted strings, a null id last."""
     kind = documents.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, text_key bigint, n_words bigint, spans array<struct<start: int, stop: int>>, items array<string>"
     rows = documents.select(id_col, F.xxhash64(text_col), F.col(text_col).cast("binary"))
@@ -107,7 +107,7 @@ def find_contamination(
     def scan(windows) -> DataFrame:
         def of_row(doc_id, text_key, text) -> Iterator[tuple]:
             n_words, mask, items = windows.value.hits(text)
-            yield doc_id, text_key, n_words, _ranges(mask), sorted(items)
+            yield doc_id, text_key, n_words, _ranges(mask), sorted(items, key=lambda item: (item is None, item))
 
         return map_rows(rows, schema, of_row)
 
@@ -139,7 +139,7 @@ def contamination_digests(documents: DataFrame, items: DataFrame, id_col: str =
 
     def digest(doc_id, n_words, spans, items) -> Iterator[tuple]:
         hit = _span_words(spans, n_words)
-        names = hashlib.sha256(",".join(items).encode()).hexdigest()
+        names = hashlib.sha256(",".join(item for item in items if item is not None).encode()).hexdigest()
         yield doc_id, n_words, hit, len(items), names, hit > 0 and min_share * hit >= n_words
 
     schema = f"`{id_col}` {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"

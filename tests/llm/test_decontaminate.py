@@ -72,3 +72,13 @@ def test_repeats_and_no_rows(spark):
     assert drop_contaminated(twice, table.limit(0)).count() == 3
     assert [r.n_hit for r in contamination_digests(twice, table.limit(0)).collect()] == [0, 0, 0]
     assert contamination_digests(twice.limit(0), table).count() == 0
+
+
+def test_items_without_an_id_mark_words(spark):
+    table = spark.createDataFrame([(None, "a passage of the test", 1), (None, "another one", 1), (7, "with an id", 1)], ITEMS)
+    docs = documents(spark, ["x a passage of the test y", "a passage of the test, another one, with an id", "clean text"])
+    names = [hashlib.sha256(n).hexdigest() for n in (b"", b"7", b"")]
+    want = [(0, 7, 5, 1, names[0], True), (1, 10, 10, 2, names[1], True), (2, 2, 0, 0, names[2], False)]
+    for size in (1 << 20, 2):
+        assert sorted(map(tuple, contamination_digests(docs, table, slice_windows=size).collect())) == want
+        assert [r.doc_id for r in drop_contaminated(docs, table, slice_windows=size).collect()] == [2]
