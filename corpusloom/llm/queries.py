@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm.byte_network import fit_network, score_quality
 from corpusloom.llm.decontaminate import contamination_digests
+from corpusloom.llm.fill_in_middle import middle_digests
+from corpusloom.llm.filter_audit import audit_quality_filters
+from corpusloom.llm.fingerprints import fingerprint_digests
 from corpusloom.llm.line_blocks import extract_main_text
 from corpusloom.llm.near_dedup import near_duplicates
 from corpusloom.llm.quality_rules import fit_ngram_model, judge_quality
@@ -78,6 +81,18 @@ def sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_digests(_table(spark, sf_dir, "documents"))
+
+
+def fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middle_digests(_table(spark, sf_dir, "documents"))
+
+
+def filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_quality_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_near_dedup": near_dedup,
     "op2_url_rules": url_rules,
@@ -89,4 +104,7 @@ QUERIES: dict[str, Query] = {
     "op8_line_blocks": line_blocks,
     "op9_byte_network": byte_network,
     "op10_sentence_pieces": sentence_pieces,
+    "op11_fingerprints": fingerprints,
+    "op12_fill_in_middle": fill_in_middle,
+    "op13_filter_audit": filter_audit,
 }

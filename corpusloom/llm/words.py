@@ -176,3 +176,34 @@ def map_rows(df: DataFrame, schema: T.StructType | str, of_row: Callable[..., It
                     )
 
     return df.mapInArrow(run, kind)
+
+
+_FLUSH_BYTES = 4 << 20
+
+
+def map_partitions(df: DataFrame, schema: T.StructType | str, of_rows: Callable[[Iterator[tuple]], Iterator[tuple]]) -> DataFrame:
+    """Rows that ``of_rows`` makes of the rows of each partition, taken one by one and sent on by the megabyte."""
+    kind = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    arrow = to_arrow_schema(kind)
+
+    def flushed(held: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*held, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(values, field.type) for values, field in zip(columns, arrow, strict=True)], schema=arrow)
+
+    def given(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                yield tuple(c[k].as_py() for c in batch.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for row in of_rows(given(batches)):
+            held.append(row)
+            size += 64 + sum(len(v) for v in row if isinstance(v, (bytes, str)))
+            if size > _FLUSH_BYTES:
+                yield flushed(held)
+                held, size = [], 0
+        if held:
+            yield flushed(held)
+
+    return df.mapInArrow(run, kind)
