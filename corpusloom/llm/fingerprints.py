@@ -6,16 +6,17 @@ keeps every shingle hash below a fixed fraction of the hash range, however long
 very unequal length can be held against each other, and the sketch of a union is made from sketches alone.
 
 Rows are range-partitioned and sorted by id, so a document and the next one meet in the task that sketches both, and each
-text moves once. Only the first and last document of a partition meet by a join.
+text moves once, compressed. Only the first and last document of a partition meet by a join.
 
 Defined cases: a null text counts as empty, and an empty text has an empty sketch, like other empty ones only; bytes that
-are not UTF-8 count as U+FFFD; a row without an id comes first; rows under one id follow each other in order of their
-texts; a single row is followed by itself; an empty table gives no rows; other columns are not looked at.
+are not UTF-8 count as U+FFFD; a row without an id comes first; rows under one id follow each other in order of a hash
+of their texts; a single row is followed by itself; an empty table gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -165,24 +166,27 @@ def _against(text: str, own: np.ndarray, following: str, next_own: np.ndarray) -
 def fingerprint_edits(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every document and of its edited text, and how alike it is to that and to the next document."""
     kind = documents.schema[id_col].dataType.simpleString()
-    placed = (
-        documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-        .repartitionByRange("id")
-        .sortWithinPartitions("id", "text")
-    )
+
+    def squeezed(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for doc_id, tie, text in rows:
+            yield doc_id, tie, zlib.compress(text or b"", 1)
+
+    given = documents.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).cast("binary").alias("text"))
+    small = map_partitions(given, f"id {kind}, tie bigint, text binary", squeezed)
+    placed = small.repartitionByRange("id").sortWithinPartitions("id", "tie").drop("tie")
 
     def of_partition(rows: Iterator[tuple]) -> Iterator[tuple]:
         part, last = TaskContext.get().partitionId(), None
         for doc_id, stored in rows:
-            text = _decoded(stored)
+            text = _decoded(zlib.decompress(stored))
             own = sketch(text)
             if last is None:
                 yield "head", part, doc_id, *[None] * 6, stored
             else:
                 yield "row", part, last[0], *_against(last[1], last[2], text, own), None
-            last = doc_id, text, own
+            last = doc_id, text, own, stored
         if last is not None:
-            yield "tail", part, last[0], *[None] * 6, last[1].encode("utf-8", "replace")
+            yield "tail", part, last[0], *[None] * 6, last[3]
 
     made = materialize(map_partitions(placed, f"role string, part int, id {kind}, {_MADE}, text binary", of_partition), "fingerprints")
     # Two rows a partition: the last document of one meets the first of the next that is not empty.
@@ -193,7 +197,7 @@ def fingerprint_edits(documents: DataFrame, id_col: str = "doc_id", text_col: st
 
     def of_tails(rows: Iterator[tuple]) -> Iterator[tuple]:
         for doc_id, stored, next_stored in rows:
-            text, following = _decoded(stored), _decoded(next_stored)
+            text, following = (_decoded(zlib.decompress(held)) for held in (stored, next_stored))
             yield doc_id, *_against(text, sketch(text), following, sketch(following))
 
     rows = made.filter("role = 'row'").drop("role", "part", "text").unionByName(map_partitions(met, f"id {kind}, {_MADE}", of_tails))

@@ -31,9 +31,9 @@ def brute_sketch(text):
     return low if len(low) >= fp.FLOOR else known[: fp.FLOOR]
 
 
-def brute(rows):
+def brute(rows, tie=lambda text: 0):
     """Edited text and sketches per position, as the contract says, one document after another."""
-    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, (r[1] or "").encode()))
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, tie(r[1])))
     for k, (i, text) in enumerate(ordered):
         text, following = text or "", ordered[(k + 1) % len(ordered)][1] or ""
         half = len(text) // 2
@@ -118,7 +118,8 @@ def test_compare(spark):
 def test_repeated_missing_and_no_rows(spark):
     rows = [(None, "first"), (4, "b second"), (4, "a third"), (4, "a third"), (9, None)]
     table = documents(spark, [t for _, t in rows], [i for i, _ in rows])
-    assert sorted(map(str, map(tuple, fp.fingerprint_digests(table).collect()))) == sorted(map(str, brute(rows)))
+    ties = {r.text: r.tie for r in table.select("text", F.xxhash64("text").alias("tie")).collect()}
+    assert sorted(map(str, map(tuple, fp.fingerprint_digests(table).collect()))) == sorted(map(str, brute(rows, ties.get)))
     assert fp.fingerprint_digests(table.limit(0)).collect() == [] == fp.merge_fingerprints(fp.fingerprint_documents(table.limit(0)), ["doc_id"]).collect()
     alone = fp.fingerprint_digests(documents(spark, ["abcdef"])).first()
     assert alone.edited_sha256 == hashlib.sha256(b"abcabc").hexdigest() and alone.near_next == 1.0
