@@ -6,7 +6,7 @@ delta encoded. Row groups and pages are kept short, and the page index that Parq
 range of ids skip the pages of all other columns. Lengths and positions are read without touching the lists.
 
 Defined cases: a null text counts as empty; an empty text has the end id only; a row without an id comes first; rows
-under one id keep the order in which they are stored; an empty table gives no rows.
+under one id follow in order of their texts; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,10 +36,26 @@ _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
 
 _STOPS = b".,"
+# White space beyond ASCII, in UTF-8; the pattern of the vocabulary takes it and blanks beside it as one run.
+_WIDE_BLANKS = tuple(chr(c).encode() for c in (0x85, 0xA0, 0x1680, 0x202F, 0x205F, 0x3000))
+_WIDE_BLANK_BLOCK = b"\xe2\x80"
+_IN_BLOCK = frozenset([*range(0x80, 0x8B), 0xA8, 0xA9])
+JOINED = 512
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 
 
+def _has_wide_blank(text: bytes) -> bool:
+    if any(blank in text for blank in _WIDE_BLANKS):
+        return True
+    at = text.find(_WIDE_BLANK_BLOCK)
+    while at >= 0:
+        if text[at + 2] in _IN_BLOCK:
+            return True
+        at = text.find(_WIDE_BLANK_BLOCK, at + 3)
+    return False
+
+
 def _lone_stops(buffer: np.ndarray) -> np.ndarray:
     """Places of full stops and commas that have an ASCII letter before them and a blank, or nothing, behind."""
     at = np.flatnonzero((buffer == _STOPS[0]) | (buffer == _STOPS[1]))
@@ -51,18 +67,20 @@ class UnitEncoder:
     """Byte-level BPE by units that the pattern of the vocabulary never crosses.
 
     A unit is a word with the one blank before it; a full stop or comma between an ASCII letter and a blank is a unit of
-    its own. The library encodes each unit once; a worker remembers units by a
-    64-bit hash, up to a bound. Texts with runs of blanks, blanks at an end, or others than space and line feed are
-    given to the library whole.
+    its own. The library encodes each unit once, many in one text, with line feeds between them; a worker remembers units
+    by a 64-bit hash, up to a bound. Texts with runs of blanks, blanks at an end, or others than space and line feed,
+    also such beyond ASCII, are given to the library whole.
     """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
+        self._feed = self._library(["\n"])[0]
         self._forget()
 
     def _forget(self) -> None:
-        self._units, self._ids, self._begins = NumberTable(), np.empty(0, np.int32), np.zeros(1, np.int64)
-        self._add(np.arange(len(_STOPS)), self._library([chr(c) for c in _STOPS]))
+        self._units, self._ids = NumberTable(), np.empty(0, np.int32)
+        self._begins = self._ends = np.empty(0, np.int64)
+        self._add(np.arange(len(_STOPS)), *self._units_ids([chr(c) for c in _STOPS]))
 
     def _library(self, texts: Sequence[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -82,15 +100,16 @@ class UnitEncoder:
         for k, text in enumerate(texts):
             if not text:
                 out[k] = np.empty(0, np.int32)
-            elif self._is_plain(buffer := np.frombuffer(text, np.uint8)):
+            elif self._is_plain(buffer := np.frombuffer(text, np.uint8)) and not _has_wide_blank(text):
                 alone = _lone_stops(buffer)
                 bare = buffer.copy()
                 bare[alone] = 0x20
+                stops = np.zeros(len(buffer) + 1, np.uint8)
+                stops[alone] = buffer[alone]
                 words = space_words(bare.tobytes())
                 begins = np.maximum(words.starts - 1, 0)
                 before = np.where(words.starts > 0, buffer[begins], 0).astype(np.uint64)
-                ends_in_stop = np.append(buffer, 0)[words.ends] * np.isin(words.ends, alone)
-                places.append((k, begins, words.ends, ends_in_stop))
+                places.append((k, begins, words.ends, stops[words.ends]))
                 # All bits but the sign: the table marks free slots with -1.
                 keys.append(signed(mixed(words.hashes + before * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(1)))
             else:
@@ -104,7 +123,7 @@ class UnitEncoder:
                 behind = (np.cumsum(1 + (stops > 0)) - 1)[stops > 0]
                 units[behind] = np.where(stops[stops > 0] == _STOPS[0], 0, 1)
                 begins = self._begins[units]
-                counts = self._begins[units + 1] - begins
+                counts = self._ends[units] - begins
                 total = np.cumsum(counts)
                 out[k] = self._ids[np.arange(total[-1]) + np.repeat(begins - total + counts, counts)]
         return out
@@ -118,14 +137,37 @@ class UnitEncoder:
         at = missing[first]
         text_of = np.repeat(np.arange(len(places)), [len(p[1]) for p in places])[at].tolist()
         begins, ends = (np.concatenate([p[k] for p in places])[at].tolist() for k in (1, 2))
-        found = self._library([texts[places[t][0]][a:b].decode() for t, a, b in zip(text_of, begins, ends, strict=True)])
-        self._add(new, found)
-
-    def _add(self, keys: np.ndarray, found: list[list[int]]) -> None:
-        counts = np.fromiter(map(len, found), np.int64, len(found))
+        self._add(new, *self._units_ids([texts[places[t][0]][a:b].decode() for t, a, b in zip(text_of, begins, ends, strict=True)]))
+
+    def _units_ids(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where each unit's begin and end among them.
+
+        A line feed is a piece of its own before any unit, so units are told apart in joined texts by its id. A unit that
+        begins with a line feed takes the one before it.
+        """
+        ids, begins, ends, total = [], [], [], 0
+        groups = [units[k : k + JOINED] for k in range(0, len(units), JOINED)]
+        joined = ["".join(unit if unit[0] == "\n" else f"\n{unit}" for unit in group) for group in groups]
+        for group, found in zip(groups, self._library(joined), strict=True):
+            values = np.array(found, np.int32)
+            feeds = np.flatnonzero(values == self._feed[0]) if len(self._feed) == 1 else values
+            if len(feeds) == len(group):
+                first, last = feeds + 1 - np.fromiter((unit[0] == "\n" for unit in group), bool, len(group)), np.append(feeds[1:], len(values))
+            else:  # another vocabulary may hold pieces across line feeds
+                alone = self._library(group)
+                values, last = np.array([i for unit in alone for i in unit], np.int32), np.cumsum([len(unit) for unit in alone])
+                first = last - [len(unit) for unit in alone]
+            ids.append(values)
+            begins.append(first + total)
+            ends.append(last + total)
+            total += len(values)
+        return np.concatenate(ids), np.concatenate(begins), np.concatenate(ends)
+
+    def _add(self, keys: np.ndarray, ids: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> None:
         self._units.add(keys, np.arange(len(keys), dtype=np.int32) + self._units.used)
-        self._begins = np.concatenate([self._begins, np.cumsum(counts) + len(self._ids)])
-        self._ids = np.concatenate([self._ids, np.fromiter((i for ids in found for i in ids), np.int32, int(counts.sum()))])
+        self._begins = np.concatenate([self._begins, begins + len(self._ids)])
+        self._ends = np.concatenate([self._ends, ends + len(self._ids)])
+        self._ids = np.concatenate([self._ids, ids])
 
 
 @lru_cache(maxsize=2)
@@ -155,7 +197,7 @@ def write_token_files(
                 yield pa.RecordBatch.from_arrays([keys, lists, pa.array(counts)], schema=arrow)
 
     # Texts are dealt out before they are encoded: they are the smaller of the two.
-    placed = documents.select(id_col, F.col(text_col).cast("binary")).repartitionByRange(id_col).sortWithinPartitions(id_col)
+    placed = documents.select(id_col, F.col(text_col).cast("binary")).repartitionByRange(id_col).sortWithinPartitions(id_col, text_col)
     writer = placed.mapInArrow(encode, kind).write.option("compression", "zstd")
     layout = {
         "parquet.writer.version": "PARQUET_2_0",

@@ -21,6 +21,21 @@ def texts():
     return out + out[:4]
 
 
+def test_words_with_any_white_space_between_equal_the_library():
+    rng = random.Random(8)
+    blanks = [*map(chr, [*range(9, 14), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF])]
+    bits = ["a", "word", "don't", "it's", "naïve.", "字", "3.5,", "x,", "end.", "<|endoftext|>", "“q”", "—", "é", "12"]
+    given = ["a \u00a0 \u00a0 b", "\nfirst\nlast"]
+    for _ in range(5000):
+        between = ["".join(rng.choice(blanks if rng.random() < 0.2 else " \n") for _ in range(rng.choice([1, 1, 1, 2]))) for _ in range(6)]
+        given.append("".join(rng.choice(bits) + blank for blank in between).strip(" \n"))
+    encoder = UnitEncoder(PATH)
+    want = [e.ids for e in Tokenizer.from_file(PATH).encode_batch(given, add_special_tokens=False)]
+    for start in range(0, len(given), 300):
+        found = encoder.encode_batch([t.encode() for t in given[start : start + 300]])
+        assert [ids.tolist() for ids in found] == want[start : start + 300]
+
+
 def test_files_hold_the_library_ids_in_order(spark):
     given = texts()
     order = list(range(len(given)))
