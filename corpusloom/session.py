@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 # A side of a join is broadcast only when it was counted and holds at most so many rows and bytes.
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
+# Bound of an Arrow batch towards Python, whatever its number of rows.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 FIXED_SIZE = ("boolean", "int", "bigint", "double", "date", "timestamp")
 
 
@@ -40,7 +43,12 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make this package importable in Python workers, unless the job was submitted with it."""
+    """Make this package importable in Python workers, unless the job was submitted with it, and bound their batches.
+
+    Rows hold whole texts and pages, so a batch is bounded in bytes; a session that sets a lower bound keeps it.
+    """
+    bound = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH_SETTING))
+    spark.conf.set(_BATCH_SETTING, str(min(bound, BATCH_BYTES)))
     shipped = spark.conf.get("spark.corpusloom.shipped", None)
     if shipped == spark.sparkContext.applicationId:
         return
