@@ -41,6 +41,7 @@ _WIDE_BLANKS = tuple(chr(c).encode() for c in (0x85, 0xA0, 0x1680, 0x202F, 0x205
 _WIDE_BLANK_BLOCK = b"\xe2\x80"
 _IN_BLOCK = frozenset([*range(0x80, 0x8B), 0xA8, 0xA9])
 JOINED = 512
+GROUP_BYTES = 1 << 20
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 
@@ -85,59 +86,84 @@ class UnitEncoder:
     def _library(self, texts: Sequence[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    @staticmethod
-    def _is_plain(buffer: np.ndarray) -> bool:
-        blank = _BLANK[buffer]
-        odd = blank & (buffer != 0x20) & (buffer != 0x0A)
-        return not (blank[0] or blank[-1] or odd.any() or (blank[1:] & blank[:-1]).any())
-
     def encode_batch(self, texts: Sequence[bytes | None]) -> list[np.ndarray]:
         """Ids of each text."""
-        if self._units.used > UNITS_KEPT:
-            self._forget()
-        out: list = [None] * len(texts)
-        whole, places, keys = [], [], []
+        out: list = [np.empty(0, np.int32)] * len(texts)
+        whole: list[int] = []
+        group: list[int] = []
+        size = 0
         for k, text in enumerate(texts):
-            if not text:
-                out[k] = np.empty(0, np.int32)
-            elif self._is_plain(buffer := np.frombuffer(text, np.uint8)) and not _has_wide_blank(text):
-                alone = _lone_stops(buffer)
-                bare = buffer.copy()
-                bare[alone] = 0x20
-                stops = np.zeros(len(buffer) + 1, np.uint8)
-                stops[alone] = buffer[alone]
-                words = space_words(bare.tobytes())
-                begins = np.maximum(words.starts - 1, 0)
-                before = np.where(words.starts > 0, buffer[begins], 0).astype(np.uint64)
-                places.append((k, begins, words.ends, stops[words.ends]))
-                # All bits but the sign: the table marks free slots with -1.
-                keys.append(signed(mixed(words.hashes + before * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(1)))
-            else:
-                whole.append(k)
+            if text:
+                group.append(k)
+                size += len(text)
+            if group and (size > GROUP_BYTES or k == len(texts) - 1):
+                plain = self._plain(group, texts)
+                whole += sorted(set(group) - set(plain))
+                for at, ids in zip(plain, self._by_units([texts[j] for j in plain]), strict=True):
+                    out[at] = ids
+                group, size = [], 0
         for k, ids in zip(whole, self._library([texts[k].decode() for k in whole]), strict=True):
             out[k] = np.array(ids, np.int32)
-        if places:
-            self._learn(texts, places, np.concatenate(keys))
-            for (k, _, _, stops), mine in zip(places, keys, strict=True):
-                units = np.repeat(self._units.get(mine), 1 + (stops > 0))
-                behind = (np.cumsum(1 + (stops > 0)) - 1)[stops > 0]
-                units[behind] = np.where(stops[stops > 0] == _STOPS[0], 0, 1)
-                begins = self._begins[units]
-                counts = self._ends[units] - begins
-                total = np.cumsum(counts)
-                out[k] = self._ids[np.arange(total[-1]) + np.repeat(begins - total + counts, counts)]
         return out
 
-    def _learn(self, texts: Sequence[bytes], places: list[tuple], keys: np.ndarray) -> None:
-        """Encodes the units that are not known yet."""
-        missing = np.flatnonzero(self._units.get(keys) < 0)
-        if not len(missing):
-            return
-        new, first = np.unique(keys[missing], return_index=True)
-        at = missing[first]
-        text_of = np.repeat(np.arange(len(places)), [len(p[1]) for p in places])[at].tolist()
-        begins, ends = (np.concatenate([p[k] for p in places])[at].tolist() for k in (1, 2))
-        self._add(new, *self._units_ids([texts[places[t][0]][a:b].decode() for t, a, b in zip(text_of, begins, ends, strict=True)]))
+    @staticmethod
+    def _plain(group: list[int], texts: Sequence[bytes | None]) -> list[int]:
+        """Those texts of a group whose units the pattern never crosses."""
+        lengths = np.array([len(texts[k]) for k in group])
+        buffer = np.frombuffer(b"\n" + b"\n".join([texts[k] for k in group]) + b"\n", np.uint8)
+        starts = np.cumsum(lengths + 1) - lengths
+        between = np.zeros(len(buffer), bool)
+        between[[0, *(starts + lengths).tolist()]] = True
+        blank = _BLANK[buffer]
+        runs = np.flatnonzero(blank[1:] & blank[:-1])
+        odd = np.concatenate([np.flatnonzero(blank & (buffer != 0x20) & (buffer != 0x0A)), runs, runs + 1])
+        bad = np.zeros(len(group), bool)
+        bad[np.searchsorted(starts, odd[~between[odd]], "right") - 1] = True
+        if _has_wide_blank(buffer.tobytes()):
+            bad |= [_has_wide_blank(texts[k]) for k in group]
+        return [k for k, no in zip(group, bad.tolist(), strict=True) if not no]
+
+    def _by_units(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of plain texts, worked off together as one text with line feeds between and around them."""
+        if not texts:
+            return []
+        if self._units.used > UNITS_KEPT:
+            self._forget()
+        lengths = np.array([len(text) for text in texts])
+        joined = b"\n" + b"\n".join(texts) + b"\n"
+        buffer = np.frombuffer(joined, np.uint8)
+        text_starts = np.cumsum(lengths + 1) - lengths
+        alone = _lone_stops(buffer)
+        bare = buffer.copy()
+        bare[alone] = 0x20
+        stops = np.zeros(len(buffer) + 1, np.uint8)
+        stops[alone] = buffer[alone]
+        words = space_words(bare.tobytes())
+        begins_text = np.zeros(len(buffer), bool)
+        begins_text[text_starts] = True
+        first = begins_text[words.starts]
+        before = np.where(first, 0, buffer[words.starts - 1]).astype(np.uint64)
+        # All bits but the sign: the table marks free slots with -1.
+        keys = signed(mixed(words.hashes + before * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(1))
+        known = self._units.get(keys)
+        missing = np.flatnonzero(known < 0)
+        if len(missing):
+            new, at = np.unique(keys[missing], return_index=True)
+            begins, ends = (words.starts - ~first)[missing[at]].tolist(), words.ends[missing[at]].tolist()
+            self._add(new, *self._units_ids([joined[a:b].decode() for a, b in zip(begins, ends, strict=True)]))
+            known[missing] = self._units.get(keys[missing])
+        ends_in_stop = stops[words.ends]
+        stopped = ends_in_stop > 0
+        units = np.repeat(known, 1 + stopped)
+        last = np.cumsum(1 + stopped) - 1
+        units[last[stopped]] = np.where(ends_in_stop[stopped] == _STOPS[0], 0, 1)
+        begins = self._begins[units]
+        counts = self._ends[units] - begins
+        total = np.cumsum(counts)
+        ids = self._ids[np.arange(total[-1]) + np.repeat(begins - total + counts, counts)]
+        # The last unit of each text is that of the word before the next text's first.
+        until = total[last[np.append(np.flatnonzero(first)[1:], len(first)) - 1]]
+        return np.split(ids, until[:-1])
 
     def _units_ids(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, and where each unit's begin and end among them.
