@@ -58,8 +58,14 @@ def capture_flags(captures: DataFrame) -> DataFrame:
     structs, so the flags of two sets of captures are merged by taking the least. Bodies are only looked at where they
     lie: what is shuffled are flags.
     """
+    flags = once(captures, url=U.canonicalize(F.col("url"))).filter(F.col("url").isNotNull()).select("site", "url", "channel", capture_flag().alias("c"))
+    return least_flags(flags, F.col("c"))
+
+
+def capture_flag() -> Column:
+    """What decides about a response, in the order in which responses count."""
     body = F.col("body")
-    flag = F.struct(
+    return F.struct(
         (-F.unix_micros("fetched_at")).alias("age"),
         (-F.col("attempt")).alias("last"),
         "capture_id",
@@ -67,9 +73,20 @@ def capture_flags(captures: DataFrame) -> DataFrame:
         H.detect_challenge(body).alias("challenge"),
         H.is_too_thin(body).alias("thin"),
     )
-    flags = once(captures, url=U.canonicalize(F.col("url"))).filter(F.col("url").isNotNull()).select("site", "url", "channel", flag.alias("c"))
+
+
+def least_flags(flags: DataFrame, flag: Column) -> DataFrame:
+    """The least flag of each channel per site and URL."""
     return flags.groupBy("site", "url").agg(
-        F.min(F.when(F.col("channel") == PRIMARY, F.col("c"))).alias("p"), F.min(F.when(F.col("channel") == RENDERED, F.col("c"))).alias("r")
+        F.min(F.when(F.col("channel") == PRIMARY, flag)).alias("p"), F.min(F.when(F.col("channel") == RENDERED, flag)).alias("r")
+    )
+
+
+def flagged_shells(captures: DataFrame) -> DataFrame:
+    """Page shells of all responses with their flags; HTML only of those that can stand for their pages."""
+    known = once(captures, url=U.canonicalize(F.col("url"))).filter(F.col("url").isNotNull())
+    return known.select(
+        "capture_id", "site", "url", "channel", page_title().alias("title"), F.when(_usable(), F.col("body")).alias("html"), "fetched_at", capture_flag().alias("flag")
     )
 
 
@@ -81,8 +98,8 @@ def choose_captures(captures: DataFrame) -> DataFrame:
     return choose_by_flags(capture_flags(captures))
 
 
-def choose_by_flags(flags: DataFrame) -> DataFrame:
-    """:func:`choose_captures` from the flags of :func:`capture_flags`."""
+def _with_choice(flags: DataFrame) -> DataFrame:
+    """Flags with the ``channel`` that is used, null where neither response can be, and why."""
     primary = F.coalesce(F.col("p.usable"), F.lit(False))
     rendered = F.coalesce(F.col("r.usable"), F.lit(False))
     reason = (
@@ -91,21 +108,28 @@ def choose_by_flags(flags: DataFrame) -> DataFrame:
         .when(F.col("p.thin"), F.lit("thin"))
     )
     use_rendered = F.col("fallback_reason").isNotNull() & F.col("rendered")
-    return (
-        flags.withColumns({"fallback_reason": reason, "primary": primary, "rendered": rendered})
-        .withColumn("channel", F.when(use_rendered, F.lit(RENDERED)).when(F.col("primary"), F.lit(PRIMARY)))
-        .select(
-            "site",
-            "url",
-            U.url_key(F.col("url")).alias("url_key"),
-            "channel",
-            F.when(F.col("channel") == RENDERED, F.col("r.capture_id"))
-            .when(F.col("channel") == PRIMARY, F.col("p.capture_id"))
-            .alias("capture_id"),
-            "fallback_reason",
-            F.when(F.col("primary"), F.col("p.challenge")).alias("challenge"),
-            (use_rendered & F.col("r.challenge").isNotNull()).alias("still_blocked"),
-        )
+    known = flags.withColumns({"fallback_reason": reason, "primary": primary, "rendered": rendered})
+    return known.withColumn("channel", F.when(use_rendered, F.lit(RENDERED)).when(F.col("primary"), F.lit(PRIMARY)))
+
+
+def chosen_flags(flags: DataFrame) -> DataFrame:
+    """Per site and URL the flag of the response that stands for it; null where there is none."""
+    used = F.when(F.col("channel") == RENDERED, F.col("r")).when(F.col("channel") == PRIMARY, F.col("p"))
+    return _with_choice(flags).select("site", "url", used.alias("c"))
+
+
+def choose_by_flags(flags: DataFrame) -> DataFrame:
+    """:func:`choose_captures` from the flags of :func:`capture_flags`."""
+    still_blocked = F.coalesce((F.col("channel") == RENDERED) & F.col("r.challenge").isNotNull(), F.lit(False))
+    return _with_choice(flags).select(
+        "site",
+        "url",
+        U.url_key(F.col("url")).alias("url_key"),
+        "channel",
+        F.when(F.col("channel") == RENDERED, F.col("r.capture_id")).when(F.col("channel") == PRIMARY, F.col("p.capture_id")).alias("capture_id"),
+        "fallback_reason",
+        F.when(F.col("primary"), F.col("p.challenge")).alias("challenge"),
+        still_blocked.alias("still_blocked"),
     )
 
 

@@ -1,55 +1,224 @@
-"""Incremental builds over a stream of captures."""
+"""Incremental builds over a stream of captures.
+
+The state below one folder says, for all captures so far, what a batch build over them would say: which response stands
+for each page, which page owns each file, the manifest, and the counters. All of it are bucket logs (see
+``sinks/bucket_log.py``): a batch reads the buckets of the pages and files that it touches, writes its rows as a step,
+and a commit written last makes the step count.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from corpusloom.operators.extract import extract_pages
-from corpusloom.operators.incremental import join_manifest, manifest_entries, succeeded
-from corpusloom.operators.ranking import first_by_key
+from corpusloom.operators.extract import SKIPPED, SUCCESS, extract_pages
+from corpusloom.operators.incremental import FAILED, PROCESSED
+from corpusloom.operators.publish import page_files
 from corpusloom.operators.summarize import as_summaries
-from corpusloom.operators.triage import capture_flags, choose_by_flags, usable_shells
+from corpusloom.operators.triage import FETCH_FAILED, chosen_flags, flagged_shells, least_flags
+from corpusloom.options import BuildOptions
 from corpusloom.session import broadcast_if_small, materialize
-from corpusloom.sinks.versions import finished_versions, read_version
+from corpusloom.sinks.bucket_log import BATCH, BucketLog, Pieces, read_commit, stored_buckets, with_step, write_commit
 from corpusloom.sources.tables import MANIFEST
 
-SNAPSHOT = "snapshot="
-_FLAG = "struct<age: bigint, last: int, capture_id: bigint, usable: boolean, challenge: string, thin: boolean>"
-FLAGS = f"site string, url string, p {_FLAG}, r {_FLAG}"
-PAGES = "capture_id bigint, site string, url string, title string, fetched_at timestamp, markdown string, outcome string, content_hash string"
-
-
-def log_as_of(spark: SparkSession, folder: str, schema: str, batch: int) -> DataFrame:
-    """A keyed log as left by all batches before ``batch``: newest snapshot plus what was logged since; last rows count."""
-    snapshots = [v for v in finished_versions(spark, folder, SNAPSHOT) if v < batch]
-    since = snapshots[-1] if snapshots else -1
-    base = spark.createDataFrame([], schema)
-    if snapshots:
-        base = read_version(spark, folder, schema, since, SNAPSHOT)
-    logged = [v for v in finished_versions(spark, folder, "batch=") if since < v < batch]
-    if not logged:
-        return base
-    tagged = base.withColumn("batch", F.lit(-1))
-    for v in logged:
-        step = read_version(spark, folder, schema, v, "batch=")
-        tagged = tagged.unionByName(step.withColumn("batch", F.lit(v)))
-    newest = tagged.withColumn("age", -F.col("batch"))
-    return first_by_key(newest, ["site", "url"], ["age"]).drop("batch", "age").select(*base.columns)
+BUCKETS = 32
+COMMITS = "commits"
+_FLAG = "age: bigint, last: int, capture_id: bigint, usable: boolean, challenge: string, thin: boolean"
+# Of a response also what became of it, and in which batch its text lies: ``late`` is that batch, negated.
+_CHOICE = f"struct<{_FLAG}, late: int, outcome: string, content_hash: string>"
+FLAGS = f"site string, url string, p {_CHOICE}, r {_CHOICE}"
+PAGES = (
+    "capture_id bigint, site string, url string, channel string, title string, fetched_at timestamp, "
+    f"flag struct<{_FLAG}>, markdown string, outcome string, content_hash string"
+)
+SUMMARIES = (
+    "site string, url string, title string, markdown string, content_hash string, file_name string, "
+    "relative_output_path string, fetched_at timestamp, rank bigint"
+)
+# A page's summary claims its file name; the first claimant by URL owns the file.
+CLAIMS = "site string, file_name string, url string, active boolean, title string, content_hash string, relative_output_path string, arrival int"
+# What became of a page, now and before the step; ``pending`` where its latest content has no summary.
+RESULTS = "site string, url string, status string, pending boolean, owns boolean, claim_hash string, file_name string, result string, was string"
+COUNTS = ("discovered", "processed", "skipped", "failed", "cached")
+PAGE, FILE = ("site", "url"), ("site", "file_name")
 
 
-def manifest_as_of(spark: SparkSession, state: str, batch: int) -> DataFrame:
-    """Manifest as left by all batches before ``batch``."""
-    return log_as_of(spark, f"{state}/manifest", MANIFEST, batch)
+@dataclass(frozen=True)
+class CorpusState:
+    """The logs of a state folder."""
+
+    spark: SparkSession
+    folder: str
+    buckets: int = BUCKETS
+
+    def log(self, name: str, schema: str, keys: tuple[str, ...] = PAGE, spread: tuple[str, ...] = PAGE) -> BucketLog:
+        return BucketLog(f"{self.folder}/{name}", schema, keys, spread, self.buckets)
+
+    @property
+    def pages(self) -> BucketLog:
+        return self.log("pages", PAGES, ("capture_id",))
+
+    @property
+    def summaries(self) -> BucketLog:
+        return self.log("summaries", SUMMARIES)
+
+    @property
+    def flags(self) -> BucketLog:
+        return self.log("flags", FLAGS)
+
+    @property
+    def claims(self) -> BucketLog:
+        return self.log("claims", CLAIMS, (*FILE, "url"), FILE)
+
+    @property
+    def manifest(self) -> BucketLog:
+        return self.log("manifest", f"{MANIFEST}, arrival int, gone boolean")
+
+    @property
+    def results(self) -> BucketLog:
+        return self.log("results", RESULTS)
+
+    @property
+    def counters(self) -> BucketLog:
+        return self.log("counters", "site string, " + ", ".join(f"{c} bigint" for c in COUNTS), ("site",), ("site",))
+
+    def pieces(self, before: int = 1 << 60) -> dict[str, Pieces]:
+        return read_commit(self.spark, f"{self.folder}/{COMMITS}", before, self.buckets)
+
+    @classmethod
+    def stored(cls, spark: SparkSession, folder: str) -> CorpusState:
+        """A state with the number of buckets that it was begun with."""
+        begun = stored_buckets(spark, f"{folder}/{COMMITS}")
+        return cls(spark, folder, begun or BUCKETS)
+
+
+def _on(left: str, right: str, columns: tuple[str, ...]):
+    condition = F.lit(True)
+    for c in columns:
+        condition = condition & (F.col(f"{left}.{c}") == F.col(f"{right}.{c}"))
+    return condition
+
+
+def _judged(state: CorpusState, commit: dict[str, Pieces], captures: DataFrame, step: str, batch: int) -> tuple[DataFrame, dict[str, list[int]]]:
+    """Narrow rows of the pages that a batch touches: the chosen response, what became of it, and the page's earlier result."""
+    spark = state.spark
+    touched = state.pages.append(extract_pages(flagged_shells(captures)), step)
+    arrived = state.pages.steps(spark, [step], touched)
+    fields = [F.col(f"flag.{field.split(':')[0]}") for field in _FLAG.split(", ")]
+    choice = F.struct(*fields, F.lit(-batch).alias("late"), "outcome", "content_hash")
+    seen = least_flags(arrived.select(*PAGE, "channel", choice.alias("c")), F.col("c"))
+    before = state.flags.newest(spark, commit.get("flags", {}), touched)
+    merged = seen.alias("n").join(before.alias("b"), _on("n", "b", PAGE), "left")
+    merged = merged.select("n.site", "n.url", F.least("n.p", "b.p").alias("p"), F.least("n.r", "b.r").alias("r"))
+    written = state.flags.append(merged, step)
+    chosen = chosen_flags(state.flags.steps(spark, [step], touched).drop("step"))
+    known = state.results.newest(spark, commit.get("results", {}), touched)
+    rows = chosen.alias("n").join(known.alias("k"), _on("n", "k", PAGE), "left")
+    status = F.when(F.col("c").isNull(), F.lit(FETCH_FAILED)).otherwise(F.col("c.outcome"))
+    kept = F.coalesce(F.lower("k.claim_hash") == F.lower("c.content_hash"), F.lit(False))
+    narrow = rows.select(
+        "n.site",
+        "n.url",
+        F.col("c.capture_id").alias("capture_id"),
+        (-F.col("c.late")).alias("arrival"),
+        status.alias("status"),
+        ((status == SUCCESS) & ~kept).alias("fresh"),
+        F.col("k.result").alias("known_result"),
+        F.col("k.owns").alias("known_owns"),
+        F.col("k.claim_hash").alias("known_hash"),
+        F.col("k.file_name").alias("known_name"),
+    )
+    return materialize(narrow, "judged"), {"pages": touched, "flags": written}
+
+
+def _texts(state: CorpusState, judged: DataFrame, touched: list[int]) -> DataFrame:
+    """Pages whose chosen content has no summary yet, read from the batches and buckets where they lie."""
+    wanted = judged.filter("fresh").select(*PAGE, "capture_id", "arrival")
+    arrivals = [r.arrival for r in wanted.select("arrival").distinct().collect()]
+    stored = state.pages.steps(state.spark, [f"{BATCH}{a}" for a in sorted(arrivals)], touched).withColumnRenamed("step", "arrival")
+    texts = stored.join(broadcast_if_small(wanted), [*PAGE, "capture_id", "arrival"], "left_semi")
+    # A response may be in a batch more than once.
+    once = texts.dropDuplicates(list(PAGE)).select("capture_id", *PAGE, "title", "fetched_at", "markdown", "outcome", "content_hash")
+    return once.withColumn("rank", F.col("capture_id"))
+
+
+def _claims(state: CorpusState, judged: DataFrame, batch: int, buckets: list[int]) -> DataFrame:
+    """Claims that a batch makes, and releases of those that no longer hold."""
+    made = state.summaries.steps(state.spark, [f"{BATCH}{batch}"], buckets).filter(F.col("markdown").isNotNull())
+    claims = made.select(*FILE, "url", F.lit(True).alias("active"), "title", "content_hash", "relative_output_path", F.lit(batch).alias("arrival"))
+    named = made.select(*PAGE, "file_name")
+    held = judged.filter(F.col("known_name").isNotNull()).alias("j").join(named.alias("n"), _on("j", "n", PAGE), "left")
+    over = (F.col("j.status") != SUCCESS) | (F.col("n.file_name") != F.col("j.known_name"))
+    nothing = [F.lit(None).cast("string").alias(c) for c in ("title", "content_hash", "relative_output_path")]
+    released = held.filter(over).select("j.site", F.col("j.known_name").alias("file_name"), "j.url", F.lit(False).alias("active"), *nothing, F.lit(batch).alias("arrival"))
+    return claims.unionByName(released)
+
+
+def _standing(state: CorpusState, before: Pieces, after: Pieces, step: str, buckets: list[int]) -> tuple[DataFrame, DataFrame]:
+    """How pages stand after a step of claims.
+
+    First the claims on the touched files that are new, or whose page owns the file (``owns``) or did so before
+    (``owned``); then the pages that owned a file and own none any more.
+    """
+    spark = state.spark
+    names = state.claims.steps(spark, [step], buckets).select(*FILE).distinct()
+    old = state.claims.newest(spark, before, buckets).filter("active").join(names, list(FILE), "left_semi")
+    new = state.claims.newest(spark, after, buckets).filter("active").join(names, list(FILE), "left_semi")
+    old_owner = old.groupBy(*FILE).agg(F.min("url").alias("url"))
+    new_owner = new.groupBy(*FILE).agg(F.min("url").alias("url"))
+    rows = new.alias("c").join(new_owner.alias("n"), _on("c", "n", FILE)).join(old_owner.alias("o"), _on("c", "o", FILE), "left")
+    owned = F.coalesce(F.col("c.url") == F.col("o.url"), F.lit(False))
+    changed = F.col("c.arrival") == int(step.removeprefix(BATCH))
+    rows = rows.select("c.*", (F.col("c.url") == F.col("n.url")).alias("owns"), owned.alias("owned"), changed.alias("changed"))
+    standing = materialize(rows.filter("changed or owns or owned"), "standing")
+    return standing, old_owner.select(*PAGE).join(standing.filter("owns").select(*PAGE), list(PAGE), "left_anti")
+
+
+def _results(state: CorpusState, known: Pieces, judged: DataFrame, standing: DataFrame) -> DataFrame:
+    """Results of all pages that a batch touches, and of others that gain or lose a file through it."""
+    claims = standing.select(*PAGE, "file_name", "content_hash", "owns", "changed")
+    pages = judged.alias("j").join(claims.alias("c"), _on("j", "c", PAGE), "left")
+    failed = F.col("j.fresh") & ~F.coalesce(F.col("c.changed"), F.lit(False))
+    usable = F.col("j.status") == SUCCESS
+    touched = pages.select(
+        "j.site",
+        "j.url",
+        "j.status",
+        failed.alias("pending"),
+        (usable & F.coalesce(F.col("c.owns"), F.col("j.known_owns"), F.lit(False))).alias("owns"),
+        F.when(usable, F.coalesce(F.col("c.content_hash"), F.col("j.known_hash"))).alias("claim_hash"),
+        F.when(usable, F.coalesce(F.col("c.file_name"), F.col("j.known_name"))).alias("file_name"),
+        F.col("j.known_result").alias("was"),
+    )
+    moved = claims.join(judged.select(*PAGE), list(PAGE), "left_anti")
+    earlier = state.results.newest(state.spark, known, state.results.buckets_of(moved))
+    others = moved.alias("c").join(earlier.alias("k"), _on("c", "k", PAGE))
+    others = others.select("k.site", "k.url", "k.status", "k.pending", "c.owns", "k.claim_hash", "k.file_name", F.col("k.result").alias("was"))
+    result = F.when(F.col("status") != SUCCESS, F.col("status")).when(F.col("owns") & ~F.col("pending"), F.lit(PROCESSED)).otherwise(F.lit(FAILED))
+    return touched.unionByName(others).withColumn("result", result)
 
 
-def _logged(df: DataFrame, folder: str, batch: int, schema: str | None = None) -> DataFrame:
-    """Writes a batch's rows; a replay overwrites them with the same."""
-    df.write.mode("overwrite").parquet(f"{folder}/batch={batch}")
-    return read_version(df.sparkSession, folder, schema, batch, "batch=") if schema else df
+def _counted(state: CorpusState, known: Pieces, results: DataFrame) -> DataFrame:
+    """Counters of the sites that have new results: the earlier ones, less what the pages were, plus what they are."""
+
+    def change(*kinds: str):
+        return F.count_if(F.col("result").isin(*kinds)) - F.count_if(F.coalesce(F.col("was").isin(*kinds), F.lit(False)))
+
+    changes = results.groupBy("site").agg(
+        F.count_if(F.col("was").isNull()).alias("discovered"),
+        change(PROCESSED).alias("processed"),
+        change(SKIPPED).alias("skipped"),
+        change(FETCH_FAILED, FAILED).alias("failed"),
+        F.lit(0).cast("bigint").alias("cached"),
+    )
+    changes = materialize(changes, "changes")
+    before = state.counters.newest(state.spark, known, state.counters.buckets_of(changes))
+    both = changes.alias("n").join(before.alias("k"), "site", "left")
+    return both.select("site", *[(F.col(f"n.{c}") + F.coalesce(F.col(f"k.{c}"), F.lit(0))).alias(c) for c in COUNTS])
 
 
 def apply_batch(
@@ -59,43 +228,53 @@ def apply_batch(
     summarize: Callable[[DataFrame], DataFrame] | None = None,
     compact_every: int = 20,
     as_of: str = "1970-01-01 00:00:00",
-) -> None:
-    """Fold one batch of captures into the corpus below ``state``.
-
-    Which response stands for a page is decided as in a batch build over all captures so far, in whatever order they
-    arrive: the flags of the counting responses are kept, and the text of every usable one under ``pages/batch=N``.
-    Changed pages are written under ``changes/batch=N`` and their manifest rows under ``manifest/batch=N``; running a
-    batch again writes the same folders, so a replay after a failure changes nothing. Every ``compact_every`` batches
-    the logs of flags and manifest become snapshots.
+    buckets: int = BUCKETS,
+) -> dict[str, int]:
+    """Fold one batch of captures into the corpus below ``state`` and return what it did, as observed while writing.
+
+    In whatever order captures arrive, the state afterwards is that of a batch build over all of them: the response that
+    stands for a page, the owner of a file (the first page by URL whose summary claims the name; the others fail), the
+    manifest and the counters. A page keeps its document while a summary of newer content is missing, and loses it when
+    its response is no longer usable. Changed documents are written under ``changes/batch=N``; running a batch again
+    writes the same folders, so a replay after a failure changes nothing. Every ``compact_every`` batches the buckets
+    written since become snapshots. ``buckets`` is fixed with the first batch: some million pages each serve well.
     """
-    spark = captures.sparkSession
-    _logged(extract_pages(usable_shells(captures)).select(*[c.split()[0] for c in PAGES.split(", ")]), f"{state}/pages", batch)
-    before = log_as_of(spark, f"{state}/flags", FLAGS, batch).select("site", "url", F.col("p").alias("_p"), F.col("r").alias("_r"))
-    merged = capture_flags(captures).join(before, ["site", "url"], "left")
-    merged = merged.select("site", "url", F.least("p", "_p").alias("p"), F.least("r", "_r").alias("r"))
-    flags = _logged(merged, f"{state}/flags", batch, FLAGS)
-
-    chosen = materialize(choose_by_flags(flags).filter(F.col("capture_id").isNotNull()).select("site", "url", "capture_id"), "chosen")
-    arrivals = [v for v in finished_versions(spark, f"{state}/pages", "batch=") if v <= batch]
-    pages = [read_version(spark, f"{state}/pages", PAGES, v, "batch=").withColumn("arrival", F.lit(v)) for v in arrivals]
-    texts = pages[0]
-    for more in pages[1:]:
-        texts = texts.unionByName(more)
-    # Hashes decide first; only the text of changed pages is read and moved.
-    keys = ["site", "url", "capture_id"]
-    hashes = succeeded(texts.drop("markdown", "title", "fetched_at")).join(broadcast_if_small(chosen), keys, "left_semi")
-    # A capture that arrived more than once is read from its last arrival.
-    hashes = hashes.groupBy(*keys, "content_hash").agg(F.max("arrival").alias("arrival"))
-    checked = join_manifest(hashes, manifest_as_of(spark, state, batch))
-    changed = materialize(checked.filter(~F.col("is_hit")).select(*keys, "arrival"), "changed")
-    fresh = texts.join(broadcast_if_small(changed), [*keys, "arrival"], "left_semi").withColumn("rank", F.col("capture_id"))
-    summaries = (summarize or as_summaries)(fresh).filter(F.col("markdown").isNotNull())
-    summaries.write.mode("overwrite").parquet(f"{state}/changes/batch={batch}")
-    written = spark.read.schema(summaries.schema).parquet(f"{state}/changes/batch={batch}")
-    _logged(manifest_entries(written, as_of), f"{state}/manifest", batch)
+    spark, step = captures.sparkSession, f"{BATCH}{batch}"
+    at = CorpusState(spark, state, buckets)
+    commit = at.pieces(batch)
+    judged, written = _judged(at, commit, captures, step, batch)
+    texts = _texts(at, judged, written["pages"])
+    made = at.summaries.append((summarize or as_summaries)(texts), step)
+    claimed = at.claims.append(_claims(at, judged, batch, made), step)
+    earlier = commit.get("claims", {})
+    after = with_step(earlier, claimed, step)
+    standing, dropped = _standing(at, earlier, after, step, claimed)
+
+    entries = standing.filter("owns and (changed or not owned)")
+    entries = entries.withColumns({"last_generated_at": F.lit(as_of), "gone": F.lit(False)}).select(*at.manifest.columns)
+    empty = [F.lit(None).cast(kind).alias(c) for c, kind in entries.dtypes if c not in (*PAGE, "gone")]
+    tombs = dropped.select(*PAGE, *empty, F.lit(True).alias("gone")).select(*at.manifest.columns)
+    written["manifest"] = at.manifest.append(entries.unionByName(tombs), step)
+    documents_of(at, entries).write.mode("overwrite").parquet(f"{state}/changes/{step}")
+
+    seen = Observation()
+    results = _results(at, commit.get("results", {}), judged, standing).observe(
+        seen,
+        F.count("*").alias("touched"),
+        F.count_if(F.col("was").isNull()).alias("new"),
+        F.count_if(F.coalesce(F.col("was"), F.lit("")) != F.col("result")).alias("changed"),
+        *[F.count_if(F.col("result") == kind).alias(kind) for kind in (PROCESSED, SKIPPED, FETCH_FAILED, FAILED)],
+    )
+    written["results"] = at.results.append(results, step)
+    counted = _counted(at, commit.get("counters", {}), at.results.steps(spark, [step], written["results"]))
+    written |= {"claims": claimed, "counters": at.counters.append(counted, step)}
+
+    logs = {"flags": at.flags, "claims": at.claims, "manifest": at.manifest, "results": at.results, "counters": at.counters}
+    pieces = {name: with_step(commit.get(name, {}), written[name], step) for name in logs}
     if (batch + 1) % compact_every == 0:
-        for name, schema in (("manifest", MANIFEST), ("flags", FLAGS)):
-            log_as_of(spark, f"{state}/{name}", schema, batch + 1).write.mode("overwrite").parquet(f"{state}/{name}/{SNAPSHOT}{batch}")
+        pieces = {name: log.compacted(spark, pieces[name], batch) for name, log in logs.items()}
+    write_commit(spark, f"{state}/{COMMITS}", batch, pieces, buckets)
+    return seen.get
 
 
 def stream_incremental(
@@ -104,6 +283,7 @@ def stream_incremental(
     summarize: Callable[[DataFrame], DataFrame] | None = None,
     compact_every: int = 20,
     as_of: str = "1970-01-01 00:00:00",
+    buckets: int = BUCKETS,
 ) -> StreamingQuery:
     """Run every micro-batch of a captures stream through :func:`apply_batch` until the input is used up.
 
@@ -111,7 +291,7 @@ def stream_incremental(
     """
     return (
         captures.writeStream.foreachBatch(
-            lambda df, batch: apply_batch(df, batch, state, summarize, compact_every, as_of)
+            lambda df, batch: apply_batch(df, batch, state, summarize, compact_every, as_of, buckets)
         )
         .option("checkpointLocation", f"{state}/checkpoint")
         .trigger(availableNow=True)
@@ -119,6 +299,40 @@ def stream_incremental(
     )
 
 
+def documents_of(state: CorpusState, entries: DataFrame) -> DataFrame:
+    """Summaries behind manifest rows with their ``arrival``, read from the batches and buckets where they lie."""
+    keys = materialize(entries.select(*PAGE, "arrival"), "entries")
+    arrivals = sorted(r.arrival for r in keys.select("arrival").distinct().collect())
+    stored = state.summaries.steps(state.spark, [f"{BATCH}{a}" for a in arrivals], state.summaries.buckets_of(keys)).withColumnRenamed("step", "arrival")
+    return stored.join(broadcast_if_small(keys), [*PAGE, "arrival"], "left_semi").select(*state.summaries.columns)
+
+
+def _entries(spark: SparkSession, state: str, batch: int) -> tuple[CorpusState, DataFrame]:
+    at = CorpusState.stored(spark, state)
+    return at, at.manifest.newest(spark, at.pieces(batch).get("manifest", {})).filter(~F.col("gone"))
+
+
+def manifest_as_of(spark: SparkSession, state: str, batch: int) -> DataFrame:
+    """Manifest as left by all batches before ``batch``."""
+    return _entries(spark, state, batch)[1].drop("arrival", "gone")
+
+
 def current_manifest(spark: SparkSession, state: str) -> DataFrame:
     """Manifest after all finished batches."""
     return manifest_as_of(spark, state, 1 << 60)
+
+
+def current_counters(spark: SparkSession, state: str) -> DataFrame:
+    """Counters of every site after all finished batches, as of a build over all captures."""
+    at = CorpusState.stored(spark, state)
+    return at.counters.newest(spark, at.pieces().get("counters", {}))
+
+
+def current_summaries(spark: SparkSession, state: str) -> DataFrame:
+    """Summary rows of all pages that own a document; ``rank`` is the number of the response they were made from."""
+    return documents_of(*_entries(spark, state, 1 << 60))
+
+
+def current_documents(spark: SparkSession, state: str, generator: str = BuildOptions().generator) -> DataFrame:
+    """Every document after all finished batches, as ``page_files`` of a build."""
+    return page_files(current_summaries(spark, state), generator)
