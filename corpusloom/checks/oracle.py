@@ -408,6 +408,16 @@ _EDITED = """e AS (
   SELECT page_id, markdown || chr(10) || chr(10) || CASE WHEN regexp_matches(html, '(?s)<article>.*<b>.*</article>') THEN '**Edited**' ELSE 'Edited' END AS edited
   FROM m JOIN pages USING (page_id))"""
 
+# The newest version of every page, the renamed ones last, and the first page by URL of each file.
+_CLASHES = f"""{_C}, {_MARKDOWN}, {_EDITED}, v AS (
+    SELECT split_part(url, '/', 3) AS site, url, html, page_id, CASE WHEN contains(raw, '?page=2') THEN 2 ELSE 1 END AS day FROM c UNION ALL
+    SELECT split_part(url, '/', 3), url, replace(html, '<title>', '<title>Zed '), page_id, 3 FROM c WHERE raw LIKE '%.html'),
+  newest AS (FROM v QUALIFY row_number() OVER (PARTITION BY url ORDER BY day DESC, page_id) = 1),
+  named AS (SELECT site, url, split_part({title('html')}, ' ', 1) || '.md' AS file_name, CASE WHEN day = 3 THEN edited ELSE markdown END AS body
+    FROM newest LEFT JOIN m USING (page_id) LEFT JOIN e USING (page_id)),
+  stood AS (SELECT *, coalesce(length(body), 0) < 50 AS short,
+    coalesce(length(body), 0) >= 50 AND url = min(CASE WHEN length(body) >= 50 THEN url END) OVER (PARTITION BY site, file_name) AS owns FROM named)"""
+
 ORACLE: dict[str, str] = {
     "url_canonical": f"WITH {_C} SELECT page_id, url FROM c",
     "url_names": f"""WITH {_C} SELECT page_id, {_SLUG} AS slug, {_FILE} AS file_name, split_part(url, '/', 3) AS safe_host,
@@ -530,6 +540,11 @@ ORACLE: dict[str, str] = {
         newest AS (FROM v QUALIFY row_number() OVER (PARTITION BY url ORDER BY day DESC, page_id) = 1)
         SELECT site, url, {title('html')} AS title, 'ai/pages/' || {_FILE} AS relative_output_path, true AS same_as_batch
         FROM newest JOIN m USING (page_id) JOIN e USING (page_id) WHERE length(CASE WHEN day = 3 THEN edited ELSE markdown END) >= 50""",
+    "stream_owners": f"""WITH {_CLASHES}
+        SELECT site, url, site || '/ai/pages/' || file_name AS path, sha256({trim('body')}) AS body_hash FROM stood WHERE owns""",
+    "stream_counters": f"""WITH {_CLASHES}
+        SELECT site, count(*) AS discovered, count(*) FILTER (owns) AS processed, count(*) FILTER (short) AS skipped,
+          count(*) FILTER (NOT owns AND NOT short) AS failed, 0 AS cached FROM stood GROUP BY site""",
     "change_stream": f"""WITH {_C}, {_MARKDOWN}, {_EDITED}, v AS (
           SELECT url, page_id AS capture_id, markdown, 1 AS day FROM c JOIN m USING (page_id) UNION ALL
           SELECT url, page_id + {RENDERED_IDS}, CASE WHEN contains(url, '//blog.') THEN edited ELSE markdown END, 2 FROM c JOIN m USING (page_id) JOIN e USING (page_id))

@@ -28,7 +28,7 @@ from corpusloom.operators.incremental import (
 from corpusloom.operators.links import adjacency, link_lists
 from corpusloom.operators.merge import distinct_by_url, dry_run_list, take_max_pages
 from corpusloom.operators.ranking import first_by_key, first_n
-from corpusloom.operators.summarize import attach_responses, build_requests, summarize_pages
+from corpusloom.operators.summarize import as_summaries, attach_responses, build_requests, summarize_pages
 from corpusloom.operators.triage import (
     choose_captures,
     join_capture_fallback,
@@ -49,7 +49,7 @@ from corpusloom.sources.rest import RestListing, rest_detect, scan_rest_items
 from corpusloom.sources.sitemaps import scan_sitemaps
 from corpusloom.sources.tables import MANIFEST, PRIMARY, RENDERED, captures_of_pages, with_site_defaults
 from corpusloom.streaming.change_state import stream_change_state
-from corpusloom.streaming.incremental import current_manifest, stream_incremental
+from corpusloom.streaming.incremental import apply_batch, current_counters, current_documents, current_manifest, stream_incremental
 
 OPTIONS = BuildOptions(as_of="2024-01-01 00:00:00")
 INCLUDE = ("*/en/*", "blog.", "*/FR/*page=2*")
@@ -562,6 +562,40 @@ def incremental_stream(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _clashing_state(spark: SparkSession, sf: str) -> str:
+    """State of a stream whose pages are named by the first word of their titles, so that many claim one file.
+
+    The pages with ``?page=2`` arrive first, then the others, and last new versions of those with ``.html``, which all
+    give up their names for one that they share.
+    """
+    pages = A.read(spark, sf, "pages")
+    state = scratch_path(spark, "state")
+    renamed = F.replace(F.replace(F.col("html"), F.lit("<title>"), F.lit("<title>Zed ")), F.lit("</article>"), F.lit("<p>Edited</p></article>"))
+    late = F.contains("url", F.lit("?page=2"))
+    dotted = pages.filter(F.col("url").endswith(".html")).withColumn("html", renamed).withColumn("page_id", F.col("page_id") + A.RENDERED_IDS)
+    batches = [captures_of_pages(pages.filter(late), "2024-01-02 00:00:00"), captures_of_pages(pages.filter(~late)), captures_of_pages(dotted, "2024-01-03 00:00:00")]
+
+    def by_first_word(texts: DataFrame) -> DataFrame:
+        name = F.concat(F.substring_index("title", " ", 1), F.lit(".md"))
+        named = as_summaries(texts).withColumn("file_name", name)
+        return named.withColumn("relative_output_path", U.page_path(F.col("file_name")))
+
+    for n, batch in enumerate(batches):
+        apply_batch(batch, n, state, by_first_word, compact_every=2)
+    return state
+
+
+def stream_owners(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents of a stream with clashing names: which page owns each file in the end, and with what text."""
+    documents = current_documents(spark, _clashing_state(spark, sf))
+    return documents.select("site", "url", "path", F.sha2(T.trim_ws(T.strip_frontmatter(F.col("content"))), 256).alias("body_hash"))
+
+
+def stream_counters(spark: SparkSession, sf: str) -> DataFrame:
+    """Counters of the same stream: pages that gave up, won or lost a file on the way count as what they are now."""
+    return current_counters(spark, _clashing_state(spark, sf))
+
+
 def change_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Two crawls of all pages, the second with pages on ``blog.`` hosts changed: versions that differ."""
     pages = A.read(spark, sf, "pages")
@@ -636,6 +670,8 @@ QUERIES: dict[str, Query] = {
         corpus_counters,
         corpus_index,
         incremental_stream,
+        stream_owners,
+        stream_counters,
         change_stream,
     )
 }

@@ -113,9 +113,9 @@ def _with_choice(flags: DataFrame) -> DataFrame:
 
 
 def chosen_flags(flags: DataFrame) -> DataFrame:
-    """Per site and URL the flag of the response that stands for it; null where there is none."""
+    """Flags with ``c``, that of the response which stands for the page; null where there is none."""
     used = F.when(F.col("channel") == RENDERED, F.col("r")).when(F.col("channel") == PRIMARY, F.col("p"))
-    return _with_choice(flags).select("site", "url", used.alias("c"))
+    return _with_choice(flags).select(*flags.columns, used.alias("c"))
 
 
 def choose_by_flags(flags: DataFrame) -> DataFrame:

@@ -55,15 +55,15 @@ class BucketLog:
 
     def steps(self, spark: SparkSession, steps: Sequence[str], touched: Iterable[int]) -> DataFrame:
         """All rows of some steps in the touched buckets, with the number of their ``step``."""
-        found = spark.createDataFrame([], f"{self.schema}, step int")
+        found = None
         for prefix in (SNAPSHOT, BATCH):
             mine = [f"{self.folder}/{step}" for step in steps if step.startswith(prefix)]
             if mine:
                 name = prefix[:-1]
                 stored = spark.read.schema(f"{self.schema}, {name} int, bucket int").option("basePath", self.folder).parquet(*mine)
                 part = stored.filter(F.col("bucket").isin(sorted(touched))).select(*self.columns, F.col(name).alias("step"))
-                found = part if len(mine) == len(steps) else found.unionByName(part)
-        return found
+                found = part if found is None else found.unionByName(part)
+        return spark.createDataFrame([], f"{self.schema}, step int") if found is None else found
 
     def newest(self, spark: SparkSession, pieces: Mapping[int, Sequence[str]], touched: Iterable[int] | None = None) -> DataFrame:
         """The newest row of each key, of all buckets or of the touched ones."""

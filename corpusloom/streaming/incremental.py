@@ -30,7 +30,6 @@ COMMITS = "commits"
 _FLAG = "age: bigint, last: int, capture_id: bigint, usable: boolean, challenge: string, thin: boolean"
 # Of a response also what became of it, and in which batch its text lies: ``late`` is that batch, negated.
 _CHOICE = f"struct<{_FLAG}, late: int, outcome: string, content_hash: string>"
-FLAGS = f"site string, url string, p {_CHOICE}, r {_CHOICE}"
 PAGES = (
     "capture_id bigint, site string, url string, channel string, title string, fetched_at timestamp, "
     f"flag struct<{_FLAG}>, markdown string, outcome string, content_hash string"
@@ -41,8 +40,12 @@ SUMMARIES = (
 )
 # A page's summary claims its file name; the first claimant by URL owns the file.
 CLAIMS = "site string, file_name string, url string, active boolean, title string, content_hash string, relative_output_path string, arrival int"
-# What became of a page, now and before the step; ``pending`` where its latest content has no summary.
-RESULTS = "site string, url string, status string, pending boolean, owns boolean, claim_hash string, file_name string, result string, was string"
+# The responses that count for a page, and what became of it, now and before the step; ``pending`` where its latest
+# content has no summary.
+RESULTS = (
+    f"site string, url string, p {_CHOICE}, r {_CHOICE}, status string, pending boolean, owns boolean, "
+    "claim_hash string, file_name string, result string, was string"
+)
 COUNTS = ("discovered", "processed", "skipped", "failed", "cached")
 PAGE, FILE = ("site", "url"), ("site", "file_name")
 
@@ -66,10 +69,6 @@ class CorpusState:
     def summaries(self) -> BucketLog:
         return self.log("summaries", SUMMARIES)
 
-    @property
-    def flags(self) -> BucketLog:
-        return self.log("flags", FLAGS)
-
     @property
     def claims(self) -> BucketLog:
         return self.log("claims", CLAIMS, (*FILE, "url"), FILE)
@@ -103,36 +102,28 @@ def _on(left: str, right: str, columns: tuple[str, ...]):
     return condition
 
 
-def _judged(state: CorpusState, commit: dict[str, Pieces], captures: DataFrame, step: str, batch: int) -> tuple[DataFrame, dict[str, list[int]]]:
-    """Narrow rows of the pages that a batch touches: the chosen response, what became of it, and the page's earlier result."""
+def _judged(state: CorpusState, known: Pieces, captures: DataFrame, step: str, batch: int) -> tuple[DataFrame, list[int]]:
+    """Narrow rows of the pages that a batch touches, and their buckets: the response that stands for a page, and its earlier result."""
     spark = state.spark
     touched = state.pages.append(extract_pages(flagged_shells(captures)), step)
     arrived = state.pages.steps(spark, [step], touched)
     fields = [F.col(f"flag.{field.split(':')[0]}") for field in _FLAG.split(", ")]
     choice = F.struct(*fields, F.lit(-batch).alias("late"), "outcome", "content_hash")
     seen = least_flags(arrived.select(*PAGE, "channel", choice.alias("c")), F.col("c"))
-    before = state.flags.newest(spark, commit.get("flags", {}), touched)
-    merged = seen.alias("n").join(before.alias("b"), _on("n", "b", PAGE), "left")
-    merged = merged.select("n.site", "n.url", F.least("n.p", "b.p").alias("p"), F.least("n.r", "b.r").alias("r"))
-    written = state.flags.append(merged, step)
-    chosen = chosen_flags(state.flags.steps(spark, [step], touched).drop("step"))
-    known = state.results.newest(spark, commit.get("results", {}), touched)
-    rows = chosen.alias("n").join(known.alias("k"), _on("n", "k", PAGE), "left")
-    status = F.when(F.col("c").isNull(), F.lit(FETCH_FAILED)).otherwise(F.col("c.outcome"))
-    kept = F.coalesce(F.lower("k.claim_hash") == F.lower("c.content_hash"), F.lit(False))
-    narrow = rows.select(
+    rows = seen.alias("n").join(state.results.newest(spark, known, touched).alias("k"), _on("n", "k", PAGE), "left").select(
         "n.site",
         "n.url",
-        F.col("c.capture_id").alias("capture_id"),
-        (-F.col("c.late")).alias("arrival"),
-        status.alias("status"),
-        ((status == SUCCESS) & ~kept).alias("fresh"),
+        F.least("n.p", "k.p").alias("p"),
+        F.least("n.r", "k.r").alias("r"),
         F.col("k.result").alias("known_result"),
         F.col("k.owns").alias("known_owns"),
         F.col("k.claim_hash").alias("known_hash"),
         F.col("k.file_name").alias("known_name"),
     )
-    return materialize(narrow, "judged"), {"pages": touched, "flags": written}
+    status = F.when(F.col("c").isNull(), F.lit(FETCH_FAILED)).otherwise(F.col("c.outcome"))
+    kept = F.coalesce(F.lower("known_hash") == F.lower("c.content_hash"), F.lit(False))
+    columns = {"capture_id": F.col("c.capture_id"), "arrival": -F.col("c.late"), "status": status, "fresh": (status == SUCCESS) & ~kept}
+    return materialize(chosen_flags(rows).withColumns(columns).drop("c"), "judged"), touched
 
 
 def _texts(state: CorpusState, judged: DataFrame, touched: list[int]) -> DataFrame:
@@ -187,6 +178,8 @@ def _results(state: CorpusState, known: Pieces, judged: DataFrame, standing: Dat
     touched = pages.select(
         "j.site",
         "j.url",
+        "j.p",
+        "j.r",
         "j.status",
         failed.alias("pending"),
         (usable & F.coalesce(F.col("c.owns"), F.col("j.known_owns"), F.lit(False))).alias("owns"),
@@ -197,7 +190,7 @@ def _results(state: CorpusState, known: Pieces, judged: DataFrame, standing: Dat
     moved = claims.join(judged.select(*PAGE), list(PAGE), "left_anti")
     earlier = state.results.newest(state.spark, known, state.results.buckets_of(moved))
     others = moved.alias("c").join(earlier.alias("k"), _on("c", "k", PAGE))
-    others = others.select("k.site", "k.url", "k.status", "k.pending", "c.owns", "k.claim_hash", "k.file_name", F.col("k.result").alias("was"))
+    others = others.select("k.site", "k.url", "k.p", "k.r", "k.status", "k.pending", "c.owns", "k.claim_hash", "k.file_name", F.col("k.result").alias("was"))
     result = F.when(F.col("status") != SUCCESS, F.col("status")).when(F.col("owns") & ~F.col("pending"), F.lit(PROCESSED)).otherwise(F.lit(FAILED))
     return touched.unionByName(others).withColumn("result", result)
 
@@ -242,9 +235,9 @@ def apply_batch(
     spark, step = captures.sparkSession, f"{BATCH}{batch}"
     at = CorpusState(spark, state, buckets)
     commit = at.pieces(batch)
-    judged, written = _judged(at, commit, captures, step, batch)
-    texts = _texts(at, judged, written["pages"])
-    made = at.summaries.append((summarize or as_summaries)(texts), step)
+    known = commit.get("results", {})
+    judged, touched = _judged(at, known, captures, step, batch)
+    made = at.summaries.append((summarize or as_summaries)(_texts(at, judged, touched)), step)
     claimed = at.claims.append(_claims(at, judged, batch, made), step)
     earlier = commit.get("claims", {})
     after = with_step(earlier, claimed, step)
@@ -254,22 +247,22 @@ def apply_batch(
     entries = entries.withColumns({"last_generated_at": F.lit(as_of), "gone": F.lit(False)}).select(*at.manifest.columns)
     empty = [F.lit(None).cast(kind).alias(c) for c, kind in entries.dtypes if c not in (*PAGE, "gone")]
     tombs = dropped.select(*PAGE, *empty, F.lit(True).alias("gone")).select(*at.manifest.columns)
-    written["manifest"] = at.manifest.append(entries.unionByName(tombs), step)
-    documents_of(at, entries).write.mode("overwrite").parquet(f"{state}/changes/{step}")
+    listed = at.manifest.append(entries.unionByName(tombs), step)
+    documents_of(at, at.manifest.steps(spark, [step], listed).filter(~F.col("gone"))).write.mode("overwrite").parquet(f"{state}/changes/{step}")
 
     seen = Observation()
-    results = _results(at, commit.get("results", {}), judged, standing).observe(
+    results = _results(at, known, judged, standing).observe(
         seen,
         F.count("*").alias("touched"),
         F.count_if(F.col("was").isNull()).alias("new"),
         F.count_if(F.coalesce(F.col("was"), F.lit("")) != F.col("result")).alias("changed"),
         *[F.count_if(F.col("result") == kind).alias(kind) for kind in (PROCESSED, SKIPPED, FETCH_FAILED, FAILED)],
     )
-    written["results"] = at.results.append(results, step)
-    counted = _counted(at, commit.get("counters", {}), at.results.steps(spark, [step], written["results"]))
-    written |= {"claims": claimed, "counters": at.counters.append(counted, step)}
+    judged_in = at.results.append(results, step)
+    counted = _counted(at, commit.get("counters", {}), at.results.steps(spark, [step], judged_in))
+    written = {"claims": claimed, "manifest": listed, "results": judged_in, "counters": at.counters.append(counted, step)}
 
-    logs = {"flags": at.flags, "claims": at.claims, "manifest": at.manifest, "results": at.results, "counters": at.counters}
+    logs = {"claims": at.claims, "manifest": at.manifest, "results": at.results, "counters": at.counters}
     pieces = {name: with_step(commit.get(name, {}), written[name], step) for name in logs}
     if (batch + 1) % compact_every == 0:
         pieces = {name: log.compacted(spark, pieces[name], batch) for name, log in logs.items()}
@@ -301,10 +294,11 @@ def stream_incremental(
 
 def documents_of(state: CorpusState, entries: DataFrame) -> DataFrame:
     """Summaries behind manifest rows with their ``arrival``, read from the batches and buckets where they lie."""
-    keys = materialize(entries.select(*PAGE, "arrival"), "entries")
-    arrivals = sorted(r.arrival for r in keys.select("arrival").distinct().collect())
-    stored = state.summaries.steps(state.spark, [f"{BATCH}{a}" for a in arrivals], state.summaries.buckets_of(keys)).withColumnRenamed("step", "arrival")
-    return stored.join(broadcast_if_small(keys), [*PAGE, "arrival"], "left_semi").select(*state.summaries.columns)
+    keys = entries.select(*PAGE, "arrival")
+    places = keys.select("arrival", state.summaries.bucket().alias("bucket")).distinct().collect()
+    steps = [f"{BATCH}{a}" for a in sorted({place.arrival for place in places})]
+    stored = state.summaries.steps(state.spark, steps, {place.bucket for place in places}).withColumnRenamed("step", "arrival")
+    return stored.join(keys, [*PAGE, "arrival"], "left_semi").select(*state.summaries.columns)
 
 
 def _entries(spark: SparkSession, state: str, batch: int) -> tuple[CorpusState, DataFrame]:

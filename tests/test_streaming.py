@@ -1,14 +1,21 @@
+import random
 from datetime import datetime, timedelta
 
-from helpers import captures, page
+import pytest
+from helpers import captures, docs, page, sites
 from pyspark.sql import functions as F
 
+from corpusloom.functions.url import page_path
 from corpusloom.operators.extract import extract_pages
+from corpusloom.operators.summarize import as_summaries
 from corpusloom.operators.triage import choose_captures, join_capture_fallback, scan_captures
+from corpusloom.options import BuildOptions
+from corpusloom.plans.build import build_corpus
 from corpusloom.session import materialize
 from corpusloom.sinks.versions import finished_versions
+from corpusloom.sources.tables import MANIFEST
 from corpusloom.streaming.change_state import stream_change_state
-from corpusloom.streaming.incremental import apply_batch, current_manifest, stream_incremental
+from corpusloom.streaming.incremental import CorpusState, apply_batch, current_counters, current_documents, current_manifest, stream_incremental
 
 START = datetime(2024, 1, 1)
 
@@ -102,6 +109,74 @@ def test_failed_summaries_are_tried_again(spark, tmp_path):
     assert spark.read.parquet(f"{state}/changes/batch=1").count() == 1
 
 
+def by_title(pages):
+    """Summaries whose file is named by the title's first word, so that pages can claim one file."""
+    named = as_summaries(pages).withColumn("file_name", F.concat(F.substring_index("title", " ", 1), F.lit(".md")))
+    return named.withColumn("relative_output_path", page_path(F.col("file_name")))
+
+
+def at(path, day, title="", **more):
+    return f"https://s.com/{path}", more.pop("body", page(title)), {"fetched_at": START + timedelta(days=day), **more}
+
+
+CLASHING = [
+    at("b", 0, "One of b"),
+    at("a", 1, "One of a"),
+    at("c", 0, "Two of c"),
+    at("d", 1, "Two of d"),
+    at("c", 3, "Three of c"),
+    at("e", 0, "Four of e"),
+    at("e", 2, body="busy", status=503),
+    at("f", 1, "Four of f"),
+    at("g", 1, body=page("Five", words=1) + "<p>" + "x" * 700),
+    at("h", 0, body="gone", status=404),
+    at("h", 1, "Six of h"),
+    at("i", 1, "Three of i"),
+    at("", 1, "Zero"),
+]
+
+
+def test_clashing_names_in_any_order_equal_one_build(spark, tmp_path):
+    rows = [(n, "s", *given) for n, given in enumerate(CLASHING, 1)]
+    urls = sorted({r[2] for r in rows})
+    listing = "<urlset>" + "".join(f"<url><loc>{u}</loc></url>" for u in urls) + "</urlset>"
+    corpus = build_corpus(
+        sites(spark, {"s": "https://s.com/"}),
+        captures(spark, rows),
+        docs(spark, [{"kind": "sitemap", "ord": 1, "doc_url": "https://s.com/sitemap.xml", "body": listing}]),
+        spark.createDataFrame([], MANIFEST),
+        spark.createDataFrame([], "site string, url string, relative_output_path string, content string"),
+        BuildOptions(as_of="2024-01-01 00:00:00"),
+        summarize=by_title,
+    )
+    manifest, counters = sorted(map(tuple, corpus.manifest.collect())), corpus.counters.collect()
+    documents = sorted(map(tuple, corpus.files.collect()))
+    assert [m[1][-1] for m in manifest] == ["/", "a", "c", "d", "f", "h"] and counters[0][1:] == (10, 6, 1, 3, 0)
+    for k, order in enumerate(([*range(13)], [*range(12, -1, -1)], random.Random(3).sample(range(13), 13))):
+        state = str(tmp_path / str(k))
+        for n, start in enumerate(range(0, 13, 5)):
+            apply_batch(captures(spark, [rows[i] for i in order[start : start + 5]]), n, state, by_title, compact_every=2, as_of="2024-01-01 00:00:00", buckets=3)
+        assert sorted(map(tuple, current_manifest(spark, state).select(*corpus.manifest.columns).collect())) == manifest
+        assert current_counters(spark, state).select(*corpus.counters.columns).collect() == counters
+        assert sorted(map(tuple, current_documents(spark, state).select(*corpus.files.columns).collect())) == documents
+
+
+def test_a_batch_reads_its_own_buckets_and_counts_what_it_did(spark, tmp_path):
+    state = str(tmp_path / "state")
+    tables = arrivals(spark, [{"a": "A", "b": "B", "c": "C"}, {"a": "A2"}, {"a": "A2"}])
+    seen = [apply_batch(table, n, state) for n, table in enumerate(tables)]
+    assert [(s["touched"], s["new"], s["changed"], s["Processed"]) for s in seen] == [(3, 3, 3, 3), (1, 0, 0, 1), (1, 0, 0, 1)]
+    stored = CorpusState.stored(spark, state)
+    pieces = stored.pieces()["results"]
+    assert all(len(list((tmp_path / "state" / name / "batch=1").glob("bucket=*"))) == 1 for name in ("pages", "results", "claims", "manifest"))
+    plan = stored.results.newest(spark, pieces, list(pieces)[:1])._jdf.queryExecution().toString()
+    assert "PartitionFilters: [bucket" in plan
+    with pytest.raises(ValueError):
+        apply_batch(tables[0], 3, state, buckets=5)
+    # A replay counts what the first attempt counted.
+    assert apply_batch(tables[2], 2, state) == seen[2] and current_counters(spark, state).first().discovered == 3
+
+
 def test_change_state(spark, tmp_path):
     tables = arrivals(spark, BATCHES)
     source, out = str(tmp_path / "in"), tmp_path / "out"
