@@ -526,6 +526,9 @@ ORACLE: dict[str, str] = {
     "published_text": f"WITH {_D}, {_DOC_SITES}, {_lines(_DOC_ENTRIES, _INDEX_HEADER)} SELECT site, line FROM numbered",
     "published_documents": f"""WITH {_D}, t AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN text || chr(10) || 'Edited' ELSE text END AS body FROM d)
         SELECT site || '/ai/pages/' || file_name AS path, sha256({_front('title', 'sha256(text)')} || chr(10) || {trim('body')} || chr(10)) AS content_hash FROM t""",
+    "published_deltas": f"""WITH {_D}, t AS (SELECT *, text || CASE WHEN doc_id % 50 = 0 THEN chr(10) || 'Edited 50' WHEN doc_id % 7 = 0 THEN chr(10) || 'Edited 7'
+            WHEN doc_id % 3 = 0 THEN chr(10) || 'Edited 3' ELSE '' END AS body FROM d)
+        SELECT site || '/ai/pages/' || file_name AS path, sha256({_front('title', 'sha256(text)')} || chr(10) || {trim('body')} || chr(10)) AS content_hash FROM t""",
     "dedupe_names": f"""WITH {_D}, n AS (
           SELECT site, url, CASE WHEN doc_id % 2 = 0 THEN {fold('title')} ELSE lower(title) END || '.md' AS file_name, doc_id AS rank FROM d)
         FROM n QUALIFY row_number() OVER (PARTITION BY site, lower(file_name) ORDER BY rank) = 1""",

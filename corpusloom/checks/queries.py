@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -481,8 +481,21 @@ def published_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as readers see them after two runs, the second with every third page changed and no other written."""
     summaries, sites = _corpus(spark, sf)
     edited = summaries.filter("rank % 3 = 0").withColumn("markdown", F.concat("markdown", F.lit("\nEdited")))
+    return _published(spark, summaries, sites, (summaries, edited))
+
+
+def published_deltas(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents after four runs that write less and less, with a compaction after the second."""
+    summaries, sites = _corpus(spark, sf)
+    runs = [summaries]
+    for share in (3, 7, 50):
+        runs.append(summaries.filter(f"rank % {share} = 0").withColumn("markdown", F.concat("markdown", F.lit(f"\nEdited {share}"))))
+    return _published(spark, summaries, sites, runs, compact_every=2)
+
+
+def _published(spark: SparkSession, summaries: DataFrame, sites: DataFrame, runs: Sequence[DataFrame], **options) -> DataFrame:
     root = scratch_path(spark, "published")
-    for fresh in (summaries, edited):
+    for fresh in runs:
         corpus = Corpus(
             discovered=sites,
             counters=sites,
@@ -492,7 +505,7 @@ def published_documents(spark: SparkSession, sf: str) -> DataFrame:
             files=P.page_files(fresh, OPTIONS.generator),
             index=P.index_lines(summaries, sites, OPTIONS),
         )
-        publish_corpus(corpus, root)
+        publish_corpus(corpus, root, **options)
     return read_documents(spark, root).select("path", F.sha2("content", 256).alias("content_hash"))
 
 
@@ -665,6 +678,7 @@ QUERIES: dict[str, Query] = {
         published_files,
         published_text,
         published_documents,
+        published_deltas,
         dedupe_names,
         collisions,
         corpus_counters,

@@ -106,9 +106,12 @@ def as_summaries(pages: DataFrame) -> DataFrame:
 def attach_responses(pages: DataFrame, responses: DataFrame) -> DataFrame:
     """Changed pages with the summary found for them; ``markdown`` is null where there is none.
 
-    ``responses`` has ``(site, url, content_hash, body)``.
+    ``responses`` has ``(site, url, content_hash, body)``. Inference that is tried again may leave several answers to one
+    request: the least text of those that are not empty counts, and an empty one only where there is no other.
     """
-    answers = responses.select("site", "url", "content_hash", response_text(F.col("body")).alias("_summary"))
+    texts = responses.select("site", "url", "content_hash", response_text(F.col("body")).alias("_text"))
+    summary = F.coalesce(F.min(F.when(F.col("_text") != "", F.col("_text"))), F.min("_text"))
+    answers = texts.groupBy("site", "url", "content_hash").agg(summary.alias("_summary"))
     joined = pages.join(answers, ["site", "url", "content_hash"], "left")
     return as_summaries(joined.withColumn("markdown", F.col("_summary")))
 

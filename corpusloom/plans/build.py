@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -147,17 +148,50 @@ def build_corpus(
 DOCUMENTS = "site string, url string, path string, relative_output_path string, content string"
 
 
+BASE = "base="
+
+
 def read_documents(spark: SparkSession, root: str) -> DataFrame:
     """Page documents as of the last finished run, also those that it did not write anew; the next run's ``previous_files``."""
     done = finished_versions(spark, f"{root}/manifest")
-    return read_version(spark, f"{root}/documents", DOCUMENTS, done[-1] if done else None)
+    return documents_as_of(spark, root, done[-1] if done else 0)
+
 
+def documents_as_of(spark: SparkSession, root: str, run: int, again: bool = False) -> DataFrame:
+    """Documents after a run: the last compacted ones, and those of all runs since, of each path the newest.
 
-def next_documents(corpus: Corpus, root: str) -> DataFrame:
-    """The earlier documents whose paths this run does not write, and the ones that it writes."""
-    fresh = corpus.files.select("site", "url", "path", "relative_output_path", "content")
-    kept = read_documents(fresh.sparkSession, root).join(fresh.select("path"), "path", "left_anti")
-    return kept.select(*fresh.columns).unionByName(fresh)
+    Only paths are compared. Those that runs since the compaction wrote are few, so they are broadcast when counted to
+    be, and the texts stay where they are read. ``again`` leaves out what this run itself compacted.
+    """
+    folder = f"{root}/documents"
+    bases = [v for v in finished_versions(spark, folder, BASE) if v <= run and (v < run or not again)]
+    since = bases[-1] if bases else 0
+    stored = [read_version(spark, folder, DOCUMENTS, since, BASE).withColumn("_run", F.lit(since))] if bases else []
+    later = [v for v in finished_versions(spark, folder) if since < v <= run]
+    deltas = [read_version(spark, folder, DOCUMENTS, v).withColumn("_run", F.lit(v)) for v in later]
+    if not stored and not deltas:
+        return spark.createDataFrame([], DOCUMENTS)
+    whole = reduce(DataFrame.unionByName, [*stored, *deltas])
+    if len(stored) + len(deltas) == 1:
+        return whole.drop("_run")
+    written = reduce(DataFrame.unionByName, deltas).groupBy("path").agg(F.max("_run").alias("_newest"))
+    newest = broadcast_if_small(materialize(written, "paths"))
+    return whole.join(newest, "path", "left").filter(F.col("_newest").isNull() | (F.col("_run") == F.col("_newest"))).select(*[c.split()[0] for c in DOCUMENTS.split(", ")])
+
+
+def write_documents(files: DataFrame, root: str, run: int, compact_every: int) -> None:
+    """Writes the documents of a run and, after every ``compact_every`` runs, all documents together, clustered by path.
+
+    A run moves and writes the texts that it changed. A run that is repeated writes the same versions again.
+    """
+    spark, folder = files.sparkSession, f"{root}/documents"
+    fresh = files.select(*[c.split()[0] for c in DOCUMENTS.split(", ")])
+    fresh.repartitionByRange("path").sortWithinPartitions("path").write.mode("overwrite").parquet(f"{folder}/v={run}")
+    bases = [v for v in finished_versions(spark, folder, BASE) if v < run]
+    if run - (bases[-1] if bases else 0) < compact_every:
+        return
+    whole = documents_as_of(spark, root, run, again=True)
+    whole.repartitionByRange("path").sortWithinPartitions("path").write.mode("overwrite").parquet(f"{folder}/{BASE}{run}")
 
 
 def publish_corpus(
@@ -166,20 +200,21 @@ def publish_corpus(
     export_pages: bool = False,
     write_index: Callable[[DataFrame, str], None] = write_lines,
     save_manifest: Callable[[DataFrame, str], int] = write_manifest,
+    compact_every: int = 20,
 ) -> int:
     """Write a finished run below ``root`` and return the number of the new manifest version.
 
-    Every run writes versions of its own and changes none that a reader may hold: documents, clustered by path,
-    with unchanged ones carried over; index and full corpus; requests with the keys that their answers need; the
-    manifest's JSON form. With ``export_pages`` changed documents also become one file each. The manifest comes
+    Every run writes versions of its own and changes none that a reader may hold: the documents that it changed, and all
+    of them together after every ``compact_every`` runs; index and full corpus; requests with the keys that their answers
+    need; the manifest's JSON form. With ``export_pages`` changed documents also become one file each. The manifest comes
     last, so a run that fails before it is simply repeated. ``write_index`` and ``save_manifest`` stand in for
     other stores.
     """
     spark = corpus.manifest.sparkSession
     done = finished_versions(spark, f"{root}/manifest")
-    run = f"v={done[-1] + 1 if done else 1}"
-    documents = next_documents(corpus, root).repartitionByRange("path").sortWithinPartitions("path")
-    documents.write.mode("overwrite").parquet(f"{root}/documents/{run}")
+    number = done[-1] + 1 if done else 1
+    run = f"v={number}"
+    write_documents(corpus.files, root, number, compact_every)
     if export_pages:
         write_files(corpus.files, f"{root}/files")
     write_index(corpus.index, f"{root}/{INDEX_FILE}/{run}")

@@ -14,8 +14,9 @@ from corpusloom.operators.incremental import (
 )
 from corpusloom.operators.summarize import PROMPT, attach_responses, build_requests, response_text, summarize_pages
 from corpusloom.options import BuildOptions
-from corpusloom.plans.build import build_corpus, publish_corpus, read_documents
+from corpusloom.plans.build import DOCUMENTS, build_corpus, documents_as_of, publish_corpus, read_documents, write_documents
 from corpusloom.sinks.manifest import parse_manifest_json, read_manifest
+from corpusloom.sinks.versions import finished_versions
 from corpusloom.sources.page_files import read_page_files
 from corpusloom.sources.tables import MANIFEST
 
@@ -209,3 +210,40 @@ def test_manifest_entries(spark):
     )
     row = manifest_entries(summaries, "2024").first()
     assert (row.url, row.title, row.last_generated_at, row.content_hash) == ("https://s.com/a", "A", "2024", hash_of(spark, "x"))
+
+
+def test_documents_are_written_as_deltas_and_compacted(spark, tmp_path):
+    root = str(tmp_path)
+    columns = [c.split()[0] for c in DOCUMENTS.split(", ")]
+
+    def publish(run, changed):
+        rows = [("s", f"https://s.com/{n}", f"s/{n}.md", f"{n}.md", f"text {n} of run {run}") for n in changed]
+        write_documents(spark.createDataFrame(rows, DOCUMENTS), root, run, 3)
+
+    def read(run):
+        rows = documents_as_of(spark, root, run).select(*columns).collect()
+        assert len({r.path for r in rows}) == len(rows)
+        return {int(r.url.rsplit("/", 1)[1]): r.content for r in rows}
+
+    want, states = {}, {}
+    for run, changed in enumerate([range(20), [3], [3, 25], [4, 25], [], [5], [25]], 1):
+        publish(run, changed)
+        want |= {n: f"text {n} of run {run}" for n in changed}
+        states[run] = dict(want)
+        assert read(run) == want
+    # Earlier runs stay readable, and a run that is repeated, also one that compacts, replaces its own attempt.
+    assert all(read(run) == states[run] for run in states)
+    assert finished_versions(spark, f"{root}/documents", "base=") == [3, 6]
+    assert spark.read.parquet(f"{root}/documents/v=2").count() == 1
+    publish(6, [6])
+    assert read(6) == states[5] | {6: "text 6 of run 6"}
+    assert read(0) == {}
+
+
+def test_several_answers_to_one_request_are_one_summary(spark):
+    pages = spark.createDataFrame([(1, "s", "https://s.com/a", "A", "h"), (2, "s", "https://s.com/b", "B", "h")], "rank long, site string, url string, title string, content_hash string")
+    pages = pages.withColumn("fetched_at", F.lit("2024-01-01").cast("timestamp")).withColumn("markdown", F.lit("m"))
+    bodies = [("a", '{"response": "y"}'), ("a", '{"response": "x"}'), ("a", '{"response": ""}'), ("a", "broken"), ("b", '{"response": null}'), ("b", "{}")]
+    answers = spark.createDataFrame([("s", f"https://s.com/{n}", "h", body) for n, body in bodies], "site string, url string, content_hash string, body string")
+    assert {r.url[-1]: r.markdown for r in attach_responses(pages, answers).collect()} == {"a": "x", "b": ""}
+    assert attach_responses(pages, answers).count() == 2
