@@ -28,7 +28,7 @@ from corpusloom.session import broadcast_if_small, materialize
 
 END_ID = 2
 CHUNK_ROWS = 256
-UNITS_KEPT = 1_500_000
+UNITS_KEPT = 500_000
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 _BLANK = np.zeros(256, bool)
