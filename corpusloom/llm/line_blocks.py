@@ -4,18 +4,23 @@ Markup is stripped to lines, one for each block of text. Each line has the lengt
 block is a window of lines around it, and the sum of their lengths tells prose from lists of links and short notices.
 The text surges where the sum first passes a threshold and dives where it falls below it; what stands between is kept,
 down to the short lines in it. A page's text is all such stretches in page order; where one container holds lines of two
-neighbours, as around a table or list in the middle of an article, the lines between them are kept too. Elements that announce themselves as
-something else (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts) are not lines at all. A
-class or id that only says so of the layout (``has-sidebar``) announces nothing, nor does one around the article itself.
+neighbours, as around a table or list in the middle of an article, the lines between them are kept too.
+
+Elements that announce themselves as something else (menus, headers, footers, sidebars, notices, adverts, forms,
+comments) are left out, scripts and their like are no lines at all. Some of this is weak evidence: forms, which may
+stand around a whole page, names that only contain a word of these (``menu-item-recipe``), and elements that never end.
+There the sums of lengths decide: what holds most of a page's dense text is kept. A class or id that tells of the layout
+(``has-sidebar``) announces nothing, nor does anything around the article itself.
 
 Defined cases: a null or empty page, or one without text, has an empty main text; unclosed elements end with what
-surrounds them; a page of any length is read from front to back, again if a class or id around its article left it out; rows that repeat are extracted one by one.
+surrounds them; a page of any length is read once from front to back; rows that repeat are extracted one by one.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html import unescape
 from typing import NamedTuple
 
@@ -31,6 +36,9 @@ WINDOW = 3
 SURGE = 80
 """Sum of lengths at which text begins."""
 
+MARKED = 4
+"""Weight of an article's text against that of elements that may be something else."""
+
 GAP = 2
 """Lines below the threshold that a stretch of text may hold."""
 
@@ -40,14 +48,23 @@ BLOCKS = frozenset(
     "head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 CONTAINERS = frozenset("article blockquote body div main section td".split())
-OPAQUE = frozenset("script style noscript template svg math textarea select iframe object canvas audio video head title".split())
-ASIDE = frozenset("nav header footer aside form menu dialog button label fieldset".split())
+OPAQUE = frozenset("script style noscript template svg annotation textarea select iframe object canvas audio video head title".split())
+ASIDE = frozenset("nav header footer aside menu dialog button label".split())
+CONTROLS = frozenset("form fieldset".split())
+UNENDED = frozenset("dd dt li option p tbody td tfoot th thead tr".split())
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-NAMES = re.compile(
-    r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|disqus|footer|header|menu|nav\w*|newsletter|notice|popup|promo\w*|"
-    r"related|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?=$|[\s_-])"
+NAME = re.compile(
+    r"ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|disqus|footer|header|menu|nav\w*|newsletter|notice|popup|promo\w*|"
+    r"related|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget"
 )
+PLACES = frozenset(
+    "area articles bar block body bottom box button buttons col column consent container desktop footer form global group icons inner item items left "
+    "link links list local mobile modal outer overlay page panel post posts primary replies reply respond right row secondary section signup site slot "
+    "stories story text thread top unit wrap wrapper".split()
+)
+"""Words that say where something stands: next to these a name means what it says, next to others (``social-science``) it may not."""
+
 LAYOUT = re.compile(
     r"(?i)^(?:has|no|not|with|without)[_-]|[_-](?:open|opened|closed|enabled|disabled)$|^(?:entry|post|page|article)[_-]header$|^elementor-widget(?:-|$)"
 )
@@ -60,77 +77,94 @@ _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 
 
 class Line(NamedTuple):
-    """A block's text, the length of what is not in links, whether it stands in an element marked as the article, and the
-    number of its nearest container."""
+    """A block's text, the length of what is not in links, whether it stands in an element marked as the article, the
+    number of its nearest container, and that of the nearest announced element around it, or -1."""
 
     text: str
     length: int
     marked: bool
     container: int
+    aside: int
+
+
+@dataclass(slots=True)
+class Aside:
+    """An element that announces something else: the number of the announced element around it, or -1, and whether what
+    announces it is weak evidence."""
+
+    outer: int
+    weak: bool
+
 
+@dataclass(slots=True)
+class Article:
+    """An article or main element: the number of the announced element around it, or -1, and its text's length."""
 
-def _names_aside(value: str, in_article: bool) -> bool:
-    """Whether a class or id announces something else; a header in an article is its heading."""
-    names = [m[0].strip(" _-").lower() for token in value.split() if not LAYOUT.search(token) for m in NAMES.finditer(token)]
-    return any(not (in_article and name == "header") for name in names)
+    name: str
+    aside: int
+    length: int = 0
+
+
+def _evidence(value: str, in_article: bool) -> int:
+    """What a class or id tells: 0 nothing, 1 that the element may be something else, 2 that it is. A header in an article
+    is its heading."""
+    found = 0
+    for token in value.lower().split():
+        parts = [part for part in re.split("[_-]", token) if part]
+        named = [part for part in parts if NAME.fullmatch(part) and not (in_article and part == "header")]
+        if named and not LAYOUT.search(token):
+            found = max(found, 2 if all(part in PLACES or NAME.fullmatch(part) for part in parts) else 1)
+    return found
 
 
-def _is_aside(name: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
-    """Whether an element announces something else than the main text, and whether only by its class or id; an article's
-    own header is part of it."""
+def _announced(name: str, attributes: str, in_article: bool) -> int:
+    """What an element's name and attributes tell, as ``_evidence``; an article's own header is part of it."""
     if name in ASIDE and not (name == "header" and in_article):
-        return True, False
+        return 2
+    found = int(name in CONTROLS)
     if not attributes or name in ("html", "body", "article", "main"):
-        return False, False
-    named = False
+        return found
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "role" and value.lower() in ROLES or key == "hidden":
-            return True, False
-        named = named or key in ("class", "id") and _names_aside(value, in_article)
-    return named, named
-
-
-class Wrapped(NamedTuple):
-    """An article or main element that only classes or ids around it leave out: where these begin, and its text's length."""
-
-    name: str
-    around: tuple[int, ...]
-    length: list[int]
+            return 2
+        if key in ("class", "id"):
+            found = max(found, _evidence(value, in_article))
+    return found
 
 
-def _read_lines(html: str, layout: frozenset[int]) -> tuple[list[Line], list[Wrapped], bool]:
-    """Lines outside opaque and announced elements, articles inside named ones, and whether others were met; elements that
-    begin at ``layout`` announce nothing."""
+def _read_lines(html: str) -> tuple[list[Line], list[Aside], list[Article]]:
+    """Lines outside opaque elements, announced elements (outer ones first) and articles."""
     lines: list[Line] = []
-    wrapped: list[Wrapped] = []
-    inside: list[Wrapped] = []
-    named: list[int] = []
-    found = False
+    asides: list[Aside] = []
+    articles: list[Article] = []
     parts: list[str] = []
     outside = 0
-    open_names: list[tuple[str, bool, bool, bool, bool]] = []  # name, left out, by its class or id alone, article, wrapped
-    containers = [0]
-    skipped = articles = links = 0
+    open_names: list[tuple[str, bool, int]] = []  # name, opaque, number of the announced element or -1
+    around, inside, containers = [-1], [-1], [0]
+    skipped = links = 0
 
     def end_line() -> None:
         nonlocal outside
         text = " ".join(unescape("".join(parts)).split())
         if text:
-            lines.append(Line(text, outside, articles > 0, containers[-1]))
+            lines.append(Line(text, outside, inside[-1] >= 0, containers[-1], around[-1]))
+            if inside[-1] >= 0 and articles[inside[-1]].aside == around[-1]:
+                articles[inside[-1]].length += outside
         parts.clear()
         outside = 0
 
     def close(count: int) -> None:
-        nonlocal skipped, articles, links
-        for _ in range(count):
-            name, aside, by_name, article, is_wrapped = open_names.pop()
-            skipped -= aside
-            if by_name:
-                named.pop()
-            if is_wrapped:
+        nonlocal skipped, links
+        for left in range(count, 0, -1):
+            name, opaque, aside = open_names.pop()
+            skipped -= opaque
+            if aside >= 0:
+                around.pop()
+                if left > 1 and name not in UNENDED:
+                    asides[aside].weak = True
+            if name in ("article", "main"):
                 inside.pop()
-            articles -= article
             links -= name == "a"
             if name in CONTAINERS:
                 containers.pop()
@@ -144,8 +178,6 @@ def _read_lines(html: str, layout: frozenset[int]) -> tuple[list[Line], list[Wra
             parts.append(text)
             if not links:
                 outside += len(text.strip())
-        elif stop > at and inside:
-            inside[0].length[0] += len(html[at:stop].strip())
         if not token:
             break
         at = token.end()
@@ -163,53 +195,92 @@ def _read_lines(html: str, layout: frozenset[int]) -> tuple[list[Line], list[Wra
             end_line()
         if name in EMPTY or token[3].endswith("/") and name not in BLOCKS:
             continue
-        if name in OPAQUE and name not in ("head", "title"):
+        opaque = name in OPAQUE
+        if opaque and name not in ("head", "title"):
             end = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(html, at)
             at = end.start() if end else len(html)
         if name == "p" and open_names:  # a paragraph ends the one before it
             depth = next((k for k in range(len(open_names) - 1, -1, -1) if open_names[k][0] == "p"), None)
             if depth is not None and not any(o[0] in BLOCKS for o in open_names[depth + 1 :]):
                 close(len(open_names) - depth)
-        aside, by_name = (True, False) if name in OPAQUE else _is_aside(name, token[3], articles > 0)
-        if by_name and token.start() in layout:
-            aside = by_name = False
-        article = name in ("article", "main")
-        is_wrapped = article and skipped > 0 and skipped == len(named)
-        if is_wrapped:
-            inside.append(Wrapped(name, tuple(named), [0]))
-            wrapped.append(inside[-1])
-        found = found or article and not skipped
-        open_names.append((name, aside, by_name, article, is_wrapped))
-        skipped += aside
-        if by_name:
-            named.append(token.start())
-        articles += article
+        aside = -1
+        evidence = 0 if opaque or skipped else _announced(name, token[3], inside[-1] >= 0)
+        if evidence:
+            if name not in BLOCKS:
+                end_line()
+            aside = len(asides)
+            asides.append(Aside(around[-1], evidence < 2))
+            around.append(aside)
+        open_names.append((name, opaque, aside))
+        skipped += opaque
+        if name in ("article", "main"):
+            inside.append(len(articles))
+            articles.append(Article(name, around[-1]))
         links += name == "a"
         if name in CONTAINERS:
             containers.append(at)
     if not skipped:
         end_line()
-    return lines, wrapped, found
+    for name, _, aside in open_names:
+        if aside >= 0 and name not in UNENDED:
+            asides[aside].weak = True
+    return lines, asides, articles
 
 
 def page_lines(html: str) -> list[Line]:
-    """The page's lines in order, without opaque and announced elements.
+    """The page's lines in order, without those of announced elements.
 
-    Classes and ids announce nothing around the page's ``main`` or, if no article stands outside what they announce,
-    around its longest one.
+    Nothing is announced around the page's ``main``; nor around its longest article, if none with text stands elsewhere and it
+    is longer than all that does. Weak evidence is for the density of text to judge: an element with more than half of
+    the text in dense lines, an article's counted ``MARKED`` times, is what the page is about.
     """
-    lines, wrapped, found = _read_lines(html, frozenset())
-    mains = [w for w in wrapped if w.name == "main"]
-    if mains or wrapped and not found:
-        article = max(mains or wrapped, key=lambda w: w.length[0])
-        lines = _read_lines(html, frozenset(article.around))[0]
-    return lines
+    lines, asides, articles = _read_lines(html)
+    if not asides:
+        return lines
+    free = [False] * len(asides)
+    mains = [a for a in articles if a.name == "main" and a.aside >= 0]
+    best = max(mains or articles, key=lambda a: a.length, default=None)
+    elsewhere = sum(line.length for line in lines if line.aside < 0)
+    if best and (mains or best.length > elsewhere and not any(a.aside < 0 and a.length for a in articles)):
+        at = best.aside
+        while at >= 0:
+            free[at] = True
+            at = asides[at].outer
+
+    def left_out(weak_too: bool) -> list[bool]:
+        out: list[bool] = []
+        for k, aside in enumerate(asides):
+            out.append(aside.outer >= 0 and out[aside.outer] or not free[k] and (weak_too or not aside.weak))
+        return out
+
+    strong = left_out(False)
+    rest = [line for line in lines if line.aside < 0 or not strong[line.aside]]
+    lengths = np.array([line.length for line in rest], np.int64)
+    dense = window_sums(lengths) >= SURGE
+    mass = [0] * len(asides)
+    total = 0
+    for line, counts in zip(rest, dense.tolist() if dense.any() else [True] * len(rest), strict=True):
+        weight = line.length * counts * (MARKED if line.marked else 1)
+        total += weight
+        if line.aside >= 0:
+            mass[line.aside] += weight
+    for k in range(len(asides) - 1, -1, -1):
+        if asides[k].outer >= 0:
+            mass[asides[k].outer] += mass[k]
+    for k, aside in enumerate(asides):
+        free[k] = free[k] or aside.weak and 2 * mass[k] > total
+    out = left_out(True)
+    return [line for line in lines if line.aside < 0 or not out[line.aside]]
+
+
+def window_sums(lengths: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Per line the sum of lengths in the window around it."""
+    return np.convolve(lengths, np.ones(2 * window + 1, np.int64), "full")[window : window + len(lengths)] if len(lengths) else lengths
 
 
 def text_stretches(lengths: np.ndarray, window: int = WINDOW, surge: int = SURGE, gap: int = GAP) -> list[tuple[int, int]]:
     """Ranges of lines from a surge to the dive after it."""
-    sums = np.convolve(lengths, np.ones(2 * window + 1, np.int64), "full")[window : window + len(lengths)]
-    dense = sums >= surge
+    dense = window_sums(lengths, window) >= surge
     edges = np.flatnonzero(np.diff(np.concatenate([[False], dense, [False]]).view(np.int8)))
     found: list[tuple[int, int]] = []
     for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):

@@ -40,7 +40,7 @@ def test_given_pages(spark):
         (f"<p>{LONG}", LONG),
         ("<p>a &lt;b&gt; c</p>", "a <b> c"),
         ("<nav>" * 3000 + "x" + "</nav>" * 3000 + f"<p>{LONG}</p>" * 3, "\n".join([LONG] * 3)),
-        (f"<div class='article-header-image'><p>{LONG}</div>", ""),
+        (f"<div class='article-header-image'><p>{LONG}</div>", LONG),
     ],
 )
 def test_pages(page, text):
@@ -97,3 +97,47 @@ def test_headings_inside_and_articles_in_comments():
     page = f"<article><p>x</article><div id=comments><article><p>{LONG}</article></div>"
     assert main_text(page) == "x"
     assert main_text(f"<article><p>x</article><div class='content-sidebar-wrap'><main><p>{LONG}</main></div>") == f"x\n{LONG}"
+
+
+SIDE = f"<div class=sidebar><p>{LONG}</p></div><footer><p>{LONG}</p></footer>"
+
+
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+@pytest.mark.parametrize(
+    "before", ["<form id=aspnetForm>", "<div class='social-science'>", "<div id='menu-item-recipe'>", "<div class=my-header-wrap>", "<nav><a href=x>Home</a>", "<aside>"]
+)
+def test_weak_evidence_is_judged_by_density(before, tag):
+    name = before[1:].split()[0].split(">")[0]
+    after = "" if name in ("nav", "aside") else f"</{name}>"
+    page = f"<body>{before}<{tag}><p>{LONG}</p><p>{LONG}</p></{tag}>{SIDE}{after}<p>Imprint</p></body>"
+    assert main_text(page).split("\n")[:2] == [LONG, LONG]
+    assert main_text(page).count(LONG) == 2
+
+
+def test_weak_evidence_beside_the_text():
+    text = f"<p>{LONG}<p>{LONG}"
+    for part in (f"<form><p>{LONG}</form>", f"<div class=social-science><p>{LONG}</div>", f"<div><nav><p>{LONG}</div>"):
+        assert main_text(f"<div>{text}</div>{part}") == f"{LONG}\n{LONG}"
+    assert main_text(f"<article><p>{LONG}</article><div class=comments>{text}{text}</div>") == LONG
+    assert main_text(f"<div><p>{LONG}</div><div id=comments><article><p>short</article></div>") == LONG
+    assert main_text(f"<div class=comments>{text}</div>") == ""
+
+
+def test_formulas_are_text():
+    assert main_text(f"<p>{LONG} <math><mi>x</mi><annotation>\\x</annotation></math> y") == f"{LONG} x y"
+
+
+def test_stretches_against_brute_force():
+    random = np.random.default_rng(5)
+    for _ in range(200):
+        lengths = random.integers(0, 60, random.integers(1, 60)) * (random.random() < 0.7)
+        lengths[random.random(len(lengths)) < 0.6] = 0
+        dense = [sum(lengths[max(k - 3, 0) : k + 4]) >= 80 for k in range(len(lengths))]
+        for k in [k for k in range(len(lengths)) if not dense[k]]:  # short gaps between dense lines belong to the stretch
+            left = next((k - j for j in range(k, -1, -1) if dense[j]), 99)
+            right = next((j - k for j in range(k, len(lengths)) if dense[j]), 99)
+            lengths_of_gap = left + right - 1
+            dense[k] = "gap" if lengths_of_gap <= 2 else False
+        inside = [bool(d) for d in dense]
+        want = [k for k in range(len(lengths)) if inside[k]]
+        assert [k for a, b in text_stretches(lengths) for k in range(a, b)] == want
