@@ -1,6 +1,6 @@
 """Quality rules: counted base rules and a calibrated n-gram model against fixed thresholds.
 
-The model is a logistic regression over hashed word and byte n-grams, fitted to a bounded sample of labelled
+The model is a logistic regression over hashed word and character n-grams, fitted to a bounded sample of labelled
 rows and calibrated on the part of the sample that it was not fitted to. Texts are scored whole, in Arrow batches.
 
 Defined cases: a null text counts as empty; a text without words has no repeats and fails the base rules; rows that
@@ -56,24 +56,25 @@ def _word_buckets(hashes: np.ndarray) -> np.ndarray:
     return ((mixed(np.concatenate([hashes, pairs])) >> np.uint64(20)) & np.uint64(BUCKETS - 1)).astype(np.int32)
 
 
-def _byte_buckets(text: bytes) -> Iterator[np.ndarray]:
-    """Buckets of all three-byte runs, a piece of the text at a time."""
-    whole = np.frombuffer(text, np.uint8)
+def _char_buckets(text: bytes) -> Iterator[np.ndarray]:
+    """Buckets of all runs of three code points, a piece of the text at a time."""
+    whole = text.decode()
     for start in range(0, len(whole) - 2, _PIECE):
-        piece = whole[start : start + _PIECE + 2].astype(np.uint32)
-        code = (piece[:-2] << np.uint32(16)) | (piece[1:-1] << np.uint32(8)) | piece[2:]
-        yield (((code * np.uint32(2654435761)) >> np.uint32(12)) & np.uint32(BUCKETS - 1)).astype(np.int32)
+        piece = np.frombuffer(whole[start : start + _PIECE + 2].encode("utf-32-le"), np.uint32)
+        code = piece[:-2] * np.uint32(0x9E3779B1) + piece[1:-1] * np.uint32(0x85EBCA77) + piece[2:] * np.uint32(0xC2B2AE3D)
+        code = (code ^ (code >> np.uint32(15))) * np.uint32(2654435761)
+        yield ((code >> np.uint32(12)) & np.uint32(BUCKETS - 1)).astype(np.int32)
 
 
 def features(text: bytes | None, words: Words | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Shares of the buckets of word n-grams and of byte n-grams."""
+    """Shares of the buckets of word n-grams and of character n-grams."""
     text = text or b""
     words = space_words(text) if words is None else words
     by_word = np.bincount(_word_buckets(words.hashes), minlength=BUCKETS).astype(np.float32)
-    by_byte = np.zeros(BUCKETS, np.float32)
-    for buckets in _byte_buckets(text):
-        by_byte += np.bincount(buckets, minlength=BUCKETS)
-    return by_word / max(1.0, by_word.sum()), by_byte / max(1.0, by_byte.sum())
+    by_char = np.zeros(BUCKETS, np.float32)
+    for buckets in _char_buckets(text):
+        by_char += np.bincount(buckets, minlength=BUCKETS)
+    return by_word / max(1.0, by_word.sum()), by_char / max(1.0, by_char.sum())
 
 
 def _sparse_features(doc_id: int, text: bytes | None, label: int) -> Iterator[tuple]:
@@ -92,8 +93,8 @@ class NgramModel:
     shift: float
 
     def score(self, text: bytes | None, words: Words | None = None) -> float:
-        by_word, by_byte = features(text, words)
-        margin = float(self.weights[:BUCKETS] @ by_word + self.weights[BUCKETS:] @ by_byte) + self.intercept
+        by_word, by_char = features(text, words)
+        margin = float(self.weights[:BUCKETS] @ by_word + self.weights[BUCKETS:] @ by_char) + self.intercept
         return _sigmoid(self.slope * margin + self.shift)
 
 
@@ -129,12 +130,13 @@ def fit_ngram_model(
     """Model of ``label`` from at most ``sample_rows`` labelled documents.
 
     The sample is a parameter, not a share of the table: its features, a few kilobytes a row, meet on the driver.
-    Each fifth row of it only calibrates. Rows whose label or doc_id is null are not used.
+    Each fifth row of it only calibrates. Of texts that share an id one is taken. Rows whose label or doc_id is null are not used.
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias("_label")).dropna()
     one_each = known.groupBy("doc_id").agg(F.max("_label").alias("_label"))
     sample = one_each.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     texts = documents.select("doc_id", F.col("text").cast("binary").alias("_text")).join(F.broadcast(sample), "doc_id")
+    texts = texts.groupBy("doc_id", "_label").agg(F.min("_text").alias("_text"))
     found = map_rows(texts.select("doc_id", "_text", "_label"), "doc_id bigint, label int, used binary, value binary", _sparse_features).collect()
     found = sorted(found, key=lambda r: (r["doc_id"], bytes(r["used"]), bytes(r["value"])))
     y = np.array([r["label"] > 0 for r in found], np.float32)

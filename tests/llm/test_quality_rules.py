@@ -1,10 +1,11 @@
+import math
 import random
 from collections import Counter
 
 import pytest
 from llm_helpers import documents, prose, words
 
-from corpusloom.llm.quality_rules import CONSTANT, fit_ngram_model, judge_quality, keep_quality
+from corpusloom.llm.quality_rules import BUCKETS, CONSTANT, features, fit_ngram_model, judge_quality, keep_quality
 
 
 def brute(text):
@@ -54,3 +55,35 @@ def test_without_rows_or_labels(spark):
     assert fit_ngram_model(docs, none) is CONSTANT
     assert [r.kept for r in judge_quality(docs, CONSTANT).collect()] == [True]
     assert judge_quality(docs.limit(0), CONSTANT).count() == 0 and keep_quality(docs.limit(0), CONSTANT).count() == 0
+
+
+def plain_shares(text):
+    """Shares of the buckets of three-character runs, one run at a time."""
+    share = [0.0] * BUCKETS
+    runs = [text[k : k + 3] for k in range(len(text) - 2)]
+    for run in runs:
+        code = sum(ord(c) * m for c, m in zip(run, (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D), strict=True)) % 2**32
+        code = (code ^ (code >> 15)) * 2654435761 % 2**32
+        share[(code >> 12) % BUCKETS] += 1 / len(runs)
+    return share
+
+
+@pytest.mark.parametrize("text", ["", "ab", "abc", "Широкая электрификация", "日本語のテキスト", "a😀b😀c", "plain words, more words"])
+def test_character_shares_equal_a_loop(text, monkeypatch):
+    monkeypatch.setattr("corpusloom.llm.quality_rules._PIECE", 5)
+    assert features(text.encode())[1].tolist() == pytest.approx(plain_shares(text), abs=1e-6)
+
+
+def test_scores_equal_a_loop(spark, texts):
+    good, bad, _ = texts
+    docs = documents(spark, [*good, *bad])
+    labels = spark.createDataFrame([(i, int(i < len(good)), 0) for i in range(len(good) + len(bad))], "doc_id long, quality int, toxic int")
+    model = fit_ngram_model(docs, labels)
+    repeated = fit_ngram_model(docs.unionByName(docs), labels)
+    assert (model.weights == repeated.weights).all()
+    for row in judge_quality(docs, model).collect()[::20]:
+        text = (good + bad)[row.doc_id]
+        shares = [*features(text.encode())[0].tolist(), *plain_shares(text)]
+        margin = model.intercept + sum(w * x for w, x in zip(model.weights.tolist(), shares, strict=True))
+        assert row.score == pytest.approx(1 / (1 + math.exp(-(model.slope * margin + model.shift))), abs=1e-4)
+        assert row.kept == (not row.base_failed and row.score >= 0.5)
