@@ -159,6 +159,7 @@ def fit_network(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMP
     sample = halves[0].unionByName(halves[1])
     texts = documents.select("doc_id", F.col("text").cast("binary").alias("body")).join(F.broadcast(sample), "doc_id")
     short = texts.filter((F.octet_length("body") <= sample_bytes) & F.col("body").isNotNull())
+    short = short.groupBy("doc_id", "quality").agg(F.min("body").alias("body"))  # of texts that share an id, one
     rows = sorted((r["doc_id"], bytes(r["body"]), int(r["quality"] > 0)) for r in short.collect())
     n_good = sum(r[2] for r in rows)
     if n_good in (0, len(rows)):
