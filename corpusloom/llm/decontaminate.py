@@ -162,7 +162,8 @@ def drop_contaminated(
         texts = documents.select(F.xxhash64(text_col).alias("_key"), F.col(text_col).alias("text")).distinct()
         judged = contamination_digests(texts, items, "_key", min_share, item_col=item_col, width=width, slice_windows=slice_windows)
         bad = judged.filter("contaminated").select(F.col("_key").alias("_bad")).distinct()
-        return documents.join(bad, F.xxhash64(text_col) == F.col("_bad"), "left_anti")
+        same = F.xxhash64(F.col(f"given.`{text_col}`")) == F.col("bad._bad")
+        return documents.alias("given").join(bad.alias("bad"), same, "left_anti")
     if not masks:
         return documents
     windows = masks[0]

@@ -318,4 +318,5 @@ def keep_first(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``documents`` with all columns, without those whose component has a smaller id."""
     judged = near_duplicates(documents, id_col, text_col, percent)
     dropped = materialize(judged.filter("NOT kept").select(F.col(id_col).alias("_id")).distinct(), "dropped")
-    return documents.join(broadcast_if_small(dropped), F.col(id_col) == F.col("_id"), "left_anti")
+    same = F.col(f"given.`{id_col}`") == F.col("dropped._id")
+    return documents.alias("given").join(broadcast_if_small(dropped).alias("dropped"), same, "left_anti")

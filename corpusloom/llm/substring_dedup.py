@@ -124,7 +124,7 @@ def find_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
         for key in np.unique(signed(window_anchors(space_words(body), width))).tolist():
             yield doc_id, key
 
-    anchors = map_rows(texts.select("id", "body"), f"id {kind}, key bigint", keys)
+    anchors = materialize(map_rows(texts.select("id", "body"), f"id {kind}, key bigint", keys), "anchors")
     shared = materialize(
         anchors.groupBy("key").agg(F.min("id").alias("owner"), F.count("*").alias("n")).filter("n > 1").select("key", "owner"), "shared"
     )
@@ -229,14 +229,17 @@ def cut_text(text: bytes, spans: Sequence | None) -> bytes:
 
 
 def _with_spans(documents: DataFrame, spans: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Rows that lose nothing, left where they are, and rows that lose words, with their ``_spans``."""
-    names = {"id": "_id", "text_key": "_text_key", "spans": "_spans"}
-    lost = spans.select(*[F.col(k).alias(v) for k, v in names.items()])
-    same = (F.col(id_col) == F.col("_id")) & (F.xxhash64(F.col(text_col)) == F.col("_text_key"))
-    ids = broadcast_if_small(lost.select("_id", "_text_key"))
-    untouched = documents.join(ids, same, "left_anti")
-    touched = documents.join(ids, same, "left_semi").join(lost, same).drop("_id", "_text_key")
-    return untouched, touched
+    """Rows that lose nothing, left where they are, and rows that lose words, with their spans as the last column."""
+    given = documents.alias("given")
+    ids = broadcast_if_small(spans.select("id", "text_key")).alias("lost")
+    lost = spans.alias("lost")
+    same = (F.col(f"given.`{id_col}`") == F.col("lost.id")) & (F.xxhash64(F.col(f"given.`{text_col}`")) == F.col("lost.text_key"))
+    name = "_spans"
+    while name in documents.columns:
+        name += "_"
+    untouched = given.join(ids, same, "left_anti")
+    touched = given.join(ids, same, "left_semi").join(lost, same)
+    return untouched, touched.select(*[F.col(f"given.`{c}`") for c in documents.columns], F.col("lost.spans").alias(name))
 
 
 def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
@@ -268,4 +271,4 @@ def repeat_digests(documents: DataFrame, id_col: str = "doc_id", text_col: str =
 
     schema = f"`{id_col}` {kind}, n_words bigint, n_removed bigint, kept_sha256 string"
     body = F.col(text_col).cast("binary")
-    return map_rows(untouched.select(id_col, body), schema, digest).unionByName(map_rows(touched.select(id_col, body, "_spans"), schema, digest))
+    return map_rows(untouched.select(id_col, body), schema, digest).unionByName(map_rows(touched.select(id_col, body, touched.columns[-1]), schema, digest))

@@ -109,3 +109,10 @@ def test_threshold_is_a_parameter(spark):
     a = [f"w{k}" for k in range(104)]
     docs = documents(spark, [" ".join(a), " ".join(a[:95] + [f"x{k}" for k in range(9)])])
     assert [keep_first(docs, **p).count() for p in ({}, {"percent": 80})] == [2, 1]
+
+
+def test_columns_named_as_those_inside(spark):
+    rng = random.Random(8)
+    text = prose(rng, 60)
+    docs = spark.createDataFrame([(k, text, "x", 1, 2) for k in range(3)], "doc_id long, text string, _id string, id int, kept int")
+    assert [tuple(r) for r in keep_first(docs).collect()] == [(0, text, "x", 1, 2)]

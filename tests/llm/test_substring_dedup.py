@@ -75,3 +75,16 @@ def test_repeated_ids_missing_ids_and_no_rows(spark):
     assert got == {(3, 30, 0), (7, 30, 30), (None, 30, 0), (2, 0, 0)}
     assert repeat_digests(docs).count() == 6
     assert repeat_digests(docs.limit(0)).count() == 0 and remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_columns_named_as_those_inside(spark):
+    rng = random.Random(8)
+    shared = prose(rng, 30)
+    rows = [(k, f"{prose(rng, 20)} {shared}", "x", 1, [2], "y", k, "z", "w") for k in range(3)]
+    names = "doc_id long, text string, _id string, _text_key int, _spans array<int>, id string, _bad long, spans string, text_key string"
+    docs = spark.createDataFrame(rows, names)
+    found = {r.doc_id: r for r in remove_repeats(docs).collect()}
+    assert remove_repeats(docs).columns == docs.columns
+    assert [len(words(found[k].text)) for k in range(3)] == [50, 20, 20]
+    assert all(found[k][2:] == rows[k][2:] for k in range(3))
+    assert [tuple(r)[:3] for r in sorted(repeat_digests(docs).collect())] == [(0, 50, 0), (1, 50, 30), (2, 50, 30)]
