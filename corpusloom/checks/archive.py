@@ -17,7 +17,8 @@ from corpusloom.sources.tables import PRIMARY, RENDERED
 SLICE = 1000
 LISTING = 3
 RENDERED_IDS = 1_000_000_000_000
-TREES = 3
+TREES = ((40, 3), (2_000_000_000, 12), (1_000, 4))
+"""Budget and depth of each site of links: a tight budget, the whole site, and a tight depth."""
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -298,9 +299,11 @@ def captures(pages: DataFrame) -> DataFrame:
 
 
 def tree_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages as three sites whose pages link four children each, the home page, and what they linked before."""
-    place = F.floor(F.col("page_id") / TREES)
-    host = F.concat(F.lit("https://s"), (F.col("page_id") % TREES).cast("string"), F.lit(".example.com"))
+    """All pages as three sites, with their budgets and depths, whose pages link four children each, the home page, and
+    what they linked before."""
+    place = F.floor(F.col("page_id") / len(TREES))
+    tree = (F.col("page_id") % len(TREES)).cast("int")
+    host = F.concat(F.lit("https://s"), tree.cast("string"), F.lit(".example.com"))
     children = F.array_join(
         F.transform(
             F.array(*[F.lit(j) for j in (1, 2, 3, 4)]),
@@ -316,6 +319,8 @@ def tree_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.regexp_extract(host, "https://(.*)", 1).alias("site"),
         F.concat(host, F.when(place == 0, F.lit("/")).otherwise(F.concat(F.lit("/p/"), place.cast("string")))).alias("url"),
         F.concat("html", F.lit('<a href="/">home</a>'), children).alias("html"),
+        F.get(F.array(*[F.lit(pages) for pages, _ in TREES]), tree).alias("max_pages"),
+        F.get(F.array(*[F.lit(depth) for _, depth in TREES]), tree).alias("max_depth"),
     )
 
 

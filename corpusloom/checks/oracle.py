@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from corpusloom.checks.archive import LISTING, RENDERED_IDS, SLICE, TREES
-from corpusloom.checks.queries import CRAWL_BUDGET, OWN_BUDGET, SMALL_BUDGET
+from corpusloom.checks.queries import OWN_BUDGET, SMALL_BUDGET
 
 # Challenge signatures with their labels, as they must be.
 CHALLENGE_SIGNATURES = (
@@ -228,8 +228,14 @@ rest_kept AS (
   QUALIFY rank <= {limit})"""
 
 
-def _bfs(limit: int, depth: int) -> str:
+def _of_tree(values) -> str:
+    """A number of each site of links."""
+    return "CASE n.site" + "".join(f" WHEN 's{k}.example.com' THEN {v}" for k, v in enumerate(values)) + " END"
+
+
+def _bfs(limit: int | str, depth: int, own_depth: str = "") -> str:
     """CTEs ``lv0`` .. from ``roots(site, url)`` and ``edges(site, src, ord, dst)``; ``walk`` is their union."""
+    own = f"< coalesce({own_depth}, 0)" if own_depth else f"< {depth}"
     ctes = ["lv0 AS MATERIALIZED (SELECT site, url, lower(url) AS k, 0 AS depth, 1 AS rank FROM roots)"]
     for d in range(1, depth + 1):
         seen = " UNION ALL ".join(f"SELECT site, k, rank FROM lv{i}" for i in range(d))
@@ -239,7 +245,7 @@ lv{d} AS MATERIALIZED (
     SELECT e.site, e.dst, lower(e.dst) AS k, f.rank AS parent, e.ord FROM lv{d - 1} f JOIN edges e ON e.site = f.site AND e.src = f.k
     QUALIFY row_number() OVER (PARTITION BY e.site, lower(e.dst) ORDER BY f.rank, e.ord) = 1) n
   JOIN (SELECT site, max(rank) AS used FROM seen{d} GROUP BY site) USING (site)
-  WHERE NOT EXISTS (FROM seen{d} s WHERE s.site = n.site AND s.k = n.k)
+  WHERE {d - 1} {own} AND NOT EXISTS (FROM seen{d} s WHERE s.site = n.site AND s.k = n.k)
   QUALIFY rank <= {limit})""")
     union = " UNION ALL ".join(f"SELECT site, url, depth, rank FROM lv{d}" for d in range(depth + 1))
     return ",\n".join([*ctes, f"walk AS ({union})"])
@@ -465,14 +471,14 @@ ORACLE: dict[str, str] = {
     "dry_run": f"{_discovered(200, _ALLOWED_ALL)} SELECT site, rank, url FROM found",
     "rest_override": f"""{_SHELLS} SELECT site, url, rank, {_PAGE_TITLE} AS title, sha256(html) AS html_hash FROM shells""",
     "crawl": f"""WITH t AS (
-          SELECT 's' || (page_id % {TREES}) || '.example.com' AS site, page_id // {TREES} AS n, html FROM pages),
+          SELECT 's' || (page_id % {len(TREES)}) || '.example.com' AS site, page_id // {len(TREES)} AS n, html FROM pages),
         roots AS (SELECT DISTINCT site, 'https://' || site || '/' AS url FROM t),
         edges AS MATERIALIZED (
           SELECT site, src, ord, {canon("('https://' || site || " + unescape("href") + ")")} AS dst FROM (
             SELECT site, 'https://' || site || CASE n WHEN 0 THEN '/' ELSE '/p/' || n END AS src, unnest(hrefs) AS href, generate_subscripts(hrefs, 1) AS ord
             FROM (SELECT *, {_hrefs('html')} || ['/', '/p/' || (4 * n + 1), '/P/' || (4 * n + 2), '/p/' || (4 * n + 3), '/P/' || (4 * n + 4)] AS hrefs FROM t))
           WHERE href NOT LIKE '#%'),
-        {_bfs(CRAWL_BUDGET, 3)} SELECT site, url, depth, rank FROM walk""",
+        {_bfs(_of_tree(b for b, _ in TREES), max(d for _, d in TREES), _of_tree(d for _, d in TREES))} SELECT site, url, depth, rank FROM walk""",
     "distinct_urls": f"WITH {_C} SELECT split_part(url, '/', 3) AS site, url, min(page_id) AS ordinal FROM c GROUP BY 1, 2",
     "budgeted": f"""WITH {_C} SELECT site, url, ordinal, row_number() OVER (PARTITION BY site ORDER BY ordinal) AS rank FROM (
         SELECT split_part(url, '/', 3) AS site, url, min(page_id) AS ordinal FROM c GROUP BY 1, 2) QUALIFY rank <= CASE WHEN length(site) % 2 = 0 THEN {OWN_BUDGET} ELSE {SMALL_BUDGET} END""",

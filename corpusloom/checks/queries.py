@@ -56,7 +56,6 @@ INCLUDE = ("*/en/*", "blog.", "*/FR/*page=2*")
 EXCLUDE = (".html", " ", "*://m.*")
 SMALL_BUDGET = 5
 OWN_BUDGET = 500
-CRAWL_BUDGET = 40
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -228,12 +227,10 @@ def rest_override(spark: SparkSession, sf: str) -> DataFrame:
 
 def crawl(spark: SparkSession, sf: str) -> DataFrame:
     pages = A.tree_pages(spark, sf)
-    options = BuildOptions(max_pages=CRAWL_BUDGET)
-    sites = with_site_defaults(
-        pages.select("site", F.concat(F.lit("https://"), "site").alias("root_url")).distinct(), options
-    )
+    roots = pages.select("site", F.concat(F.lit("https://"), "site").alias("root_url"), "max_pages", "max_depth").distinct()
+    sites = with_site_defaults(roots, BuildOptions())
     sites = materialize(sites, "sites")
-    found = crawl_bfs(adjacency(pages, sites), sites)
+    found = crawl_bfs(adjacency(pages.drop("max_pages", "max_depth"), sites), sites)
     return found.select("site", "url", "depth", F.col("ordinal").alias("rank"))
 
 

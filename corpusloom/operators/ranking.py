@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from corpusloom.session import materialize
 
 SALTS = 32
+WIDE = 10_000
+"""The largest ``n`` for which :func:`first_n` ranks within tasks."""
 
 
 def first_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -26,8 +28,13 @@ def first_n(df: DataFrame, group: Sequence[str], order: Sequence[str], n: int, r
 
     Ranks twice: within salted slices of the group, then over the at most ``SALTS * n`` survivors.
     Spark prunes both windows on the map side, so a group that holds a third of all rows never
-    meets in one task. ``order`` must be unique within a group.
+    meets in one task. Beyond ``WIDE`` rows a group, where the survivors of one would be too many for a
+    task, all rows are numbered by :func:`ordered_rank`. ``order`` must be unique within a group.
     """
+    if n > WIDE:
+        grouped = df.withColumn("_group", F.struct(*group))
+        ranked = ordered_rank(grouped, ["_group"], [F.col(c) for c in order], rank).drop("_group")
+        return ranked.filter(F.col(rank) <= n).withColumn(rank, F.col(rank).cast("int"))
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)))
     slices = Window.partitionBy(*group, "_salt").orderBy(*order)
     survivors = salted.withColumn("_rn", F.row_number().over(slices)).filter(F.col("_rn") <= n).drop("_rn", "_salt")

@@ -28,6 +28,15 @@ def test_first_n(spark):
     assert got == {g: {i + 1: v for i, v in enumerate(vs[:7])} for g, vs in groups(rows).items()}
 
 
+def test_first_n_beyond_what_a_task_ranks(spark):
+    rows, df = skewed(spark)
+    for n in (12_000, 2**31 - 1):
+        got = {}
+        for r in first_n(df.withColumn("g", F.nullif("g", F.lit("g3"))), ["g"], ["a", "i"], n).collect():
+            got.setdefault(r.g or "g3", {})[r.rank] = r.v
+        assert got == {g: {i + 1: v for i, v in enumerate(vs)} for g, vs in groups(rows).items()}
+
+
 def test_first_n_prunes_before_the_shuffle(spark):
     _, df = skewed(spark)
     plan = first_n(df, ["g"], ["a", "i"], 7)._jdf.queryExecution().executedPlan().toString()
