@@ -86,22 +86,18 @@ m AS (
       || coalesce('> ' || replace(b.text, chr(10), chr(10) || '> ') || chr(10), '') || a.text AS text
   FROM a LEFT JOIN a b ON b.conv_id = a.conv_id AND b.turn = a.up LEFT JOIN conversations c ON c.conv_id = a.conv_id AND c.turn = b.up
 ),
-l AS (
-  SELECT conv_id, turn, length(regexp_extract(line, '^([ \t]*>)+')) - length(replace(regexp_extract(line, '^([ \t]*>)+'), '>', '')) AS level,
-    trim(regexp_replace(lower(regexp_replace(line, '^([ \t]*>)+', '')), '[ \t\r\x0B\x0C]+', ' ', 'g')) AS plain
-  FROM (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line FROM m)
-),
-o AS (SELECT conv_id, plain, min(turn) AS origin FROM l WHERE level = 0 AND plain <> '' GROUP BY ALL),
-q AS (
-  SELECT l.conv_id, l.turn, level, CASE WHEN origin < l.turn THEN origin END AS origin, count(*) AS n
-  FROM l LEFT JOIN o USING (conv_id, plain) WHERE level > 0 AND plain <> '' GROUP BY ALL
+n AS (
+  SELECT conv_id, turn, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(lower(x), '[ \t\r\x0B\x0C]+', ' ', 'g'))), lambda x: x <> '') AS w
+  FROM conversations
 ),
+s AS (SELECT conv_id, turn, len(w) AS n, chr(10) || array_to_string(w, chr(10)) || chr(10) AS body FROM n),
 k AS (
-  SELECT conv_id, turn, sum(n) AS n_quoted, sum(CASE WHEN origin IS NULL THEN 0 ELSE n END) AS n_linked,
-    max({'n': n, 'origin': origin}) FILTER (level = 1 AND origin IS NOT NULL) AS best
-  FROM q GROUP BY ALL
+  SELECT a.conv_id, a.turn, coalesce(any_value(f.n), 0) + coalesce(any_value(g.n), 0) AS n_quoted, max(o.turn) AS origin
+  FROM a LEFT JOIN a b ON b.conv_id = a.conv_id AND b.turn = a.up LEFT JOIN s f ON f.conv_id = a.conv_id AND f.turn = a.up
+    LEFT JOIN s g ON g.conv_id = a.conv_id AND g.turn = b.up
+    LEFT JOIN s o ON o.conv_id = a.conv_id AND o.turn < a.turn AND f.n > 0 AND contains(o.body, f.body) GROUP BY ALL
 ),
-t AS (SELECT m.conv_id, m.turn, m.role, m.text, coalesce(n_quoted, 0) AS n_quoted, coalesce(n_linked, 0) AS n_linked, best.origin AS parent
+t AS (SELECT m.conv_id, m.turn, m.role, m.text, coalesce(n_quoted, 0) AS n_quoted, coalesce(n_quoted, 0) AS n_linked, origin AS parent
   FROM m LEFT JOIN k USING (conv_id, turn)),
 r(conv_id, turn, root) AS (
   SELECT conv_id, turn, turn FROM t WHERE parent IS NULL UNION ALL SELECT t.conv_id, t.turn, r.root FROM t JOIN r ON t.conv_id = r.conv_id AND t.parent = r.turn

@@ -20,7 +20,7 @@ from corpusloom.llm.sentence_pieces import piece_digests
 from corpusloom.llm.substring_dedup import repeat_digests
 from corpusloom.llm.token_files import token_positions, write_token_files
 from corpusloom.llm.url_rules import ALLOW, BLOCK, judge_urls, rule_table
-from corpusloom.session import scratch_path
+from corpusloom.session import materialize, scratch_path
 
 URL_RULES = (
     ("com", "/", ALLOW),
@@ -50,7 +50,7 @@ def decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return thread_messages(with_quotes(_table(spark, sf_dir, "conversations")))
+    return thread_messages(materialize(with_quotes(_table(spark, sf_dir, "conversations")), "messages"))
 
 
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

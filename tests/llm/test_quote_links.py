@@ -1,3 +1,9 @@
+import itertools
+import random
+import re
+
+import pytest
+
 from corpusloom.llm.quote_links import thread_messages
 
 SCHEMA = "conv_id long, turn long, role string, text string, root int, level string, conv int"
@@ -57,3 +63,61 @@ def test_plan_is_native(spark):
     table = spark.createDataFrame([(*m, 1, "x", 2) for m in MESSAGES], SCHEMA)
     plan = thread_messages(table)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_the_latest_message_that_holds_the_whole_passage(spark):
+    turns = [(1, 1, "u", "A\nB"), (1, 2, "u", "x"), (1, 5, "u", "A\nB\nC"), (1, 6, "u", "> A\n> B\n>\n> c\nyes"), (1, 7, "u", "> A\n> B\n> x")]
+    assert [(r[2], r[4], r[7]) for r in rows(spark, turns)] == [(1, None, 0), (2, None, 0), (5, None, 0), (6, 5, 3), (7, 5, 3)]
+
+
+def brute_links(messages):
+    """Parents and linked lines, message by message."""
+
+    def parsed(text):
+        out = []
+        for line in (text or "").split("\n"):
+            front = re.match(r"^(?:[ \t]*>)+", line)
+            plain = " ".join(re.sub(r"^(?:[ \t]*>)+", "", line).lower().split())
+            if plain:
+                out.append((front[0].count(">") if front else 0, plain))
+        return out
+
+    lines = {(c, t): parsed(x) for c, t, _, x in messages}
+    found = {}
+    for (conv, turn), mine in lines.items():
+        own = {t: [p for k, p in other if k == 0] for (c, t), other in lines.items() if c == conv and t < turn}
+
+        def latest(run, own=own):
+            n = len(run)
+            return max((t for t, w in own.items() if any(w[i : i + n] == run for i in range(len(w) - n + 1))), default=None)
+
+        linked, votes = 0, {}
+        for level, group in itertools.groupby(mine, key=lambda x: x[0]):
+            run = [p for _, p in group]
+            if level:
+                whole = latest(run)
+                for origin in [whole] * len(run) if whole is not None else [latest([p]) for p in run]:
+                    linked += origin is not None
+                    if level == 1 and origin is not None:
+                        votes[origin] = votes.get(origin, 0) + 1
+        found[conv, turn] = max(votes, key=lambda t: (votes[t], t), default=None), linked, sum(k > 0 for k, _ in mine)
+    return found
+
+
+@pytest.mark.parametrize("block", [2, 4096])
+def test_links_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr("corpusloom.llm.quote_links.BLOCK_TURNS", block)
+    rng = random.Random(block)
+    messages = []
+    for conv in range(4):
+        said = [[]]
+        for turn in range(30 if conv else 90):
+            text = [rng.choice("abcdef") * rng.randrange(1, 3) for _ in range(rng.randrange(5))]
+            quoted = rng.choice(said)
+            a = rng.randrange(len(quoted) + 1)
+            quote = quoted[a : a + rng.randrange(1, 5)]
+            said.append(text)
+            messages.append((conv, turn, "u", "\n".join([*(f"{rng.choice(['> ', '>> ', '>'])}{q}" for q in quote), *text])))
+    table = spark.createDataFrame([(*m, 1, "x", 2) for m in messages], SCHEMA)
+    got = {(r.conv_id, r.turn): (r.parent_turn, r.n_linked, r.n_quoted) for r in thread_messages(table).collect()}
+    assert got == brute_links(messages)
