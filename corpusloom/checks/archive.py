@@ -1,8 +1,10 @@
 """A crawl archive derived from the ``pages`` table, for the registered queries.
 
 The table holds page captures only. Sitemaps, feeds, REST listings, home pages and imperfect responses
-are made from its rows, all of them, by rules on the URL and host. A site is a host within a thousand
-consecutive pages, so the documents listing a site's pages stay small however many rows a host has.
+are made from its rows, all of them, by rules on the URL and host. A site is a host, however many rows it
+has. Its pages, in order of their ids, are dealt to blocks of 1, 3, 5, 7, ... pages: a site of ``n`` pages has
+about the square root of ``n`` blocks of at most twice as many pages. Sub-sitemaps and part pages list one
+block each, indexes, feeds and home pages one entry a block, so that no document lists a site's pages whole.
 """
 
 from __future__ import annotations
@@ -12,12 +14,17 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import html as H
 from corpusloom.functions import url as U
+from corpusloom.operators.ranking import ordered_rank
+from corpusloom.session import materialize
 from corpusloom.sources.tables import PRIMARY, RENDERED
 
-SLICE = 1000
 LISTING = 3
 RENDERED_IDS = 1_000_000_000_000
-TREES = ((40, 3), (2_000_000_000, 12), (1_000, 4))
+WHOLE = 2_000_000_000
+"""A page budget above the size of any site."""
+BUDGETS = (None, 25, WHOLE)
+"""Page budget of a site by the length of its name: the run's own, a tight one, the whole site."""
+TREES = ((40, 3), (WHOLE, 12), (1_000, 4))
 """Budget and depth of each site of links: a tight budget, the whole site, and a tight depth."""
 
 
@@ -42,7 +49,7 @@ def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         "url",
         "html",
         host.alias("host"),
-        F.concat(host, F.lit("~"), F.floor(F.col("page_id") / SLICE).cast("string")).alias("site"),
+        host.alias("site"),
         shape.alias("shape"),
     )
 
@@ -52,14 +59,29 @@ def _root() -> Column:
 
 
 def sites_of(pages: DataFrame) -> DataFrame:
-    return pages.select("site", _root().alias("root_url")).distinct()
+    own = F.get(F.array(*[F.lit(budget).cast("int") for budget in BUDGETS]), F.length("site") % len(BUDGETS))
+    return pages.select("site", _root().alias("root_url"), own.alias("max_pages")).distinct()
 
 
-def _document(kind: str, path: str, body: Column, **given) -> Column:
+def page_blocks(pages: DataFrame) -> DataFrame:
+    """Blocks of every site with their pages as arrays, stored."""
+    ranked = ordered_rank(pages.select("site", "host", "page_id", "url", "shape"), ["site"], [F.col("page_id")], "place")
+    block = F.floor(F.sqrt(F.col("place") - 1)).cast("int")
+    entries = F.array_sort(F.collect_list(F.struct("page_id", "url", "shape")))
+    return materialize(ranked.groupBy("site", "host", block.alias("block")).agg(entries.alias("entries")), "blocks")
+
+
+def _heads(blocks: DataFrame) -> DataFrame:
+    """Sites with the first and the last page of each block."""
+    head = F.struct("block", F.get("entries", F.lit(0)).alias("first"), F.element_at("entries", -1).alias("last"))
+    return blocks.groupBy("site", "host").agg(F.array_sort(F.collect_list(head)).alias("heads"))
+
+
+def _document(kind: str, path: str | Column, body: Column, **given) -> Column:
     values = {"candidate_ord": None, "page_no": None, "total_pages": None, "status": 200, **given}
     return F.struct(
         F.lit(kind).alias("kind"),
-        F.concat(F.lit("https://"), F.col("host"), F.lit(path)).alias("doc_url"),
+        F.concat(F.lit("https://"), F.col("host"), path if isinstance(path, Column) else F.lit(path)).alias("doc_url"),
         *[F.lit(values[c]).cast("int").alias(c) for c in ("candidate_ord", "page_no", "total_pages", "status")],
         F.lit(given.get("content_type", "application/xml")).alias("content_type"),
         body.alias("body"),
@@ -78,11 +100,6 @@ def _urlset(entries: Column, tag: str = "") -> Column:
     return F.concat(F.lit(f'<?xml version="1.0"?><{tag}urlset{space}>'), F.array_join(rows, ""), F.lit(f"</{tag}urlset>"))
 
 
-def _listed(pages: DataFrame) -> DataFrame:
-    entries = F.array_sort(F.collect_list(F.struct("page_id", "url", "shape")))
-    return pages.groupBy("site", "host").agg(entries.alias("entries"))
-
-
 def _as_docs(listed: DataFrame, variants: list[list[Column]]) -> DataFrame:
     """One row per document of the variant the host's name length picks."""
     turn = F.length("host") % len(variants)
@@ -92,36 +109,61 @@ def _as_docs(listed: DataFrame, variants: list[list[Column]]) -> DataFrame:
     return listed.select("site", F.inline(docs))
 
 
-def sitemap_docs(pages: DataFrame) -> DataFrame:
-    """Plain urlset; malformed document then an index with a missing child; empty urlset then a prefixed one; none."""
+def sitemap_docs(blocks: DataFrame) -> DataFrame:
+    """By the host's name length: an index of the blocks; a malformed document then an index with a missing child, of
+    two children a block; an empty urlset then a prefixed one of the first page of each block; a refused one.
+    """
     entries = F.col("entries")
     dotted = F.filter(entries, lambda e: e["shape"].isin("html", "slash"))
     others = F.filter(entries, lambda e: ~e["shape"].isin("html", "slash"))
-    names = ["/sitemap-a.xml", "/sitemap-missing.xml", "/sitemap-b.xml"]
-    children = [F.concat(F.lit("<sitemap><loc>https://"), F.col("host"), F.lit(f"{n}</loc></sitemap>")) for n in names]
-    index = F.concat(F.lit("<sitemapindex>"), *children, F.lit("</sitemapindex>"))
-    return _as_docs(
-        _listed(pages),
+    fronts = F.transform("heads", lambda h: h["first"])
+
+    def name(kind: str, block: Column) -> Column:
+        return F.concat(F.lit(f"/sitemap-{kind}"), block.cast("string"), F.lit(".xml"))
+
+    def child(path: Column) -> Column:
+        return F.concat(F.lit("<sitemap><loc>https://"), F.col("host"), path, F.lit("</loc></sitemap>"))
+
+    def children(kind: str) -> Column:
+        return F.array_join(F.transform("heads", lambda h: child(name(kind, h["block"]))), "")
+
+    def index(*parts: Column) -> Column:
+        return F.concat(F.lit("<sitemapindex>"), *parts, F.lit("</sitemapindex>"))
+
+    def part(kind: str, listed: Column) -> Column:
+        return _document("sitemap", name(kind, F.col("block")), _urlset(listed))
+
+    roots = _as_docs(
+        _heads(blocks),
         [
-            [_document("sitemap", "/sitemap.xml", _urlset(entries), candidate_ord=1)],
+            [_document("sitemap", "/sitemap.xml", index(children("")), candidate_ord=1)],
             [
                 _document("sitemap", "/sitemap.xml", F.lit("<urlset><url><loc>"), candidate_ord=1),
-                _document("sitemap", "/sitemap_index.xml", index, candidate_ord=2),
-                _document("sitemap", "/sitemap-a.xml", _urlset(dotted)),
-                _document("sitemap", "/sitemap-b.xml", _urlset(others)),
+                _document(
+                    "sitemap",
+                    "/sitemap_index.xml",
+                    index(children("a"), child(F.lit("/sitemap-missing.xml")), children("b")),
+                    candidate_ord=2,
+                ),
             ],
             [
                 _document("sitemap", "/sitemap.xml", F.lit("<urlset></urlset>"), candidate_ord=1),
-                _document("sitemap", "/wp-sitemap.xml", _urlset(entries, "sm:"), candidate_ord=3),
+                _document("sitemap", "/wp-sitemap.xml", _urlset(fronts, "sm:"), candidate_ord=3),
             ],
-            [_document("sitemap", "/sitemap.xml", _urlset(entries), candidate_ord=1, status=404)],
+            [_document("sitemap", "/sitemap.xml", _urlset(fronts), candidate_ord=1, status=404)],
         ],
     )
+    indexed = blocks.filter(F.length("host") % 4 < 2)
+    turn = F.length("host") % 4
+    parts = F.when(turn == 0, F.array(part("", entries))).otherwise(F.array(part("a", dotted), part("b", others)))
+    return roots.unionByName(indexed.select("site", F.inline(parts)))
 
 
-def feed_docs(pages: DataFrame) -> DataFrame:
-    """RSS with links; empty RSS then Atom; RSS with a guid only, permanent where the URL has no query."""
-    entries = F.col("entries")
+def feed_docs(blocks: DataFrame) -> DataFrame:
+    """The last page of each block: as RSS with links; as empty RSS then Atom; as RSS with a guid only, permanent where
+    the URL has no query.
+    """
+    entries = F.transform("heads", lambda h: h["last"])
 
     def items(body) -> Column:
         return F.array_join(F.transform(entries, body), "")
@@ -144,7 +186,7 @@ def feed_docs(pages: DataFrame) -> DataFrame:
         return F.concat(F.lit('<rss version="2.0"><channel><title>t</title>'), inner, F.lit("</channel></rss>"))
 
     return _as_docs(
-        _listed(pages),
+        _heads(blocks),
         [
             [_document("feed", "/feed/", as_rss(rss), candidate_ord=1)],
             [
@@ -213,10 +255,9 @@ def listing_docs(pages: DataFrame) -> DataFrame:
     group = ["site", "host", "kind"]
     items = pages.select("site", "host", collection.alias("kind"), "page_id", item.alias("item"))
     ids = pages.select("site", "host", collection.alias("kind"), "page_id")
-    ordered = ids.groupBy(*group).agg(F.array_sort(F.collect_list("page_id")).alias("ids"))
-    places = ordered.select(*group, F.posexplode("ids").alias("pos", "page_id")).withColumn(
-        "page_no", (F.floor(F.col("pos") / LISTING) + 1).cast("int")
-    )
+    ranked = ordered_rank(ids, group, [F.col("page_id")], "place")
+    places = ranked.withColumn("page_no", F.ceil(F.col("place") / LISTING).cast("int")).drop("place")
+    last = places.groupBy(*group).agg(F.max("page_no").alias("last"))
     filled = (
         items.join(places, [*group, "page_id"])
         .groupBy(*group, "page_no")
@@ -224,8 +265,7 @@ def listing_docs(pages: DataFrame) -> DataFrame:
         .select(*group, "page_no", F.array_join(F.transform("entries", lambda e: e["item"]), ",").alias("list"))
     )
     turn = F.length("host") % 4
-    after_last = F.ceil(F.size("ids") / LISTING).cast("int") + 1
-    closing = ordered.filter(turn == 0).select(*group, after_last.alias("page_no"), F.lit("").alias("list"))
+    closing = last.filter(turn == 0).select(*group, (F.col("last") + 1).alias("page_no"), F.lit("").alias("list"))
     return filled.unionByName(closing).select(
         "site",
         "kind",
@@ -239,15 +279,15 @@ def listing_docs(pages: DataFrame) -> DataFrame:
     )
 
 
-def site_docs(pages: DataFrame) -> DataFrame:
-    docs = sitemap_docs(pages)
-    for more in (feed_docs(pages), probe_docs(pages), listing_docs(pages)):
+def site_docs(pages: DataFrame, blocks: DataFrame) -> DataFrame:
+    docs = sitemap_docs(blocks)
+    for more in (feed_docs(blocks), probe_docs(pages), listing_docs(pages)):
         docs = docs.unionByName(more)
     return docs
 
 
-def captures(pages: DataFrame) -> DataFrame:
-    """Imperfect captures of all pages, and a home page per site that links them.
+def captures(pages: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Imperfect captures of all pages, a page per block that links them, and a home page per site that links those.
 
     By shape of the URL the plain response holds a challenge, is thin, is an error, or is the page. Hosts
     not starting with ``www.`` have rendered captures too, which on ``m.`` hosts still show a challenge.
@@ -287,15 +327,25 @@ def captures(pages: DataFrame) -> DataFrame:
     rendered = pages.filter(~F.col("host").startswith("www.")).select(
         *row(page_id + RENDERED_IDS, F.col("url"), ok, is_html, rendered_body, RENDERED)
     )
-    links = F.array_join(
-        F.transform("entries", lambda e: F.concat(F.lit('<li><a href="'), _xml(e["url"]), F.lit('">page</a>'))), ""
-    )
-    home_body = F.concat(F.lit("<html><title>Home of "), F.col("host"), F.lit("</title><main><ul>"), links, F.lit("</ul></main></html>"))
+
+    def listing(title: Column, items: Column) -> Column:
+        head, tail = F.lit("</title><main><ul>"), F.lit("</ul></main></html>")
+        return F.concat(F.lit("<html><title>"), title, F.lit(" of "), F.col("host"), head, F.array_join(items, ""), tail)
+
+    def address(block: Column) -> Column:
+        return F.concat(_root(), F.lit("part/"), block.cast("string"))
+
+    links = F.transform("entries", lambda e: F.concat(F.lit('<li><a href="'), _xml(e["url"]), F.lit('">page</a>')))
+    parts = F.transform("heads", lambda h: F.concat(F.lit('<li><a href="'), address(h["block"]), F.lit('">part</a>')))
+    home_body = listing(F.lit("Home"), parts)
+    part_body = listing(F.concat(F.lit("Part "), F.col("block").cast("string")), links)
+    part_id = -1 - F.get("entries", F.lit(0))["page_id"] - 2 * RENDERED_IDS
+    part = blocks.select(*row(part_id, address(F.col("block")), ok, is_html, part_body, PRIMARY))
     blocked = F.when(mobile, F.concat(F.lit("<!-- cf-challenge -->"), home_body)).otherwise(home_body)
-    homes = _listed(pages).withColumn("first", F.get("entries", F.lit(0))["page_id"])
+    homes = _heads(blocks).withColumn("first", F.get("heads", F.lit(0))["first"]["page_id"])
     home = homes.select(*row(-1 - F.col("first"), _root(), ok, is_html, blocked, PRIMARY))
     home_rendered = homes.select(*row(-1 - F.col("first") - RENDERED_IDS, _root(), ok, is_html, home_body, RENDERED))
-    return plain.unionByName(rendered).unionByName(home).unionByName(home_rendered)
+    return plain.unionByName(rendered).unionByName(part).unionByName(home).unionByName(home_rendered)
 
 
 def tree_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

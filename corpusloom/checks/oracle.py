@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.checks.archive import LISTING, RENDERED_IDS, SLICE, TREES
+from corpusloom.checks.archive import BUDGETS, LISTING, RENDERED_IDS, TREES
 from corpusloom.checks.queries import OWN_BUDGET, SMALL_BUDGET
 
 # Challenge signatures with their labels, as they must be.
@@ -123,13 +123,22 @@ _FILE = f"({_SLUG}) || '_' || left(sha256(url), 8) || '.md'"
 # Pages with canonical URL.
 _C = f"c AS (SELECT page_id, {canon('url')} AS url, url AS raw, html FROM pages)"
 
-# Pages with their site and URL shape, as the derived archive sees them.
+# Pages with their site, their block in it and their URL shape, as the derived archive sees them.
 _P = f"""p AS (
-  SELECT page_id, url AS raw, html, split_part(url, '/', 3) AS host,
-    split_part(url, '/', 3) || '~' || (page_id // {SLICE}) AS site, {canon('url')} AS url,
+  SELECT *, block IS DISTINCT FROM lag(block) OVER s AS opens, block IS DISTINCT FROM lead(block) OVER s AS closes FROM (
+  SELECT page_id, url AS raw, html, split_part(url, '/', 3) AS host, split_part(url, '/', 3) AS site, {canon('url')} AS url,
+    floor(sqrt(row_number() OVER (PARTITION BY split_part(url, '/', 3) ORDER BY page_id) - 1))::BIGINT AS block,
     CASE WHEN url LIKE '%.html' THEN 'html' WHEN url LIKE '%#top' THEN 'anchor' WHEN url LIKE '%utm_source=feed' THEN 'feed'
       WHEN url LIKE '%?page=2%' THEN 'paged' WHEN url LIKE '%/' THEN 'slash' ELSE 'plain' END AS shape
-  FROM pages)"""
+  FROM pages) WINDOW s AS (PARTITION BY site ORDER BY page_id))"""
+
+
+def _budget(default: int) -> str:
+    """Page budget of a ``site``."""
+    own = " ".join(f"WHEN {i} THEN {budget}" for i, budget in enumerate(BUDGETS) if budget)
+    return f"(CASE mod(length(site), {len(BUDGETS)}) {own} ELSE {default} END)"
+
+
 
 _SIGNATURES = "[" + ", ".join(_quote(p) for p, _ in CHALLENGE_SIGNATURES) + "]"
 
@@ -144,10 +153,16 @@ def looks_like_html(body: str) -> str:
     return f"regexp_matches(left({body}, 4096), '(?i)<!doctype html|<html|<head|<body')"
 
 
-_CAPS = f"""homes AS (
-  SELECT site, host, min(page_id) AS first_id, '<html><title>Home of ' || host || '</title><main><ul>' ||
-    string_agg('<li><a href="' || replace(raw, '&', '&amp;') || '">page</a>', '' ORDER BY page_id) || '</ul></main></html>' AS body
-  FROM p GROUP BY site, host),
+_CAPS = f"""parts AS (
+  SELECT site, host, block, min(page_id) AS first_id, 'https://' || host || '/part/' || block AS url, '<html><title>Part ' || block ||
+    ' of ' || host || '</title><main><ul>' || string_agg('<li><a href="' || replace(raw, '&', '&amp;') || '">page</a>', '' ORDER BY page_id) ||
+    '</ul></main></html>' AS body, sum(length('- [page](' || raw || ')')) AS chars
+  FROM p GROUP BY site, host, block),
+homes AS (
+  SELECT site, host, min(first_id) AS first_id, '<html><title>Home of ' || host || '</title><main><ul>' ||
+    string_agg('<li><a href="' || url || '">part</a>', '' ORDER BY block) || '</ul></main></html>' AS body,
+    sum(length('- [part](' || url || ')')) AS chars
+  FROM parts GROUP BY site, host),
 caps AS (
   SELECT page_id AS capture_id, site, host, raw AS url,
     CASE shape WHEN 'feed' THEN 500 WHEN 'slash' THEN 404 ELSE 200 END AS status,
@@ -159,6 +174,7 @@ caps AS (
   UNION ALL SELECT page_id + {RENDERED_IDS}, site, host, raw, 200, 'text/html',
     CASE WHEN host LIKE 'm.%' THEN '<p>Just a moment</p>' || html ELSE html END, 'rendered'
   FROM p WHERE host NOT LIKE 'www.%'
+  UNION ALL SELECT -1 - first_id - 2 * {RENDERED_IDS}, site, host, url, 200, 'text/html', body, 'http' FROM parts
   UNION ALL SELECT -1 - first_id, site, host, 'https://' || host || '/', 200, 'text/html',
     CASE WHEN host LIKE 'm.%' THEN '<!-- cf-challenge -->' || body ELSE body END, 'http' FROM homes
   UNION ALL SELECT -1 - first_id - {RENDERED_IDS}, site, host, 'https://' || host || '/', 200, 'text/html', body, 'rendered' FROM homes),
@@ -183,27 +199,27 @@ chosen AS (
 _PAGE_TITLE = f"CASE WHEN {title('body')} = '' THEN {_FALLBACK} WHEN channel = 'rendered' THEN {title_regex('body')} ELSE {title('body')} END"
 
 
-def _listing(found: str, limit: int) -> str:
+def _listing(found: str, limit: str) -> str:
     """Distinct URLs of ``found(site, url, ord)`` with rank, cut at the budget."""
     return f"""SELECT site, url, row_number() OVER (PARTITION BY site ORDER BY ord) AS rank FROM (
     SELECT site, url, min(ord) AS ord FROM ({found}) GROUP BY site, url) QUALIFY rank <= {limit}"""
 
 
-def _sitemap(limit: int) -> str:
+def _sitemap(limit: str) -> str:
     return _listing(
         "SELECT site, url, CASE WHEN length(host) % 4 = 1 AND shape NOT IN ('html', 'slash') THEN 1000000000 ELSE 0 END + page_id AS ord "
-        "FROM p WHERE length(host) % 4 <> 3",
+        "FROM p WHERE length(host) % 4 < 2 OR (length(host) % 4 = 2 AND opens)",
         limit,
     )
 
 
-def _feed(limit: int) -> str:
+def _feed(limit: str) -> str:
     return _listing(
-        "SELECT site, url, page_id AS ord FROM p WHERE length(host) % 3 <> 2 OR NOT contains(raw, '?')", limit
+        "SELECT site, url, page_id AS ord FROM p WHERE closes AND (length(host) % 3 <> 2 OR NOT contains(raw, '?'))", limit
     )
 
 
-def _rest(limit: int) -> str:
+def _rest(limit: str) -> str:
     """CTEs ending in ``rest_kept`` and ``rest_state``."""
     return f"""entries AS (
   SELECT *, (row_number() OVER (PARTITION BY site, coll ORDER BY page_id) - 1) // {LISTING} + 1 AS page_no,
@@ -233,7 +249,7 @@ def _of_tree(values) -> str:
     return "CASE n.site" + "".join(f" WHEN 's{k}.example.com' THEN {v}" for k, v in enumerate(values)) + " END"
 
 
-def _bfs(limit: int | str, depth: int, own_depth: str = "") -> str:
+def _bfs(limit: str, depth: int, own_depth: str = "") -> str:
     """CTEs ``lv0`` .. from ``roots(site, url)`` and ``edges(site, src, ord, dst)``; ``walk`` is their union."""
     own = f"< coalesce({own_depth}, 0)" if own_depth else f"< {depth}"
     ctes = ["lv0 AS MATERIALIZED (SELECT site, url, lower(url) AS k, 0 AS depth, 1 AS rank FROM roots)"]
@@ -255,7 +271,7 @@ def _hrefs(html: str) -> str:
     return f"regexp_extract_all({html}, '<a href=\"([^\"]*)\"', 1)"
 
 
-def _discovered(limit: int, allowed: str) -> str:
+def _discovered(limit: str, allowed: str) -> str:
     """CTEs ending in ``found(site, url, discovery_method, depth, rank)``."""
     merge = f"""SELECT site, url, discovery_method, depth, row_number() OVER (PARTITION BY site ORDER BY pri, ord) AS rank FROM (
     SELECT * FROM (%s) WHERE {allowed}
@@ -279,7 +295,8 @@ bodies AS (
   LEFT JOIN (FROM rest_kept QUALIFY row_number() OVER (PARTITION BY site, lower(url) ORDER BY rank) = 1) k
     ON k.site = p.site AND lower(k.url) = lower(p.url)),
 edges AS MATERIALIZED (
-  SELECT site, lower('https://' || host || '/') AS src, page_id AS ord, url AS dst FROM p
+  SELECT DISTINCT site, lower('https://' || host || '/') AS src, block AS ord, 'https://' || host || '/part/' || block AS dst FROM p
+  UNION ALL SELECT site, lower('https://' || host || '/part/' || block), page_id, url FROM p
   UNION ALL SELECT site, src, ord, {canon("(base || " + unescape("href") + ")")} FROM (
     SELECT site, src, base, unnest(hrefs) AS href, generate_subscripts(hrefs, 1) AS ord FROM bodies) WHERE href NOT LIKE '#%'),
 {_bfs(limit, 3)},
@@ -385,7 +402,7 @@ _ALLOWED_ALL = "true"
 _ALLOWED_SOME = "NOT contains(lower(url), '/de/') AND NOT contains(lower(url), 'utm_source')"
 
 _SANITIZED = f"regexp_replace(regexp_replace({trim('i.i.html')}, '(?is)<script.*?</script>', '', 'g'), '(?is)<style.*?</style>', '', 'g')"
-_SHELLS = f"""{_discovered(200, _ALLOWED_ALL)}, {_CAPS},
+_SHELLS = f"""{_discovered(_budget(200), _ALLOWED_ALL)}, {_CAPS},
 item AS (SELECT site, lower(url) AS k, arg_min(struct_pack(page_id := page_id, shape := shape, html := html, host := host), rank) AS i FROM rest_kept GROUP BY 1, 2),
 cap AS (SELECT c.site, lower(c.url) AS k, c.channel, c.capture_id, j.body FROM chosen c JOIN judged j USING (capture_id)),
 shells AS (
@@ -396,7 +413,7 @@ shells AS (
     CASE WHEN i.k IS NULL THEN cap.channel ELSE 'rendered' END AS channel
   FROM found f LEFT JOIN item i ON i.site = f.site AND i.k = lower(f.url) LEFT JOIN cap ON cap.site = f.site AND cap.k = lower(f.url)
   WHERE i.k IS NOT NULL OR cap.body IS NOT NULL)"""
-# Markdown length of every discovered page: of a REST item, a home page's link list, a gate page, or an article.
+# Markdown length of every discovered page: of a REST item, a home or part page's link list, a gate page, or an article.
 _BUILT = f"""{_SHELLS}, {_MARKDOWN},
 built AS (
   SELECT f.site, f.url, f.rank, s.body, s.channel,
@@ -404,10 +421,11 @@ built AS (
       WHEN s.i.shape = 'feed' THEN length({_escaped_text(title_regex('s.i.html'))})
       WHEN s.i.shape = 'paged' THEN length('café <q> & ' || s.i.host)
       WHEN s.i IS NOT NULL THEN 1000 + length(a.markdown)
-      WHEN s.capture_id < 0 THEN (SELECT sum(length('- [page](' || raw || ')')) FROM p WHERE p.site = f.site)
+      WHEN s.capture_id < 0 THEN coalesce(q.chars, h.chars)
       WHEN contains(s.body, '<title>Gate</title>') THEN length('[' || split_part(f.url, '/', 3) || '](/x)')
       ELSE length(b.markdown) END AS chars
   FROM found f LEFT JOIN shells s ON s.site = f.site AND s.url = f.url
+  LEFT JOIN parts q ON q.site = f.site AND q.url = f.url LEFT JOIN homes h ON h.site = f.site
   LEFT JOIN m a ON a.page_id = s.i.page_id LEFT JOIN m b ON b.page_id = s.capture_id % {RENDERED_IDS})"""
 # The same articles with a paragraph added.
 _EDITED = """e AS (
@@ -452,23 +470,23 @@ ORACLE: dict[str, str] = {
         SELECT site, url, {_PAGE_TITLE} AS title, sha256(body) AS html_hash FROM used""",
     "protection": f"""WITH {_P} SELECT CASE WHEN host LIKE 'm.%' THEN 'Cloudflare challenge' ELSE 'none' END AS label,
         count(DISTINCT site) AS sites FROM p GROUP BY 1""",
-    "sitemap_urls": f"""WITH {_P} SELECT site, url, 'sitemap' AS discovery_method, 0 AS depth, rank FROM ({_sitemap(200)})""",
-    "rendered_sitemaps": f"""WITH {_P} SELECT site, url, 'sitemap' AS discovery_method, 0 AS depth, rank FROM ({_sitemap(200)})""",
-    "feed_urls": f"""WITH {_P} SELECT site, url, 'rss' AS discovery_method, 0 AS depth, rank FROM ({_feed(200)})""",
+    "sitemap_urls": f"""WITH {_P} SELECT site, url, 'sitemap' AS discovery_method, 0 AS depth, rank FROM ({_sitemap(_budget(200))})""",
+    "rendered_sitemaps": f"""WITH {_P} SELECT site, url, 'sitemap' AS discovery_method, 0 AS depth, rank FROM ({_sitemap(_budget(200))})""",
+    "feed_urls": f"""WITH {_P} SELECT site, url, 'rss' AS discovery_method, 0 AS depth, rank FROM ({_feed(_budget(200))})""",
     "rest_probe": f"""WITH {_P} SELECT DISTINCT site, length(host) % 7 <= 3 AS available,
         CASE length(host) % 7 WHEN 4 THEN 'Cloudflare JS challenge' WHEN 5 THEN 'HTTP 401 from https://' || host || '/wp-json/'
           WHEN 6 THEN 'WP REST blocked by site protection: Cloudflare JS challenge' END AS reason,
         length(host) % 7 IN (4, 6) AS blocked_by_challenge FROM p""",
-    "rest_items": f"""WITH {_P}, {_rest(200)}
+    "rest_items": f"""WITH {_P}, {_rest(_budget(200))}
         SELECT site, rank, url, CASE WHEN shape = 'anchor' THEN {_FALLBACK} ELSE {trim(title_regex('html'))} END AS title,
           sha256(CASE shape WHEN 'feed' THEN {title_regex('html')} WHEN 'paged' THEN '<p>caf&#233; &lt;q&gt; &amp; ' || host || '</p>'
             ELSE regexp_replace(regexp_replace({trim('html')}, '(?is)<script.*?</script>', '', 'g'), '(?is)<style.*?</style>', '', 'g') END) AS html_hash,
           CASE WHEN shape = 'plain' THEN 1769940000 ELSE {_AS_OF} END AS modified FROM rest_kept""",
-    "rest_status": f"""WITH {_P}, {_rest(200)} SELECT site, pages_count, posts_count, disabled,
+    "rest_status": f"""WITH {_P}, {_rest(_budget(200))} SELECT site, pages_count, posts_count, disabled,
         CASE WHEN disabled THEN 403 END AS refused_status FROM rest_state""",
-    "discovered": f"{_discovered(200, _ALLOWED_ALL)} SELECT site, url, discovery_method, depth, rank FROM found",
-    "discovered_small_budget": f"{_discovered(SMALL_BUDGET, _ALLOWED_SOME)} SELECT site, url, discovery_method, depth, rank FROM found",
-    "dry_run": f"{_discovered(200, _ALLOWED_ALL)} SELECT site, rank, url FROM found",
+    "discovered": f"{_discovered(_budget(200), _ALLOWED_ALL)} SELECT site, url, discovery_method, depth, rank FROM found",
+    "discovered_small_budget": f"{_discovered(_budget(SMALL_BUDGET), _ALLOWED_SOME)} SELECT site, url, discovery_method, depth, rank FROM found",
+    "dry_run": f"{_discovered(_budget(200), _ALLOWED_ALL)} SELECT site, rank, url FROM found",
     "rest_override": f"""{_SHELLS} SELECT site, url, rank, {_PAGE_TITLE} AS title, sha256(html) AS html_hash FROM shells""",
     "crawl": f"""WITH t AS (
           SELECT 's' || (page_id % {len(TREES)}) || '.example.com' AS site, page_id // {len(TREES)} AS n, html FROM pages),

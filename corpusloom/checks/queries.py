@@ -108,15 +108,20 @@ def titles(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _captures(spark: SparkSession, sf: str) -> DataFrame:
+    pages = A.site_pages(spark, sf)
+    return A.captures(pages, A.page_blocks(pages))
+
+
 def page_shells(spark: SparkSession, sf: str) -> DataFrame:
     """Accepted responses of the imperfect captures."""
-    shells = scan_captures(A.captures(A.site_pages(spark, sf)))
+    shells = scan_captures(_captures(spark, sf))
     return shells.select("capture_id", "site", "url", "title", F.length("html").alias("chars"))
 
 
 def sniffed(spark: SparkSession, sf: str) -> DataFrame:
     body = F.col("body")
-    return A.captures(A.site_pages(spark, sf)).select(
+    return _captures(spark, sf).select(
         "capture_id",
         H.looks_like_html(body).alias("looks_like_html"),
         H.detect_challenge(body).alias("challenge"),
@@ -126,12 +131,12 @@ def sniffed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def triage(spark: SparkSession, sf: str) -> DataFrame:
-    return choose_captures(A.captures(A.site_pages(spark, sf))).drop("url_key")
+    return choose_captures(_captures(spark, sf)).drop("url_key")
 
 
 def fallback_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Shells of the chosen captures."""
-    captures = A.captures(A.site_pages(spark, sf))
+    captures = _captures(spark, sf)
     shells = join_capture_fallback(captures, materialize(choose_captures(captures), "chosen"))
     return shells.select("site", "url", "title", F.sha2("html", 256).alias("html_hash"))
 
@@ -139,7 +144,7 @@ def fallback_pages(spark: SparkSession, sf: str) -> DataFrame:
 def protection(spark: SparkSession, sf: str) -> DataFrame:
     pages = A.site_pages(spark, sf)
     sites = with_site_defaults(A.sites_of(pages), OPTIONS)
-    return protection_report(protection_labels(A.captures(pages), sites))
+    return protection_report(protection_labels(A.captures(pages, A.page_blocks(pages)), sites))
 
 
 def _sites(spark: SparkSession, sf: str, options: BuildOptions = OPTIONS) -> tuple[DataFrame, DataFrame]:
@@ -148,19 +153,19 @@ def _sites(spark: SparkSession, sf: str, options: BuildOptions = OPTIONS) -> tup
 
 
 def _ranked(found: DataFrame) -> DataFrame:
-    return first_n(found, ["site"], ["ordinal"], OPTIONS.max_pages).drop("ordinal")
+    return first_n(found, ["site"], ["ordinal"], A.WHOLE).drop("ordinal")
 
 
 def sitemap_urls(spark: SparkSession, sf: str) -> DataFrame:
     pages, sites = _sites(spark, sf)
-    found = scan_sitemaps(A.sitemap_docs(pages), sites, OPTIONS)
+    found = scan_sitemaps(A.sitemap_docs(A.page_blocks(pages)), sites, OPTIONS)
     return _ranked(found)
 
 
 def rendered_sitemaps(spark: SparkSession, sf: str) -> DataFrame:
     """Sitemaps whose plain answers are refused or challenge pages, read from their rendered copies."""
     pages, sites = _sites(spark, sf)
-    docs = A.sitemap_docs(pages)
+    docs = A.sitemap_docs(A.page_blocks(pages))
     refused = F.length("site") % 2 == 0
     plain = docs.withColumn("body", F.concat(F.lit("<html>Just a moment, "), "site", F.lit("</html>"))).withColumn(
         "status", F.when(refused, F.lit(503)).otherwise(F.col("status"))
@@ -171,7 +176,7 @@ def rendered_sitemaps(spark: SparkSession, sf: str) -> DataFrame:
 
 def feed_urls(spark: SparkSession, sf: str) -> DataFrame:
     pages, sites = _sites(spark, sf)
-    found = scan_feeds(A.feed_docs(pages), sites, OPTIONS)
+    found = scan_feeds(A.feed_docs(A.page_blocks(pages)), sites, OPTIONS)
     return _ranked(found)
 
 
@@ -187,7 +192,7 @@ def _rest(spark: SparkSession, sf: str) -> RestListing:
 
 def rest_items(spark: SparkSession, sf: str) -> DataFrame:
     listing = _rest(spark, sf)
-    ranked = first_n(listing.discovered, ["site"], ["ordinal"], OPTIONS.max_pages).select("site", "ordinal", "rank")
+    ranked = first_n(listing.discovered, ["site"], ["ordinal"], A.WHOLE).select("site", "ordinal", "rank")
     return listing.items.join(ranked, ["site", "ordinal"]).select(
         "site", "rank", "url", "title", F.sha2("html", 256).alias("html_hash"), F.unix_seconds("modified_at").alias("modified")
     )
@@ -199,8 +204,9 @@ def rest_status(spark: SparkSession, sf: str) -> DataFrame:
 
 def _discovery(spark: SparkSession, sf: str, options: BuildOptions = OPTIONS):
     pages, sites = _sites(spark, sf, options)
-    captures = A.captures(pages)
-    return discover_composite(sites, captures, A.site_docs(pages), options), sites, captures
+    blocks = A.page_blocks(pages)
+    captures = A.captures(pages, blocks)
+    return discover_composite(sites, captures, A.site_docs(pages, blocks), options), sites, captures
 
 
 def discovered(spark: SparkSession, sf: str) -> DataFrame:
@@ -208,7 +214,7 @@ def discovered(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def discovered_small_budget(spark: SparkSession, sf: str) -> DataFrame:
-    """A budget of five pages with URL patterns: every strategy is cut before the merge filters."""
+    """A budget of five pages, where a site has none of its own, with URL patterns: every strategy is cut before the merge filters."""
     options = BuildOptions(max_pages=SMALL_BUDGET, exclude=("*/de/*", "utm_source"))
     return _discovery(spark, sf, options)[0].urls.select("site", "url", "discovery_method", "depth", "rank")
 
@@ -537,7 +543,9 @@ def _build(spark: SparkSession, sf: str):
     pages = A.site_pages(spark, sf)
     files = spark.createDataFrame([], "site string, url string, relative_output_path string, content string")
     manifest = spark.createDataFrame([], MANIFEST)
-    return build_corpus(A.sites_of(pages), A.captures(pages), A.site_docs(pages), manifest, files, OPTIONS)
+    blocks = A.page_blocks(pages)
+    captures, docs = A.captures(pages, blocks), A.site_docs(pages, blocks)
+    return build_corpus(A.sites_of(pages), captures, docs, manifest, files, OPTIONS)
 
 
 def _stream_of(spark: SparkSession, path: str) -> DataFrame:
