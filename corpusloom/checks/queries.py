@@ -42,7 +42,7 @@ from corpusloom.plans.build import Corpus, build_corpus, join_rest_override, pub
 from corpusloom.plans.discover import discover_composite
 from corpusloom.session import materialize, scratch_path
 from corpusloom.sinks.files import write_lines
-from corpusloom.sinks.manifest import manifest_json_files, parse_manifest_json, read_manifest, write_manifest
+from corpusloom.sinks.manifest import manifest_json_files, parse_manifest_json, read_manifest, upsert_version, write_manifest
 from corpusloom.sources.channels import effective_docs
 from corpusloom.sources.feeds import scan_feeds
 from corpusloom.sources.rest import RestListing, rest_detect, scan_rest_items
@@ -331,7 +331,11 @@ def _checked(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFr
 
 
 def cache_split(spark: SparkSession, sf: str) -> DataFrame:
-    return _checked(spark, sf)[2].select("site", "url", "is_hit")
+    """Documents against a stored manifest, whose rows stay in their buckets."""
+    docs, manifest, _ = _checked(spark, sf)
+    path = scratch_path(spark, "manifest")
+    write_manifest(manifest, path)
+    return join_manifest(docs, read_manifest(spark, path)).select("site", "url", "is_hit")
 
 
 def cached_bodies(spark: SparkSession, sf: str) -> DataFrame:
@@ -382,10 +386,9 @@ def manifest_upsert(spark: SparkSession, sf: str) -> DataFrame:
     _, manifest, checked = _checked(spark, sf)
     misses, responses = _answered(checked)
     written = attach_responses(misses, responses).filter(F.col("markdown").isNotNull())
-    merged = upsert_manifest(manifest, manifest_entries(written, OPTIONS.as_of))
     path = scratch_path(spark, "manifest")
     write_manifest(manifest, path)
-    write_manifest(merged, path)
+    upsert_version(materialize(manifest_entries(written, OPTIONS.as_of), "changed"), path)
     return read_manifest(spark, path)
 
 

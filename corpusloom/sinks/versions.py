@@ -29,9 +29,6 @@ def read_version(spark: SparkSession, path: str, schema: str, version: int | Non
     return spark.read.schema(schema).parquet(f"{path}/{prefix}{version}")
 
 
-def write_version(df: DataFrame, path: str, prefix: str = "v=") -> int:
-    """Write ``df`` as the next version. Readers see it once Spark has marked it complete."""
-    done = finished_versions(df.sparkSession, path, prefix)
-    version = done[-1] + 1 if done else 1
-    df.write.mode("overwrite").parquet(f"{path}/{prefix}{version}")
-    return version
+def next_version(spark: SparkSession, path: str) -> int:
+    done = finished_versions(spark, path)
+    return done[-1] + 1 if done else 1
