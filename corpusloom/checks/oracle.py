@@ -452,6 +452,10 @@ ORACLE: dict[str, str] = {
     "url_filtered_by_site": f"""WITH {_C} SELECT page_id, url FROM (SELECT *, split_part(url, '/', 3) AS host FROM c)
         WHERE (host NOT LIKE 'www.%' OR url ILIKE '%/en/%')
         AND NOT (host LIKE 'm.%' AND (contains(url, 'page=2') OR url LIKE '%' || host || '/de%'))""",
+    "url_filtered_by_list": f"""WITH {_C}, h AS (SELECT *, split_part(url, '/', 3) AS site FROM c),
+        x AS (SELECT DISTINCT site, lower(regexp_extract(url, '^[a-z]+://[^/]+(.*)\\.html$', 1)) AS pattern FROM h WHERE url LIKE '%.html')
+        SELECT page_id, url FROM h WHERE (site NOT LIKE 'www.%' OR url ILIKE '%/en/%' OR contains(url, '?'))
+        AND NOT EXISTS (FROM x WHERE x.site = h.site AND x.pattern <> '' AND contains(lower(h.url), x.pattern))""",
     "links": f"""WITH {_C}, h AS (
           SELECT page_id, generate_subscripts(hrefs, 1) AS pos, regexp_extract(url, '^[a-z]+://[^/]+', 0) AS base, unnest(hrefs) AS href
           FROM (SELECT page_id, url, {_hrefs('html')} AS hrefs FROM c)),

@@ -36,7 +36,7 @@ from corpusloom.operators.triage import (
     protection_report,
     scan_captures,
 )
-from corpusloom.operators.url_filter import url_allowed, url_allowed_by
+from corpusloom.operators.url_filter import allowed_by_list, url_allowed, url_allowed_by
 from corpusloom.options import BuildOptions
 from corpusloom.plans.build import Corpus, build_corpus, join_rest_override, publish_corpus, read_documents
 from corpusloom.plans.discover import discover_composite
@@ -94,6 +94,16 @@ def url_filtered_by_site(spark: SparkSession, sf: str) -> DataFrame:
     return pages.filter(url_allowed_by(F.col("url"), include, exclude)).select("page_id", "url")
 
 
+def url_filtered_by_list(spark: SparkSession, sf: str) -> DataFrame:
+    """Patterns of every host in rows: as many to exclude as it has ``.html`` pages, and two to include on ``www.`` hosts."""
+    pages = _canonical_pages(spark, sf).withColumn("site", U.host(F.col("url")))
+    path = F.regexp_extract("url", r"^[a-z]+://[^/]+(.*)\.html$", 1)
+    excluded = pages.filter(path != "").select("site", F.lit(True).alias("is_exclude"), path.alias("pattern"))
+    both = F.explode(F.array(F.lit("*/EN/*"), F.lit(" ? "))).alias("pattern")
+    included = pages.filter(F.startswith("site", F.lit("www."))).select("site").distinct().select("site", F.lit(False).alias("is_exclude"), both)
+    return allowed_by_list(pages, excluded.unionByName(included)).select("page_id", "url")
+
+
 def links(spark: SparkSession, sf: str) -> DataFrame:
     pages = _canonical_pages(spark, sf).withColumn("site", U.host(F.col("url")))
     sites = pages.select("site", F.concat(F.lit("https://"), "site").alias("root_url")).distinct()
@@ -646,6 +656,7 @@ QUERIES: dict[str, Query] = {
         url_names,
         url_filtered,
         url_filtered_by_site,
+        url_filtered_by_list,
         links,
         titles,
         sniffed,
