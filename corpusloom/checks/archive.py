@@ -3,8 +3,9 @@
 The table holds page captures only. Sitemaps, feeds, REST listings, home pages and imperfect responses
 are made from its rows, all of them, by rules on the URL and host. A site is a host, however many rows it
 has. Its pages, in order of their ids, are dealt to blocks of 1, 3, 5, 7, ... pages: a site of ``n`` pages has
-about the square root of ``n`` blocks of at most twice as many pages. Sub-sitemaps and part pages list one
-block each, indexes, feeds and home pages one entry a block, so that no document lists a site's pages whole.
+about the square root of ``n`` blocks of at most twice as many pages. Sub-sitemaps, pages of feeds and part pages list
+one block each, indexes, feeds of one page and home pages one entry a block, so that no document lists a site's pages
+whole.
 """
 
 from __future__ import annotations
@@ -160,10 +161,19 @@ def sitemap_docs(blocks: DataFrame) -> DataFrame:
 
 
 def feed_docs(blocks: DataFrame) -> DataFrame:
-    """The last page of each block: as RSS with links; as empty RSS then Atom; as RSS with a guid only, permanent where
-    the URL has no query.
+    """The last page of each block, in one feed a site."""
+    return _feeds(_heads(blocks), F.transform("heads", lambda h: h["last"]))
+
+
+def feed_pages(blocks: DataFrame) -> DataFrame:
+    """Every page, in a feed of a site whose pages list one block each."""
+    return _feeds(blocks, F.col("entries"), F.col("block") + 1)
+
+
+def _feeds(listed: DataFrame, entries: Column, page_no: Column | None = None) -> DataFrame:
+    """By the host's name length: as RSS with links; as empty RSS then Atom; as RSS with a guid only, permanent where the
+    URL has no query.
     """
-    entries = F.transform("heads", lambda h: h["last"])
 
     def items(body) -> Column:
         return F.array_join(F.transform(entries, body), "")
@@ -185,20 +195,20 @@ def feed_docs(blocks: DataFrame) -> DataFrame:
     def as_rss(inner: Column) -> Column:
         return F.concat(F.lit('<rss version="2.0"><channel><title>t</title>'), inner, F.lit("</channel></rss>"))
 
+    def feed(path: str, body: Column, order: int) -> Column:
+        if page_no is None:
+            return _document("feed", path, body, candidate_ord=order)
+        return _document("feed", F.concat(F.lit(f"{path}?paged="), page_no.cast("string")), body, candidate_ord=order, page_no=page_no)
+
     return _as_docs(
-        _heads(blocks),
+        listed,
         [
-            [_document("feed", "/feed/", as_rss(rss), candidate_ord=1)],
+            [feed("/feed/", as_rss(rss), 1)],
             [
-                _document("feed", "/feed/", as_rss(F.lit("")), candidate_ord=1),
-                _document(
-                    "feed",
-                    "/rss",
-                    F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom">'), atom, F.lit("</feed>")),
-                    candidate_ord=2,
-                ),
+                feed("/feed/", as_rss(F.lit("")), 1),
+                feed("/rss", F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom">'), atom, F.lit("</feed>")), 2),
             ],
-            [_document("feed", "/rss.xml", as_rss(guid), candidate_ord=3)],
+            [feed("/rss.xml", as_rss(guid), 3)],
         ],
     )
 

@@ -213,9 +213,9 @@ def _sitemap(limit: str) -> str:
     )
 
 
-def _feed(limit: str) -> str:
+def _feed(limit: str, listed: str = "closes") -> str:
     return _listing(
-        "SELECT site, url, page_id AS ord FROM p WHERE closes AND (length(host) % 3 <> 2 OR NOT contains(raw, '?'))", limit
+        f"SELECT site, url, page_id AS ord FROM p WHERE {listed} AND (length(host) % 3 <> 2 OR NOT contains(raw, '?'))", limit
     )
 
 
@@ -476,7 +476,7 @@ ORACLE: dict[str, str] = {
         count(DISTINCT site) AS sites FROM p GROUP BY 1""",
     "sitemap_urls": f"""WITH {_P} SELECT site, url, 'sitemap' AS discovery_method, 0 AS depth, rank FROM ({_sitemap(_budget(200))})""",
     "rendered_sitemaps": f"""WITH {_P} SELECT site, url, 'sitemap' AS discovery_method, 0 AS depth, rank FROM ({_sitemap(_budget(200))})""",
-    "feed_urls": f"""WITH {_P} SELECT site, url, 'rss' AS discovery_method, 0 AS depth, rank FROM ({_feed(_budget(200))})""",
+    "feed_urls": f"""WITH {_P} SELECT site, url, 'rss' AS discovery_method, 0 AS depth, rank FROM ({_feed(_budget(200), "true")})""",
     "rest_probe": f"""WITH {_P} SELECT DISTINCT site, length(host) % 7 <= 3 AS available,
         CASE length(host) % 7 WHEN 4 THEN 'Cloudflare JS challenge' WHEN 5 THEN 'HTTP 401 from https://' || host || '/wp-json/'
           WHEN 6 THEN 'WP REST blocked by site protection: Cloudflare JS challenge' END AS reason,

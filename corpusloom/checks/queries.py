@@ -185,8 +185,9 @@ def rendered_sitemaps(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def feed_urls(spark: SparkSession, sf: str) -> DataFrame:
+    """All pages, from feeds in pages."""
     pages, sites = _sites(spark, sf)
-    found = scan_feeds(A.feed_docs(A.page_blocks(pages)), sites, OPTIONS)
+    found = scan_feeds(A.feed_pages(A.page_blocks(pages)), sites, OPTIONS)
     return _ranked(found)
 
 

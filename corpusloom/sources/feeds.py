@@ -9,6 +9,7 @@ from corpusloom.functions import url as U
 from corpusloom.functions.text import is_blank, trim_ws
 from corpusloom.operators.merge import distinct_by_url, take_max_pages
 from corpusloom.options import BuildOptions
+from corpusloom.session import materialize
 from corpusloom.sources.tables import success, with_site
 
 # Where feeds are looked for, in order.
@@ -19,6 +20,9 @@ _SCHEMA = (
     "entry ARRAY<STRUCT<link: ARRAY<STRUCT<_href: STRING>>>>"
 )
 
+# Places of a URL: page of the feed in its high half, entry in its low half.
+_DOC = 1 << 32
+
 
 def _first_links(xml: Column) -> Column:
     """First link per item. A permanent ``guid`` stands in for a missing RSS link."""
@@ -40,7 +44,11 @@ def _first_links(xml: Column) -> Column:
 
 
 def scan_feeds(site_docs: DataFrame, sites: DataFrame, options: BuildOptions) -> DataFrame:
-    """URLs of the first feed candidate that yields any; a feed with a relative link yields none."""
+    """URLs of the first feed candidate that yields any, page after page; a document with a relative link yields none.
+
+    The documents of a candidate are told apart by ``page_no``. Each is read where it lies and only the candidates' numbers
+    are compared, so a feed of many pages is never put together.
+    """
     docs = site_docs.filter((F.col("kind") == "feed") & success(F.col("status")) & ~is_blank(F.col("body")))
     xml = F.from_xml("body", _SCHEMA, {"ignoreNamespace": "true"})
     urls = F.filter(
@@ -48,16 +56,22 @@ def scan_feeds(site_docs: DataFrame, sites: DataFrame, options: BuildOptions) ->
         lambda u: u.isNotNull() & U.is_http(u) & U.same_host(u, F.col("root_url"), F.col("same_host_only")),
     )
     readable = F.forall("links", U.is_absolute)
+    document = ["site", "candidate_ord", "page_no"]
     parsed = (
         with_site(docs, sites.select("site", "root_url", "same_host_only"), "doc_url")
-        .select("site", "candidate_ord", "root_url", "same_host_only", xml.alias("xml"))
+        .select(*document, "root_url", "same_host_only", xml.alias("xml"))
         .withColumn("links", _first_links(F.col("xml")))
-        .select("site", "candidate_ord", readable.alias("readable"), urls.alias("urls"))
+        .select(*document, readable.alias("readable"), urls.alias("urls"))
     )
-    yields = F.col("readable") & (F.size("urls") > 0)
-    winners = parsed.groupBy("site").agg(F.min_by("urls", F.when(yields, F.col("candidate_ord"))).alias("urls"))
-    found = winners.select("site", F.posexplode("urls").alias("pos", "url")).select(
-        "site", F.col("pos").cast("bigint").alias("ordinal"), "url"
+    yields = F.col("readable") & (F.size("urls") > 0) & F.col("candidate_ord").isNotNull()
+    listed = materialize(parsed.groupBy(*document).agg(F.min(F.when(yields, F.col("urls"))).alias("urls")), "feeds").filter("urls is not null")
+    firsts = materialize(listed.groupBy("site").agg(F.min("candidate_ord").alias("first")), "candidates")
+    place = F.coalesce(F.col("page_no"), F.lit(0)).cast("bigint") * F.lit(_DOC) + F.col("pos")
+    found = (
+        with_site(listed, firsts, "page_no")
+        .filter(F.col("candidate_ord") == F.col("first"))
+        .select("site", "page_no", F.posexplode("urls").alias("pos", "url"))
+        .select("site", place.alias("ordinal"), "url")
     )
     return take_max_pages(distinct_by_url(found), sites).select(
         "site", "url", F.lit("rss").alias("discovery_method"), F.lit(0).alias("depth"), "ordinal"

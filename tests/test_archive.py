@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from corpusloom.checks import archive as A
+from corpusloom.checks.queries import feed_urls
 
 
 def test_documents_of_a_large_site_stay_small(spark, tmp_path):
@@ -27,3 +28,14 @@ def test_one_site_for_each_host(spark):
     sites = A.sites_of(pages)
     assert sites.count() == pages.select("host").distinct().count()
     assert {r[0] for r in sites.select("max_pages").distinct().collect()} == set(A.BUDGETS)
+
+
+def test_pages_of_feeds_list_every_page(spark, tmp_path):
+    n = 400
+    urls = F.concat(F.lit("https://wx.example.com/en/"), F.col("id").cast("string"))
+    rows = spark.range(n).select(F.col("id").alias("page_id"), urls.alias("url"), F.lit("<title>t</title>").alias("html"))
+    rows.write.parquet(f"{tmp_path}/pages.parquet")
+    found = feed_urls(spark, str(tmp_path)).orderBy("rank").collect()
+    assert [r.url for r in found] == [f"https://wx.example.com/en/{i}" for i in range(n)]
+    docs = A.feed_pages(A.page_blocks(A.site_pages(spark, str(tmp_path))))
+    assert docs.agg(F.max(F.size(F.split("body", "example.com/")) - 1)).first()[0] <= 2 * 20

@@ -116,6 +116,16 @@ def test_feed_candidates(spark):
     assert scan_each(spark, [[feed(1, body), feed(4, good)] for body in bad], scan_feeds) == [["https://s.com/good"]] * 4
 
 
+def test_feed_of_several_pages_is_read_whole_and_in_order(spark):
+    def paged(ord, no, *names):
+        return feed(ord, rss("".join(f"<item><link>https://s.com/{n}</link></item>" for n in names)), page_no=no)
+
+    relative = feed(2, rss("<item><link>/rel</link></item>"), page_no=2)
+    rows = [paged(1, 1), paged(2, 10, "d", "a"), paged(2, 3, "b", "c"), relative, paged(2, 1, "a"), paged(3, 1, "later")]
+    assert scan(spark, rows, scan_feeds) == [f"https://s.com/{n}" for n in "abcd"]
+    assert scan(spark, rows, scan_feeds, max_pages={"s": 2}) == ["https://s.com/a", "https://s.com/b"]
+
+
 INDEX = json.dumps({"name": "Example", "routes": {"/wp/v2": {}}, "namespaces": ["wp/v2"]})
 
 
