@@ -36,10 +36,11 @@ from corpusloom.operators.summarize import as_summaries, build_requests
 from corpusloom.operators.triage import FETCH_FAILED, join_capture_fallback, match_captures
 from corpusloom.options import BuildOptions
 from corpusloom.plans.discover import Discovery, Strategy, discover_composite, last_items
-from corpusloom.session import broadcast_if_small, materialize
+from corpusloom.session import broadcast_if_small, is_small, materialize, scratch_path
+from corpusloom.sinks.buckets import bucket_count, dealt, read_buckets, write_buckets
 from corpusloom.sinks.files import write_files, write_lines
 from corpusloom.sinks.manifest import manifest_json_files, write_manifest
-from corpusloom.sinks.versions import finished_versions, read_version
+from corpusloom.sinks.versions import finished_versions
 from corpusloom.sources.feeds import scan_feeds
 from corpusloom.sources.sitemaps import scan_sitemaps
 from corpusloom.sources.tables import with_site_defaults
@@ -146,6 +147,8 @@ def build_corpus(
 
 
 DOCUMENTS = "site string, url string, path string, relative_output_path string, content string"
+COLUMNS = tuple(c.split()[0] for c in DOCUMENTS.split(", "))
+PATH = ("path",)
 
 
 BASE = "base="
@@ -157,41 +160,80 @@ def read_documents(spark: SparkSession, root: str) -> DataFrame:
     return documents_as_of(spark, root, done[-1] if done else 0)
 
 
-def documents_as_of(spark: SparkSession, root: str, run: int, again: bool = False) -> DataFrame:
-    """Documents after a run: the last compacted ones, and those of all runs since, of each path the newest.
-
-    Only paths are compared. Those that runs since the compaction wrote are few, so they are broadcast when counted to
-    be, and the texts stay where they are read. ``again`` leaves out what this run itself compacted.
-    """
+def _versions(spark: SparkSession, root: str, run: int, again: bool = False) -> list[tuple[int, str]]:
+    """Numbers and folders of the last compacted version up to a run and of all runs since, ascending."""
     folder = f"{root}/documents"
     bases = [v for v in finished_versions(spark, folder, BASE) if v <= run and (v < run or not again)]
     since = bases[-1] if bases else 0
-    stored = [read_version(spark, folder, DOCUMENTS, since, BASE).withColumn("_run", F.lit(since))] if bases else []
-    later = [v for v in finished_versions(spark, folder) if since < v <= run]
-    deltas = [read_version(spark, folder, DOCUMENTS, v).withColumn("_run", F.lit(v)) for v in later]
-    if not stored and not deltas:
+    later = [(v, f"{folder}/v={v}") for v in finished_versions(spark, folder) if since < v <= run]
+    return [(since, f"{folder}/{BASE}{since}"), *later] if bases else later
+
+
+def _newest(spark: SparkSession, versions: list[tuple[int, str]], buckets: int) -> DataFrame:
+    """The number of the newest version of each path, stored in ``buckets``; paths of the first version only are left out."""
+    paths = [read_buckets(spark, path, DOCUMENTS, PATH).select("path", F.lit(v).alias("run")) for v, path in versions[1:]]
+    newest = dealt(reduce(DataFrame.unionByName, paths), PATH, buckets).groupBy("path").agg(F.max("run").alias("newest"))
+    target = scratch_path(spark, "paths")
+    write_buckets(newest, target, PATH, buckets)
+    return read_buckets(spark, target, "path string, newest int", PATH)
+
+
+def _surviving(spark: SparkSession, version: tuple[int, str], newest: DataFrame) -> DataFrame:
+    """A version's documents that no later one replaces. Its texts stay in their buckets, where the paths are brought."""
+    number, path = version
+    stored, buckets = read_buckets(spark, path, DOCUMENTS, PATH), bucket_count(spark, path)
+    replaced = newest.filter(F.col("newest") > number).select("path")
+    # Hashing the paths of a bucket spares sorting its texts.
+    replaced = dealt(replaced, PATH, buckets).hint("shuffle_hash") if buckets else replaced
+    return stored.join(replaced, "path", "left_anti").select(*COLUMNS)
+
+
+def documents_as_of(spark: SparkSession, root: str, run: int) -> DataFrame:
+    """Documents after a run: the last compacted ones, and those of all runs since, of each path the newest.
+
+    Only paths are compared. Those that runs since the compaction wrote are broadcast when counted to be few; else they
+    go to the buckets of the texts, which stay where they are read.
+    """
+    versions = _versions(spark, root, run)
+    if not versions:
         return spark.createDataFrame([], DOCUMENTS)
-    whole = reduce(DataFrame.unionByName, [*stored, *deltas])
-    if len(stored) + len(deltas) == 1:
-        return whole.drop("_run")
-    written = reduce(DataFrame.unionByName, deltas).groupBy("path").agg(F.max("_run").alias("_newest"))
-    newest = broadcast_if_small(materialize(written, "paths"))
-    return whole.join(newest, "path", "left").filter(F.col("_newest").isNull() | (F.col("_run") == F.col("_newest"))).select(*[c.split()[0] for c in DOCUMENTS.split(", ")])
+    if len(versions) == 1:
+        return read_buckets(spark, versions[0][1], DOCUMENTS, PATH)
+    newest = _newest(spark, versions, _buckets(spark, versions))
+    if not is_small(newest):
+        return reduce(DataFrame.unionByName, [_surviving(spark, version, newest) for version in versions])
+    stored = [read_buckets(spark, path, DOCUMENTS, PATH).withColumn("_run", F.lit(v)) for v, path in versions]
+    joined = reduce(DataFrame.unionByName, stored).join(F.broadcast(newest), "path", "left")
+    return joined.filter(F.col("newest").isNull() | (F.col("_run") == F.col("newest"))).select(*COLUMNS)
+
+
+def _buckets(spark: SparkSession, versions: list[tuple[int, str]]) -> int:
+    """As the newest version that is in buckets has, else as the session shuffles."""
+    known = [n for _, path in versions if (n := bucket_count(spark, path))]
+    return known[-1] if known else int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def write_documents(files: DataFrame, root: str, run: int, compact_every: int) -> None:
-    """Writes the documents of a run and, after every ``compact_every`` runs, all documents together, clustered by path.
+    """Writes the documents of a run and, after every ``compact_every`` runs, all documents together, in buckets of path.
 
-    A run moves and writes the texts that it changed. A run that is repeated writes the same versions again.
+    A run moves and writes the texts that it changed; a compaction writes texts from their buckets to the same ones, and
+    moves them only where the session's shuffle partitions, and so the buckets to be, are others than before. A run that
+    is repeated writes the same versions again.
     """
     spark, folder = files.sparkSession, f"{root}/documents"
-    fresh = files.select(*[c.split()[0] for c in DOCUMENTS.split(", ")])
-    fresh.repartitionByRange("path").sortWithinPartitions("path").write.mode("overwrite").parquet(f"{folder}/v={run}")
+    fresh, buckets = files.select(*COLUMNS), _buckets(spark, _versions(spark, root, run - 1))
+    write_buckets(dealt(fresh, PATH, buckets), f"{folder}/v={run}", PATH, buckets, sort_by=PATH)
     bases = [v for v in finished_versions(spark, folder, BASE) if v < run]
     if run - (bases[-1] if bases else 0) < compact_every:
         return
-    whole = documents_as_of(spark, root, run, again=True)
-    whole.repartitionByRange("path").sortWithinPartitions("path").write.mode("overwrite").parquet(f"{folder}/{BASE}{run}")
+    versions, wanted = _versions(spark, root, run, again=True), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if len(versions) == 1:
+        whole = dealt(read_buckets(spark, versions[0][1], DOCUMENTS, PATH), PATH, wanted)
+    else:
+        newest = _newest(spark, versions, wanted)
+        parts = [(_surviving(spark, version, newest), bucket_count(spark, version[1])) for version in versions]
+        whole = reduce(DataFrame.unionByName, [part if n == wanted else dealt(part, PATH, wanted) for part, n in parts])
+    write_buckets(whole, f"{folder}/{BASE}{run}", PATH, wanted, sort_by=PATH)
 
 
 def publish_corpus(
@@ -206,7 +248,7 @@ def publish_corpus(
 
     Every run writes versions of its own and changes none that a reader may hold: the documents that it changed, and all
     of them together after every ``compact_every`` runs; index and full corpus; requests with the keys that their answers
-    need; the manifest's JSON form. With ``export_pages`` changed documents also become one file each. The manifest comes
+    need, as compressed lines of JSON; the manifest's JSON form. With ``export_pages`` changed documents also become one file each. The manifest comes
     last, so a run that fails before it is simply repeated. ``write_index`` and ``save_manifest`` stand in for
     other stores.
     """
@@ -220,7 +262,7 @@ def publish_corpus(
     write_index(corpus.index, f"{root}/{INDEX_FILE}/{run}")
     if corpus.full is not None:
         write_index(corpus.full, f"{root}/{FULL_FILE}/{run}")
-    corpus.requests.write.mode("overwrite").json(f"{root}/requests/{run}")
+    corpus.requests.write.mode("overwrite").option("compression", "gzip").json(f"{root}/requests/{run}")
     manifest = materialize(corpus.manifest, "manifest")
-    manifest_json_files(manifest).write.mode("overwrite").parquet(f"{root}/manifest-json/{run}")
+    manifest_json_files(manifest).write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/manifest-json/{run}")
     return save_manifest(manifest, f"{root}/manifest")

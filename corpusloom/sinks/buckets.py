@@ -48,13 +48,15 @@ def read_buckets(spark: SparkSession, path: str, schema: str, keys: Sequence[str
         spark.sql(f"DROP TABLE {name}")
 
 
-def write_buckets(df: DataFrame, path: str, keys: Sequence[str], buckets: int) -> None:
+def write_buckets(df: DataFrame, path: str, keys: Sequence[str], buckets: int, sort_by: Sequence[str] = ()) -> None:
     """Write rows to a new folder in ``buckets``, without moving them: give rows that are in buckets, or dealt to them.
 
-    :func:`dealt` deals rows; others would leave a small file of each bucket in every task.
+    :func:`dealt` deals rows; others would leave a small file of each bucket in every task. With ``sort_by`` the rows of
+    each file are in that order.
     """
     spark, name = df.sparkSession, _passing_name()
-    df.write.format("parquet").option("path", path).bucketBy(buckets, *keys).mode("overwrite").saveAsTable(name)
+    writer = df.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(buckets, *keys)
+    (writer.sortBy(*sort_by) if sort_by else writer).mode("overwrite").saveAsTable(name)
     spark.sql(f"DROP TABLE {name}")
     folder, files = _folder(spark, path)
     files.createNewFile(spark._jvm.org.apache.hadoop.fs.Path(folder, f"{_NOTE}{buckets}"))

@@ -15,6 +15,7 @@ from corpusloom.operators.incremental import (
 from corpusloom.operators.summarize import PROMPT, attach_responses, build_requests, response_text, summarize_pages
 from corpusloom.options import BuildOptions
 from corpusloom.plans.build import DOCUMENTS, build_corpus, documents_as_of, publish_corpus, read_documents, write_documents
+from corpusloom.sinks.buckets import bucket_count
 from corpusloom.sinks.manifest import parse_manifest_json, read_manifest
 from corpusloom.sinks.versions import finished_versions
 from corpusloom.sources.page_files import read_page_files
@@ -240,6 +241,45 @@ def test_documents_are_written_as_deltas_and_compacted(spark, tmp_path):
     assert read(0) == {}
 
 
+def test_stored_documents_stay_where_they_are(spark, tmp_path, monkeypatch):
+    """Neither merging on read nor compaction moves or sorts a text, also where the changed paths are too many to broadcast."""
+    monkeypatch.setattr("corpusloom.plans.build.is_small", lambda table: False)
+    root, partitions = str(tmp_path), spark.conf.get("spark.sql.shuffle.partitions")
+
+    def documents(text, *numbers):
+        rows = [("s", f"https://s.com/{n}", f"s/{n}.md", f"{n}.md", f"{text} {n}") for n in numbers]
+        return spark.createDataFrame([*rows, ("s", "https://s.com/none", None, "none.md", text)], DOCUMENTS)
+
+    def read(run):
+        frame = documents_as_of(spark, root, run)
+        rows = sorted((r.path or "", r.content) for r in frame.collect())
+        moved = frame._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in moved and "Sort" not in moved.replace("SortedBucket", ""), moved
+        return rows
+
+    def want(*texts):
+        return sorted([("", text) for text in texts])
+
+    write_documents(documents("a", *range(40)), root, 1, 3)
+    write_documents(documents("b", 3, 40), root, 2, 3)
+    whole = {f"s/{n}.md": f"a {n}" for n in range(40)} | {f"s/{n}.md": f"b {n}" for n in (3, 40)}
+    assert read(2) == sorted([*whole.items(), *want("a", "b")])
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "5")
+        write_documents(documents("c", 4), root, 3, 3)
+        whole |= {"s/4.md": "c 4"}
+        assert bucket_count(spark, f"{root}/documents/v=3") == int(partitions)
+        assert bucket_count(spark, f"{root}/documents/base=3") == 5
+        assert read(3) == sorted([*whole.items(), *want("a", "b", "c")])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    documents("d", 5).write.parquet(f"{root}/documents/v=4")  # as runs wrote them before they had buckets
+    write_documents(documents("e", 6), root, 5, 3)
+    whole |= {"s/5.md": "d 5", "s/6.md": "e 6"}
+    rows = documents_as_of(spark, root, 5).collect()
+    assert sorted((r.path or "", r.content) for r in rows) == sorted([*whole.items(), *want("a", "b", "c", "d", "e")])
+
+
 def test_several_answers_to_one_request_are_one_summary(spark):
     pages = spark.createDataFrame([(1, "s", "https://s.com/a", "A", "h"), (2, "s", "https://s.com/b", "B", "h")], "rank long, site string, url string, title string, content_hash string")
     pages = pages.withColumn("fetched_at", F.lit("2024-01-01").cast("timestamp")).withColumn("markdown", F.lit("m"))
