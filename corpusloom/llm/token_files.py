@@ -84,7 +84,7 @@ class UnitEncoder:
         self._add(np.arange(len(_STOPS)), *self._units_ids([chr(c) for c in _STOPS]))
 
     def _library(self, texts: Sequence[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]  # without places in the text
 
     def encode_batch(self, texts: Sequence[bytes | None]) -> list[np.ndarray]:
         """Ids of each text."""
