@@ -40,7 +40,7 @@ _STOPS = b".,"
 _WIDE_BLANKS = tuple(chr(c).encode() for c in (0x85, 0xA0, 0x1680, 0x202F, 0x205F, 0x3000))
 _WIDE_BLANK_BLOCK = b"\xe2\x80"
 _IN_BLOCK = frozenset([*range(0x80, 0x8B), 0xA8, 0xA9])
-JOINED = 512
+JOINED = 128
 GROUP_BYTES = 1 << 20
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
